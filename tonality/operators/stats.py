@@ -23,3 +23,153 @@ def distinct_characters(df: DataFrame, col: str = "Character",
 def episode_details(df: DataFrame, episodes: DataFrame) -> DataFrame:
     """Left join of the episode dimension; unknown episodes keep NULL details."""
     return df.join(sized_broadcast(episodes), "Episode", "left")
+
+
+# ---------------------------------------------------------------- labels & totals
+
+SCORERS = ("lex", "model")
+LABEL_SHORT = (("Positive", "pos"), ("Neutral", "neu"), ("Negative", "neg"))
+
+
+def _labelled(s: str, short: str):
+    """The scorer's own score for its label X, NULL on rows with another label."""
+    label = dict((b, a) for a, b in LABEL_SHORT)[short]
+    return F.when(F.col(f"{s}_label") == label, F.col(f"{s}_{short}"))
+
+
+def sentiment_totals(scored: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
+    """Rows per prevailing label and scorer, plus all rows; one pass."""
+    aggs = [F.count_if(F.col(f"{s}_label") == lab).alias(f"{s}_total_{short}")
+            for s in SCORERS for lab, short in LABEL_SHORT]
+    return scored.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("total_count"))
+
+
+def sentiment_share(scored: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
+    t = sentiment_totals(scored, by)
+    return t.select(*by, *[(F.col(f"{s}_total_{short}") / F.col("total_count")).alias(f"{s}_share_{short}")
+                           for s in SCORERS for _, short in LABEL_SHORT], "total_count")
+
+
+def modal_sentiment(scored: DataFrame, by: Sequence[str] = ("Episode",),
+                    order_col: str = "SentenceIndex") -> DataFrame:
+    """Most frequent label per scorer; a tie goes to the label seen first in ``order_col`` order."""
+    outs = []
+    for s in SCORERS:
+        per = scored.groupBy(*by, F.col(f"{s}_label").alias("label")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_seen"))
+        best = per.groupBy(*by).agg(
+            F.max_by("label", F.struct(F.col("n"), -F.col("first_seen"))).alias(f"{s}_mode"))
+        outs.append(best)
+    return outs[0].join(outs[1], list(by), "full")
+
+
+def _grid(stats: DataFrame, characters: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every (group, character) pair: each group row expanded by the (bounded) dimension."""
+    from tonality.session import row_count_at_most
+    if row_count_at_most(characters, 10_000) is None:
+        raise ValueError("character dimension too large to expand per group")
+    names = [r["name"] for r in characters.select("name").collect()]
+    arr = F.array(*[F.struct(F.lit(i).alias("char_order"), F.lit(n).alias("Character"))
+                    for i, n in enumerate(names)])
+    groups = stats.select(*by).distinct()
+    return groups.select(*by, F.inline(arr))
+
+
+def character_counts(scored: DataFrame, characters: DataFrame,
+                     by: Sequence[str] = ("Episode",)) -> DataFrame:
+    """Sentences per character, 0 for characters without lines, in dimension order."""
+    counts = scored.groupBy(*by, "Character").agg(F.count(F.lit(1)).alias("total_count"))
+    grid = _grid(counts, characters, by)
+    return (grid.join(counts, [*by, "Character"], "left")
+            .select(*by, "char_order", "Character",
+                    F.coalesce("total_count", F.lit(0)).alias("total_count")))
+
+
+MEASURES = ("avg", "median", "std", "count")
+
+
+def measure_columns(scorers=SCORERS, measures=MEASURES) -> list[str]:
+    return [f"{s}_{m}_{short}" for s in scorers for m in measures for _, short in LABEL_SHORT]
+
+
+def _measure(s: str, m: str, short: str, approx_median: bool):
+    x = _labelled(s, short)
+    if m == "avg":
+        return F.avg(x)
+    if m == "median":
+        return F.percentile_approx(x, 0.5, 10_000) if approx_median else F.median(x)
+    if m == "std":
+        return F.stddev_samp(x)
+    return F.count(x)
+
+
+def character_statistics(scored: DataFrame, characters: DataFrame, by: Sequence[str] = ("Episode",),
+                         measures: Sequence[str] = MEASURES, approx_median: bool = False) -> DataFrame:
+    """Per (group, character): for each scorer and label X, count / mean / median /
+    sample std of the X score over rows labelled X, plus all rows of the character.
+
+    One ``groupBy`` with conditional aggregates (count, mean and std merge
+    partially on the map side; a hot character is pre-aggregated per task).
+    Characters without lines appear with count 0 and NULL measures.
+    """
+    cols = [f"{s}_{m}_{short}" for s in SCORERS for m in measures for _, short in LABEL_SHORT]
+    aggs = [_measure(s, m, short, approx_median).alias(f"{s}_{m}_{short}")
+            for s in SCORERS for m in measures for _, short in LABEL_SHORT]
+    stats = scored.groupBy(*by, "Character").agg(*aggs, F.count(F.lit(1)).alias("total_count"))
+    grid = _grid(stats, characters, by)
+    out = grid.join(stats, [*by, "Character"], "left")
+    fill = [c for c in cols if "_count_" in c] + ["total_count"]
+    return out.select(*by, "char_order", "Character",
+                      *[F.coalesce(c, F.lit(0)).alias(c) if c in fill else F.col(c) for c in cols],
+                      F.coalesce("total_count", F.lit(0)).alias("total_count"))
+
+
+def statistics_long(stats: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
+    """Long form ``(group, Character, measure, value)`` of ``character_statistics``."""
+    ids = [*by, "char_order", "Character"]
+    vals = [c for c in stats.columns if c not in ids]
+    return stats.select(*ids, *[F.col(c).cast("double").alias(c) for c in vals]).unpivot(
+        ids, vals, "measure", "value")
+
+
+def describe_scores(scored: DataFrame, cols: Sequence[str], by: Sequence[str] = ("Episode",)) -> DataFrame:
+    """count / mean / std / min / exact quartiles / max per score column, long form."""
+    aggs = []
+    for c in cols:
+        aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
+                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
+                 F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
+                 F.max(c).alias(f"{c}__max")]
+    wide = scored.groupBy(*by).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"),
+                              F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
+                              F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").cast("double").alias("min"),
+                              F.col(f"{c}__q")[0].alias("q25"), F.col(f"{c}__q")[1].alias("q50"),
+                              F.col(f"{c}__q")[2].alias("q75"), F.col(f"{c}__max").cast("double").alias("max"))
+                     for c in cols])
+    return wide.select(*by, F.inline(rows))
+
+
+def row_counts(df: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
+    """Rows per group and the column count of the table (its shape)."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "n_columns", F.lit(len(df.columns)))
+
+
+def schema_report(df: DataFrame) -> DataFrame:
+    """Column names and types of ``df`` (metadata only; no data is read)."""
+    spark = df.sparkSession
+    return spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(df.dtypes)],
+                                 "position int, column string, type string")
+
+
+def duplicate_keys(df: DataFrame, keys: Sequence[str] = ("Episode", "SentenceIndex")) -> DataFrame:
+    """Keys that occur more than once, with their multiplicity."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def keep_last(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+    """One row per key: the last by ``order_col`` (the "last score wins" policy)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

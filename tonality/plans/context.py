@@ -45,6 +45,14 @@ class Inputs:
     def negators(self) -> DataFrame:
         return negator_df(self.spark)
 
+    def scoring(self, **kw):
+        from tonality.plans.pipeline import Scoring
+        return Scoring(self.lexicon(), self.boosters(), self.negators(), **kw)
+
+    def scored(self, **kw) -> DataFrame:
+        from tonality.plans.pipeline import scored_table
+        return scored_table(self.prepared(), self.scoring(**kw))
+
     def prepared(self, keep_tokens: bool = False) -> DataFrame:
         return prepare_utterances(self.utterances(), self.characters(), self.stopwords_a(),
                                   keep_tokens=keep_tokens)

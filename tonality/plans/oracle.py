@@ -182,3 +182,337 @@ SELECT Episode, count(*) FILTER (WHERE Character IS NULL) AS null_count FROM utt
 q("distinct_characters", f"""WITH {UTT}
 SELECT DISTINCT Episode, CAST(CAST(trunc(coalesce(Character, 0.0)) AS SMALLINT) AS VARCHAR) AS Character
 FROM utt""")
+
+
+# ------------------------------------------------------------------- scorers
+
+from tonality.operators.lexicon import PUNCT_EDGES, SPLIT_BLANKS  # noqa: E402
+from tonality.resources import (BOOSTERS, BOOST_DISTANCE_DAMP, CAPS_INCREMENT,  # noqa: E402
+                                MINI_LEXICON, NEGATION_SCALAR, NEGATORS, NEVER_SO_SCALAR)
+
+LEXV = values(MINI_LEXICON, ["token", "valence"], ["VARCHAR", "DOUBLE"])
+BOOSTV = values(BOOSTERS, ["token", "delta"], ["VARCHAR", "DOUBLE"])
+NEGV = values([(w,) for w in NEGATORS], ["token"], ["VARCHAR"])
+
+
+def sql_upper(x: str) -> str:
+    return f"(upper({x}) = {x} AND lower({x}) <> {x})"
+
+
+def sql_linear_logit(words: str, mult: int) -> str:
+    return (f"CASE WHEN len({words}) > 0 THEN "
+            f"list_sum(list_transform({words}, lambda w: (ascii(w) * {mult} + length(w)) % 11 - 5))"
+            f" / (10.0::DOUBLE * len({words})) ELSE 0.0::DOUBLE END")
+
+
+def lex_ctes(src: str = "prep", text: str = "CleanText") -> str:
+    """CTEs ending in ``chain`` (per item) and ``sent`` (per sentence) over ``src``."""
+    d1, d2, d3 = BOOST_DISTANCE_DAMP
+    ns = repr(NEGATION_SCALAR)
+
+    def gate(d):
+        return f"(p{d} IS NOT NULL AND NOT coalesce(l{d}, false))"
+
+    def negw(d):
+        return f"(coalesce(g{d}, false) OR contains(p{d}, 'n''t'))"
+
+    def boost(v, d, damp):
+        caps = f"(capdiff AND {sql_upper(f'o{d}')})"
+        return (f"CASE WHEN {gate(d)} AND b{d} IS NOT NULL THEN {v} + "
+                f"((CASE WHEN {v} < 0 THEN -b{d} ELSE b{d} END) + "
+                f"(CASE WHEN {caps} THEN (CASE WHEN {v} > 0 THEN {CAPS_INCREMENT} ELSE -{CAPS_INCREMENT} END) ELSE 0.0 END))"
+                f" * {damp} ELSE {v} END")
+
+    def negate(v, d):
+        if d == 1:
+            return f"CASE WHEN {gate(1)} AND {negw(1)} THEN {v} * {ns} ELSE {v} END"
+        so = "p1" if d == 2 else "p2"
+        sc = NEVER_SO_SCALAR[d - 2]
+        return (f"CASE WHEN {gate(d)} AND p{d} = 'never' AND {so} IN ('so', 'this') THEN {v} * {sc} "
+                f"WHEN {gate(d)} AND {negw(d)} THEN {v} * {ns} ELSE {v} END")
+
+    return f"""
+items AS (
+  SELECT Episode, SentenceIndex, coalesce({text}, '') AS tx,
+         list_filter(list_transform(string_split_regex(coalesce({text}, ''), {lit(SPLIT_BLANKS)}),
+                                    lambda w: regexp_replace(w, {lit(PUNCT_EDGES)}, '', 'g')),
+                     lambda w: length(w) > 1) AS it
+  FROM {src}),
+sent0 AS (
+  SELECT Episode, SentenceIndex, it, len(it) AS n,
+         coalesce(list_position(list_transform(it, lambda w: lower(w)), 'but'), 0) AS but_pos,
+         length(tx) - length(replace(tx, '!', '')) AS n_excl,
+         length(tx) - length(replace(tx, '?', '')) AS n_q,
+         coalesce(list_bool_or(list_transform(it, lambda w: {sql_upper('w')})), false)
+           AND coalesce(list_bool_or(list_transform(it, lambda w: NOT {sql_upper('w')})), false) AS capdiff
+  FROM items),
+sent AS MATERIALIZED (
+  SELECT Episode, SentenceIndex, n, but_pos, capdiff,
+         least(n_excl, 4) * 0.292::DOUBLE
+         + CASE WHEN n_q > 3 THEN 0.96::DOUBLE WHEN n_q > 1 THEN n_q * 0.18::DOUBLE ELSE 0.0::DOUBLE END AS emph
+  FROM sent0),
+tok AS (
+  SELECT Episode, SentenceIndex, unnest(it) AS t, unnest(range(len(it))) AS pos FROM sent0),
+ctx AS (
+  SELECT Episode, SentenceIndex, t, CAST(pos AS INTEGER) AS pos, lower(t) AS tl,
+         lag(lower(t), 1) OVER w AS p1, lag(lower(t), 2) OVER w AS p2, lag(lower(t), 3) OVER w AS p3,
+         lag(t, 1) OVER w AS o1, lag(t, 2) OVER w AS o2, lag(t, 3) OVER w AS o3,
+         lead(lower(t), 1) OVER w AS n1
+  FROM tok WINDOW w AS (PARTITION BY Episode, SentenceIndex ORDER BY pos)),
+lexv AS {LEXV},
+boostv AS {BOOSTV},
+negv AS {NEGV},
+modw AS (
+  SELECT token FROM boostv UNION SELECT token FROM negv UNION SELECT 'least' UNION SELECT 'never'
+  UNION SELECT token FROM lexv WHERE contains(token, 'n''t')),
+mods AS (
+  SELECT w.token, b.delta AS m_boost, (n.token IS NOT NULL) AS m_neg, (l.token IS NOT NULL) AS m_inlex
+  FROM modw w LEFT JOIN boostv b ON w.token = b.token LEFT JOIN negv n ON w.token = n.token
+       LEFT JOIN lexv l ON w.token = l.token),
+lk AS (
+  SELECT c.*, s.capdiff, s.but_pos,
+         (m0.token IS NOT NULL) AS is_mod, m0.m_boost AS b0,
+         m1.m_boost AS b1, m1.m_neg AS g1, m1.m_inlex AS l1,
+         m2.m_boost AS b2, m2.m_neg AS g2, m2.m_inlex AS l2,
+         m3.m_boost AS b3, m3.m_neg AS g3, m3.m_inlex AS l3,
+         lx.valence AS val
+  FROM ctx c JOIN sent s ON c.Episode = s.Episode AND c.SentenceIndex = s.SentenceIndex
+       LEFT JOIN mods m0 ON c.tl = m0.token LEFT JOIN mods m1 ON c.p1 = m1.token
+       LEFT JOIN mods m2 ON c.p2 = m2.token LEFT JOIN mods m3 ON c.p3 = m3.token
+       LEFT JOIN lexv lx ON c.tl = lx.token),
+lv AS (
+  SELECT *, coalesce(val, CASE WHEN NOT is_mod AND regexp_full_match(tl, '[a-z]{{3,}}')
+                               THEN ((ascii(tl) + length(tl)) % 9 - 4) * 0.5::DOUBLE END) AS valence,
+         (b0 IS NOT NULL OR (tl = 'kind' AND n1 IS NOT DISTINCT FROM 'of')) AS skip
+  FROM lk),
+lv0 AS (
+  SELECT *, (valence IS NOT NULL AND NOT skip) AS in_lex,
+         CASE WHEN skip OR valence IS NULL THEN 0.0::DOUBLE ELSE valence END AS v0
+  FROM lv),
+lcaps AS (
+  SELECT *, CASE WHEN in_lex AND capdiff AND {sql_upper('t')}
+                 THEN (CASE WHEN v0 > 0 THEN v0 + {CAPS_INCREMENT} ELSE v0 - {CAPS_INCREMENT} END)
+                 ELSE v0 END AS v_caps
+  FROM lv0),
+c1 AS (SELECT *, {boost('v_caps', 1, d1)} AS a1 FROM lcaps),
+c2 AS (SELECT *, {negate('a1', 1)} AS a2 FROM c1),
+c3 AS (SELECT *, {boost('a2', 2, d2)} AS a3 FROM c2),
+c4 AS (SELECT *, {negate('a3', 2)} AS a4 FROM c3),
+c5 AS (SELECT *, {boost('a4', 3, d3)} AS a5 FROM c4),
+c6 AS (SELECT *, {negate('a5', 3)} AS a6 FROM c5),
+c7 AS (
+  SELECT *, CASE WHEN NOT in_lex THEN v_caps
+                 WHEN {gate(1)} AND p1 = 'least' AND NOT coalesce(p2 IN ('at', 'very'), false) THEN a6 * {ns}
+                 ELSE a6 END AS v_mod
+  FROM c6),
+chain AS MATERIALIZED (
+  SELECT *, CASE WHEN but_pos > 0 AND pos < but_pos - 1 THEN 0.5::DOUBLE
+                 WHEN but_pos > 0 AND pos > but_pos - 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS factor,
+         v_mod * (CASE WHEN but_pos > 0 AND pos < but_pos - 1 THEN 0.5::DOUBLE
+                       WHEN but_pos > 0 AND pos > but_pos - 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) AS v
+  FROM c7),
+bonly AS (
+  SELECT *, CASE WHEN in_lex THEN {boost(boost(boost('v_caps', 1, d1), 2, d2), 3, d3)} ELSE v_caps END AS v_boost
+  FROM lcaps),
+nonly AS (
+  SELECT *, CASE WHEN in_lex THEN {negate(negate(negate('v_caps', 1), 2), 3)} ELSE v_caps END AS v_negate
+  FROM lcaps),
+sagg AS (
+  SELECT Episode, SentenceIndex, sum(v) AS s,
+         sum(CASE WHEN v > 0 THEN v + 1.0 ELSE 0.0 END) AS ps,
+         sum(CASE WHEN v < 0 THEN v - 1.0 ELSE 0.0 END) AS ns,
+         count(*) FILTER (WHERE v > 0) AS np, count(*) FILTER (WHERE v < 0) AS nn
+  FROM chain GROUP BY Episode, SentenceIndex),
+sfin AS (
+  SELECT t.*, (t.n - t.np - t.nn)::DOUBLE AS neu,
+         CASE WHEN t.s > 0 THEN t.s + t.emph WHEN t.s < 0 THEN t.s - t.emph ELSE t.s END AS s2,
+         CASE WHEN t.ps > abs(t.ns) THEN t.ps + t.emph ELSE t.ps END AS ps2,
+         CASE WHEN t.ps < abs(t.ns) THEN t.ns - t.emph ELSE t.ns END AS ns2
+  FROM (SELECT s.Episode, s.SentenceIndex, s.n, s.emph, coalesce(a.s, 0.0) AS s,
+               coalesce(a.ps, 0.0) AS ps, coalesce(a.ns, 0.0) AS ns,
+               coalesce(a.np, 0) AS np, coalesce(a.nn, 0) AS nn
+        FROM sent s LEFT JOIN sagg a ON s.Episode = a.Episode AND s.SentenceIndex = a.SentenceIndex) t),
+lexs AS (
+  SELECT Episode, SentenceIndex,
+         CASE WHEN n > 0 THEN round(abs(ns2 / (ps2 + abs(ns2) + neu)), 3) ELSE 0.0 END AS lex_neg,
+         CASE WHEN n > 0 THEN round(abs(neu / (ps2 + abs(ns2) + neu)), 3) ELSE 0.0 END AS lex_neu,
+         CASE WHEN n > 0 THEN round(abs(ps2 / (ps2 + abs(ns2) + neu)), 3) ELSE 0.0 END AS lex_pos,
+         CASE WHEN n > 0 THEN round(greatest(-1.0, least(1.0, s2 / sqrt(s2 * s2 + 15.0))), 4) ELSE 0.0 END
+           AS lex_compound
+  FROM sfin)"""
+
+
+MODEL = """
+mw AS (SELECT Episode, SentenceIndex, regexp_extract_all(CleanText, '[A-Za-z0-9_]+') AS ws FROM prep),
+ml AS (SELECT Episode, SentenceIndex, {l0} AS logit_neg, {l1} AS logit_neu, {l2} AS logit_pos FROM mw),
+mp AS (
+  SELECT Episode, SentenceIndex, logit_neg, logit_neu, logit_pos,
+         exp(logit_neg - greatest(logit_neg, logit_neu, logit_pos)) AS e0,
+         exp(logit_neu - greatest(logit_neg, logit_neu, logit_pos)) AS e1,
+         exp(logit_pos - greatest(logit_neg, logit_neu, logit_pos)) AS e2
+  FROM ml),
+model AS (
+  SELECT Episode, SentenceIndex, logit_neg, logit_neu, logit_pos,
+         e0 / (e0 + e1 + e2) AS model_neg, e1 / (e0 + e1 + e2) AS model_neu, e2 / (e0 + e1 + e2) AS model_pos
+  FROM mp)""".format(l0=sql_linear_logit("ws", 3), l1=sql_linear_logit("ws", 4),
+                     l2=sql_linear_logit("ws", 5))
+
+
+def sql_label(pos: str, neu: str, neg: str) -> str:
+    return (f"CASE WHEN {pos} >= {neu} AND {pos} >= {neg} THEN 'Positive' "
+            f"WHEN {neu} >= {neg} THEN 'Neutral' ELSE 'Negative' END")
+
+
+SCORED = f"""{PREP},{lex_ctes()},{MODEL},
+scored AS (
+  SELECT p.Episode, p.SentenceIndex, p.CharacterCode, p.Character,
+         l.lex_neg, l.lex_neu, l.lex_pos, l.lex_compound,
+         m.model_neg, m.model_neu, m.model_pos,
+         {sql_label('l.lex_pos', 'l.lex_neu', 'l.lex_neg')} AS lex_label,
+         {sql_label('m.model_pos', 'm.model_neu', 'm.model_neg')} AS model_label
+  FROM prep p JOIN lexs l ON p.Episode = l.Episode AND p.SentenceIndex = l.SentenceIndex
+       JOIN model m ON p.Episode = m.Episode AND p.SentenceIndex = m.SentenceIndex)"""
+
+R6 = "round({0}, 6) AS {1}"
+
+q("model_logits", f"""WITH {PREP},{MODEL}
+SELECT Episode, SentenceIndex, round(logit_neg, 6) AS logit_neg, round(logit_neu, 6) AS logit_neu,
+       round(logit_pos, 6) AS logit_pos FROM model""")
+
+q("softmax_scores", f"""WITH {PREP},{MODEL}
+SELECT Episode, SentenceIndex, round(model_neg, 6) AS model_neg, round(model_neu, 6) AS model_neu,
+       round(model_pos, 6) AS model_pos FROM model""")
+
+q("model_rejects", f"""WITH {PREP}
+SELECT Episode, SentenceIndex, CAST(length(CleanText) AS INTEGER) AS n_chars,
+       CASE WHEN CleanText IS NULL THEN 'null text' ELSE 'text too long' END AS reason
+FROM prep WHERE CleanText IS NULL OR length(CleanText) > 2000""")
+
+q("lex_valence", f"""WITH {PREP},{lex_ctes()}
+SELECT Episode, SentenceIndex, pos, tl, round(v0, 6) AS valence FROM lv0 WHERE in_lex""")
+
+q("lex_boost", f"""WITH {PREP},{lex_ctes()}
+SELECT Episode, SentenceIndex, pos, tl, round(v_boost, 6) AS v_boost FROM bonly WHERE in_lex""")
+
+q("lex_negate", f"""WITH {PREP},{lex_ctes()}
+SELECT Episode, SentenceIndex, pos, tl, round(v_negate, 6) AS v_negate FROM nonly WHERE in_lex""")
+
+q("lex_contrast", f"""WITH {PREP},{lex_ctes()}
+SELECT Episode, SentenceIndex, pos, tl, factor, round(v_mod, 6) AS v_mod, round(v, 6) AS v
+FROM chain WHERE in_lex""")
+
+q("lex_punct", f"""WITH {PREP},{lex_ctes()}
+SELECT Episode, SentenceIndex, round(emph, 6) AS emphasis FROM sent""")
+
+q("lex_caps", f"""WITH {UTT},{lex_ctes('utt', 'Text')}
+SELECT Episode, SentenceIndex, pos, t, capdiff AS cap_diff, round(v0, 6) AS v0, round(v_caps, 6) AS v_caps
+FROM lcaps WHERE in_lex""")
+
+q("lex_compound", f"WITH {SCORED} SELECT Episode, SentenceIndex, lex_compound FROM scored")
+
+q("lexicon_scores", f"""WITH {PREP},{lex_ctes()}
+SELECT Episode, SentenceIndex, lex_neg, lex_neu, lex_pos, lex_compound FROM lexs""")
+
+q("major_sentiment", f"WITH {SCORED} SELECT Episode, SentenceIndex, lex_label, model_label FROM scored")
+
+SC = ["lex_neg", "lex_neu", "lex_pos", "lex_compound", "model_neg", "model_neu", "model_pos"]
+
+q("scored_table", f"""WITH {SCORED}
+SELECT Episode, SentenceIndex, CharacterCode, Character, {', '.join(R6.format(c, c) for c in SC)},
+       lex_label, model_label FROM scored""")
+
+q("filter_sentiment", f"""WITH {SCORED}
+SELECT Episode, SentenceIndex, Character, round(model_neg, 6) AS model_neg FROM scored
+WHERE model_label = 'Negative'""")
+
+q("filter_character", f"""WITH {SCORED}
+SELECT Episode, SentenceIndex, lex_label, model_label FROM scored WHERE Character = 'Mara Quill'""")
+
+# ---------------------------------------------------------------- statistics
+
+LAB = (("Positive", "pos"), ("Neutral", "neu"), ("Negative", "neg"))
+SCR = ("lex", "model")
+
+q("sentiment_totals", f"""WITH {SCORED}
+SELECT Episode, {', '.join(f"count(*) FILTER (WHERE {s}_label = '{lab}') AS {s}_total_{sh}" for s in SCR for lab, sh in LAB)},
+       count(*) AS total_count
+FROM scored GROUP BY Episode""")
+
+q("sentiment_share", f"""WITH {SCORED}
+SELECT Episode, {', '.join(f"round(count(*) FILTER (WHERE {s}_label = '{lab}') / count(*), 6) AS {s}_share_{sh}" for s in SCR for lab, sh in LAB)},
+       count(*) AS total_count
+FROM scored GROUP BY Episode""")
+
+q("modal_sentiment", f"""WITH {SCORED},
+lc AS (SELECT Episode, 'lex' AS s, lex_label AS label, count(*) AS n, min(SentenceIndex) AS f
+       FROM scored GROUP BY Episode, lex_label
+       UNION ALL
+       SELECT Episode, 'model', model_label, count(*), min(SentenceIndex)
+       FROM scored GROUP BY Episode, model_label),
+rk AS (SELECT *, row_number() OVER (PARTITION BY Episode, s ORDER BY n DESC, f ASC) AS r FROM lc)
+SELECT Episode, max(label) FILTER (WHERE s = 'lex') AS lex_mode, max(label) FILTER (WHERE s = 'model') AS model_mode
+FROM rk WHERE r = 1 GROUP BY Episode""")
+
+CHAR_ORDER = values([(str(i), n) for i, (_, n) in enumerate(CHARACTERS)], ["char_order", "Character"],
+                    ["INTEGER", "VARCHAR"])
+
+q("character_counts", f"""WITH {SCORED},
+c AS (SELECT Episode, Character, count(*) AS n FROM scored GROUP BY Episode, Character),
+g AS (SELECT e.Episode, d.char_order, d.Character FROM (SELECT DISTINCT Episode FROM c) e CROSS JOIN {CHAR_ORDER} d)
+SELECT g.Episode, g.char_order, g.Character, coalesce(c.n, 0) AS total_count
+FROM g LEFT JOIN c ON g.Episode = c.Episode AND g.Character = c.Character""")
+
+
+def sql_stats(measures) -> str:
+    fn = {"avg": "avg({x})", "median": "median({x})", "std": "stddev_samp({x})", "count": "count({x})"}
+    sel, outer = [], []
+    for s in SCR:
+        for m in measures:
+            for lab, sh in LAB:
+                x = f"CASE WHEN {s}_label = '{lab}' THEN {s}_{sh} END"
+                name = f"{s}_{m}_{sh}"
+                sel.append(f"{fn[m].format(x=x)} AS {name}")
+                if m == "count":
+                    outer.append(f"coalesce(st.{name}, 0) AS {name}")
+                else:
+                    outer.append(f"round(st.{name}, 6) AS {name}")
+    return f"""WITH {SCORED},
+st AS (SELECT Episode, Character, {', '.join(sel)}, count(*) AS total_count
+       FROM scored GROUP BY Episode, Character),
+g AS (SELECT e.Episode, d.char_order, d.Character FROM (SELECT DISTINCT Episode FROM st) e CROSS JOIN {CHAR_ORDER} d)
+SELECT g.Episode, g.char_order, g.Character, {', '.join(outer)}, coalesce(st.total_count, 0) AS total_count
+FROM g LEFT JOIN st ON g.Episode = st.Episode AND g.Character = st.Character"""
+
+
+q("stat_count", sql_stats(("count",)))
+q("stat_median", sql_stats(("median",)))
+q("stat_mean", sql_stats(("avg",)))
+q("stat_std", sql_stats(("std",)))
+q("character_statistics", sql_stats(("avg", "median", "std", "count")))
+
+_ALL_MEASURES = [f"{s}_{m}_{sh}" for s in SCR for m in ("avg", "median", "std", "count") for _, sh in LAB]
+
+q("statistics_long", f"""WITH stats AS ({sql_stats(("avg", "median", "std", "count"))})
+SELECT Episode, char_order, Character, measure, round(value, 6) AS value FROM (
+  UNPIVOT INCLUDE NULLS (SELECT Episode, char_order, Character,
+                  {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ALL_MEASURES + ['total_count'])}
+           FROM stats)
+  ON {', '.join(_ALL_MEASURES + ['total_count'])} INTO NAME measure VALUE value)""")
+
+
+def _describe_part(c: str) -> str:
+    return (f"SELECT Episode, '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, "
+            f"round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, "
+            f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
+            f"round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max "
+            f"FROM scored GROUP BY Episode")
+
+
+q("describe_scores", f"""WITH {SCORED}
+{' UNION ALL '.join(_describe_part(c) for c in SC)}""")
+
+q("row_counts", f"""WITH {SCORED}
+SELECT Episode, count(*) AS n_rows, 13 AS n_columns FROM scored GROUP BY Episode""")
+
+q("duplicate_keys", f"""WITH {UTT}
+SELECT Episode, SentenceIndex, count(*) AS n FROM utt GROUP BY Episode, SentenceIndex HAVING count(*) > 1""")

@@ -138,3 +138,186 @@ def q_distinct_characters(spark, sf_dir):
     from tonality.operators.stats import distinct_characters
     u = C.cast_character(C.fill_character(Inputs(spark, sf_dir).utterances()))
     return distinct_characters(u)
+
+
+# ------------------------------------------------------------------- scorers
+
+from tonality.operators import lexicon as L  # noqa: E402
+from tonality.operators import model as M  # noqa: E402
+from tonality.operators import stats as S  # noqa: E402
+from tonality.plans import pipeline as P  # noqa: E402
+
+KEYS = ["Episode", "SentenceIndex"]
+
+
+def _r(df: DataFrame, cols, d: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), d) for c in cols})
+
+
+@query("model_logits")
+def q_model_logits(spark, sf_dir):
+    """Pluggable batch scorer through mapInPandas (fixture linear scorer in pandas)."""
+    p = Inputs(spark, sf_dir).prepared()
+    out = M.score_with_pandas(p, M.linear_fixture_scorer, "CleanText", passthrough=KEYS)
+    return _r(out.drop("model_error"), M.LOGIT_COLS)
+
+
+@query("softmax_scores")
+def q_softmax_scores(spark, sf_dir):
+    p = Inputs(spark, sf_dir).prepared()
+    return _r(M.linear_scores(p.select(*KEYS, "CleanText")).drop("CleanText"), M.SCORE_COLS)
+
+
+@query("model_rejects")
+def q_model_rejects(spark, sf_dir):
+    p = Inputs(spark, sf_dir).prepared()
+    _, rejects = M.model_rejects(p, "CleanText", max_chars=2000)
+    return rejects
+
+
+def _inputs_tokens(spark, sf_dir, text="CleanText"):
+    inp = Inputs(spark, sf_dir)
+    src = inp.prepared()
+    return L.lexicon_tokens(src, inp.lexicon(), inp.boosters(), inp.negators(), text, KEYS,
+                            rule=L.generated_valence)
+
+
+@query("lex_valence")
+def q_lex_valence(spark, sf_dir):
+    ex = _inputs_tokens(spark, sf_dir)
+    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", F.col("v0").alias("valence")), ["valence"])
+
+
+@query("lex_boost")
+def q_lex_boost(spark, sf_dir):
+    ex = L.apply_boosters_only(_inputs_tokens(spark, sf_dir))
+    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", "v_boost"), ["v_boost"])
+
+
+@query("lex_negate")
+def q_lex_negate(spark, sf_dir):
+    ex = L.apply_negation_only(_inputs_tokens(spark, sf_dir))
+    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", "v_negate"), ["v_negate"])
+
+
+@query("lex_contrast")
+def q_lex_contrast(spark, sf_dir):
+    ex = _inputs_tokens(spark, sf_dir)
+    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", L.contrast_factor().alias("factor"),
+                                        "v_mod", "v"), ["v_mod", "v"])
+
+
+@query("lex_punct")
+def q_lex_punct(spark, sf_dir):
+    p = Inputs(spark, sf_dir).prepared()
+    return _r(p.select(*KEYS, L.punctuation_emphasis(F.col("CleanText")).alias("emphasis")),
+              ["emphasis"])
+
+
+@query("lex_caps")
+def q_lex_caps(spark, sf_dir):
+    """Capital-letter emphasis, on the raw text (the cleaned text is lower case)."""
+    inp = Inputs(spark, sf_dir)
+    u = inp.utterances()
+    ex = L.lexicon_tokens(u, inp.lexicon(), inp.boosters(), inp.negators(), "Text", KEYS,
+                          rule=L.generated_valence)
+    return _r(ex.where("in_lex").select(*KEYS, "pos", "t", "_capdiff", "v0", "v_caps"),
+              ["v0", "v_caps"]).withColumnRenamed("_capdiff", "cap_diff")
+
+
+@query("lex_compound")
+def q_lex_compound(spark, sf_dir):
+    return Inputs(spark, sf_dir).scored().select(*KEYS, "lex_compound")
+
+
+@query("lexicon_scores")
+def q_lexicon_scores(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    return L.lexicon_scores(inp.prepared(), inp.lexicon(), inp.boosters(), inp.negators(),
+                            rule=L.generated_valence)
+
+
+@query("major_sentiment")
+def q_major_sentiment(spark, sf_dir):
+    return Inputs(spark, sf_dir).scored().select(*KEYS, "lex_label", "model_label")
+
+
+SCORED_COLS = ["lex_neg", "lex_neu", "lex_pos", "lex_compound", "model_neg", "model_neu", "model_pos"]
+
+
+@query("scored_table")
+def q_scored_table(spark, sf_dir):
+    return _r(Inputs(spark, sf_dir).scored(), SCORED_COLS)
+
+
+@query("filter_sentiment")
+def q_filter_sentiment(spark, sf_dir):
+    s = Inputs(spark, sf_dir).scored()
+    return _r(s.where(F.col("model_label") == "Negative").select(*KEYS, "Character", "model_neg"),
+              ["model_neg"])
+
+
+@query("filter_character")
+def q_filter_character(spark, sf_dir):
+    s = Inputs(spark, sf_dir).scored()
+    return s.where(F.col("Character") == "Mara Quill").select(*KEYS, "lex_label", "model_label")
+
+
+# ---------------------------------------------------------------- statistics
+
+@query("sentiment_totals")
+def q_sentiment_totals(spark, sf_dir):
+    return S.sentiment_totals(Inputs(spark, sf_dir).scored())
+
+
+@query("sentiment_share")
+def q_sentiment_share(spark, sf_dir):
+    out = S.sentiment_share(Inputs(spark, sf_dir).scored())
+    return _r(out, [c for c in out.columns if "_share_" in c])
+
+
+@query("modal_sentiment")
+def q_modal_sentiment(spark, sf_dir):
+    return S.modal_sentiment(Inputs(spark, sf_dir).scored())
+
+
+@query("character_counts")
+def q_character_counts(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    return S.character_counts(inp.scored(), inp.characters())
+
+
+def _stats(spark, sf_dir, measures):
+    inp = Inputs(spark, sf_dir)
+    out = S.character_statistics(inp.scored(), inp.characters(), measures=measures)
+    return _r(out, [c for c in out.columns if any(f"_{m}_" in c for m in ("avg", "median", "std"))])
+
+
+QUERIES["stat_count"] = lambda spark, sf_dir: _stats(spark, sf_dir, ("count",))
+QUERIES["stat_median"] = lambda spark, sf_dir: _stats(spark, sf_dir, ("median",))
+QUERIES["stat_mean"] = lambda spark, sf_dir: _stats(spark, sf_dir, ("avg",))
+QUERIES["stat_std"] = lambda spark, sf_dir: _stats(spark, sf_dir, ("std",))
+QUERIES["character_statistics"] = lambda spark, sf_dir: _stats(spark, sf_dir, S.MEASURES)
+
+
+@query("statistics_long")
+def q_statistics_long(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    st = S.character_statistics(inp.scored(), inp.characters())
+    return _r(S.statistics_long(st), ["value"])
+
+
+@query("describe_scores")
+def q_describe_scores(spark, sf_dir):
+    out = S.describe_scores(Inputs(spark, sf_dir).scored(), SCORED_COLS)
+    return _r(out, ["mean", "std", "min", "q25", "q50", "q75", "max"])
+
+
+@query("row_counts")
+def q_row_counts(spark, sf_dir):
+    return S.row_counts(Inputs(spark, sf_dir).scored())
+
+
+@query("duplicate_keys")
+def q_duplicate_keys(spark, sf_dir):
+    return S.duplicate_keys(Inputs(spark, sf_dir).utterances())

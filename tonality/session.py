@@ -89,3 +89,16 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def local_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """A table whose row count is proven small, rebuilt as an in-memory relation.
+
+    Lets one small derived table (e.g. built from several tiny joins) feed many
+    broadcast joins without recomputing its plan for each.  Returns
+    ``(table, is_small)``; above the bound the table is returned unchanged.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True

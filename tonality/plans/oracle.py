@@ -492,12 +492,12 @@ q("character_statistics", sql_stats(("avg", "median", "std", "count")))
 
 _ALL_MEASURES = [f"{s}_{m}_{sh}" for s in SCR for m in ("avg", "median", "std", "count") for _, sh in LAB]
 
-q("statistics_long", f"""WITH stats AS ({sql_stats(("avg", "median", "std", "count"))})
-SELECT Episode, char_order, Character, measure, round(value, 6) AS value FROM (
-  UNPIVOT INCLUDE NULLS (SELECT Episode, char_order, Character,
-                  {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ALL_MEASURES + ['total_count'])}
-           FROM stats)
-  ON {', '.join(_ALL_MEASURES + ['total_count'])} INTO NAME measure VALUE value)""")
+q("statistics_long", f"""WITH stats AS ({sql_stats(("avg", "median", "std", "count"))}),
+wide AS (SELECT Episode, char_order, Character,
+                {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ALL_MEASURES + ['total_count'])}
+         FROM stats)
+SELECT Episode, char_order, Character, measure, round(value, 6) AS value
+FROM wide UNPIVOT INCLUDE NULLS (value FOR measure IN ({', '.join(_ALL_MEASURES + ['total_count'])}))""")
 
 
 def _describe_part(c: str) -> str:

@@ -229,16 +229,24 @@ def apply_contrast(ex: DataFrame, src: str = "v_mod") -> DataFrame:
 
 
 def aggregate_sentences(ex: DataFrame, keys: Sequence[str] = KEYS, keep: Sequence[str] = (),
-                        neutral_when_empty: bool = False) -> DataFrame:
+                        neutral_when_empty: bool = False, carry_max: Sequence[str] = ()) -> DataFrame:
+    """Sum the item valences per sentence.
+
+    ``keep`` columns are constant per sentence, so they join the grouping keys:
+    a hash partitioning on ``keys`` alone still satisfies the grouping, and the
+    aggregate stays a hash aggregate (no sort of the item rows).  ``carry_max``
+    columns (numeric, constant per sentence) ride along as ``max``: a filter on
+    them is not pushed below the aggregate.
+    """
     v = F.coalesce(F.col("v"), F.lit(0.0))
-    agg = ex.groupBy(*keys).agg(
-        *[F.any_value(c).alias(c) for c in keep],
+    agg = ex.groupBy(*keys, *keep).agg(
+        *[F.max(c).alias(c) for c in carry_max],
         F.max("_n").alias("_n"), F.max("_emph").alias("_emph"),
         F.sum(v).alias("_s"),
         F.sum(F.when(v > 0, v + 1.0).otherwise(0.0)).alias("_ps"),
         F.sum(F.when(v < 0, v - 1.0).otherwise(0.0)).alias("_ns"),
         F.count_if(v > 0).alias("_np"), F.count_if(v < 0).alias("_nn"))
-    return finish_scores(agg, keys, keep, neutral_when_empty)
+    return finish_scores(agg, keys, [*keep, *carry_max], neutral_when_empty)
 
 
 def finish_scores(agg: DataFrame, keys: Sequence[str], keep: Sequence[str],
@@ -264,6 +272,7 @@ def finish_scores(agg: DataFrame, keys: Sequence[str], keep: Sequence[str],
 def lexicon_tokens(df: DataFrame, lexicon: DataFrame | None, boosters: DataFrame,
                    negators: DataFrame, text_col: str = "CleanText", keys: Sequence[str] = KEYS,
                    keep: Sequence[str] = (), rule: Rule | None = None) -> DataFrame:
+    keep = list(keep)
     """Per-item frame through the whole rule chain (columns v0, v_caps, v_mod, v)."""
     sent = sentence_frame(df, text_col, keys, keep)
     mods = modifier_table(lexicon, boosters, negators)
@@ -274,11 +283,11 @@ def lexicon_tokens(df: DataFrame, lexicon: DataFrame | None, boosters: DataFrame
 def lexicon_scores(df: DataFrame, lexicon: DataFrame | None, boosters: DataFrame,
                    negators: DataFrame, text_col: str = "CleanText", keys: Sequence[str] = KEYS,
                    keep: Sequence[str] = (), rule: Rule | None = None,
-                   neutral_when_empty: bool = False) -> DataFrame:
+                   neutral_when_empty: bool = False, carry_max: Sequence[str] = ()) -> DataFrame:
     """``keys + keep + (lex_neg, lex_neu, lex_pos, lex_compound)``, one row per sentence.
 
     ``keep`` columns must be constant per sentence and small (they ride along
     through the per-sentence aggregate instead of being joined back).
     """
-    ex = lexicon_tokens(df, lexicon, boosters, negators, text_col, keys, keep, rule)
-    return aggregate_sentences(ex, keys, keep, neutral_when_empty)
+    ex = lexicon_tokens(df, lexicon, boosters, negators, text_col, keys, [*keep, *carry_max], rule)
+    return aggregate_sentences(ex, keys, keep, neutral_when_empty, carry_max)

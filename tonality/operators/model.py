@@ -55,13 +55,24 @@ def linear_logits(text: Column | str) -> list[Column]:
     return out
 
 
-def model_rejects(df: DataFrame, text_col: str = "CleanText", max_chars: int | None = None,
-                  keys: Sequence[str] = ("Episode", "SentenceIndex")) -> tuple[DataFrame, DataFrame]:
-    """Split rows into (scorable, rejects(keys, reason))."""
-    reason = F.when(F.col(text_col).isNull(), F.lit("null text"))
+def reject_reason(text_col: str = "CleanText", max_chars: int | None = None,
+                  null_col: str | None = None) -> Column:
+    """Why a row must not reach the model (NULL = scorable).
+
+    ``null_col`` is the raw text column: testing it instead of the cleaned text
+    lets the NULL test reach the scan without re-evaluating the cleaning.
+    """
+    reason = F.when(F.col(null_col or text_col).isNull(), F.lit("null text"))
     if max_chars is not None:
         reason = reason.when(F.length(text_col) > max_chars, F.lit("text too long"))
-    tagged = df.withColumn("_reject", reason)
+    return reason
+
+
+def model_rejects(df: DataFrame, text_col: str = "CleanText", max_chars: int | None = None,
+                  keys: Sequence[str] = ("Episode", "SentenceIndex"),
+                  null_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split rows into (scorable, rejects(keys, n_chars, reason))."""
+    tagged = df.withColumn("_reject", reject_reason(text_col, max_chars, null_col))
     ok = tagged.where(F.col("_reject").isNull()).drop("_reject")
     rejects = tagged.where(F.col("_reject").isNotNull()).select(
         *keys, F.length(text_col).alias("n_chars"), F.col("_reject").alias("reason"))

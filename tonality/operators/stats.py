@@ -63,26 +63,46 @@ def modal_sentiment(scored: DataFrame, by: Sequence[str] = ("Episode",),
     return outs[0].join(outs[1], list(by), "full")
 
 
-def _grid(stats: DataFrame, characters: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Every (group, character) pair: each group row expanded by the (bounded) dimension."""
+def _dimension_names(characters: DataFrame) -> list[str]:
     from tonality.session import row_count_at_most
     if row_count_at_most(characters, 10_000) is None:
         raise ValueError("character dimension too large to expand per group")
-    names = [r["name"] for r in characters.select("name").collect()]
-    arr = F.array(*[F.struct(F.lit(i).alias("char_order"), F.lit(n).alias("Character"))
+    return [r["name"] for r in characters.select("name").collect()]
+
+
+def fill_characters(stats: DataFrame, characters: DataFrame, by: Sequence[str],
+                    zero_cols: Sequence[str] = ()) -> DataFrame:
+    """Expand per-(group, character) rows to every character of the dimension, in
+    dimension order (``char_order``); missing characters get 0 in ``zero_cols``
+    and NULL elsewhere.
+
+    One pass, no self-join: each group's rows (at most one per character, so
+    bounded by the dimension) are gathered and matched against the dimension
+    array inside the row.
+    """
+    names = _dimension_names(characters)
+    vals = [c for c in stats.columns if c not in (*by, "Character")]
+    per_group = stats.groupBy(*by).agg(
+        F.collect_list(F.struct("Character", *vals)).alias("_rows"))
+    dim = F.array(*[F.struct(F.lit(i).alias("char_order"), F.lit(n).alias("Character"))
                     for i, n in enumerate(names)])
-    groups = stats.select(*by).distinct()
-    return groups.select(*by, F.inline(arr))
+
+    def pick(d):
+        hit = F.get(F.filter("_rows", lambda r: r["Character"] == d["Character"]), 0)
+        return F.struct(d["char_order"].alias("char_order"), d["Character"].alias("Character"),
+                        *[hit[c].alias(c) for c in vals])
+
+    out = per_group.select(*by, F.inline(F.transform(dim, pick)))
+    return out.select(*by, "char_order", "Character",
+                      *[F.coalesce(c, F.lit(0)).alias(c) if c in zero_cols else F.col(c)
+                        for c in vals])
 
 
 def character_counts(scored: DataFrame, characters: DataFrame,
                      by: Sequence[str] = ("Episode",)) -> DataFrame:
     """Sentences per character, 0 for characters without lines, in dimension order."""
     counts = scored.groupBy(*by, "Character").agg(F.count(F.lit(1)).alias("total_count"))
-    grid = _grid(counts, characters, by)
-    return (grid.join(counts, [*by, "Character"], "left")
-            .select(*by, "char_order", "Character",
-                    F.coalesce("total_count", F.lit(0)).alias("total_count")))
+    return fill_characters(counts, characters, by, zero_cols=["total_count"])
 
 
 MEASURES = ("avg", "median", "std", "count")
@@ -116,12 +136,8 @@ def character_statistics(scored: DataFrame, characters: DataFrame, by: Sequence[
     aggs = [_measure(s, m, short, approx_median).alias(f"{s}_{m}_{short}")
             for s in SCORERS for m in measures for _, short in LABEL_SHORT]
     stats = scored.groupBy(*by, "Character").agg(*aggs, F.count(F.lit(1)).alias("total_count"))
-    grid = _grid(stats, characters, by)
-    out = grid.join(stats, [*by, "Character"], "left")
     fill = [c for c in cols if "_count_" in c] + ["total_count"]
-    return out.select(*by, "char_order", "Character",
-                      *[F.coalesce(c, F.lit(0)).alias(c) if c in fill else F.col(c) for c in cols],
-                      F.coalesce("total_count", F.lit(0)).alias("total_count"))
+    return fill_characters(stats, characters, by, zero_cols=fill)
 
 
 def statistics_long(stats: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:

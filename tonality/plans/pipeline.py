@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tonality.functions.labels import major_sentiment
 from tonality.operators.lexicon import generated_valence, lexicon_scores
-from tonality.operators.model import SCORE_COLS, linear_scores, model_rejects, with_softmax, \
-    score_with_pandas, LOGIT_COLS
+from tonality.operators.model import (LOGIT_COLS, SCORE_COLS, linear_scores, reject_reason,
+                                     score_with_pandas, with_softmax)
 
 KEYS = ("Episode", "SentenceIndex")
 
@@ -41,26 +41,42 @@ def with_labels(df: DataFrame) -> DataFrame:
     })
 
 
-def model_scored(prepared: DataFrame, sc: Scoring) -> tuple[DataFrame, DataFrame]:
-    """(rows with model scores, rejects)."""
+def model_scored(prepared: DataFrame, sc: Scoring) -> DataFrame:
+    """Rows with model scores, ``_reject`` (NULL = scored; else the reason) and
+    ``_rcode`` (0 = scored, 1 = NULL text, 2 = too long, 3 = model error)."""
     cols = [*KEYS, *sc.keep, "CleanText"]
-    ok, rejects = model_rejects(prepared.select(*cols), "CleanText", sc.max_chars)
+    base = prepared.select(*cols, reject_reason("CleanText", sc.max_chars, "Text").alias("_reject"))
     if sc.model_factory is None:
-        return linear_scores(ok), rejects
-    out = score_with_pandas(ok, sc.model_factory, "CleanText", passthrough=[*KEYS, *sc.keep, "CleanText"])
-    failed = out.where(F.col("model_error").isNotNull()).select(
-        *KEYS, F.length("CleanText").alias("n_chars"), F.col("model_error").alias("reason"))
-    good = with_softmax(out.where(F.col("model_error").isNull())).drop(*LOGIT_COLS, "model_error")
-    return good, rejects.unionByName(failed)
+        out = linear_scores(base)
+    else:
+        out = score_with_pandas(base, sc.model_factory, "CleanText",
+                                passthrough=[*KEYS, *sc.keep, "CleanText", "_reject"])
+        out = out.withColumn("_reject", F.coalesce("_reject", "model_error"))
+        out = with_softmax(out).drop(*LOGIT_COLS, "model_error")
+    code = (F.when(F.col("_reject").isNull(), 0).when(F.col("_reject") == "null text", 1)
+            .when(F.col("_reject") == "text too long", 2).otherwise(3))
+    return out.withColumn("_rcode", code)
 
 
 def scored_table(prepared: DataFrame, sc: Scoring) -> DataFrame:
-    """Keys, speaker, both scorers' scores and labels; one row per scored sentence."""
-    with_model, _ = model_scored(prepared, sc)
+    """Keys, speaker, both scorers' scores and labels; one row per scored sentence.
+
+    Rejected rows (NULL text, too long, model error) are dropped after the
+    per-sentence aggregate, so the reject test never forces the cleaning to be
+    evaluated twice.
+    """
+    with_model = model_scored(prepared, sc)
     lex = lexicon_scores(with_model, sc.lexicon, sc.boosters, sc.negators, "CleanText", KEYS,
-                         keep=[*sc.keep, *SCORE_COLS], rule=sc.rule,
+                         keep=[*sc.keep], carry_max=[*SCORE_COLS, "_rcode"], rule=sc.rule,
                          neutral_when_empty=sc.neutral_when_empty)
-    return with_labels(lex)
+    return with_labels(lex.where(F.col("_rcode") == 0).drop("_rcode"))
+
+
+def rejects_table(prepared: DataFrame, sc: Scoring) -> DataFrame:
+    """Rows that get no model score, with the reason."""
+    scored = model_scored(prepared, sc)
+    return scored.where(F.col("_reject").isNotNull()).select(
+        *KEYS, F.length("CleanText").alias("n_chars"), F.col("_reject").alias("reason"))
 
 
 def full_table(prepared: DataFrame, scored: DataFrame) -> DataFrame:

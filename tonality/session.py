@@ -102,3 +102,25 @@ def local_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[D
     if len(rows) > max_rows:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
+def spread_input(df: DataFrame, keys: list[str] | tuple[str, ...],
+                 min_files_per_core: float = 1.0) -> DataFrame:
+    """Hash-partition a scan by ``keys`` when it has too few files to occupy the cluster.
+
+    Text work is CPU-bound per row: an input of a few large single-row-group
+    files would otherwise run in a few tasks.  The check uses only the file list
+    the driver already holds.  Partitioning by the sentence key also lets later
+    per-sentence aggregates reuse it (no second exchange).  Inputs with enough
+    files are returned unchanged: no shuffle of the raw text at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - non-file sources
+        return df
+    if n_files >= cores * min_files_per_core:
+        return df
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, cores), *keys)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.schema import UTTERANCE, require_columns
+from tonality.session import spread_input
 
 # Options that read back exactly what ``sources.sinks.write_csv`` writes
 # (quoted fields with commas / line breaks, empty string kept apart from NULL).
@@ -74,10 +75,13 @@ def bind_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
-def utterances_from_table(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+def utterances_from_table(spark: SparkSession, sf_dir: str, table: str = "documents",
+                          spread: bool = True) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if table == "documents":
-        return bind_documents(df)
-    if table == "conversations":
-        return bind_conversations(df)
-    raise ValueError(f"no utterance binding for table {table!r}")
+        out = bind_documents(df)
+    elif table == "conversations":
+        out = bind_conversations(df)
+    else:
+        raise ValueError(f"no utterance binding for table {table!r}")
+    return spread_input(out, ["Episode", "SentenceIndex"]) if spread else out

@@ -463,7 +463,7 @@ SELECT g.Episode, g.char_order, g.Character, coalesce(c.n, 0) AS total_count
 FROM g LEFT JOIN c ON g.Episode = c.Episode AND g.Character = c.Character""")
 
 
-def sql_stats(measures) -> str:
+def stats_ctes(measures) -> str:
     fn = {"avg": "avg({x})", "median": "median({x})", "std": "stddev_samp({x})", "count": "count({x})"}
     sel, outer = [], []
     for s in SCR:
@@ -476,12 +476,16 @@ def sql_stats(measures) -> str:
                     outer.append(f"coalesce(st.{name}, 0) AS {name}")
                 else:
                     outer.append(f"round(st.{name}, 6) AS {name}")
-    return f"""WITH {SCORED},
-st AS (SELECT Episode, Character, {', '.join(sel)}, count(*) AS total_count
+    return f"""st AS (SELECT Episode, Character, {', '.join(sel)}, count(*) AS total_count
        FROM scored GROUP BY Episode, Character),
-g AS (SELECT e.Episode, d.char_order, d.Character FROM (SELECT DISTINCT Episode FROM st) e CROSS JOIN {CHAR_ORDER} d)
-SELECT g.Episode, g.char_order, g.Character, {', '.join(outer)}, coalesce(st.total_count, 0) AS total_count
-FROM g LEFT JOIN st ON g.Episode = st.Episode AND g.Character = st.Character"""
+g AS (SELECT e.Episode, d.char_order, d.Character FROM (SELECT DISTINCT Episode FROM st) e CROSS JOIN {CHAR_ORDER} d),
+stats AS (
+  SELECT g.Episode, g.char_order, g.Character, {', '.join(outer)}, coalesce(st.total_count, 0) AS total_count
+  FROM g LEFT JOIN st ON g.Episode = st.Episode AND g.Character = st.Character)"""
+
+
+def sql_stats(measures) -> str:
+    return f"WITH {SCORED},\n{stats_ctes(measures)}\nSELECT * FROM stats"
 
 
 q("stat_count", sql_stats(("count",)))
@@ -492,7 +496,8 @@ q("character_statistics", sql_stats(("avg", "median", "std", "count")))
 
 _ALL_MEASURES = [f"{s}_{m}_{sh}" for s in SCR for m in ("avg", "median", "std", "count") for _, sh in LAB]
 
-q("statistics_long", f"""WITH stats AS ({sql_stats(("avg", "median", "std", "count"))}),
+q("statistics_long", f"""WITH {SCORED},
+{stats_ctes(("avg", "median", "std", "count"))},
 wide AS (SELECT Episode, char_order, Character,
                 {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ALL_MEASURES + ['total_count'])}
          FROM stats)
@@ -516,3 +521,83 @@ SELECT Episode, count(*) AS n_rows, 13 AS n_columns FROM scored GROUP BY Episode
 
 q("duplicate_keys", f"""WITH {UTT}
 SELECT Episode, SentenceIndex, count(*) AS n FROM utt GROUP BY Episode, SentenceIndex HAVING count(*) > 1""")
+
+
+# -------------------------------------------------------------------- charts
+
+q("chart_share", f"""WITH {SCORED},
+c AS (SELECT Episode, count(*) AS total,
+             count(*) FILTER (WHERE model_label = 'Positive') AS p,
+             count(*) FILTER (WHERE model_label = 'Neutral') AS u,
+             count(*) FILTER (WHERE model_label = 'Negative') AS g
+      FROM scored GROUP BY Episode)
+SELECT Episode, 0 AS label_order, 'Positive' AS label, p AS n, round(p * 100.0 / total, 1) AS percent FROM c
+UNION ALL SELECT Episode, 1, 'Neutral', u, round(u * 100.0 / total, 1) FROM c
+UNION ALL SELECT Episode, 2, 'Negative', g, round(g * 100.0 / total, 1) FROM c""")
+
+q("chart_median_by_label", f"""WITH {SCORED}
+SELECT Episode, Character, model_label AS label,
+       round(median(CASE model_label WHEN 'Positive' THEN model_pos WHEN 'Neutral' THEN model_neu
+                    ELSE model_neg END), 6) AS median
+FROM scored GROUP BY Episode, Character, model_label""")
+
+
+def _bars(measure: str) -> str:
+    parts = [f"SELECT Episode, char_order, Character, 'model_{measure}_{sh}' AS series, "
+             f"round(model_{measure}_{sh}, 3) AS value FROM stats" for _, sh in LAB]
+    return f"WITH {SCORED},\n{stats_ctes((measure,))}\n" + " UNION ALL ".join(parts)
+
+
+q("chart_std", _bars("std"))
+q("chart_median", _bars("median"))
+
+# ------------------------------------------------------- document and sinks
+
+_DOC_KEYS = []
+for _s, _sk in (("lex", "vader"), ("model", "roBERTa")):
+    for _m, _mk in (("avg", "Average"), ("median", "Median"), ("std", "Std"), ("count", None)):
+        for _lab, _sh in LAB:
+            _DOC_KEYS.append((f"{_sk}{_lab}SentencesCount" if _mk is None else f"{_sk}{_mk}{_lab}",
+                              f"{_s}_{_m}_{_sh}"))
+_DOC_KEYS.append(("TotalSentencesCount", "total_count"))
+
+
+def _doc_value(col: str) -> str:
+    if "count" in col:
+        return f"CAST({col} AS VARCHAR)"
+    return f"coalesce(printf('%.6f', round({col}, 6)), 'nan')"
+
+
+q("statistics_document", f"""WITH {SCORED},
+{stats_ctes(("avg", "median", "std", "count"))},
+tot AS (SELECT Episode,
+               {', '.join(f"count(*) FILTER (WHERE {s}_label = '{lab}') AS {s}_total_{sh}" for s in SCR for lab, sh in LAB)}
+        FROM scored GROUP BY Episode),
+lc AS (SELECT Episode, 'lex' AS s, lex_label AS label, count(*) AS n, min(SentenceIndex) AS f
+       FROM scored GROUP BY Episode, lex_label
+       UNION ALL
+       SELECT Episode, 'model', model_label, count(*), min(SentenceIndex)
+       FROM scored GROUP BY Episode, model_label),
+rk AS (SELECT *, row_number() OVER (PARTITION BY Episode, s ORDER BY n DESC, f ASC) AS r FROM lc),
+modes AS (SELECT Episode, max(label) FILTER (WHERE s = 'lex') AS lex_mode,
+                 max(label) FILTER (WHERE s = 'model') AS model_mode FROM rk WHERE r = 1 GROUP BY Episode),
+ep AS (SELECT m.Episode, d.Description, d.Duration FROM modes m LEFT JOIN {EPISODE_DIM} d ON m.Episode = d.Episode)
+{' UNION ALL '.join(f"SELECT Episode, 'character' AS section, Character AS name, '{k}' AS key, {_doc_value(c)} AS value FROM stats" for k, c in _DOC_KEYS)}
+UNION ALL SELECT Episode, 'Details', NULL, 'Description', Description FROM ep
+UNION ALL SELECT Episode, 'Details', NULL, 'Duration', Duration FROM ep
+UNION ALL SELECT Episode, 'UsefulStatistics', NULL, 'roBERTaModalMajorSentiment', model_mode FROM modes
+UNION ALL SELECT Episode, 'UsefulStatistics', NULL, 'VADERModalMajorSentiment', lex_mode FROM modes
+{' '.join(f"UNION ALL SELECT Episode, 'UsefulStatistics', NULL, '{tk}Total{lab}Sentences', CAST({s}_total_{sh} AS VARCHAR) FROM tot" for s, tk in (("model", "roBERTa"), ("lex", "VADER")) for lab, sh in LAB)}""")
+
+FULL = f"""{SCORED},
+full_t AS (
+  SELECT s.Episode, s.SentenceIndex, s.CharacterCode, s.Character,
+         {', '.join(f'round(s.{c}, 6) AS {c}' for c in SC)}, s.lex_label, s.model_label,
+         p.Text, p.CleanText
+  FROM scored s JOIN prep p ON s.Episode = p.Episode AND s.SentenceIndex = p.SentenceIndex)"""
+
+q("sink_csv_roundtrip", f"WITH {FULL} SELECT * FROM full_t")
+q("sink_json_roundtrip", f"WITH {FULL} SELECT * FROM full_t")
+q("scan_csv", f"WITH {UTT} SELECT Episode, SentenceIndex, Character, Text FROM utt")
+q("scan_episodes", f"""WITH {UTT}
+SELECT Episode, SentenceIndex, Character, Text, 'Episode=' || Episode || '/' AS source_file FROM utt""")

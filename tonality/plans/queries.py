@@ -321,3 +321,103 @@ def q_row_counts(spark, sf_dir):
 @query("duplicate_keys")
 def q_duplicate_keys(spark, sf_dir):
     return S.duplicate_keys(Inputs(spark, sf_dir).utterances())
+
+
+# -------------------------------------------------------------------- charts
+
+from tonality.operators import charts as CH  # noqa: E402
+from tonality.operators import document as D  # noqa: E402
+
+
+@query("chart_share")
+def q_chart_share(spark, sf_dir):
+    return CH.chart_share(Inputs(spark, sf_dir).scored())
+
+
+@query("chart_median_by_label")
+def q_chart_median_by_label(spark, sf_dir):
+    return _r(CH.chart_median_by_label(Inputs(spark, sf_dir).scored()), ["median"])
+
+
+def _stats_full(inp: Inputs):
+    return S.character_statistics(inp.scored(), inp.characters())
+
+
+@query("chart_std")
+def q_chart_std(spark, sf_dir):
+    return CH.chart_std(_stats_full(Inputs(spark, sf_dir)))
+
+
+@query("chart_median")
+def q_chart_median(spark, sf_dir):
+    return CH.chart_median(_stats_full(Inputs(spark, sf_dir)))
+
+
+# ------------------------------------------------------- document and sinks
+
+def document_for(inp: Inputs) -> DataFrame:
+    scored = inp.scored()
+    return D.statistics_document(S.character_statistics(scored, inp.characters()),
+                                 S.sentiment_totals(scored), S.modal_sentiment(scored),
+                                 inp.episodes())
+
+
+@query("statistics_document")
+def q_statistics_document(spark, sf_dir):
+    return D.flatten_document(document_for(Inputs(spark, sf_dir)))
+
+
+def _full_rounded(inp: Inputs) -> DataFrame:
+    return _r(P.full_table(inp.prepared(), inp.scored()), SCORED_COLS)
+
+
+@query("sink_csv_roundtrip")
+def q_sink_csv_roundtrip(spark, sf_dir):
+    from tonality.session import scratch_path
+    from tonality.sources.sinks import write_csv
+    from tonality.sources.utterances import CSV_READ_OPTIONS
+    inp = Inputs(spark, sf_dir)
+    full = _full_rounded(inp)
+    path = scratch_path(spark, "full-csv")
+    write_csv(full, path)
+    schema = full.drop("Episode").schema
+    back = spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv(path)
+    return back.withColumn("Episode", F.col("Episode").cast("string"))
+
+
+@query("sink_json_roundtrip")
+def q_sink_json_roundtrip(spark, sf_dir):
+    from tonality.session import scratch_path
+    from tonality.sources.sinks import write_json
+    inp = Inputs(spark, sf_dir)
+    full = _full_rounded(inp)
+    path = scratch_path(spark, "full-json")
+    write_json(full, path)
+    back = spark.read.schema(full.drop("Episode").schema).json(path)
+    return back.withColumn("Episode", F.col("Episode").cast("string"))
+
+
+def _written_utterances(spark, sf_dir, name):
+    from tonality.session import scratch_path
+    from tonality.sources.sinks import write_csv
+    u = Inputs(spark, sf_dir).utterances()
+    path = scratch_path(spark, name)
+    write_csv(u, path)
+    return path
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf_dir):
+    """Utterance CSV files (one directory per episode) read back with the declared schema."""
+    from tonality.sources.utterances import read_utterances
+    return read_utterances(spark, _written_utterances(spark, sf_dir, "utt-csv"))
+
+
+@query("scan_episodes")
+def q_scan_episodes(spark, sf_dir):
+    """One scan over many episode files; the episode is taken from each file's path."""
+    from tonality.sources.utterances import read_utterances
+    path = _written_utterances(spark, sf_dir, "utt-episodes")
+    df = read_utterances(spark, f"{path}/Episode=*/*.csv")
+    return df.withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"),
+                                                         r"Episode=\d+/", 0))

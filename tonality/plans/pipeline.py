@@ -91,3 +91,43 @@ def join_scores(utterances: DataFrame, *scores: DataFrame, on: Sequence[str] = K
     for s in scores:
         out = out.join(s, list(on), "inner")
     return out
+
+
+def run_pipeline(spark, utterances: DataFrame, characters: DataFrame, episodes: DataFrame,
+                 stopwords_a, stopwords_b: DataFrame, sc: Scoring, out_dir: str,
+                 top_n: int = 10, cloud_words: int = 50) -> dict[str, str]:
+    """Run the whole analysis for all episodes in one job and write every output.
+
+    The scored table feeds many outputs, so it is checkpointed once to the
+    shared folder (``spark.checkpoint.dir``): a lost executor costs a re-read,
+    not a re-score.  Returns the written paths.
+    """
+    from tonality.operators import charts as CH
+    from tonality.operators import document as D
+    from tonality.operators import stats as S
+    from tonality.operators import words as W
+    from tonality.operators.prepare import prepare_utterances
+    from tonality.session import materialize
+    from tonality.sources.sinks import write_csv, write_document, write_json
+
+    prepared = prepare_utterances(utterances, characters, stopwords_a)
+    scored = materialize(scored_table(prepared, sc))
+    stats = materialize(S.character_statistics(scored, characters))
+    freq = W.word_frequency(prepared, stopwords_b)
+    out = {k: f"{out_dir.rstrip('/')}/{k}" for k in (
+        "full_csv", "full_json", "document", "statistics", "top_words", "wordcloud",
+        "chart_share", "chart_median_by_label", "chart_std", "chart_median", "rejects")}
+    full = full_table(prepared, scored)
+    write_csv(full, out["full_csv"])
+    write_json(full, out["full_json"])
+    doc = D.statistics_document(stats, S.sentiment_totals(scored), S.modal_sentiment(scored), episodes)
+    write_document(doc, out["document"])
+    write_json(stats, out["statistics"])
+    write_json(W.top_words(freq, top_n), out["top_words"])
+    write_json(W.wordcloud_weights(freq, cloud_words), out["wordcloud"])
+    write_json(CH.chart_share(scored), out["chart_share"])
+    write_json(CH.chart_median_by_label(scored), out["chart_median_by_label"])
+    write_json(CH.chart_std(stats), out["chart_std"])
+    write_json(CH.chart_median(stats), out["chart_median"])
+    write_json(rejects_table(prepared, sc), out["rejects"], partition_by=None)
+    return out

@@ -356,7 +356,9 @@ def q_chart_median(spark, sf_dir):
 # ------------------------------------------------------- document and sinks
 
 def document_for(inp: Inputs) -> DataFrame:
-    scored = inp.scored()
+    from tonality.session import materialize
+    # three consumers: cut the lineage once (reliable checkpoint in the shared folder)
+    scored = materialize(inp.scored())
     return D.statistics_document(S.character_statistics(scored, inp.characters()),
                                  S.sentiment_totals(scored), S.modal_sentiment(scored),
                                  inp.episodes())

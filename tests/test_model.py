@@ -25,7 +25,7 @@ def test_native_equals_pandas(spark):
 def test_softmax_sums_to_one(spark):
     out = M.linear_scores(frame(spark)).select((F.col("model_neg") + F.col("model_neu")
                                                 + F.col("model_pos")).alias("s")).collect()
-    assert all(abs(r.s - 1) < 1e-12 for r in out)
+    assert all(abs(r.s - 1) < 2e-6 for r in out)
 
 
 def test_failing_rows_are_isolated(spark):

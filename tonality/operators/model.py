@@ -29,6 +29,11 @@ from tonality.functions.labels import softmax3
 from tonality.functions.text import WORD_PATTERN, extract_words
 
 CLASSES = ("neg", "neu", "pos")
+# Stored precision of the model probabilities: multiples of 2^-20 (~1e-6; the
+# original scorer kept float32, ~7 significant digits).  A score in [0, 1] then
+# has at most 2^20 + 1 values, which bounds the state of an exact median per
+# group at any data size, and sums of scores are exact in any order.
+SCORE_GRID = float(1 << 20)
 LOGIT_COLS = tuple(f"logit_{c}" for c in CLASSES)
 SCORE_COLS = tuple(f"model_{c}" for c in CLASSES)
 
@@ -80,14 +85,21 @@ def model_rejects(df: DataFrame, text_col: str = "CleanText", max_chars: int | N
 
 
 def with_softmax(df: DataFrame, logits: Sequence[Column | str] = LOGIT_COLS,
-                 out: Sequence[str] = SCORE_COLS) -> DataFrame:
+                 out: Sequence[str] = SCORE_COLS, label: str | None = "model_label") -> DataFrame:
+    """Probabilities on the ``SCORE_GRID``; the label is the arg-max of the
+    unrounded values (tie order pos, neu, neg)."""
     cols = [F.col(c) if isinstance(c, str) else c for c in logits]
     probs = softmax3(*cols)
-    return df.withColumns(dict(zip(out, probs)))
+    new = {o: F.round(p * F.lit(SCORE_GRID), 0) / F.lit(SCORE_GRID) for o, p in zip(out, probs)}
+    if label:
+        from tonality.functions.labels import major_sentiment
+        neg, neu, pos = probs
+        new[label] = major_sentiment(pos, neu, neg)
+    return df.withColumns(new)
 
 
 def linear_scores(df: DataFrame, text_col: str = "CleanText", keep_logits: bool = False) -> DataFrame:
-    """Append ``model_neg, model_neu, model_pos`` from the native linear scorer."""
+    """Append ``model_neg, model_neu, model_pos`` and ``model_label`` from the native linear scorer."""
     logits = linear_logits(text_col)
     out = df.withColumns(dict(zip(LOGIT_COLS, logits)))
     out = with_softmax(out)

@@ -353,7 +353,10 @@ mp AS (
   FROM ml),
 model AS (
   SELECT Episode, SentenceIndex, logit_neg, logit_neu, logit_pos,
-         e0 / (e0 + e1 + e2) AS model_neg, e1 / (e0 + e1 + e2) AS model_neu, e2 / (e0 + e1 + e2) AS model_pos
+         round(e0 / (e0 + e1 + e2) * 1048576.0::DOUBLE, 0) / 1048576.0::DOUBLE AS model_neg, round(e1 / (e0 + e1 + e2) * 1048576.0::DOUBLE, 0) / 1048576.0::DOUBLE AS model_neu,
+         round(e2 / (e0 + e1 + e2) * 1048576.0::DOUBLE, 0) / 1048576.0::DOUBLE AS model_pos,
+         CASE WHEN logit_pos >= logit_neu AND logit_pos >= logit_neg THEN 'Positive'
+              WHEN logit_neu >= logit_neg THEN 'Neutral' ELSE 'Negative' END AS model_label
   FROM mp)""".format(l0=sql_linear_logit("ws", 3), l1=sql_linear_logit("ws", 4),
                      l2=sql_linear_logit("ws", 5))
 
@@ -369,7 +372,7 @@ scored AS (
          l.lex_neg, l.lex_neu, l.lex_pos, l.lex_compound,
          m.model_neg, m.model_neu, m.model_pos,
          {sql_label('l.lex_pos', 'l.lex_neu', 'l.lex_neg')} AS lex_label,
-         {sql_label('m.model_pos', 'm.model_neu', 'm.model_neg')} AS model_label
+         m.model_label
   FROM prep p JOIN lexs l ON p.Episode = l.Episode AND p.SentenceIndex = l.SentenceIndex
        JOIN model m ON p.Episode = m.Episode AND p.SentenceIndex = m.SentenceIndex)"""
 

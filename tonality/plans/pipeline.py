@@ -35,10 +35,8 @@ class Scoring:
 
 
 def with_labels(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "lex_label": major_sentiment("lex_pos", "lex_neu", "lex_neg"),
-        "model_label": major_sentiment("model_pos", "model_neu", "model_neg"),
-    })
+    """Lexicon label from its (3-decimal) scores; the model label is already set."""
+    return df.withColumn("lex_label", major_sentiment("lex_pos", "lex_neu", "lex_neg"))
 
 
 def model_scored(prepared: DataFrame, sc: Scoring) -> DataFrame:
@@ -67,7 +65,7 @@ def scored_table(prepared: DataFrame, sc: Scoring) -> DataFrame:
     """
     with_model = model_scored(prepared, sc)
     lex = lexicon_scores(with_model, sc.lexicon, sc.boosters, sc.negators, "CleanText", KEYS,
-                         keep=[*sc.keep], carry_max=[*SCORE_COLS, "_rcode"], rule=sc.rule,
+                         keep=[*sc.keep, "model_label"], carry_max=[*SCORE_COLS, "_rcode"], rule=sc.rule,
                          neutral_when_empty=sc.neutral_when_empty)
     return with_labels(lex.where(F.col("_rcode") == 0).drop("_rcode"))
 

@@ -165,7 +165,7 @@ def q_model_logits(spark, sf_dir):
 @query("softmax_scores")
 def q_softmax_scores(spark, sf_dir):
     p = Inputs(spark, sf_dir).prepared()
-    return _r(M.linear_scores(p.select(*KEYS, "CleanText")).drop("CleanText"), M.SCORE_COLS)
+    return _r(M.linear_scores(p.select(*KEYS, "CleanText")).select(*KEYS, *M.SCORE_COLS), M.SCORE_COLS)
 
 
 @query("model_rejects")

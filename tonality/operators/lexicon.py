@@ -51,10 +51,16 @@ def generated_valence(token: Column) -> Column:
                   ((F.ascii(token) + F.length(token)) % 9 - 4) * F.lit(0.5))
 
 
+# Punctuation at the start or end of a whitespace-separated token, matched over
+# the whole text at once (one regex pass per sentence, not one per token).
+PUNCT_TOKEN_EDGES = (rf"(?<=^|[ \t\n\r\f]){ASCII_PUNCT_CLASS}+"
+                     rf"|{ASCII_PUNCT_CLASS}+(?=[ \t\n\r\f]|$)")
+
+
 def sentiment_items(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), SPLIT_BLANKS)
-    stripped = F.transform(parts, lambda w: F.regexp_replace(w, PUNCT_EDGES, ""))
-    return F.filter(stripped, lambda w: F.length(w) > 1)
+    """Whitespace tokens with edge punctuation stripped; tokens shorter than 2 dropped."""
+    stripped = F.regexp_replace(F.coalesce(text, F.lit("")), PUNCT_TOKEN_EDGES, "")
+    return F.filter(F.split(stripped, SPLIT_BLANKS), lambda w: F.length(w) > 1)
 
 
 def _is_upper(w: Column) -> Column:
@@ -79,14 +85,18 @@ def sentence_frame(df: DataFrame, text_col: str = "CleanText", keys: Sequence[st
                    keep: Sequence[str] = ()) -> DataFrame:
     """One row per sentence: items and the sentence-level facts."""
     items = sentiment_items(F.col(text_col))
-    out = df.select(*keys, *keep, items.alias("_items"),
+    has_upper = F.coalesce(F.col(text_col).rlike("[A-Z]"), F.lit(False))
+    out = df.select(*keys, *keep, items.alias("_items"), has_upper.alias("_hasup"),
                     punctuation_emphasis(F.col(text_col)).alias("_emph"))
     out = out.withColumn("_low", F.transform("_items", lambda w: F.lower(w)))
     return out.select(
         *keys, *keep, "_items", "_low", "_emph",
         F.size("_items").alias("_n"),
         F.array_position("_low", "but").alias("_but"),
-        (F.exists("_items", _is_upper) & F.exists("_items", lambda w: ~_is_upper(w)))
+        # the capital-letter rules need a mix of all-caps and other items; a text
+        # without upper-case letters (all cleaned text) skips the per-item test
+        F.when(F.col("_hasup"), F.exists("_items", _is_upper)
+               & F.exists("_items", lambda w: ~_is_upper(w))).otherwise(F.lit(False))
         .alias("_capdiff"))
 
 
@@ -167,7 +177,7 @@ def _gate(d: str) -> Column:
 
 
 def apply_caps(ex: DataFrame) -> DataFrame:
-    up = _is_upper(F.col("t")) & F.col("_capdiff") & F.col("in_lex")
+    up = F.col("_capdiff") & F.col("in_lex") & _is_upper(F.col("t"))
     return ex.withColumn("v_caps", F.when(up & (F.col("v0") > 0), F.col("v0") + CAPS_INCREMENT)
                          .when(up, F.col("v0") - CAPS_INCREMENT).otherwise(F.col("v0")))
 
@@ -175,7 +185,7 @@ def apply_caps(ex: DataFrame) -> DataFrame:
 def _boost(v: Column, d: int) -> Column:
     b = F.col(f"b{d}")
     s = F.when(v < 0, -b).otherwise(b)
-    caps = _is_upper(F.col(f"o{d}")) & F.col("_capdiff")
+    caps = F.col("_capdiff") & _is_upper(F.col(f"o{d}"))
     s = F.when(caps & (v > 0), s + CAPS_INCREMENT).when(caps, s - CAPS_INCREMENT).otherwise(s)
     s = s * F.lit(BOOST_DISTANCE_DAMP[d - 1])
     return F.when(_gate(str(d)) & b.isNotNull(), v + s).otherwise(v)

@@ -52,15 +52,20 @@ def sentiment_share(scored: DataFrame, by: Sequence[str] = ("Episode",)) -> Data
 
 def modal_sentiment(scored: DataFrame, by: Sequence[str] = ("Episode",),
                     order_col: str = "SentenceIndex") -> DataFrame:
-    """Most frequent label per scorer; a tie goes to the label seen first in ``order_col`` order."""
-    outs = []
-    for s in SCORERS:
-        per = scored.groupBy(*by, F.col(f"{s}_label").alias("label")).agg(
-            F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_seen"))
-        best = per.groupBy(*by).agg(
-            F.max_by("label", F.struct(F.col("n"), -F.col("first_seen"))).alias(f"{s}_mode"))
-        outs.append(best)
-    return outs[0].join(outs[1], list(by), "full")
+    """Most frequent label per scorer; a tie goes to the label seen first in ``order_col`` order.
+
+    One pass for both scorers: each row contributes (scorer, label) twice, the
+    counts are partial-aggregated, and the pick is over at most 3 labels per scorer.
+    """
+    pairs = F.array(*[F.struct(F.lit(s).alias("scorer"), F.col(f"{s}_label").alias("label"))
+                      for s in SCORERS])
+    per = (scored.select(*by, order_col, F.inline(pairs))
+           .groupBy(*by, "scorer", "label")
+           .agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_seen")))
+    best = per.groupBy(*by).agg(*[
+        F.max_by(F.col("label"), F.when(F.col("scorer") == s, F.struct(F.col("n"), -F.col("first_seen"))))
+        .alias(f"{s}_mode") for s in SCORERS])
+    return best
 
 
 def _dimension_names(characters: DataFrame) -> list[str]:

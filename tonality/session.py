@@ -18,6 +18,10 @@ def get_session(master: str | None = None, app: str = "tonality",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster
+            builder = builder.config("spark.driver.memory",
+                                     os.environ.get("TONALITY_DRIVER_MEMORY", "8g"))
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")

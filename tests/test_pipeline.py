@@ -114,3 +114,17 @@ def test_streaming_scores_arriving_files(spark, tmp_path):
                              inp.characters(), inp.stopwords_a(), inp.scoring(), trigger_once=True)
     q.awaitTermination(300)
     assert spark.read.parquet(out).count() == inp.utterances().count()
+
+
+def test_run_pipeline_writes_all_outputs(spark):
+    from tonality.plans.pipeline import run_pipeline
+    from tonality.session import scratch_path
+    inp = Inputs(spark, SF001)
+    out = run_pipeline(spark, inp.utterances(), inp.characters(), inp.episodes(), inp.stopwords_a(),
+                       inp.stopwords_b(), inp.scoring(max_chars=2000), scratch_path(spark, "run"))
+    n = inp.utterances().count()
+    full = spark.read.json(out["full_json"]).count()
+    rejects = spark.read.json(out["rejects"]).count()
+    assert full + rejects == n and rejects > 0
+    assert spark.read.text(out["document"]).count() == 3
+    assert spark.read.json(out["statistics"]).count() == 18

@@ -10,6 +10,15 @@ def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(cols or ("doc_id", "text")))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 2048."""
+    import public_tokenizers
+
+    from tonality.llm import packing
+
+    return packing.pack(packing.pieces(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in shards 0 to 7 of near equal bytes, by 4096 virtual slots and a stored slot map."""
     from tonality.llm import sharding
@@ -23,6 +32,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids by the transducer and of the text decoded from them."""
+    import public_tokenizers
+
+    from tonality.llm import bpe
+
+    return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every text and of its edited text."""
     from tonality.llm.fingerprints import fingerprints
@@ -30,5 +49,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_sharding, op5_byte_bpe, op10_order_minhash)}
 ORACLE: dict[str, str] = {}

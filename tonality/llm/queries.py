@@ -19,6 +19,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates on three-word shingles from a similarity of 0.85."""
+    from tonality.llm.minhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), width=3, percent=85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in shards 0 to 7 of near equal bytes, by 4096 virtual slots and a stored slot map."""
     from tonality.llm import sharding
@@ -42,6 +49,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tonality.llm.html import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every text and of its edited text."""
     from tonality.llm.fingerprints import fingerprints
@@ -49,5 +63,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_sharding, op5_byte_bpe, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash, op4_sharding, op5_byte_bpe, op9_html, op10_order_minhash)}
 ORACLE: dict[str, str] = {}

@@ -62,9 +62,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word; a document starts at each of ``starts``."""
-    space = _SPACE[data]
+def word_hashes(data: np.ndarray, starts: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word; a document starts at each of ``starts``, ``apart`` marks separators."""
+    space = apart[data]
     first = ~space
     first[1:] &= space[:-1]
     inside = starts[starts < len(data)]
@@ -105,7 +105,7 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
                 high = low + int(gaps[-1]) + 1 if len(gaps) else high
                 after = begins[(begins > low) & (begins <= high)]
                 high = int(after[0]) if len(after) else high
-        h, a = _word_hashes(data[low:high], begins[(begins >= low) & (begins < high)] - low)
+        h, a = word_hashes(data[low:high], begins[(begins >= low) & (begins < high)] - low)
         hashes.append(h)
         at.append(a + low)
         low = high
@@ -139,7 +139,7 @@ def minima(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parts(texts: list, most: int = WINDOW) -> Iterator[slice]:
+def parts(texts: list, most: int = WINDOW) -> Iterator[slice]:
     """Slices of at most ``most`` bytes, or of one text."""
     low, total = 0, 0
     for i, t in enumerate(texts):
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for part in _parts(texts):
+            for part in parts(texts):
                 values, begins = shingle_sets(texts[part], width)
                 n = np.diff(begins)
                 full = np.flatnonzero(n)

@@ -49,6 +49,20 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by boosted trees learned outside the held-out fold."""
+    from tonality.llm.quality import classify
+
+    return classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of a label from a cosine of 0.98."""
+    from tonality.llm.pivots import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from tonality.llm.html import extract
@@ -63,5 +77,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash, op4_sharding, op5_byte_bpe, op9_html, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op9_html, op10_order_minhash)}
 ORACLE: dict[str, str] = {}

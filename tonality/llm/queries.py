@@ -63,6 +63,13 @@ def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by the random field learned outside the held-out fold."""
+    from tonality.llm.crf import classify
+
+    return classify(_docs(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from tonality.llm.html import extract
@@ -77,5 +84,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op9_html, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op8_language, op9_html, op10_order_minhash)}
 ORACLE: dict[str, str] = {}

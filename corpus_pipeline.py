@@ -4,7 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+#: Documents with a lower quality score are rejected.
+MIN_QUALITY = 0.5
+#: Documents without a language, or whose best language has a lower mean probability, are rejected.
+MIN_LANGUAGE = 0.3
+#: Near-duplicates: words of a shingle, and the similarity in percent.
+SHINGLE, SIMILARITY = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from ``labels``."""
+    from tonality.llm.quality import fit, score
+
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(score(docs["text"], model) >= MIN_QUALITY)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language (text without letters has score 0)."""
+    from tonality.llm.crf import fit, identify
+
+    return docs.where(identify(docs, fit(docs))["score"] >= MIN_LANGUAGE)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; documents without an id pass, as groups are named by ids."""
+    from pyspark.sql import functions as F
+
+    from tonality.llm.minhash import near_duplicates
+
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = near_duplicates(named, SHINGLE, SIMILARITY).where("kept").select("doc_id")
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
+        docs.where(F.col("doc_id").isNull()))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and what discloses it replaced in their texts."""
+    from pyspark.sql import functions as F
+
+    from tonality.llm.pii import sanitise
+
+    clean = sanitise(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 2048."""
+    import public_tokenizers
+
+    from tonality.llm.packing import pack, pieces
+
+    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("quality", quality), ("language", language), ("minhash", dedup), ("pii", pii), ("packing", packing)]
 
 #: No SQL: learned models and tokenizers take part.
 ORACLE_SQL: str | None = None

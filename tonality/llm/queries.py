@@ -19,6 +19,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text, and the terms that disclose it."""
+    from tonality.llm.pii import report
+
+    return report(_docs(spark, sf_dir))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on three-word shingles from a similarity of 0.85."""
     from tonality.llm.minhash import near_duplicates
@@ -84,5 +91,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op8_language, op9_html, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op8_language, op9_html, op10_order_minhash)}
 ORACLE: dict[str, str] = {}

@@ -153,7 +153,7 @@ class Labeller:
         p, letters, owner = self.marginals([(t or "").split() for t in texts])
         count = np.bincount(owner[letters], minlength=n)
         mean = np.column_stack([np.bincount(owner[letters], p[letters, j], minlength=n) for j in range(k)])
-        mean /= np.maximum(count, 1)[:, None]
+        mean = mean / np.maximum(count, 1)[:, None]
         best = mean.argmax(1)
         score = np.clip(mean[np.arange(n), best], 0, 1)
         return [self.model.langs[b] if c else UNKNOWN for b, c in zip(best, count, strict=True)], np.where(count, score, 0.0)

@@ -65,7 +65,7 @@ def grown(slot_map: DataFrame) -> DataFrame:
     n_new = F.max("shard").over(whole) + 2
     spare = F.sum("bytes").over(by_shard) - F.sum("bytes").over(whole) / n_new
     given = F.sum("bytes").over(by_shard.orderBy(F.xxhash64("vslot", "version"), "vslot"))
-    moves = (F.col("bytes") > 0) & (given <= spare)
+    moves = (F.col("bytes") > 0) & (given - F.col("bytes") / 2 <= spare)  # to the nearest slot
     return slot_map.select(
         (F.col("version") + 1).alias("version"), "vslot",
         F.when(moves, n_new - 1).otherwise(F.col("shard")).cast("int").alias("shard"), "bytes", "n_rows")

@@ -140,6 +140,21 @@ def test_disclosing_terms_are_added_and_replaced(spark):
     assert out[64]["text"] == "the [Name] again, alone" and out[10]["text"] == texts[10] and out[3]["base"] == 1
     assert out[65]["text"] == "unique Qwerty near [EMAIL]"
     assert sanitise(docs).columns == docs.columns
+    assert_sql(spark, docs, "documents", "op2_pii", report(docs))
+
+
+def assert_sql(spark, table, name, query, result):
+    """The operator's rows equal those of its SQL."""
+    import duckdb
+
+    from tonality.llm.queries import ORACLE
+    con = duckdb.connect()
+    con.register(name, table.toPandas())
+    want, got = con.sql(ORACLE[query]).df(), result.toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    rows = [sorted(map(tuple, x[columns].astype(str).values.tolist())) for x in (want, got)]
+    assert rows[0] == rows[1]
 
 
 # --- near-duplicates ----------------------------------------------------------------------------------------------------

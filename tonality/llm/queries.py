@@ -92,4 +92,13 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op8_language, op9_html, op10_order_minhash)}
-ORACLE: dict[str, str] = {}
+
+
+def _oracle() -> dict[str, str]:
+    from tonality.llm import oracle, pii
+
+    return {"op2_pii": oracle.pii(pii.RADIUS, pii.REMOVE, pii.GENERALISE, pii.SUPPORT),
+            "op3_minhash": oracle.MINHASH, "op7_pivot_index": oracle.PIVOTS}
+
+
+ORACLE: dict[str, str] = _oracle()

@@ -7,6 +7,7 @@ ASCII, normalise white space.  Tokenising splits contractions ("don't" ->
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -36,15 +37,45 @@ FOLD_SPECIAL: list[tuple[str, str]] = [
 # combining marks maps to that letter.
 _FOLD_RANGES = ((0x00C0, 0x024F), (0x1E00, 0x1EFF))
 
+# Letters of these scripts are spelled by a rule from their Unicode names (see ``spelled``).
+_SPELLED_RANGES = ((0x0370, 0x03FF), (0x0400, 0x052F))
+SPELLED_CLASS = r"[\x{370}-\x{52F}]"
+
 ASCII_PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
-TOKEN_PATTERN = r"n't|'[a-z]+|[a-z0-9_]+|[^\sa-z0-9_]"
-WORD_PATTERN = r"[A-Za-z0-9_]+"
+LETTERS = r"\p{L}\p{M}\p{N}_"
+TOKEN_PATTERN = rf"n't|'[a-z]+|[{LETTERS}]+|[^\s{LETTERS}]"
+WORD_PATTERN = rf"[{LETTERS}]+"
+#: What folding removes: signs outside ASCII.  Letters without a known ASCII form stay as they are.
+UNFOLDED_PATTERN = rf"[^\x00-\x7F{LETTERS}]"
+
+
+def spelled(ch: str) -> str | None:
+    """ASCII spelling of a Greek or Cyrillic letter from its Unicode name: a consonant's name without the vowel that
+    makes it a syllable (``BE`` -> b, ``EL`` -> l, ``ZHE`` -> zh), a vowel's first letter, nothing for a sign."""
+    base = unicodedata.normalize("NFD", ch)[0]
+    name = unicodedata.name(base, "")
+    m = re.fullmatch(r"(GREEK|CYRILLIC) (CAPITAL|SMALL) LETTER (?:FINAL |SHORT )?([A-Z]+)( SIGN)?", name)
+    if not m:
+        return None
+    if m[4]:
+        return ""
+    word = m[3].lower()
+    if m[1] == "GREEK":
+        out = word[:2] if word[:2] in ("th", "ph", "ch", "ps") else word[0]
+    elif word[0] == "y":
+        out = word[:2] if len(word) == 2 else word[0]
+    elif word[0] in "aeiou":  # a vowel, or a consonant named after one
+        out = word[1:] if len(word) == 2 else word[0]
+        out = word if word in ("i", "u") else out
+    else:
+        out = word.rstrip("aeiou").replace("gh", "g")
+    return out.upper() if m[2] == "CAPITAL" else out
 
 
 @lru_cache(maxsize=None)
-def fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """(from, to) strings for ``translate`` plus the multi-character replacements."""
-    src, dst, multi = [], [], []
+def fold_tables() -> tuple[str, str, list[tuple[str, str]], list[tuple[str, str]]]:
+    """(from, to) strings for ``translate``, the multi-character replacements, and those of spelled letters."""
+    src, dst, multi, letters = [], [], [], []
     special = dict(FOLD_SPECIAL)
     for lo, hi in _FOLD_RANGES:
         for cp in range(lo, hi + 1):
@@ -56,13 +87,21 @@ def fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
                     and all(unicodedata.category(c) == "Mn" for c in dec[1:])):
                 src.append(ch)
                 dst.append(dec[0])
+    for lo, hi in _SPELLED_RANGES:
+        for cp in range(lo, hi + 1):
+            out = spelled(chr(cp))
+            if out is not None and len(out) == 1:
+                src.append(chr(cp))
+                dst.append(out)
+            elif out is not None:
+                letters.append((chr(cp), out))
     for ch, rep in FOLD_SPECIAL:
         if len(rep) == 1:
             src.append(ch)
             dst.append(rep)
         else:
             multi.append((ch, rep))
-    return "".join(src), "".join(dst), multi
+    return "".join(src), "".join(dst), multi, letters
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -83,12 +122,19 @@ def strip_emoji(c: ColumnOrName) -> Column:
 
 
 def fold_ascii(c: ColumnOrName) -> Column:
-    """Closest-ASCII folding: accents dropped, ligatures expanded, other non-ASCII removed."""
-    src, dst, multi = fold_tables()
+    """Closest-ASCII folding: accents dropped, ligatures expanded, Greek and Cyrillic spelled, other signs removed.
+
+    Letters of scripts without a spelling rule are kept: removing them would empty the text.
+    """
+    src, dst, multi, letters = fold_tables()
     out = F.translate(_col(c), src, dst)
     for ch, rep in multi:
         out = F.replace(out, F.lit(ch), F.lit(rep))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    more = out
+    for ch, rep in letters:
+        more = F.replace(more, F.lit(ch), F.lit(rep))
+    out = F.when(_col(c).rlike(SPELLED_CLASS), more).otherwise(out)
+    return F.regexp_replace(out, UNFOLDED_PATTERN, "")
 
 
 def normalize_space(c: ColumnOrName) -> Column:
@@ -111,5 +157,5 @@ def tokenize(c: ColumnOrName) -> Column:
 
 
 def extract_words(c: ColumnOrName) -> Column:
-    """ASCII word-character runs (the ``\\w+`` words of cleaned text)."""
+    """Runs of letters, digits and underscores (the words of cleaned text)."""
     return F.regexp_extract_all(_col(c), F.lit(WORD_PATTERN), 0)

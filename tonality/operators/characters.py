@@ -31,7 +31,11 @@ def decode_character(df: DataFrame, dim: DataFrame, col: str = "Character",
     Unknown codes: strict mode fails the job, lenient mode leaves the name NULL.
     """
     coded = cast_character(fill_character(df, col), col)
-    names = sized_broadcast(dim.select(F.col("code").alias("_code"), F.col("name").alias("_name")))
+    # a code listed twice with different names is an error in the dimension; listed twice with one name it counts once
+    names = dim.groupBy(F.col("code").alias("_code")).agg(
+        F.min("name").alias("_name"), F.count_distinct("name").alias("_n"))
+    names = sized_broadcast(names.select("_code", F.when(F.col("_n") > 1, F.raise_error(
+        F.concat(F.lit("two names for character code "), F.col("_code")))).otherwise(F.col("_name")).alias("_name")))
     out = coded.join(names, coded[col] == names["_code"], "left")
     name = F.col("_name")
     if strict:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.operators.stats import LABEL_SHORT
+from tonality.operators.stats import LABEL_SHORT, score_counts
 
 
 def chart_share(scored: DataFrame, scorer: str = "model", by: Sequence[str] = ("Episode",)) -> DataFrame:
@@ -24,12 +24,10 @@ def chart_share(scored: DataFrame, scorer: str = "model", by: Sequence[str] = ("
 def chart_median_by_label(scored: DataFrame, scorer: str = "model",
                           by: Sequence[str] = ("Episode",)) -> DataFrame:
     """Three bar series: per character with rows of label X, the median X score."""
-    stats = scored.groupBy(*by, "Character").agg(*[
-        F.median(F.when(F.col(f"{scorer}_label") == lab, F.col(f"{scorer}_{short}"))).alias(lab)
-        for lab, short in LABEL_SHORT])
-    stack = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).alias("median"))
-                      for lab, _ in LABEL_SHORT])
-    return stats.select(*by, "Character", F.inline(stack)).where(F.col("median").isNotNull())
+    counts = score_counts(scored, [*by, "Character"], [scorer])
+    label = F.create_map(*[F.lit(x) for lab, short in LABEL_SHORT for x in (short, lab)])
+    return counts.groupBy(*by, "Character", label[F.col("short")].alias("label")).agg(
+        F.percentile("score", F.lit(0.5), F.col("n")).alias("median")).where("median IS NOT NULL")
 
 
 def _grouped_bars(stats: DataFrame, measure: str, scorer: str, by: Sequence[str]) -> DataFrame:

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonality.operators.stats import LABEL_SHORT, SCORERS
+from tonality.session import sized_broadcast
 
 # FIXED VALUES — key names of the statistics document layout.
 SCORER_KEY = {"lex": "vader", "model": "roBERTa"}
 TOTAL_KEY = {"lex": "VADER", "model": "roBERTa"}
 MEASURE_KEY = {"avg": "Average", "median": "Median", "std": "Std"}
 LABEL_KEY = {"pos": "Positive", "neu": "Neutral", "neg": "Negative"}
+UNKNOWN_SPEAKER = "unknown"  # lines whose code the dimension does not have
 MEASURE_ORDER = ("avg", "median", "std", "count")
 
 
@@ -37,16 +39,18 @@ def document_keys() -> list[tuple[str, str]]:
 
 
 def measure_string(c: Column, is_count: bool) -> Column:
+    """A measure as text in full precision, "nan" where it is missing."""
     if is_count:
         return c.cast("string")
-    # format_string renders NULL as the text "null": test for it first
-    return F.when(c.isNull() | F.isnan(c), F.lit("nan")).otherwise(F.format_string("%.6f", F.round(c, 6)))
+    return F.when(c.isNull() | F.isnan(c), F.lit("nan")).otherwise(c.cast("string"))
 
 
 def statistics_document(stats: DataFrame, totals: DataFrame, modes: DataFrame,
                         details: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
     """``(Episode, doc struct, document JSON)``, one row per episode.
 
+    In the JSON the speakers are keys of the top level, before ``Episode``, ``Details`` and ``UsefulStatistics``.
+
     ``stats`` = character_statistics, ``totals`` = sentiment_totals, ``modes`` =
     modal_sentiment, ``details`` = episode dimension.  Per-episode speaker rows
     are bounded by the character dimension.
@@ -55,23 +59,30 @@ def statistics_document(stats: DataFrame, totals: DataFrame, modes: DataFrame,
                               for x in (F.lit(key), measure_string(F.col(col), "count" in col))])
     per_char = stats.select(*by, "char_order", F.struct(
         F.col("char_order"), F.col("Character"), measures.alias("m")).alias("_c"))
+    # map values do not sort: the order and the name come first and are never equal
     chars = per_char.groupBy(*by).agg(F.array_sort(
         F.collect_list("_c"),
-        lambda a, b: (a["char_order"] - b["char_order"]).cast("int")).alias("_cs"))
+        lambda a, b: F.when(a["char_order"] < b["char_order"], -1).when(a["char_order"] > b["char_order"], 1)
+        .when(a["char_order"].isNull() & b["char_order"].isNotNull(), 1)
+        .when(a["char_order"].isNotNull() & b["char_order"].isNull(), -1)
+        .when(a["Character"] < b["Character"], -1).otherwise(1)).alias("_cs"))
     chars = chars.select(*by, F.map_from_entries(F.transform(
-        "_cs", lambda c: F.struct(c["Character"], c["m"]))).alias("characters"))
+        "_cs", lambda c: F.struct(F.coalesce(c["Character"], F.lit(UNKNOWN_SPEAKER)), c["m"]))).alias("characters"))
     useful = F.struct(
         F.col("model_mode").alias("roBERTaModalMajorSentiment"),
         F.col("lex_mode").alias("VADERModalMajorSentiment"),
         *[F.col(f"{s}_total_{short}").alias(f"{TOTAL_KEY[s]}Total{LABEL_KEY[short]}Sentences")
           for s in ("model", "lex") for _, short in LABEL_SHORT])
     doc = (chars.join(totals, list(by)).join(modes, list(by))
-           .join(F.broadcast(details), list(by), "left"))
+           .join(sized_broadcast(details), list(by), "left"))
     out = doc.select(*by, F.struct(
         F.col("characters"), F.col(by[0]).alias("Episode"),
         F.struct("Description", "Duration").alias("Details"),
         useful.alias("UsefulStatistics")).alias("doc"))
-    return out.withColumn("document", F.to_json("doc"))
+    rest = F.to_json(F.struct("doc.Episode", "doc.Details", "doc.UsefulStatistics"))
+    return out.withColumn("document", F.when(F.size("doc.characters") > 0, F.concat(
+        F.expr("left(to_json(doc.characters), length(to_json(doc.characters)) - 1)"), F.lit(","), F.expr("substring(to_json(struct(doc.Episode, doc.Details, doc.UsefulStatistics)), 2)")))
+        .otherwise(rest))
 
 
 def flatten_document(doc: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:

@@ -1,51 +1,56 @@
-"""Lexicon-and-rules sentiment scorer (valence lexicon, boosters, negation,
-"but" contrast, punctuation and capital-letter emphasis) as a relational plan.
-
-Plan, per sentence row:
-
-1. ``items``: whitespace split, punctuation stripped from the ends, tokens of
-   length 1 dropped.  Sentence-level facts (item count, first "but", "!"/"?"
-   emphasis, mixed capitals) are plain column expressions.
-2. Each item is exploded together with its three predecessors and its
-   successor, taken from the array by index (``transform`` + ``get``), so no
-   window and no shuffle is needed to see the neighbours.
-3. Lookups are equi-joins: the item against the lexicon, the item and its
-   predecessors against the small modifier table (boosters, negators, "least",
-   "never").  Tables are broadcast only below a checked row count; above it the
-   planner shuffles (AQE splits skewed tokens).
-4. The rule chain is a sequence of CASE expressions.
-5. One ``groupBy`` on the sentence key sums the valences.  All rows of a
-   sentence come from one input row, so the partial aggregate collapses them to
-   one row per sentence before the shuffle.
-
-A lexicon can also carry a *rule*: a Column function ``token -> valence`` (NULL
-when it does not apply) used for tokens missing from the lexicon table.
+"""Lexicon-and-rules sentiment scorer (valence lexicon, boosters, negation, "but" contrast, punctuation and
+capital-letter emphasis), computed inside each row.
+
+1. ``_sentence``: white-space split, punctuation stripped from the ends, tokens of length 1 dropped, and the
+   sentence's facts (item count, first contrast word, "!" / "?" emphasis, mixed capitals).
+2. Valences are looked up item by item.  A lexicon of proven small size is a hashed IN-set with a map for the hits; a
+   larger one is joined on the exploded items of numbered rows.  Both give the same valences.
+3. ``_chain``: each lexicon item becomes a struct with its three predecessors, and the rule chain runs over the array, one
+   ``transform`` for each rule.
+4. ``lexicon_scores`` folds the items' valences.  No shuffle, and rows with equal keys stay apart, so that every
+   ratio is at most 1.
+
+A lexicon can also carry a *rule*: a Column function ``token -> valence`` (NULL where it does not apply) for tokens
+that the lexicon table does not have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonality.functions.labels import major_sentiment
 from tonality.functions.text import ASCII_PUNCT_CLASS
 from tonality.resources import (BOOST_DISTANCE_DAMP, BUT_AFTER, BUT_BEFORE, CAPS_INCREMENT,
-                                COMPOUND_ALPHA, EXCLAIM_MAX, EXCLAIM_WEIGHT, NEGATION_MARK,
-                                NEGATION_SCALAR, NEVER_SO_SCALAR, QUESTION_CAP,
-                                QUESTION_WEIGHT)
-from tonality.session import local_if_small, sized_broadcast
+                                COMPOUND_ALPHA, CONTRAST_WORDS, EXCLAIM_MAX, EXCLAIM_WEIGHT, NEGATION_MARK,
+                                NEGATION_SCALAR, NEVER_SO_SCALAR, QUESTION_CAP, QUESTION_WEIGHT)
+from tonality.session import is_small, materialize
 
 PUNCT_EDGES = f"^{ASCII_PUNCT_CLASS}+|{ASCII_PUNCT_CLASS}+$"
 SPLIT_BLANKS = r"[ \t\n\r\f]+"
-KEYS = ("Episode", "SentenceIndex")
 SCORE_COLS = ("lex_neg", "lex_neu", "lex_pos", "lex_compound")
+INLINE_MAX_WORDS = 20_000
 
 Rule = Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What the scorer knows: ``lexicon(token, valence)``, ``boosters(token, delta)``, ``negators(token)``, contrast words
+    and an optional rule for words that the lexicon lacks."""
+
+    lexicon: DataFrame | None
+    boosters: DataFrame
+    negators: DataFrame
+    rule: Rule | None = None
+    contrast: tuple[str, ...] = CONTRAST_WORDS
+
+
 def generated_valence(token: Column) -> Column:
-    """Fixture rule lexicon: every word of >= 3 ASCII letters gets
+    """Fixture rule lexicon for volume tests: every word of >= 3 ASCII letters gets
     ``((ascii(w) + length(w)) % 9 - 4) * 0.5`` (NULL otherwise)."""
     return F.when(token.rlike("^[a-z]{3,}$"),
                   ((F.ascii(token) + F.length(token)) % 9 - 4) * F.lit(0.5))
@@ -81,223 +86,205 @@ def punctuation_emphasis(text: Column) -> Column:
     return ep + qa
 
 
-def sentence_frame(df: DataFrame, text_col: str = "CleanText", keys: Sequence[str] = KEYS,
-                   keep: Sequence[str] = ()) -> DataFrame:
-    """One row per sentence: items and the sentence-level facts."""
-    items = sentiment_items(F.col(text_col))
-    has_upper = F.coalesce(F.col(text_col).rlike("[A-Z]"), F.lit(False))
-    out = df.select(*keys, *keep, items.alias("_items"), has_upper.alias("_hasup"),
-                    punctuation_emphasis(F.col(text_col)).alias("_emph"))
-    out = out.withColumn("_low", F.transform("_items", lambda w: F.lower(w)))
-    return out.select(
-        *keys, *keep, "_items", "_low", "_emph",
-        F.size("_items").alias("_n"),
-        F.array_position("_low", "but").alias("_but"),
-        # the capital-letter rules need a mix of all-caps and other items; a text
-        # without upper-case letters (all cleaned text) skips the per-item test
-        F.when(F.col("_hasup"), F.exists("_items", _is_upper)
-               & F.exists("_items", lambda w: ~_is_upper(w))).otherwise(F.lit(False))
-        .alias("_capdiff"))
-
-
-def modifier_table(lexicon: DataFrame | None, boosters: DataFrame, negators: DataFrame) -> DataFrame:
-    """``(token, m_boost, m_neg, m_inlex)`` for every word that can modify a neighbour.
-
-    Membership in the lexicon matters only for these words (a modifier that is
-    itself a lexicon word does not modify), so the table stays as small as the
-    booster / negator lists plus the lexicon's "n't" words.
-    """
-    words = (boosters.select("token")
-             .unionByName(negators.select("token"))
-             .unionByName(boosters.sparkSession.createDataFrame([("least",), ("never",)], "token string")))
-    lex = None
-    if lexicon is not None:
-        lex = lexicon.select(F.lower("token").alias("token")).distinct()
-        words = words.unionByName(lex.where(F.col("token").contains(NEGATION_MARK)))
-    words = words.select(F.lower("token").alias("token")).distinct()
-    b = boosters.select(F.lower("token").alias("token"), F.col("delta").alias("m_boost"))
-    n = negators.select(F.lower("token").alias("token"), F.lit(True).alias("m_neg")).distinct()
-    out = words.join(b, "token", "left").join(n, "token", "left")
-    if lex is not None:
-        out = out.join(lex.withColumn("m_inlex", F.lit(True)), "token", "left")
-    else:
-        out = out.withColumn("m_inlex", F.lit(None).cast("boolean"))
-    return out.select("token", "m_boost", F.coalesce("m_neg", F.lit(False)).alias("m_neg"),
-                      F.coalesce("m_inlex", F.lit(False)).alias("m_inlex"))
-
-
-def token_frame(sentences: DataFrame, lexicon: DataFrame | None, mods: DataFrame,
-                keys: Sequence[str] = KEYS, keep: Sequence[str] = (),
-                rule: Rule | None = None) -> DataFrame:
-    """Exploded items with neighbours, lexicon valence ``v0`` and modifier facts."""
-    low = F.col("_low")  # computed once per sentence, not per element
-
-    def ctx(t, i):
-        return F.struct(
-            i.alias("pos"), t.alias("t"), F.lower(t).alias("tl"),
-            *[F.get(low, i - d).alias(f"p{d}") for d in (1, 2, 3)],
-            *[F.get(F.col("_items"), i - d).alias(f"o{d}") for d in (1, 2, 3)],
-            F.get(low, i + 1).alias("n1"))
-
-    ex = sentences.select(*keys, *keep, "_n", "_but", "_emph", "_capdiff",
-                          F.explode_outer(F.transform("_items", ctx)).alias("e"))
-    ex = ex.select(*keys, *keep, "_n", "_but", "_emph", "_capdiff", "e.*")
-
-    mods, small = local_if_small(mods)
-    mod_b = F.broadcast(mods) if small else mods
-    for tag, col in (("0", "tl"), ("1", "p1"), ("2", "p2"), ("3", "p3")):
-        m = mod_b.select(F.col("token").alias(f"_k{tag}"), F.col("m_boost").alias(f"b{tag}"),
-                         F.col("m_neg").alias(f"g{tag}"), F.col("m_inlex").alias(f"l{tag}"))
-        ex = ex.join(m, ex[col] == m[f"_k{tag}"], "left").drop(f"_k{tag}")
-
-    if lexicon is not None:
-        lex = lexicon.select(F.lower("token").alias("_lt"), F.col("valence").alias("_val"))
-        lex = sized_broadcast(lex.groupBy("_lt").agg(F.max("_val").alias("_val")))
-        ex = ex.join(lex, ex["tl"] == lex["_lt"], "left").drop("_lt")
-    else:
-        ex = ex.withColumn("_val", F.lit(None).cast("double"))
-
-    is_mod = F.col("g0").isNotNull()  # the item itself is a modifier word
-    ruled = rule(F.col("tl")) if rule is not None else F.lit(None).cast("double")
-    valence = F.coalesce(F.col("_val"), F.when(~is_mod, ruled))
-    skip = F.col("b0").isNotNull() | ((F.col("tl") == "kind") & (F.col("n1") == "of"))
-    ex = ex.withColumn("in_lex", valence.isNotNull() & ~skip)
-    ex = ex.withColumn("v0", F.when(skip | valence.isNull(), F.lit(0.0)).otherwise(valence))
-    return ex
-
-
-def _neg(d: str) -> Column:
-    p = F.col(f"p{d}")
-    return F.coalesce(F.col(f"g{d}"), F.lit(False)) | p.contains(NEGATION_MARK)
-
-
-def _gate(d: str) -> Column:
-    """The predecessor at distance d exists and is not itself a lexicon word."""
-    return F.col(f"p{d}").isNotNull() & ~F.coalesce(F.col(f"l{d}"), F.lit(False))
-
-
-def apply_caps(ex: DataFrame) -> DataFrame:
-    up = F.col("_capdiff") & F.col("in_lex") & _is_upper(F.col("t"))
-    return ex.withColumn("v_caps", F.when(up & (F.col("v0") > 0), F.col("v0") + CAPS_INCREMENT)
-                         .when(up, F.col("v0") - CAPS_INCREMENT).otherwise(F.col("v0")))
-
-
-def _boost(v: Column, d: int) -> Column:
-    b = F.col(f"b{d}")
-    s = F.when(v < 0, -b).otherwise(b)
-    caps = F.col("_capdiff") & _is_upper(F.col(f"o{d}"))
-    s = F.when(caps & (v > 0), s + CAPS_INCREMENT).when(caps, s - CAPS_INCREMENT).otherwise(s)
-    s = s * F.lit(BOOST_DISTANCE_DAMP[d - 1])
-    return F.when(_gate(str(d)) & b.isNotNull(), v + s).otherwise(v)
-
-
-def _negate(v: Column, d: int) -> Column:
-    g = _gate(str(d))
-    so_this = F.col("p1").isin("so", "this") if d == 2 else F.col("p2").isin("so", "this")
-    if d == 1:
-        return F.when(g & _neg("1"), v * NEGATION_SCALAR).otherwise(v)
-    never = (F.col(f"p{d}") == "never") & so_this
-    return (F.when(g & never, v * NEVER_SO_SCALAR[d - 2])
-            .when(g & _neg(str(d)), v * NEGATION_SCALAR).otherwise(v))
-
-
-def apply_boosters_only(ex: DataFrame, src: str = "v_caps") -> DataFrame:
-    v = F.col(src)
-    for d in (1, 2, 3):
-        v = _boost(v, d)
-    return ex.withColumn("v_boost", F.when(F.col("in_lex"), v).otherwise(F.col(src)))
-
-
-def apply_negation_only(ex: DataFrame, src: str = "v_caps") -> DataFrame:
-    v = F.col(src)
-    for d in (1, 2, 3):
-        v = _negate(v, d)
-    return ex.withColumn("v_negate", F.when(F.col("in_lex"), v).otherwise(F.col(src)))
-
-
-def apply_modifiers(ex: DataFrame, src: str = "v_caps") -> DataFrame:
-    """Boosters and negation interleaved by distance (1, 2, 3), then "least"."""
-    out = ex.withColumn("_v", F.col(src))
-    for d in (1, 2, 3):
-        out = out.withColumn("_v", _negate(_boost(F.col("_v"), d), d))
-    least = (_gate("1") & (F.col("p1") == "least")
-             & ~F.coalesce(F.col("p2").isin("at", "very"), F.lit(False)))
-    v = F.when(least, F.col("_v") * NEGATION_SCALAR).otherwise(F.col("_v"))
-    return out.withColumn("v_mod", F.when(F.col("in_lex"), v).otherwise(F.col(src))).drop("_v")
-
-
-def contrast_factor() -> Column:
-    """0.5 before the first "but", 1.5 after it, 1 elsewhere."""
-    b = F.col("_but") - 1
-    return (F.when((F.col("_but") > 0) & (F.col("pos") < b), F.lit(BUT_BEFORE))
-            .when((F.col("_but") > 0) & (F.col("pos") > b), F.lit(BUT_AFTER))
-            .otherwise(F.lit(1.0)))
-
-
-def apply_contrast(ex: DataFrame, src: str = "v_mod") -> DataFrame:
-    return ex.withColumn("v", F.col(src) * contrast_factor())
-
-
-def aggregate_sentences(ex: DataFrame, keys: Sequence[str] = KEYS, keep: Sequence[str] = (),
-                        neutral_when_empty: bool = False, carry_max: Sequence[str] = ()) -> DataFrame:
-    """Sum the item valences per sentence.
-
-    ``keep`` columns are constant per sentence, so they join the grouping keys:
-    a hash partitioning on ``keys`` alone still satisfies the grouping, and the
-    aggregate stays a hash aggregate (no sort of the item rows).  ``carry_max``
-    columns (numeric, constant per sentence) ride along as ``max``: a filter on
-    them is not pushed below the aggregate.
-    """
-    v = F.coalesce(F.col("v"), F.lit(0.0))
-    agg = ex.groupBy(*keys, *keep).agg(
-        *[F.max(c).alias(c) for c in carry_max],
-        F.max("_n").alias("_n"), F.max("_emph").alias("_emph"),
-        F.sum(v).alias("_s"),
-        F.sum(F.when(v > 0, v + 1.0).otherwise(0.0)).alias("_ps"),
-        F.sum(F.when(v < 0, v - 1.0).otherwise(0.0)).alias("_ns"),
-        F.count_if(v > 0).alias("_np"), F.count_if(v < 0).alias("_nn"))
-    return finish_scores(agg, keys, [*keep, *carry_max], neutral_when_empty)
-
-
-def finish_scores(agg: DataFrame, keys: Sequence[str], keep: Sequence[str],
-                  neutral_when_empty: bool = False) -> DataFrame:
-    s, e, ps, ns = F.col("_s"), F.col("_emph"), F.col("_ps"), F.col("_ns")
-    s2 = F.when(s > 0, s + e).when(s < 0, s - e).otherwise(s)
-    comp = s2 / F.sqrt(s2 * s2 + F.lit(COMPOUND_ALPHA))
-    comp = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), comp))
-    ps2 = F.when(ps > F.abs(ns), ps + e).otherwise(ps)
-    ns2 = F.when(ps < F.abs(ns), ns - e).otherwise(ns)
-    neu = (F.col("_n") - F.col("_np") - F.col("_nn")).cast("double")
-    total = ps2 + F.abs(ns2) + neu
-    has = F.col("_n") > 0
-    empty_neu = F.lit(1.0 if neutral_when_empty else 0.0)
-    return agg.select(
-        *keys, *keep,
-        F.when(has, F.round(F.abs(ns2 / total), 3)).otherwise(0.0).alias("lex_neg"),
-        F.when(has, F.round(F.abs(neu / total), 3)).otherwise(empty_neu).alias("lex_neu"),
-        F.when(has, F.round(F.abs(ps2 / total), 3)).otherwise(0.0).alias("lex_pos"),
-        F.when(has, F.round(comp, 4)).otherwise(0.0).alias("lex_compound"))
-
-
-def lexicon_tokens(df: DataFrame, lexicon: DataFrame | None, boosters: DataFrame,
-                   negators: DataFrame, text_col: str = "CleanText", keys: Sequence[str] = KEYS,
-                   keep: Sequence[str] = (), rule: Rule | None = None) -> DataFrame:
-    keep = list(keep)
-    """Per-item frame through the whole rule chain (columns v0, v_caps, v_mod, v)."""
-    sent = sentence_frame(df, text_col, keys, keep)
-    mods = modifier_table(lexicon, boosters, negators)
-    ex = token_frame(sent, lexicon, mods, keys, keep, rule)
-    return apply_contrast(apply_modifiers(apply_caps(ex)))
-
-
-def lexicon_scores(df: DataFrame, lexicon: DataFrame | None, boosters: DataFrame,
-                   negators: DataFrame, text_col: str = "CleanText", keys: Sequence[str] = KEYS,
-                   keep: Sequence[str] = (), rule: Rule | None = None,
-                   neutral_when_empty: bool = False, carry_max: Sequence[str] = ()) -> DataFrame:
-    """``keys + keep + (lex_neg, lex_neu, lex_pos, lex_compound)``, one row per sentence.
-
-    ``keep`` columns must be constant per sentence and small (they ride along
-    through the per-sentence aggregate instead of being joined back).
+def _lookup(rows: dict[str, float]) -> Rule:
+    """A small table as an expression: the map is searched only for words in the hashed set."""
+    if not rows:
+        return lambda t: F.lit(None).cast("double")
+    table = F.create_map(*[F.lit(x) for pair in rows.items() for x in pair])
+    return lambda t: F.when(t.isin(list(rows)), table[t])
+
+
+def _small_rows(df: DataFrame, value: str) -> dict[str, float] | None:
+    """``{token: largest value}`` of a table proven small, else None."""
+    own = df.groupBy(F.lower("token").alias("token")).agg(F.max(value).alias("v")).where("token IS NOT NULL AND v IS NOT NULL")
+    return {r["token"]: float(r["v"]) for r in own.orderBy("token").collect()} if is_small(own, INLINE_MAX_WORDS) else None
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _with_hits(df: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
+    """Append ``_hits``, a map from an item's place to its lexicon valence, by a join on the items of numbered rows."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change again
+    lex = lexicon.groupBy(F.lower("token").alias("_t")).agg(F.max("valence").alias("_v")).where("_v IS NOT NULL")
+    low = F.transform(sentiment_items(F.col(text_col)), lambda w: F.lower(w))
+    hits = (rows.select("_row", F.posexplode(low).alias("_p", "_t")).join(lex, "_t").groupBy("_row")
+            .agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_hits")))
+    return rows.join(hits, "_row", "left").drop("_row")
+
+
+def _valences(df: DataFrame, rules: Rules, text_col: str) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """The lexicon valence of an item (word, place): from an inlined table if it is proven small, else by a join."""
+    if rules.lexicon is None:
+        return df, lambda t, i: F.lit(None).cast("double")
+    rows = _small_rows(rules.lexicon, "valence")
+    if rows is None:
+        return _with_hits(df, rules.lexicon, text_col), lambda t, i: F.when(F.col("_hits").isNotNull(), F.col("_hits")[i])
+    find = _lookup(rows)
+    return df, lambda t, i: find(t)
+
+
+def _sentence(text: Column, rules: Rules, valence: Callable[[Column, Column], Column]) -> Column:
+    """``struct<items, low, val, n, emph, but, capdiff>`` of a text."""
+    # the capital-letter rules need a mix of all-caps and other items; a text without upper-case letters (all
+    # cleaned text) skips the test of each item
+    has_upper = F.coalesce(text.rlike("[A-Z]"), F.lit(False))
+
+    def facts(x: Column) -> Column:
+        places = [F.nullif(F.array_position(x["low"], w), F.lit(0)) for w in rules.contrast]
+        first = F.least(*places) if len(places) > 1 else places[0] if places else F.lit(None).cast("long")
+        mixed = F.exists(x["items"], _is_upper) & F.exists(x["items"], lambda w: ~_is_upper(w))
+        return F.struct(x["items"].alias("items"), x["low"].alias("low"), F.transform(x["low"], valence).alias("val"),
+                        F.size(x["items"]).alias("n"), x["emph"].alias("emph"), F.coalesce(first, F.lit(0)).alias("but"),
+                        F.when(x["upper"], mixed).otherwise(F.lit(False)).alias("capdiff"))
+
+    return let(let(sentiment_items(text), lambda items: F.struct(
+        items.alias("items"), F.transform(items, lambda w: F.lower(w)).alias("low"), punctuation_emphasis(text).alias("emph"),
+        has_upper.alias("upper"))), facts)
+
+
+def _chain(rules: Rules, steps: Sequence[str]) -> Callable[[Column], Column]:
+    """From a sentence to ``array<struct<e, v>>`` over its lexicon items: the item's facts and its valence after
+    ``steps``: ``boost``, ``negate``, ``modify`` (both, by distance, then "least") and ``contrast``."""
+    boosters = _small_rows(rules.boosters, "delta")
+    negators = _small_rows(rules.negators.withColumn("one", F.lit(1.0)), "one")
+    if boosters is None or negators is None:
+        raise ValueError(f"more than {INLINE_MAX_WORDS} boosters or negators")
+    boost, nots = _lookup(boosters), sorted(negators)
+    is_modifier = [*boosters, *nots, "least", "never"]
+
+    def negates(t: Column) -> Column:
+        return (t.isin(nots) if nots else F.lit(False)) | F.contains(t, F.lit(NEGATION_MARK))
+
+    def items(x: Column) -> Column:
+        def item(t: Column, i: Column) -> Column:
+            ruled = (F.when(~t.isin(is_modifier) & ~negates(t), rules.rule(t)) if rules.rule is not None
+                     else F.lit(None).cast("double"))
+            skip = t.isin(list(boosters)) if boosters else F.lit(False)
+            skip = skip | ((t == "kind") & F.get(x["low"], i + 1).eqNullSafe(F.lit("of")))
+            return F.struct(i.alias("pos"), t.alias("tl"), F.when(~skip, F.coalesce(F.get(x["val"], i), ruled)).alias("v0"))
+
+        def with_neighbours(y: Column) -> Column:
+            i, facts = y["pos"], []
+            for d in (1, 2, 3):
+                p = F.get(x["low"], i - d)
+                facts += [p.alias(f"p{d}"),
+                          # a predecessor that is itself a lexicon word does not modify
+                          (p.isNotNull() & F.get(x["val"], i - d).isNull()).alias(f"free{d}"),
+                          boost(p).alias(f"b{d}"), F.coalesce(negates(p), F.lit(False)).alias(f"g{d}"),
+                          F.coalesce(x["capdiff"] & _is_upper(F.get(x["items"], i - d)), F.lit(False)).alias(f"up{d}")]
+            t = F.get(x["items"], i)
+            up = x["capdiff"] & _is_upper(t)
+            caps = F.when(up & (y["v0"] > 0), y["v0"] + CAPS_INCREMENT).when(up, y["v0"] - CAPS_INCREMENT).otherwise(y["v0"])
+            return F.struct(i.alias("pos"), t.alias("t"), y["tl"].alias("tl"), y["v0"].alias("v0"), caps.alias("v_caps"),
+                            x["capdiff"].alias("cap_diff"), contrast_factor(i, x["but"]).alias("factor"), *facts)
+
+        return F.transform(F.filter(F.transform(x["low"], item), lambda y: y["v0"].isNotNull()), with_neighbours)
+
+    def boosted(d: int) -> Callable[[Column, Column], Column]:
+        def rule(e: Column, v: Column) -> Column:
+            b = e[f"b{d}"]
+            s = F.when(v < 0, -b).otherwise(b)
+            s = F.when(e[f"up{d}"] & (v > 0), s + CAPS_INCREMENT).when(e[f"up{d}"], s - CAPS_INCREMENT).otherwise(s)
+            return F.when(e[f"free{d}"] & b.isNotNull(), v + s * F.lit(BOOST_DISTANCE_DAMP[d - 1])).otherwise(v)
+        return rule
+
+    def negated(d: int) -> Callable[[Column, Column], Column]:
+        def rule(e: Column, v: Column) -> Column:
+            turned = F.when(e[f"free{d}"] & e[f"g{d}"], v * NEGATION_SCALAR).otherwise(v)
+            if d == 1:
+                return turned
+            # "never" with "so" or "this" between it and the item
+            so = F.lit(False)
+            for k in range(1, d):
+                so = so | F.coalesce(e[f"p{k}"].isin("so", "this"), F.lit(False))
+            return F.when(e[f"free{d}"] & (e[f"p{d}"] == "never") & so, v * NEVER_SO_SCALAR[d - 2]).otherwise(turned)
+        return rule
+
+    def least(e: Column, v: Column) -> Column:
+        return F.when(e["free1"] & (e["p1"] == "least") & ~F.coalesce(e["p2"].isin("at", "very"), F.lit(False)),
+                      v * NEGATION_SCALAR).otherwise(v)
+
+    chain: list[Callable[[Column, Column], Column]] = []
+    for step in steps:
+        chain += {"boost": [boosted(d) for d in (1, 2, 3)], "negate": [negated(d) for d in (1, 2, 3)],
+                  "modify": [f(d) for d in (1, 2, 3) for f in (boosted, negated)] + [least],
+                  "contrast": [lambda e, v: v * e["factor"]]}[step]
+
+    def run(x: Column) -> Column:
+        out = F.transform(items(x), lambda e: F.struct(e.alias("e"), e["v_caps"].alias("v")))
+        for rule in chain:
+            out = F.transform(out, _step(rule))
+        return out
+
+    return run
+
+
+def _step(rule: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    return lambda y: F.struct(y["e"].alias("e"), rule(y["e"], y["v"]).alias("v"))
+
+
+def contrast_factor(pos: Column, but: Column) -> Column:
+    """0.5 before the first contrast word (``but``: its place from 1, or 0), 1.5 after it, 1 elsewhere."""
+    return (F.when((but > 0) & (pos < but - 1), F.lit(BUT_BEFORE))
+            .when((but > 0) & (pos > but - 1), F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
+
+
+def lexicon_items(df: DataFrame, rules: Rules, text_col: str = "CleanText", keys: Sequence[str] = ("Episode", "SentenceIndex"),
+                  steps: Sequence[str] = ("modify", "contrast")) -> DataFrame:
+    """One row for each lexicon item: ``keys, pos, t, tl, cap_diff, factor, v0, v_caps, v``."""
+    df, valence = _valences(df, rules, text_col)
+    run = _chain(rules, steps)
+    out = df.select(*keys, F.explode(let(_sentence(F.col(text_col), rules, valence), run)).alias("x"))
+    return out.select(*keys, *[F.col(f"x.e.{c}").alias(c) for c in ("pos", "t", "tl", "cap_diff", "factor", "v0", "v_caps")],
+                      F.col("x.v").alias("v"))
+
+
+def lexicon_scores(df: DataFrame, rules: Rules, text_col: str = "CleanText", neutral_when_empty: bool = False) -> DataFrame:
+    """Append ``lex_neg, lex_neu, lex_pos, lex_compound`` and ``lex_label``; all columns and rows of ``df`` stay.
+
+    The score is one expression that reads the text once, so that a filter on a score or label repeats it once at most.
     """
-    ex = lexicon_tokens(df, lexicon, boosters, negators, text_col, keys, [*keep, *carry_max], rule)
-    return aggregate_sentences(ex, keys, keep, neutral_when_empty, carry_max)
+    columns = df.columns
+    df, valence = _valences(df, rules, text_col)
+    run = _chain(rules, ("modify", "contrast"))
+    start = F.struct(*[F.lit(0.0).alias(x) for x in ("s", "ps", "ns")], *[F.lit(0).alias(x) for x in ("np", "nn")])
+
+    def add(acc: Column, y: Column) -> Column:
+        v = y["v"]
+        return F.struct((acc["s"] + v).alias("s"),
+                        (acc["ps"] + F.when(v > 0, v + 1.0).otherwise(0.0)).alias("ps"),
+                        (acc["ns"] + F.when(v < 0, v - 1.0).otherwise(0.0)).alias("ns"),
+                        (acc["np"] + F.when(v > 0, 1).otherwise(0)).alias("np"),
+                        (acc["nn"] + F.when(v < 0, 1).otherwise(0)).alias("nn"))
+
+    def score(x: Column) -> Column:
+        n, e = x["n"], x["emph"]
+
+        def emphasised(a: Column) -> Column:
+            s, ps, ns = a["s"], a["ps"], a["ns"]
+            return F.struct(F.when(s > 0, s + e).when(s < 0, s - e).otherwise(s).alias("s"),
+                            F.when(ps > F.abs(ns), ps + e).otherwise(ps).alias("ps"),
+                            F.when(ps < F.abs(ns), ns - e).otherwise(ns).alias("ns"),
+                            (n - a["np"] - a["nn"]).cast("double").alias("neu"))
+
+        def finished(a: Column) -> Column:
+            total = a["ps"] + F.abs(a["ns"]) + a["neu"]
+            comp = a["s"] / F.sqrt(a["s"] * a["s"] + F.lit(COMPOUND_ALPHA))
+            has = n > 0
+            return F.struct(
+                F.when(has, F.round(F.abs(a["ns"] / total), 3)).otherwise(0.0).alias("lex_neg"),
+                F.when(has, F.round(F.abs(a["neu"] / total), 3)).otherwise(1.0 if neutral_when_empty else 0.0).alias("lex_neu"),
+                F.when(has, F.round(F.abs(a["ps"] / total), 3)).otherwise(0.0).alias("lex_pos"),
+                F.when(has, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), comp)), 4)).otherwise(0.0).alias("lex_compound"))
+
+        return let(F.aggregate(run(x), start, add, emphasised), finished)
+
+    def labelled(a: Column) -> Column:
+        return F.struct(*[a[c].alias(c) for c in SCORE_COLS],
+                        major_sentiment(a["lex_pos"], a["lex_neu"], a["lex_neg"]).alias("lex_label"))
+
+    out = df.withColumn("_lex", let(let(_sentence(F.col(text_col), rules, valence), score), labelled))
+    return out.select(*columns, *[F.col(f"_lex.{c}").alias(c) for c in (*SCORE_COLS, "lex_label")])

@@ -2,38 +2,30 @@
 
 Two interchangeable scorers:
 
-* ``linear_logits`` — a native linear bag-of-words scorer written as a
-  higher-order ``aggregate`` over each row's words (JVM-side, no shuffle).
-  The default weights are the fixture rule ``((ascii(w) * (k + 3) + length(w))
-  % 11 - 5) / 10`` for class k = 0 (neg), 1 (neu), 2 (pos), averaged over the
-  row's words.  It is a stand-in for real model weights, not a trained model.
-* ``score_with_pandas`` — the batch-inference harness: ``mapInPandas`` with a
-  scorer built once per Python worker and fed Arrow batches.  Rows a scorer
-  cannot handle are reported with an error instead of failing the job.
-
-Rows that must not reach a model (NULL text, text above ``max_chars``) are
-split off first with a reason (``model_rejects``).
+* ``linear_scores`` — a native linear bag-of-words scorer written as a higher-order ``aggregate`` over each row's
+  words (JVM-side, no shuffle).  The default weights are the fixture rule ``((ascii(w) * (k + 3) + length(w)) % 11 - 5)
+  / 10`` for class k = 0 (neg), 1 (neu), 2 (pos), averaged over the row's words.  It is a stand-in for real model
+  weights, not a trained model.
+* ``score_with_pandas`` — the batch-inference harness: ``mapInPandas`` with a scorer that each Python worker keeps under
+  an explicit key and feeds with Arrow batches.  Rows the scorer cannot handle are reported instead of failing the job.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonality.functions.labels import softmax3
+from tonality.functions.labels import major_sentiment, softmax3
 from tonality.functions.text import WORD_PATTERN, extract_words
+from tonality.operators.lexicon import let
 
 CLASSES = ("neg", "neu", "pos")
-# Stored precision of the model probabilities: multiples of 2^-20 (~1e-6; the
-# original scorer kept float32, ~7 significant digits).  A score in [0, 1] then
-# has at most 2^20 + 1 values, which bounds the state of an exact median per
-# group at any data size, and sums of scores are exact in any order.
-SCORE_GRID = float(1 << 20)
 LOGIT_COLS = tuple(f"logit_{c}" for c in CLASSES)
 SCORE_COLS = tuple(f"model_{c}" for c in CLASSES)
 
@@ -42,73 +34,55 @@ LINEAR_MULTIPLIERS = (3, 4, 5)
 LINEAR_MODULUS, LINEAR_OFFSET, LINEAR_SCALE = 11, 5, 10.0
 
 
-def linear_logits(text: Column | str) -> list[Column]:
-    """Fixture linear scorer: per class, the mean word weight (0 for a row without words).
+def linear_model(text: Column | str) -> Column:
+    """``struct<logits, probabilities, model_label>`` of the fixture linear scorer: per class, the mean word weight (0 for a
+    row without words); NULL for a row without a text.
 
-    Sums stay integral until the final division, so equal logits are exactly equal.
+    One fold over the words, which reads the text once.  Sums stay integral until the final division, so equal
+    logits are exactly equal.
     """
-    words = extract_words(text)
-    n = F.coalesce(F.size(words), F.lit(0))
-    out = []
-    def step(m: int):
-        return lambda acc, w: acc + ((F.ascii(w) * m + F.length(w)) % LINEAR_MODULUS
-                                     - LINEAR_OFFSET)
+    text = F.col(text) if isinstance(text, str) else text
+    names = [f"s{m}" for m in LINEAR_MULTIPLIERS]
+    start = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("n", *names)])
 
-    for mult in LINEAR_MULTIPLIERS:
-        total = F.aggregate(words, F.lit(0).cast("long"), step(mult))
-        out.append(F.when(n > 0, total / (F.lit(LINEAR_SCALE) * n)).otherwise(F.lit(0.0)))
-    return out
+    def step(acc: Column, w: Column) -> Column:
+        return F.struct((acc["n"] + 1).alias("n"),
+                        *[(acc[x] + (F.ascii(w) * m + F.length(w)) % LINEAR_MODULUS - LINEAR_OFFSET).alias(x)
+                          for x, m in zip(names, LINEAR_MULTIPLIERS)])
 
+    def finish(acc: Column) -> Column:
+        return F.struct(*[F.when(acc["n"] > 0, acc[x] / (F.lit(LINEAR_SCALE) * acc["n"])).otherwise(F.lit(0.0)).alias(c)
+                          for c, x in zip(LOGIT_COLS, names)])
 
-def reject_reason(text_col: str = "CleanText", max_chars: int | None = None,
-                  null_col: str | None = None) -> Column:
-    """Why a row must not reach the model (NULL = scorable).
+    def scored(m: Column) -> Column:
+        logits = [m[c] for c in LOGIT_COLS]
+        return F.struct(*[x.alias(c) for c, x in zip(LOGIT_COLS, logits)],
+                        *[p.alias(c) for c, p in zip(SCORE_COLS, softmax3(*logits))],
+                        major_sentiment(*logits[::-1]).alias("model_label"))
+
+    return let(F.aggregate(extract_words(text), start, step, finish), scored)
 
-    ``null_col`` is the raw text column: testing it instead of the cleaned text
-    lets the NULL test reach the scan without re-evaluating the cleaning.
-    """
-    reason = F.when(F.col(null_col or text_col).isNull(), F.lit("null text"))
-    if max_chars is not None:
-        reason = reason.when(F.length(text_col) > max_chars, F.lit("text too long"))
-    return reason
-
-
-def model_rejects(df: DataFrame, text_col: str = "CleanText", max_chars: int | None = None,
-                  keys: Sequence[str] = ("Episode", "SentenceIndex"),
-                  null_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split rows into (scorable, rejects(keys, n_chars, reason))."""
-    tagged = df.withColumn("_reject", reject_reason(text_col, max_chars, null_col))
-    ok = tagged.where(F.col("_reject").isNull()).drop("_reject")
-    rejects = tagged.where(F.col("_reject").isNotNull()).select(
-        *keys, F.length(text_col).alias("n_chars"), F.col("_reject").alias("reason"))
-    return ok, rejects
-
-
-def with_softmax(df: DataFrame, logits: Sequence[Column | str] = LOGIT_COLS,
-                 out: Sequence[str] = SCORE_COLS, label: str | None = "model_label") -> DataFrame:
-    """Probabilities on the ``SCORE_GRID``; the label is the arg-max of the
-    unrounded values (tie order pos, neu, neg)."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in logits]
-    probs = softmax3(*cols)
-    new = {o: F.round(p * F.lit(SCORE_GRID), 0) / F.lit(SCORE_GRID) for o, p in zip(out, probs)}
-    if label:
-        from tonality.functions.labels import major_sentiment
-        neg, neu, pos = probs
-        new[label] = major_sentiment(pos, neu, neg)
-    return df.withColumns(new)
+
+def with_softmax(df: DataFrame, logits: Sequence[str] = LOGIT_COLS, out: Sequence[str] = SCORE_COLS,
+                 label: str | None = "model_label") -> DataFrame:
+    """Probabilities in full precision; the label is the arg-max of the logits (tie order pos, neu, neg)."""
+    df = df.withColumns(dict(zip(out, softmax3(*map(F.col, logits)))))
+    return df.withColumn(label, major_sentiment(*[logits[i] for i in (2, 1, 0)])) if label else df
 
 
 def linear_scores(df: DataFrame, text_col: str = "CleanText", keep_logits: bool = False) -> DataFrame:
-    """Append ``model_neg, model_neu, model_pos`` and ``model_label`` from the native linear scorer."""
-    logits = linear_logits(text_col)
-    out = df.withColumns(dict(zip(LOGIT_COLS, logits)))
-    out = with_softmax(out)
-    return out if keep_logits else out.drop(*LOGIT_COLS)
+    """Append ``model_neg, model_neu, model_pos`` and ``model_label`` from the native linear scorer.
+
+    A row without a text has no score and no label.
+    """
+    kept = [*(LOGIT_COLS if keep_logits else ()), *SCORE_COLS, "model_label"]
+    out = df.withColumn("_model", linear_model(text_col))
+    return out.select(*df.columns, *[F.col(f"_model.{c}").alias(c) for c in kept])
 
 
 # ---------------------------------------------------------------- pandas path
 
-_WORD_RE = re.compile(WORD_PATTERN)
+_WORD_RE = regex.compile(WORD_PATTERN)
 
 
 def linear_fixture_scorer() -> Callable[[pd.Series], np.ndarray]:
@@ -116,7 +90,7 @@ def linear_fixture_scorer() -> Callable[[pd.Series], np.ndarray]:
     mults = np.array(LINEAR_MULTIPLIERS, dtype=np.int64)
 
     def score(texts: pd.Series) -> np.ndarray:
-        words = texts.fillna("").str.findall(_WORD_RE).explode().dropna()
+        words = texts.map(_WORD_RE.findall).explode().dropna()
         if words.empty:
             return np.zeros((len(texts), 3))
         first = words.str[0].map(ord).to_numpy(np.int64)
@@ -133,77 +107,89 @@ def linear_fixture_scorer() -> Callable[[pd.Series], np.ndarray]:
     return score
 
 
-_SCORER_CACHE: dict[int, Callable] = {}
+class ScorerKey(NamedTuple):
+    """Names a model; two models, or two versions of one, must have different keys."""
+
+    name: str
+    version: str
+
+
+_SCORERS: dict[ScorerKey, Callable] = {}
 
 
-def _scorer_for(factory: Callable[[], Callable]) -> Callable:
-    # One model per Python worker process (workers are reused across tasks).
-    key = id(factory)
-    if key not in _SCORER_CACHE:
-        _SCORER_CACHE[key] = factory()
-    return _SCORER_CACHE[key]
+def _scorer_for(key: ScorerKey, factory: Callable[[], Callable]) -> Callable:
+    """The worker's scorer of this key, built when first asked for; a worker keeps one model."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = factory()
+    return _SCORERS[key]
 
 
-def score_with_pandas(df: DataFrame, factory: Callable[[], Callable[[pd.Series], np.ndarray]],
+# What a scorer raises for a row that it cannot handle; anything else is a fault and fails the job.
+ROW_ERRORS = (RuntimeError, IndexError)
+
+
+def score_with_pandas(df: DataFrame, key: ScorerKey, factory: Callable[[], Callable[[pd.Series], np.ndarray]],
                       text_col: str = "CleanText", passthrough: Sequence[str] = ()) -> DataFrame:
     """Batch inference through ``mapInPandas``.
 
-    ``factory()`` builds a scorer ``texts -> ndarray (n, 3)`` of logits (neg, neu,
-    pos) once per worker.  A failing batch is retried row by row; rows that still
-    fail get NULL logits and the error text in ``model_error``.
+    ``factory()`` builds a scorer ``texts -> ndarray (n, 3)`` of logits (neg, neu, pos); workers keep it under ``key``.
+    Rows without a text are not sent to it.  If a batch raises one of ``ROW_ERRORS``, its rows are scored one by one; those
+    that fail get NULL logits and the error in ``model_error``.
     """
-    cols = list(passthrough) + [text_col]
+    passthrough = list(passthrough)
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*passthrough).schema.fields]
         + [f"{c} double" for c in LOGIT_COLS] + ["model_error string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer_for(factory)
+        scorer = _scorer_for(key, factory)
         for pdf in batches:
             texts = pdf[text_col].reset_index(drop=True)
-            errors = [None] * len(texts)
+            logits, errors = np.full((len(texts), 3), np.nan), np.full(len(texts), None, object)
+            missing = texts.isna().to_numpy()
+            errors[missing] = "null text"
+            there = np.flatnonzero(~missing)
             try:
-                logits = np.asarray(scorer(texts), dtype=float)
-            except Exception:  # noqa: BLE001 - isolate the failing rows
-                logits = np.full((len(texts), 3), np.nan)
-                for i, t in enumerate(texts):
+                if len(there):
+                    logits[there] = scorer(texts.iloc[there].reset_index(drop=True))
+            except ROW_ERRORS:
+                for i in there:
                     try:
-                        logits[i] = np.asarray(scorer(pd.Series([t])), dtype=float)[0]
-                    except Exception as e:  # noqa: BLE001
-                        errors[i] = f"{type(e).__name__}: {e}"[:500]
-            out = pdf[list(passthrough)].reset_index(drop=True).copy()
+                        logits[i] = np.asarray(scorer(texts.iloc[[i]].reset_index(drop=True)), float)[0]
+                    except ROW_ERRORS as e:
+                        errors[i] = f"{type(e).__name__}: {e}"
+            out = pdf[passthrough].reset_index(drop=True).copy()
             for j, c in enumerate(LOGIT_COLS):
-                out[c] = logits[:, j]
+                out[c] = pd.Series(logits[:, j]).where(pd.Series(errors).isna(), None)
             out["model_error"] = errors
             yield out
 
-    return df.select(*cols).mapInPandas(run, schema)
+    return df.select(*passthrough, *([text_col] if text_col not in passthrough else [])).mapInPandas(run, schema)
 
 
-def onnx_scorer_factory(model_path: str, tokenizer_path: str, max_tokens: int = 512):
-    """Factory for a 3-class sequence classifier exported to ONNX (weights supplied by the user).
+LINEAR_KEY = ScorerKey("linear-fixture", "1")
 
-    Raises ``RuntimeError`` for inputs longer than ``max_tokens`` like the original model.
-    """
-    def factory():
-        import onnxruntime as ort  # gated: only needed when a model file is supplied
-        from tokenizers import Tokenizer
 
-        sess = ort.InferenceSession(model_path, providers=["CPUExecutionProvider"])
-        tok = Tokenizer.from_file(tokenizer_path)
-        names = [i.name for i in sess.get_inputs()]
+def limited_fixture_scorer(max_words: int) -> Callable[[], Callable[[pd.Series], np.ndarray]]:
+    """The fixture scorer with a context of ``max_words`` words, beyond which it raises as a transformer does."""
+    def factory() -> Callable[[pd.Series], np.ndarray]:
+        inner = linear_fixture_scorer()
 
         def score(texts: pd.Series) -> np.ndarray:
-            out = np.zeros((len(texts), 3))
-            for i, t in enumerate(texts.fillna("")):
-                enc = tok.encode(t)
-                if len(enc.ids) > max_tokens:
-                    raise RuntimeError("text too long for the model")
-                feed = {"input_ids": np.array([enc.ids], dtype=np.int64),
-                        "attention_mask": np.array([enc.attention_mask], dtype=np.int64)}
-                out[i] = sess.run(None, {k: v for k, v in feed.items() if k in names})[0][0]
-            return out
+            if (texts.map(lambda t: len(_WORD_RE.findall(t))) > max_words).any():
+                raise RuntimeError("text too long for the model")
+            return inner(texts)
 
         return score
 
     return factory
+
+
+def model_rejects(scored: DataFrame, keys: Sequence[str] = ("Episode", "SentenceIndex")) -> tuple[DataFrame, DataFrame]:
+    """Split the rows of ``score_with_pandas`` into (scored, rejects(keys, reason)).
+
+    Both read the same rows: pass a materialised table, or the model runs for each.
+    """
+    failed = F.col("model_error").isNotNull()
+    return scored.where(~failed).drop("model_error"), scored.where(failed).select(*keys, F.col("model_error").alias("reason"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonality.session import sized_broadcast
 
@@ -31,12 +32,6 @@ SCORERS = ("lex", "model")
 LABEL_SHORT = (("Positive", "pos"), ("Neutral", "neu"), ("Negative", "neg"))
 
 
-def _labelled(s: str, short: str):
-    """The scorer's own score for its label X, NULL on rows with another label."""
-    label = dict((b, a) for a, b in LABEL_SHORT)[short]
-    return F.when(F.col(f"{s}_label") == label, F.col(f"{s}_{short}"))
-
-
 def sentiment_totals(scored: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
     """Rows per prevailing label and scorer, plus all rows; one pass."""
     aggs = [F.count_if(F.col(f"{s}_label") == lab).alias(f"{s}_total_{short}")
@@ -68,39 +63,29 @@ def modal_sentiment(scored: DataFrame, by: Sequence[str] = ("Episode",),
     return best
 
 
-def _dimension_names(characters: DataFrame) -> list[str]:
-    from tonality.session import row_count_at_most
-    if row_count_at_most(characters, 10_000) is None:
-        raise ValueError("character dimension too large to expand per group")
-    return [r["name"] for r in characters.select("name").collect()]
-
-
 def fill_characters(stats: DataFrame, characters: DataFrame, by: Sequence[str],
                     zero_cols: Sequence[str] = ()) -> DataFrame:
-    """Expand per-(group, character) rows to every character of the dimension, in
-    dimension order (``char_order``); missing characters get 0 in ``zero_cols``
-    and NULL elsewhere.
+    """Expand per-(group, character) rows to every character of the dimension, in dimension order (``char_order``).
 
-    One pass, no self-join: each group's rows (at most one per character, so
-    bounded by the dimension) are gathered and matched against the dimension
-    array inside the row.
+    Characters seen in a group but absent from the dimension (NULL for codes that could not be decoded) stay, with a
+    NULL ``char_order``; characters without rows get 0 in ``zero_cols`` and NULL elsewhere.
     """
-    names = _dimension_names(characters)
-    vals = [c for c in stats.columns if c not in (*by, "Character")]
-    per_group = stats.groupBy(*by).agg(
-        F.collect_list(F.struct("Character", *vals)).alias("_rows"))
-    dim = F.array(*[F.struct(F.lit(i).alias("char_order"), F.lit(n).alias("Character"))
-                    for i, n in enumerate(names)])
-
-    def pick(d):
-        hit = F.get(F.filter("_rows", lambda r: r["Character"] == d["Character"]), 0)
-        return F.struct(d["char_order"].alias("char_order"), d["Character"].alias("Character"),
-                        *[hit[c].alias(c) for c in vals])
-
-    out = per_group.select(*by, F.inline(F.transform(dim, pick)))
-    return out.select(*by, "char_order", "Character",
-                      *[F.coalesce(c, F.lit(0)).alias(c) if c in zero_cols else F.col(c)
-                        for c in vals])
+    dim = characters.select(F.monotonically_increasing_id().alias("_id"), F.col("name").alias("Character"))
+    dim = dim.withColumn("char_order", (F.row_number().over(Window.orderBy("_id")) - 1)).drop("_id")  # the dimension only
+    # each group with each name of the dimension: that many rows are the result
+    groups = stats.select(*by).distinct().withColumn("_k", F.lit(1)).join(
+        sized_broadcast(dim.withColumn("_k", F.lit(1))), "_k").drop("_k").withColumn("_in", F.lit(True))
+    # null-safe keys: a group or a name may be NULL
+    own = stats.withColumnsRenamed({c: f"_{c}" for c in (*by, "Character")})
+    same = F.lit(True)
+    for c in (*by, "Character"):
+        same = same & groups[c].eqNullSafe(own[f"_{c}"])
+    out = groups.join(own, same, "full_outer")
+    return out.select(
+        *[F.when(F.col("_in"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in by], "char_order",
+        F.when(F.col("_in"), F.col("Character")).otherwise(F.col("_Character")).alias("Character"),
+        *[F.coalesce(c, F.lit(0)).alias(c) if c in zero_cols else F.col(c)
+          for c in stats.columns if c not in (*by, "Character")])
 
 
 def character_counts(scored: DataFrame, characters: DataFrame,
@@ -117,32 +102,52 @@ def measure_columns(scorers=SCORERS, measures=MEASURES) -> list[str]:
     return [f"{s}_{m}_{short}" for s in scorers for m in measures for _, short in LABEL_SHORT]
 
 
-def _measure(s: str, m: str, short: str, approx_median: bool):
-    x = _labelled(s, short)
+def score_counts(scored: DataFrame, by: Sequence[str], scorers: Sequence[str] = SCORERS) -> DataFrame:
+    """``by, scorer, short, score, n``: how often each scorer gave each score for the label it chose.
+
+    The first stage of exact medians: equal scores are counted by all tasks before any group comes together.
+    """
+    pairs = F.array(*[F.struct(F.lit(s).alias("scorer"), F.when(F.col(f"{s}_label") == lab, F.lit(short)).alias("short"),
+                               F.when(F.col(f"{s}_label") == lab, F.col(f"{s}_{short}")).alias("score"))
+                      for s in scorers for lab, short in LABEL_SHORT])
+    return (scored.select(*by, F.inline(pairs)).where("short IS NOT NULL")
+            .groupBy(*by, "scorer", "short", "score").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _measure(s: str, m: str, short: str) -> Column:
+    """A measure over ``score_counts``, each score weighted by its count."""
+    own = (F.col("scorer") == s) & (F.col("short") == short) & F.col("score").isNotNull()
+    x, n = F.when(own, F.col("score")), F.when(own, F.col("n"))
+    total = F.sum(n)
+    if m == "count":
+        return F.coalesce(total, F.lit(0))
     if m == "avg":
-        return F.avg(x)
+        return F.sum(x * n) / total
     if m == "median":
-        return F.percentile_approx(x, 0.5, 10_000) if approx_median else F.median(x)
-    if m == "std":
-        return F.stddev_samp(x)
-    return F.count(x)
+        return F.percentile(x, F.lit(0.5), F.coalesce(n, F.lit(0)))
+    # sample deviation around 1/2, the middle of the scores' range, against cancellation
+    d = x - F.lit(0.5)
+    return F.when(total > 1, F.sqrt(F.greatest(F.lit(0.0), (F.sum(d * d * n) - F.sum(d * n) * F.sum(d * n) / total) / (total - 1))))
 
 
 def character_statistics(scored: DataFrame, characters: DataFrame, by: Sequence[str] = ("Episode",),
-                         measures: Sequence[str] = MEASURES, approx_median: bool = False) -> DataFrame:
-    """Per (group, character): for each scorer and label X, count / mean / median /
-    sample std of the X score over rows labelled X, plus all rows of the character.
+                         measures: Sequence[str] = MEASURES, scorers: Sequence[str] = SCORERS) -> DataFrame:
+    """Per (group, character): for each scorer and label X, count / mean / median / sample std of the X score over
+    rows labelled X, plus all rows of the character.
 
-    One ``groupBy`` with conditional aggregates (count, mean and std merge
-    partially on the map side; a hot character is pre-aggregated per task).
-    Characters without lines appear with count 0 and NULL measures.
+    Two stages: equal scores are counted first (partial aggregates in every task), then each group's measures are
+    computed from the distinct scores and their counts.  Characters without lines appear with count 0 and NULL measures.
     """
-    cols = [f"{s}_{m}_{short}" for s in SCORERS for m in measures for _, short in LABEL_SHORT]
-    aggs = [_measure(s, m, short, approx_median).alias(f"{s}_{m}_{short}")
-            for s in SCORERS for m in measures for _, short in LABEL_SHORT]
-    stats = scored.groupBy(*by, "Character").agg(*aggs, F.count(F.lit(1)).alias("total_count"))
-    fill = [c for c in cols if "_count_" in c] + ["total_count"]
-    return fill_characters(stats, characters, by, zero_cols=fill)
+    cols = {f"{s}_{m}_{short}": _measure(s, m, short) for s in scorers for m in measures for _, short in LABEL_SHORT}
+    rows = scored.groupBy(*by, "Character").agg(F.count(F.lit(1)).alias("total_count"))
+    stats = score_counts(scored, [*by, "Character"], scorers).groupBy(*by, "Character").agg(
+        *[c.alias(name) for name, c in cols.items()])
+    same = F.lit(True)
+    own = stats.withColumnsRenamed({c: f"_{c}" for c in (*by, "Character")})
+    for c in (*by, "Character"):
+        same = same & rows[c].eqNullSafe(own[f"_{c}"])
+    joined = rows.join(own, same, "left").select(*by, "Character", *cols, "total_count")
+    return fill_characters(joined, characters, by, zero_cols=[c for c in cols if "_count_" in c] + ["total_count"])
 
 
 def statistics_long(stats: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
@@ -153,22 +158,23 @@ def statistics_long(stats: DataFrame, by: Sequence[str] = ("Episode",)) -> DataF
         ids, vals, "measure", "value")
 
 
-def describe_scores(scored: DataFrame, cols: Sequence[str], by: Sequence[str] = ("Episode",)) -> DataFrame:
-    """count / mean / std / min / exact quartiles / max per score column, long form."""
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
-                 F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
-                 F.max(c).alias(f"{c}__max")]
-    wide = scored.groupBy(*by).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"),
-                              F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
-                              F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").cast("double").alias("min"),
-                              F.col(f"{c}__q")[0].alias("q25"), F.col(f"{c}__q")[1].alias("q50"),
-                              F.col(f"{c}__q")[2].alias("q75"), F.col(f"{c}__max").cast("double").alias("max"))
-                     for c in cols])
-    return wide.select(*by, F.inline(rows))
+def describe_scores(scored: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ("Episode",)) -> DataFrame:
+    """count / mean / std / min / exact quartiles / max of each numeric column (all by default), long form.
+
+    Two stages as in ``character_statistics``.
+    """
+    if cols is None:
+        cols = [f.name for f in scored.schema if isinstance(f.dataType, T.NumericType) and f.name not in by]
+    values = scored.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "column", "x")
+    counts = values.groupBy(*by, "column", "x").agg(F.count(F.lit(1)).alias("n"))
+    x, n = F.col("x"), F.when(F.col("x").isNotNull(), F.col("n"))
+    wide = counts.groupBy(*by, "column").agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("count"), F.sum(x * n).alias("_s"), F.sum(x * x * n).alias("_ss"), F.min(x).alias("min"),
+        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.coalesce(n, F.lit(0))).alias("_q"), F.max(x).alias("max"))
+    var = F.greatest(F.lit(0.0), (F.col("_ss") - F.col("_s") * F.col("_s") / F.col("count")) / (F.col("count") - 1))
+    return wide.select(*by, "column", "count", (F.col("_s") / F.nullif(F.col("count"), F.lit(0))).alias("mean"),
+                       F.when(F.col("count") > 1, F.sqrt(var)).alias("std"), "min", F.col("_q")[0].alias("q25"),
+                       F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
 
 
 def row_counts(df: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
@@ -187,10 +193,3 @@ def schema_report(df: DataFrame) -> DataFrame:
 def duplicate_keys(df: DataFrame, keys: Sequence[str] = ("Episode", "SentenceIndex")) -> DataFrame:
     """Keys that occur more than once, with their multiplicity."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-
-
-def keep_last(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """One row per key: the last by ``order_col`` (the "last score wins" policy)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

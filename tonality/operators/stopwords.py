@@ -1,9 +1,9 @@
-"""Stopword removal from token arrays, order kept.
+"""Stopword removal from token arrays, order and duplicates kept.
 
-A stopword list with a proven small size is inlined as a hashed IN-set inside
-a higher-order ``filter`` (no shuffle, no join).  A list above the bound is
-handled exactly by exploding the tokens with their position, anti-joining, and
-re-assembling each row in position order.
+A stopword list with a proven small size is inlined as a hashed IN-set inside a higher-order ``filter`` (no
+shuffle).  A larger list is anti-joined: the tokens are exploded with a row number and their position and put
+together again.  Both plans give the same rows: NULL tokens stay NULL, a row of stopwords only becomes an empty
+array, and equal rows stay apart.
 """
 
 from __future__ import annotations
@@ -13,18 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonality.session import row_count_at_most
+from tonality.session import is_small, materialize
 
-INLINE_MAX_WORDS = 100_000
-
-
-def _as_word_list(stopwords: DataFrame | Iterable[str]) -> list[str] | None:
-    if isinstance(stopwords, DataFrame):
-        words = stopwords.select(F.col(stopwords.columns[0]).alias("w")).where("w IS NOT NULL").distinct()
-        if row_count_at_most(words, INLINE_MAX_WORDS) is None:
-            return None
-        return sorted(r.w for r in words.collect())
-    return sorted(set(stopwords))
+INLINE_MAX_WORDS = 20_000
 
 
 def drop_stopwords_expr(tokens: Column, words: list[str]) -> Column:
@@ -35,22 +26,27 @@ def drop_stopwords_expr(tokens: Column, words: list[str]) -> Column:
 
 
 def remove_stopwords(df: DataFrame, stopwords: DataFrame | Iterable[str], tokens_col: str,
-                     out_col: str | None = None, keys: tuple[str, ...] = ("Episode", "SentenceIndex")
-                     ) -> DataFrame:
+                     out_col: str | None = None) -> DataFrame:
     """Replace ``tokens_col`` (array<string>) by its tokens that are not stopwords."""
     out_col = out_col or tokens_col
-    words = _as_word_list(stopwords)
-    if words is not None:
-        return df.withColumn(out_col, drop_stopwords_expr(F.col(tokens_col), words))
-    # Exact path for very large lists: explode -> anti join -> ordered re-assembly.
-    stop = stopwords.select(F.col(stopwords.columns[0]).alias("_t")).distinct()
-    exploded = df.select(*keys, F.posexplode_outer(tokens_col).alias("_p", "_t"))
-    kept = exploded.join(stop, "_t", "left_anti")
-    regrouped = kept.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_p", "_t"))))
-        .alias("_pt"))
-    rebuilt = regrouped.select(*keys, F.transform("_pt", lambda s: s["_t"]).alias(out_col))
-    base = df.drop(out_col) if out_col in df.columns else df
-    if out_col == tokens_col:
-        base = base.drop(tokens_col)
-    return base.join(rebuilt, list(keys), "left")
+    if not isinstance(stopwords, DataFrame):
+        words = sorted(set(stopwords))
+        if len(words) <= INLINE_MAX_WORDS:
+            return df.withColumn(out_col, drop_stopwords_expr(F.col(tokens_col), words))
+        stopwords = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    stop = stopwords.select(F.col(stopwords.columns[0]).alias("_t")).where("_t IS NOT NULL").distinct()
+    if is_small(stop, INLINE_MAX_WORDS):
+        return df.withColumn(out_col, drop_stopwords_expr(F.col(tokens_col), sorted(r[0] for r in stop.collect())))
+    return _anti_joined(df, stop, tokens_col, out_col)
+
+
+def _anti_joined(df: DataFrame, stop: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
+    """The plan for large lists; ``stop`` has the words in ``_t``."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change again
+    tokens = rows.select("_row", F.posexplode(tokens_col).alias("_p", "_t"))
+    kept = (tokens.join(stop, "_t", "left_anti").groupBy("_row")
+            .agg(F.sort_array(F.collect_list(F.struct("_p", "_t"))).alias("_kept")))
+    words = F.coalesce(F.transform("_kept", lambda s: s["_t"]), F.array().cast("array<string>"))
+    return rows.join(kept, "_row", "left").withColumn(
+        out_col, F.when(F.col(tokens_col).isNotNull(), words)).select(
+            *df.columns, *([out_col] if out_col not in df.columns else []))

@@ -29,6 +29,11 @@ def word_frequency(df: DataFrame, stopwords: DataFrame | None, by: Sequence[str]
     return words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("wordsCount"))
 
 
+def ordered(freq: DataFrame, by: Sequence[str] = ("Episode",), count_col: str = "wordsCount") -> DataFrame:
+    """The word table in descending order of counts (a range-partitioned sort), ties by word."""
+    return freq.orderBy(*by, F.col(count_col).desc(), "word")
+
+
 def top_words(freq: DataFrame, n: int = 10, by: Sequence[str] = ("Episode",),
               count_col: str = "wordsCount") -> DataFrame:
     """The ``n`` most frequent words per group, ties broken by word, with their rank.

@@ -5,14 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tonality.functions.text import clean_text, extract_words
+from tonality.operators.lexicon import Rules, generated_valence
 from tonality.operators.prepare import prepare_utterances
-from tonality.resources import default_stopword_list
+from tonality.plans.pipeline import Scoring, scored_table
+from tonality.resources import BOOST_INCREMENT, BOOSTERS, CONTRAST_WORDS, NEGATORS, default_stopword_list
 from tonality.sources.dimensions import characters_df, episodes_df
 from tonality.sources.utterances import utterances_from_table
-from tonality.sources.wordlists import (booster_df, lexicon_from_rows, negator_df,
-                                        read_wordlist)
-from tonality.resources import STOPWORDS_B_PATH
+from tonality.sources.wordlists import booster_df, lexicon_from_rows, negator_df
+
+# The prose of the tables is invented; its commonest small words stand in for modifiers, so that every rule fires.
+BOUND_BOOSTERS = [*BOOSTERS, ("of", BOOST_INCREMENT), ("with", -BOOST_INCREMENT), ("de", BOOST_INCREMENT)]
+BOUND_NEGATORS = [*NEGATORS, "for", "by", "que"]
+BOUND_CONTRAST = (*CONTRAST_WORDS, "from", "und")
+# Stopword list B: words in at least one of so many turns of ``conversations``.
+COMMON_SHARE = 20
+# Setting with which a caller deals out tables of too few file splits (bench.py).
+PARTITIONS_CONF = "spark.tonality.inputPartitions"
 
 
 @dataclass
@@ -22,37 +33,41 @@ class Inputs:
     table: str = "documents"
 
     def utterances(self) -> DataFrame:
-        return utterances_from_table(self.spark, self.sf_dir, self.table)
+        n = self.spark.conf.get(PARTITIONS_CONF, None)
+        return utterances_from_table(self.spark, self.sf_dir, self.table, int(n) if n else None)
 
-    def characters(self) -> DataFrame:
-        return characters_df(self.spark)
+    def characters(self, rows=None) -> DataFrame:
+        return characters_df(self.spark, rows)
 
     def episodes(self) -> DataFrame:
         return episodes_df(self.spark)
 
     def stopwords_a(self) -> list[str]:
-        return list(default_stopword_list("english"))
+        return list(default_stopword_list())
 
     def stopwords_b(self) -> DataFrame:
-        return read_wordlist(self.spark, STOPWORDS_B_PATH)
-
-    def lexicon(self) -> DataFrame:
-        return lexicon_from_rows(self.spark)
+        """Words that at least one turn in ``COMMON_SHARE`` holds, from the whole table."""
+        turns = utterances_from_table(self.spark, self.sf_dir, "conversations")
+        words = turns.select(F.explode(F.array_distinct(extract_words(clean_text("Text")))).alias("word"))
+        counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        total = turns.agg(F.count(F.lit(1)).alias("turns"))
+        return (counts.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")  # one row
+                .where(F.col("n") * COMMON_SHARE >= F.col("turns")).select("word"))
 
-    def boosters(self) -> DataFrame:
-        return booster_df(self.spark)
+    def rules(self) -> Rules:
+        return Rules(lexicon_from_rows(self.spark), booster_df(self.spark, BOUND_BOOSTERS),
+                     negator_df(self.spark, BOUND_NEGATORS), generated_valence, BOUND_CONTRAST)
 
-    def negators(self) -> DataFrame:
-        return negator_df(self.spark)
-
-    def scoring(self, **kw):
-        from tonality.plans.pipeline import Scoring
-        return Scoring(self.lexicon(), self.boosters(), self.negators(), **kw)
+    def scoring(self, **kw) -> Scoring:
+        return Scoring(self.rules(), **kw)
 
     def scored(self, **kw) -> DataFrame:
-        from tonality.plans.pipeline import scored_table
         return scored_table(self.prepared(), self.scoring(**kw))
 
-    def prepared(self, keep_tokens: bool = False) -> DataFrame:
-        return prepare_utterances(self.utterances(), self.characters(), self.stopwords_a(),
+    def prepared(self, keep_tokens: bool = False, characters: DataFrame | None = None) -> DataFrame:
+        return prepare_utterances(self.utterances(), characters or self.characters(), self.stopwords_a(),
                                   keep_tokens=keep_tokens)
+
+    def plain(self) -> DataFrame:
+        """Utterances with cleaned text, stopwords kept: for the rules that look at small words."""
+        return self.utterances().withColumn("PlainText", clean_text("Text"))

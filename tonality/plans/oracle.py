@@ -8,9 +8,10 @@ where Spark uses higher-order functions, ...).
 
 from __future__ import annotations
 
-from tonality.functions.text import (ASCII_PUNCT_CLASS, EMOJI_PATTERN, TOKEN_PATTERN,
+from tonality.functions.text import (ASCII_PUNCT_CLASS, EMOJI_PATTERN, TOKEN_PATTERN, UNFOLDED_PATTERN,
                                      WORD_PATTERN, fold_tables)
-from tonality.resources import CHARACTERS, EPISODES, default_stopword_list, stopwords_b_lines
+from tonality.plans.context import BOUND_BOOSTERS, BOUND_CONTRAST, BOUND_NEGATORS, COMMON_SHARE
+from tonality.resources import CHARACTERS, EPISODES, default_stopword_list
 
 ORACLE: dict[str, str] = {}
 
@@ -46,11 +47,11 @@ def sql_emoji(x: str) -> str:
 
 
 def sql_fold(x: str) -> str:
-    src, dst, multi = fold_tables()
+    src, dst, multi, letters = fold_tables()
     out = f"translate({x}, {lit(src)}, {lit(dst)})"
-    for ch, rep in multi:
+    for ch, rep in [*multi, *letters]:
         out = f"replace({out}, {lit(ch)}, {lit(rep)})"
-    return f"regexp_replace({out}, '[^\\x00-\\x7F]', '', 'g')"
+    return f"regexp_replace({out}, {lit(UNFOLDED_PATTERN)}, '', 'g')"
 
 
 def sql_space(x: str) -> str:
@@ -73,7 +74,7 @@ def sql_words(x: str) -> str:
     return f"regexp_extract_all({x}, {lit(WORD_PATTERN)})"
 
 
-STOP_A = in_list(default_stopword_list("english"))
+STOP_A = in_list(default_stopword_list())
 
 
 def sql_drop_stop(tokens: str) -> str:
@@ -83,7 +84,8 @@ def sql_drop_stop(tokens: str) -> str:
 CHAR_DIM = values(CHARACTERS, ["code", "name"], ["VARCHAR", "VARCHAR"])
 EPISODE_DIM = values(EPISODES, ["Episode", "Description", "Duration"],
                      ["VARCHAR", "VARCHAR", "VARCHAR"])
-STOP_B = values([(w,) for w in sorted(set(stopwords_b_lines()))], ["word"], ["VARCHAR"])
+STOP_B = f"""(SELECT word FROM (SELECT unnest(list_distinct({sql_words(sql_clean('text'))})) AS word FROM conversations)
+  GROUP BY word HAVING count(*) * {COMMON_SHARE} >= (SELECT count(*) FROM conversations))"""
 
 # ----------------------------------------------------------------------- CTEs
 
@@ -93,20 +95,30 @@ UTT = """utt AS (
          text AS Text
   FROM documents)"""
 
-PREP = f"""{UTT},
+CONV = """utt AS (
+  SELECT CAST(conv_id AS VARCHAR) AS Episode, turn AS SentenceIndex,
+         CASE role WHEN 'user' THEN 1.0 WHEN 'assistant' THEN 2.0 END AS Character, text AS Text
+  FROM conversations)"""
+
+
+def prep_of(utt: str, dim: str) -> str:
+    return f"""{utt},
 coded AS (
   SELECT Episode, SentenceIndex,
          CAST(CAST(trunc(coalesce(Character, 0.0)) AS SMALLINT) AS VARCHAR) AS CharacterCode,
          Text FROM utt),
 named AS (
   SELECT c.Episode, c.SentenceIndex, c.CharacterCode, d.name AS Character, c.Text
-  FROM coded c LEFT JOIN {CHAR_DIM} d ON c.CharacterCode = d.code),
+  FROM coded c LEFT JOIN {dim} d ON c.CharacterCode = d.code),
 toks AS (
   SELECT *, {sql_drop_stop(sql_tokens(sql_clean('Text')))} AS Tokens FROM named),
 prep AS (
   SELECT Episode, SentenceIndex, CharacterCode, Character, Text, Tokens,
          array_to_string(Tokens, ' ') AS CleanText FROM toks)"""
 
+
+PREP = prep_of(UTT, CHAR_DIM)
+
 WORDFREQ = f"""{PREP},
 words AS (SELECT Episode, unnest({sql_words('CleanText')}) AS word FROM prep),
 freq AS (
@@ -133,9 +145,11 @@ SELECT Episode, SentenceIndex, CharacterCode, Character FROM prep""")
 
 q("strip_dashes", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_strip_dashes('Text')} AS Text FROM utt")
 q("lower_text", f"WITH {UTT} SELECT Episode, SentenceIndex, lower(Text) AS Text FROM utt")
-q("strip_emoji", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_emoji('Text')} AS Text FROM utt")
+q("strip_emoji", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_emoji("replace(Text, '.', '. ' || chr(128512) || chr(10084) || chr(65039))")} AS Text FROM utt")
 q("fold_ascii", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_fold('lower(Text)')} AS Text FROM utt")
-q("normalize_space", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_space('Text')} AS Text FROM utt")
+_BLANKS = ("(' ' || chr(9) || replace(replace(Text, ' ', '  '), chr(10), ' ' || chr(13) || chr(10) || chr(10) || ' ') "
+           "|| chr(13) || chr(10))")
+q("normalize_space", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_space(_BLANKS)} AS Text FROM utt")
 q("clean_text", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_clean('Text')} AS Text FROM utt")
 
 q("tokenize", f"""WITH {UTT}, t AS (SELECT Episode, SentenceIndex, {sql_tokens(sql_clean('Text'))} AS tk FROM utt)
@@ -187,12 +201,12 @@ FROM utt""")
 # ------------------------------------------------------------------- scorers
 
 from tonality.operators.lexicon import PUNCT_EDGES, SPLIT_BLANKS  # noqa: E402
-from tonality.resources import (BOOSTERS, BOOST_DISTANCE_DAMP, CAPS_INCREMENT,  # noqa: E402
-                                MINI_LEXICON, NEGATION_SCALAR, NEGATORS, NEVER_SO_SCALAR)
+from tonality.resources import (BOOST_DISTANCE_DAMP, CAPS_INCREMENT,  # noqa: E402
+                                MINI_LEXICON, NEGATION_SCALAR, NEVER_SO_SCALAR)
 
 LEXV = values(MINI_LEXICON, ["token", "valence"], ["VARCHAR", "DOUBLE"])
-BOOSTV = values(BOOSTERS, ["token", "delta"], ["VARCHAR", "DOUBLE"])
-NEGV = values([(w,) for w in NEGATORS], ["token"], ["VARCHAR"])
+BOOSTV = values(BOUND_BOOSTERS, ["token", "delta"], ["VARCHAR", "DOUBLE"])
+NEGV = values([(w,) for w in BOUND_NEGATORS], ["token"], ["VARCHAR"])
 
 
 def sql_upper(x: str) -> str:
@@ -226,11 +240,12 @@ def lex_ctes(src: str = "prep", text: str = "CleanText") -> str:
     def negate(v, d):
         if d == 1:
             return f"CASE WHEN {gate(1)} AND {negw(1)} THEN {v} * {ns} ELSE {v} END"
-        so = "p1" if d == 2 else "p2"
+        so = " OR ".join(f"p{k} IN ('so', 'this')" for k in range(1, d))
         sc = NEVER_SO_SCALAR[d - 2]
-        return (f"CASE WHEN {gate(d)} AND p{d} = 'never' AND {so} IN ('so', 'this') THEN {v} * {sc} "
+        return (f"CASE WHEN {gate(d)} AND p{d} = 'never' AND ({so}) THEN {v} * {sc} "
                 f"WHEN {gate(d)} AND {negw(d)} THEN {v} * {ns} ELSE {v} END")
 
+    contrast = ", ".join(f"nullif(coalesce(list_position(list_transform(it, lambda w: lower(w)), '{w}'), 0), 0)" for w in BOUND_CONTRAST)
     return f"""
 items AS (
   SELECT Episode, SentenceIndex, coalesce({text}, '') AS tx,
@@ -240,7 +255,7 @@ items AS (
   FROM {src}),
 sent0 AS (
   SELECT Episode, SentenceIndex, it, len(it) AS n,
-         coalesce(list_position(list_transform(it, lambda w: lower(w)), 'but'), 0) AS but_pos,
+         coalesce(least({contrast}), 0) AS but_pos,
          length(tx) - length(replace(tx, '!', '')) AS n_excl,
          length(tx) - length(replace(tx, '?', '')) AS n_q,
          coalesce(list_bool_or(list_transform(it, lambda w: {sql_upper('w')})), false)
@@ -281,7 +296,7 @@ lk AS (
        LEFT JOIN mods m2 ON c.p2 = m2.token LEFT JOIN mods m3 ON c.p3 = m3.token
        LEFT JOIN lexv lx ON c.tl = lx.token),
 lv AS (
-  SELECT *, coalesce(val, CASE WHEN NOT is_mod AND regexp_full_match(tl, '[a-z]{{3,}}')
+  SELECT *, coalesce(val, CASE WHEN NOT is_mod AND NOT contains(tl, 'n''t') AND regexp_full_match(tl, '[a-z]{{3,}}')
                                THEN ((ascii(tl) + length(tl)) % 9 - 4) * 0.5::DOUBLE END) AS valence,
          (b0 IS NOT NULL OR (tl = 'kind' AND n1 IS NOT DISTINCT FROM 'of')) AS skip
   FROM lk),
@@ -343,7 +358,7 @@ lexs AS (
 
 
 MODEL = """
-mw AS (SELECT Episode, SentenceIndex, regexp_extract_all(CleanText, '[A-Za-z0-9_]+') AS ws FROM prep),
+mw AS (SELECT Episode, SentenceIndex, {ws} AS ws FROM prep),
 ml AS (SELECT Episode, SentenceIndex, {l0} AS logit_neg, {l1} AS logit_neu, {l2} AS logit_pos FROM mw),
 mp AS (
   SELECT Episode, SentenceIndex, logit_neg, logit_neu, logit_pos,
@@ -353,11 +368,11 @@ mp AS (
   FROM ml),
 model AS (
   SELECT Episode, SentenceIndex, logit_neg, logit_neu, logit_pos,
-         round(e0 / (e0 + e1 + e2) * 1048576.0::DOUBLE, 0) / 1048576.0::DOUBLE AS model_neg, round(e1 / (e0 + e1 + e2) * 1048576.0::DOUBLE, 0) / 1048576.0::DOUBLE AS model_neu,
-         round(e2 / (e0 + e1 + e2) * 1048576.0::DOUBLE, 0) / 1048576.0::DOUBLE AS model_pos,
+         e0 / (e0 + e1 + e2) AS model_neg, e1 / (e0 + e1 + e2) AS model_neu,
+         e2 / (e0 + e1 + e2) AS model_pos,
          CASE WHEN logit_pos >= logit_neu AND logit_pos >= logit_neg THEN 'Positive'
               WHEN logit_neu >= logit_neg THEN 'Neutral' ELSE 'Negative' END AS model_label
-  FROM mp)""".format(l0=sql_linear_logit("ws", 3), l1=sql_linear_logit("ws", 4),
+  FROM mp)""".format(ws=sql_words("CleanText"), l0=sql_linear_logit("ws", 3), l1=sql_linear_logit("ws", 4),
                      l2=sql_linear_logit("ws", 5))
 
 
@@ -366,7 +381,8 @@ def sql_label(pos: str, neu: str, neg: str) -> str:
             f"WHEN {neu} >= {neg} THEN 'Neutral' ELSE 'Negative' END")
 
 
-SCORED = f"""{PREP},{lex_ctes()},{MODEL},
+def scored_of(prep: str) -> str:
+    return f"""{prep},{lex_ctes()},{MODEL},
 scored AS (
   SELECT p.Episode, p.SentenceIndex, p.CharacterCode, p.Character,
          l.lex_neg, l.lex_neu, l.lex_pos, l.lex_compound,
@@ -376,6 +392,9 @@ scored AS (
   FROM prep p JOIN lexs l ON p.Episode = l.Episode AND p.SentenceIndex = l.SentenceIndex
        JOIN model m ON p.Episode = m.Episode AND p.SentenceIndex = m.SentenceIndex)"""
 
+
+SCORED = scored_of(PREP)
+
 R6 = "round({0}, 6) AS {1}"
 
 q("model_logits", f"""WITH {PREP},{MODEL}
@@ -387,21 +406,23 @@ SELECT Episode, SentenceIndex, round(model_neg, 6) AS model_neg, round(model_neu
        round(model_pos, 6) AS model_pos FROM model""")
 
 q("model_rejects", f"""WITH {PREP}
-SELECT Episode, SentenceIndex, CAST(length(CleanText) AS INTEGER) AS n_chars,
-       CASE WHEN CleanText IS NULL THEN 'null text' ELSE 'text too long' END AS reason
-FROM prep WHERE CleanText IS NULL OR length(CleanText) > 2000""")
+SELECT Episode, SentenceIndex,
+       CASE WHEN CleanText IS NULL THEN 'null text' ELSE 'RuntimeError: text too long for the model' END AS reason
+FROM prep WHERE CleanText IS NULL OR len({sql_words('CleanText')}) > 300""")
 
-q("lex_valence", f"""WITH {PREP},{lex_ctes()}
+PLAIN = f"{UTT}, plain AS (SELECT Episode, SentenceIndex, {sql_clean('Text')} AS PlainText FROM utt)"
+
+q("lex_valence", f"""WITH {PLAIN},{lex_ctes('plain', 'PlainText')}
 SELECT Episode, SentenceIndex, pos, tl, round(v0, 6) AS valence FROM lv0 WHERE in_lex""")
 
-q("lex_boost", f"""WITH {PREP},{lex_ctes()}
-SELECT Episode, SentenceIndex, pos, tl, round(v_boost, 6) AS v_boost FROM bonly WHERE in_lex""")
+q("lex_boost", f"""WITH {PLAIN},{lex_ctes('plain', 'PlainText')}
+SELECT Episode, SentenceIndex, pos, tl, round(v_boost + 1e-9, 6) AS v_boost FROM bonly WHERE in_lex""")
 
-q("lex_negate", f"""WITH {PREP},{lex_ctes()}
-SELECT Episode, SentenceIndex, pos, tl, round(v_negate, 6) AS v_negate FROM nonly WHERE in_lex""")
+q("lex_negate", f"""WITH {PLAIN},{lex_ctes('plain', 'PlainText')}
+SELECT Episode, SentenceIndex, pos, tl, round(v_negate + 1e-9, 6) AS v_negate FROM nonly WHERE in_lex""")
 
-q("lex_contrast", f"""WITH {PREP},{lex_ctes()}
-SELECT Episode, SentenceIndex, pos, tl, factor, round(v_mod, 6) AS v_mod, round(v, 6) AS v
+q("lex_contrast", f"""WITH {PLAIN},{lex_ctes('plain', 'PlainText')}
+SELECT Episode, SentenceIndex, pos, tl, factor, round(v + 1e-9, 6) AS v
 FROM chain WHERE in_lex""")
 
 q("lex_punct", f"""WITH {PREP},{lex_ctes()}
@@ -466,6 +487,20 @@ SELECT g.Episode, g.char_order, g.Character, coalesce(c.n, 0) AS total_count
 FROM g LEFT JOIN c ON g.Episode = c.Episode AND g.Character = c.Character""")
 
 
+_FEW = values(CHARACTERS[1:3], ["code", "name"], ["VARCHAR", "VARCHAR"])
+_FEW_ORDER = values([(str(i), n) for i, (_, n) in enumerate(CHARACTERS[1:3])], ["char_order", "Character"], ["INTEGER", "VARCHAR"])
+
+q("unknown_speakers", f"""WITH {scored_of(prep_of(CONV, _FEW))},
+c AS (SELECT Character, count(*) AS n FROM scored GROUP BY Character)
+SELECT 'all' AS Episode, d.char_order, coalesce(d.Character, c.Character) AS Character, coalesce(c.n, 0) AS total_count
+FROM {_FEW_ORDER} d FULL JOIN c ON d.Character = c.Character""")
+
+q("conversation_totals", f"""WITH {scored_of(prep_of(CONV, CHAR_DIM))}
+SELECT Character, {', '.join(f"count(*) FILTER (WHERE {s}_label = '{lab}') AS {s}_total_{sh}" for s in SCR for lab, sh in LAB)},
+       count(*) AS total_count
+FROM scored GROUP BY Character""")
+
+
 def stats_ctes(measures) -> str:
     fn = {"avg": "avg({x})", "median": "median({x})", "std": "stddev_samp({x})", "count": "count({x})"}
     sel, outer = [], []
@@ -510,20 +545,20 @@ FROM wide UNPIVOT INCLUDE NULLS (value FOR measure IN ({', '.join(_ALL_MEASURES
 
 def _describe_part(c: str) -> str:
     return (f"SELECT Episode, '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, "
-            f"round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, "
-            f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
-            f"round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max "
+            f"round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, "
+            f"round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50, "
+            f"round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75, round(CAST(max({c}) AS DOUBLE), 6) AS max "
             f"FROM scored GROUP BY Episode")
 
 
 q("describe_scores", f"""WITH {SCORED}
-{' UNION ALL '.join(_describe_part(c) for c in SC)}""")
+{' UNION ALL '.join(_describe_part(c) for c in ["SentenceIndex", *SC])}""")
 
 q("row_counts", f"""WITH {SCORED}
 SELECT Episode, count(*) AS n_rows, 13 AS n_columns FROM scored GROUP BY Episode""")
 
-q("duplicate_keys", f"""WITH {UTT}
-SELECT Episode, SentenceIndex, count(*) AS n FROM utt GROUP BY Episode, SentenceIndex HAVING count(*) > 1""")
+q("duplicate_keys", f"""WITH {CONV}
+SELECT Episode, Character, count(*) AS n FROM utt GROUP BY Episode, Character HAVING count(*) > 1""")
 
 
 # -------------------------------------------------------------------- charts
@@ -601,6 +636,5 @@ full_t AS (
 
 q("sink_csv_roundtrip", f"WITH {FULL} SELECT * FROM full_t")
 q("sink_json_roundtrip", f"WITH {FULL} SELECT * FROM full_t")
-q("scan_csv", f"WITH {UTT} SELECT Episode, SentenceIndex, Character, Text FROM utt")
-q("scan_episodes", f"""WITH {UTT}
-SELECT Episode, SentenceIndex, Character, Text, 'Episode=' || Episode || '/' AS source_file FROM utt""")
+q("scan_csv", f"WITH {UTT} SELECT Episode, SentenceIndex, Character, Text, CAST(length(Text) AS VARCHAR) AS n_chars FROM utt")
+q("scan_episodes", f"WITH {UTT} SELECT Episode, SentenceIndex, Character, Text FROM utt")

@@ -1,94 +1,81 @@
 """The whole analysis as one composed plan: prepare -> score -> label -> statistics.
 
-``scored_table`` needs no join: the model scores are row-local columns, and
-they ride through the lexicon scorer's per-sentence aggregate together with the
-speaker, so the only shuffle of the scoring step carries one small row per
-sentence.
+Scoring is row-local: both scorers append columns to the prepared rows, so that no key join and no shuffle is needed and
+a query that reads only one scorer's columns does not pay for the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonality.functions.labels import major_sentiment
-from tonality.operators.lexicon import generated_valence, lexicon_scores
-from tonality.operators.model import (LOGIT_COLS, SCORE_COLS, linear_scores, reject_reason,
+from tonality.operators.lexicon import Rules, lexicon_scores
+from tonality.operators.model import (LINEAR_KEY, LOGIT_COLS, ScorerKey, linear_scores, model_rejects,
                                      score_with_pandas, with_softmax)
 
 KEYS = ("Episode", "SentenceIndex")
+SCORED = (*KEYS, "CharacterCode", "Character", "lex_neg", "lex_neu", "lex_pos", "lex_compound",
+          "model_neg", "model_neu", "model_pos", "model_label", "lex_label")
 
 
 @dataclass
 class Scoring:
-    lexicon: DataFrame | None
-    boosters: DataFrame
-    negators: DataFrame
-    rule: Callable[[Column], Column] | None = generated_valence
-    model_factory: Callable | None = None      # None = native linear scorer
-    max_chars: int | None = None
-    neutral_when_empty: bool = False
-    keep: Sequence[str] = field(default_factory=lambda: ("CharacterCode", "Character"))
-
-
-def with_labels(df: DataFrame) -> DataFrame:
-    """Lexicon label from its (3-decimal) scores; the model label is already set."""
-    return df.withColumn("lex_label", major_sentiment("lex_pos", "lex_neu", "lex_neg"))
+    """Which scorers run and what happens to repeated keys.
 
+    ``duplicates``: ``keep`` scores every row (the default; no shuffle), ``last`` keeps of each key the row
+    that is last by ``order_col``, ``error`` fails on a repeated key.
+    """
 
-def model_scored(prepared: DataFrame, sc: Scoring) -> DataFrame:
-    """Rows with model scores, ``_reject`` (NULL = scored; else the reason) and
-    ``_rcode`` (0 = scored, 1 = NULL text, 2 = too long, 3 = model error)."""
-    cols = [*KEYS, *sc.keep, "CleanText"]
-    base = prepared.select(*cols, reject_reason("CleanText", sc.max_chars, "Text").alias("_reject"))
+    rules: Rules
+    model_key: ScorerKey = LINEAR_KEY
+    model_factory: Callable | None = None      # None = native linear scorer
+    neutral_when_empty: bool = False
+    duplicates: str = "keep"
+    order_col: str | None = None
+
+
+def one_per_key(df: DataFrame, sc: Scoring, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The rows of ``df`` under the policy for repeated keys."""
+    if sc.duplicates == "keep":
+        return df
+    if sc.duplicates == "last":
+        if sc.order_col is None:
+            raise ValueError("duplicates='last' needs order_col")
+        last = Window.partitionBy(*keys).orderBy(F.col(sc.order_col).desc())
+        return df.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+    if sc.duplicates == "error":
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        fail = F.raise_error(F.concat(F.lit("repeated key: "), F.concat_ws(", ", *keys)))
+        return df.withColumn("_n", F.when(n > 1, fail).otherwise(n)).where(F.col("_n") == 1).drop("_n")
+    raise ValueError(f"unknown policy {sc.duplicates!r}")
+
+
+def with_model(prepared: DataFrame, sc: Scoring) -> DataFrame:
+    """All rows with model scores and ``model_error`` (NULL = scored)."""
     if sc.model_factory is None:
-        out = linear_scores(base)
-    else:
-        out = score_with_pandas(base, sc.model_factory, "CleanText",
-                                passthrough=[*KEYS, *sc.keep, "CleanText", "_reject"])
-        out = out.withColumn("_reject", F.coalesce("_reject", "model_error"))
-        out = with_softmax(out).drop(*LOGIT_COLS, "model_error")
-    code = (F.when(F.col("_reject").isNull(), 0).when(F.col("_reject") == "null text", 1)
-            .when(F.col("_reject") == "text too long", 2).otherwise(3))
-    return out.withColumn("_rcode", code)
+        # the raw text is NULL where the cleaned one is, and its test reaches the scan
+        text = "Text" if "Text" in prepared.columns else "CleanText"
+        return linear_scores(prepared).withColumn("model_error", F.when(F.col(text).isNull(), "null text"))
+    out = score_with_pandas(prepared, sc.model_key, sc.model_factory, "CleanText", passthrough=prepared.columns)
+    return with_softmax(out).drop(*LOGIT_COLS)
 
 
-def scored_table(prepared: DataFrame, sc: Scoring) -> DataFrame:
-    """Keys, speaker, both scorers' scores and labels; one row per scored sentence.
-
-    Rejected rows (NULL text, too long, model error) are dropped after the
-    per-sentence aggregate, so the reject test never forces the cleaning to be
-    evaluated twice.
-    """
-    with_model = model_scored(prepared, sc)
-    lex = lexicon_scores(with_model, sc.lexicon, sc.boosters, sc.negators, "CleanText", KEYS,
-                         keep=[*sc.keep, "model_label"], carry_max=[*SCORE_COLS, "_rcode"], rule=sc.rule,
-                         neutral_when_empty=sc.neutral_when_empty)
-    return with_labels(lex.where(F.col("_rcode") == 0).drop("_rcode"))
-
+def with_scores(prepared: DataFrame, sc: Scoring) -> DataFrame:
+    """All rows with both scorers' scores and labels and ``model_error``; ``prepared``'s columns stay."""
+    return lexicon_scores(with_model(one_per_key(prepared, sc), sc), sc.rules, "CleanText", sc.neutral_when_empty)
 
-def rejects_table(prepared: DataFrame, sc: Scoring) -> DataFrame:
-    """Rows that get no model score, with the reason."""
-    scored = model_scored(prepared, sc)
-    return scored.where(F.col("_reject").isNotNull()).select(
-        *KEYS, F.length("CleanText").alias("n_chars"), F.col("_reject").alias("reason"))
 
-
-def full_table(prepared: DataFrame, scored: DataFrame) -> DataFrame:
-    """The scored table with the raw and cleaned text joined back (for export only)."""
-    text = prepared.select(*KEYS, "Text", "CleanText")
-    return scored.join(text, list(KEYS), "inner")
+def scored_table(prepared: DataFrame, sc: Scoring) -> DataFrame:
+    """Keys, speaker, both scorers' scores and labels of every row that the model scored."""
+    return with_scores(prepared, sc).where("model_error IS NULL").select(*SCORED)
 
 
-def join_scores(utterances: DataFrame, *scores: DataFrame, on: Sequence[str] = KEYS) -> DataFrame:
-    """Key join of separately computed score tables (inner: unscored rows drop out)."""
-    out = utterances
-    for s in scores:
-        out = out.join(s, list(on), "inner")
-    return out
+def full_table(scores: DataFrame) -> DataFrame:
+    """The export: the scored rows of ``with_scores`` with raw and cleaned text."""
+    return scores.where("model_error IS NULL").select(*SCORED, "Text", "CleanText")
 
 
 def run_pipeline(spark, utterances: DataFrame, characters: DataFrame, episodes: DataFrame,
@@ -96,9 +83,9 @@ def run_pipeline(spark, utterances: DataFrame, characters: DataFrame, episodes:
                  top_n: int = 10, cloud_words: int = 50) -> dict[str, str]:
     """Run the whole analysis for all episodes in one job and write every output.
 
-    The scored table feeds many outputs, so it is checkpointed once to the
-    shared folder (``spark.checkpoint.dir``): a lost executor costs a re-read,
-    not a re-score.  Returns the written paths.
+    Every row is prepared and scored once: the result is checkpointed to the shared folder
+    (``spark.checkpoint.dir``) and feeds the export, the statistics, the words and the rejects, so that a lost executor
+    costs a re-read.  Returns the written paths.
     """
     from tonality.operators import charts as CH
     from tonality.operators import document as D
@@ -108,14 +95,15 @@ def run_pipeline(spark, utterances: DataFrame, characters: DataFrame, episodes:
     from tonality.session import materialize
     from tonality.sources.sinks import write_csv, write_document, write_json
 
-    prepared = prepare_utterances(utterances, characters, stopwords_a)
-    scored = materialize(scored_table(prepared, sc))
+    scores = materialize(with_scores(prepare_utterances(utterances, characters, stopwords_a), sc))
+    ok, rejects = model_rejects(scores)
+    scored = ok.select(*SCORED)
     stats = materialize(S.character_statistics(scored, characters))
-    freq = W.word_frequency(prepared, stopwords_b)
+    freq = materialize(W.word_frequency(scores, stopwords_b))
     out = {k: f"{out_dir.rstrip('/')}/{k}" for k in (
         "full_csv", "full_json", "document", "statistics", "top_words", "wordcloud",
         "chart_share", "chart_median_by_label", "chart_std", "chart_median", "rejects")}
-    full = full_table(prepared, scored)
+    full = full_table(scores)
     write_csv(full, out["full_csv"])
     write_json(full, out["full_json"])
     doc = D.statistics_document(stats, S.sentiment_totals(scored), S.modal_sentiment(scored), episodes)
@@ -127,5 +115,5 @@ def run_pipeline(spark, utterances: DataFrame, characters: DataFrame, episodes:
     write_json(CH.chart_median_by_label(scored), out["chart_median_by_label"])
     write_json(CH.chart_std(stats), out["chart_std"])
     write_json(CH.chart_median(stats), out["chart_median"])
-    write_json(rejects_table(prepared, sc), out["rejects"], partition_by=None)
+    write_json(rejects, out["rejects"], partition_by=None)
     return out

@@ -51,18 +51,28 @@ def q_decode_character(spark, sf_dir):
             .select("Episode", "SentenceIndex", "CharacterCode", "Character"))
 
 
-def _text_step(fn):
+def _text_step(fn, before=lambda c: c):
     def run(spark, sf_dir):
         u = Inputs(spark, sf_dir).utterances()
-        return u.select("Episode", "SentenceIndex", fn(F.col("Text")).alias("Text"))
+        return u.select("Episode", "SentenceIndex", fn(before(F.col("Text"))).alias("Text"))
     return run
 
 
+def _with_emoji(c):
+    """The tables hold no emoji: each sentence end gets some."""
+    return F.replace(c, F.lit("."), F.lit(". \U0001F600\u2764\uFE0F"))
+
+
+def _with_blanks(c):
+    """The tables hold single blanks only: they are widened, and the ends padded."""
+    return F.concat(F.lit(" \t"), F.replace(F.replace(c, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \r\n\n ")), F.lit("\r\n"))
+
+
 QUERIES["strip_dashes"] = _text_step(T.strip_dashes)
 QUERIES["lower_text"] = _text_step(T.lower_text)
-QUERIES["strip_emoji"] = _text_step(T.strip_emoji)
+QUERIES["strip_emoji"] = _text_step(T.strip_emoji, _with_emoji)
 QUERIES["fold_ascii"] = _text_step(lambda c: T.fold_ascii(T.lower_text(c)))
-QUERIES["normalize_space"] = _text_step(T.normalize_space)
+QUERIES["normalize_space"] = _text_step(T.normalize_space, _with_blanks)
 QUERIES["clean_text"] = _text_step(T.clean_text)
 
 
@@ -109,7 +119,7 @@ def q_word_anti_join(spark, sf_dir):
 @query("word_frequency")
 def q_word_frequency(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
-    return W.word_frequency(inp.prepared(), inp.stopwords_b())
+    return W.ordered(W.word_frequency(inp.prepared(), inp.stopwords_b()))
 
 
 @query("top_words")
@@ -158,7 +168,7 @@ def _r(df: DataFrame, cols, d: int = 6) -> DataFrame:
 def q_model_logits(spark, sf_dir):
     """Pluggable batch scorer through mapInPandas (fixture linear scorer in pandas)."""
     p = Inputs(spark, sf_dir).prepared()
-    out = M.score_with_pandas(p, M.linear_fixture_scorer, "CleanText", passthrough=KEYS)
+    out = M.score_with_pandas(p, M.LINEAR_KEY, M.linear_fixture_scorer, "CleanText", passthrough=KEYS)
     return _r(out.drop("model_error"), M.LOGIT_COLS)
 
 
@@ -168,43 +178,47 @@ def q_softmax_scores(spark, sf_dir):
     return _r(M.linear_scores(p.select(*KEYS, "CleanText")).select(*KEYS, *M.SCORE_COLS), M.SCORE_COLS)
 
 
+#: Words that the scorer of ``model_rejects`` takes at most.
+CONTEXT_WORDS = 300
+
+
 @query("model_rejects")
 def q_model_rejects(spark, sf_dir):
+    """Rows that a scorer with a bounded context raises for."""
     p = Inputs(spark, sf_dir).prepared()
-    _, rejects = M.model_rejects(p, "CleanText", max_chars=2000)
-    return rejects
+    out = M.score_with_pandas(p, M.ScorerKey("linear-fixture-limited", str(CONTEXT_WORDS)),
+                              M.limited_fixture_scorer(CONTEXT_WORDS), "CleanText", passthrough=KEYS)
+    return M.model_rejects(out)[1]
 
 
-def _inputs_tokens(spark, sf_dir, text="CleanText"):
+#: Added before rounding where products of the rules' constants end exactly in a half.
+TIE = 1e-9
+
+
+def _items(spark, sf_dir, *steps):
     inp = Inputs(spark, sf_dir)
-    src = inp.prepared()
-    return L.lexicon_tokens(src, inp.lexicon(), inp.boosters(), inp.negators(), text, KEYS,
-                            rule=L.generated_valence)
+    return L.lexicon_items(inp.plain(), inp.rules(), "PlainText", KEYS, steps)
 
 
 @query("lex_valence")
 def q_lex_valence(spark, sf_dir):
-    ex = _inputs_tokens(spark, sf_dir)
-    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", F.col("v0").alias("valence")), ["valence"])
+    return _r(_items(spark, sf_dir).select(*KEYS, "pos", "tl", F.col("v0").alias("valence")), ["valence"])
 
 
 @query("lex_boost")
 def q_lex_boost(spark, sf_dir):
-    ex = L.apply_boosters_only(_inputs_tokens(spark, sf_dir))
-    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", "v_boost"), ["v_boost"])
+    return _r(_items(spark, sf_dir, "boost").select(*KEYS, "pos", "tl", (F.col("v") + TIE).alias("v_boost")), ["v_boost"])
 
 
 @query("lex_negate")
 def q_lex_negate(spark, sf_dir):
-    ex = L.apply_negation_only(_inputs_tokens(spark, sf_dir))
-    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", "v_negate"), ["v_negate"])
+    return _r(_items(spark, sf_dir, "negate").select(*KEYS, "pos", "tl", (F.col("v") + TIE).alias("v_negate")), ["v_negate"])
 
 
 @query("lex_contrast")
 def q_lex_contrast(spark, sf_dir):
-    ex = _inputs_tokens(spark, sf_dir)
-    return _r(ex.where("in_lex").select(*KEYS, "pos", "tl", L.contrast_factor().alias("factor"),
-                                        "v_mod", "v"), ["v_mod", "v"])
+    out = _items(spark, sf_dir, "modify", "contrast").select(*KEYS, "pos", "tl", "factor", "v")
+    return _r(out.withColumn("v", F.col("v") + TIE), ["v"])
 
 
 @query("lex_punct")
@@ -218,11 +232,8 @@ def q_lex_punct(spark, sf_dir):
 def q_lex_caps(spark, sf_dir):
     """Capital-letter emphasis, on the raw text (the cleaned text is lower case)."""
     inp = Inputs(spark, sf_dir)
-    u = inp.utterances()
-    ex = L.lexicon_tokens(u, inp.lexicon(), inp.boosters(), inp.negators(), "Text", KEYS,
-                          rule=L.generated_valence)
-    return _r(ex.where("in_lex").select(*KEYS, "pos", "t", "_capdiff", "v0", "v_caps"),
-              ["v0", "v_caps"]).withColumnRenamed("_capdiff", "cap_diff")
+    ex = L.lexicon_items(inp.utterances(), inp.rules(), "Text", KEYS, ())
+    return _r(ex.select(*KEYS, "pos", "t", "cap_diff", "v0", "v_caps"), ["v0", "v_caps"])
 
 
 @query("lex_compound")
@@ -233,8 +244,7 @@ def q_lex_compound(spark, sf_dir):
 @query("lexicon_scores")
 def q_lexicon_scores(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
-    return L.lexicon_scores(inp.prepared(), inp.lexicon(), inp.boosters(), inp.negators(),
-                            rule=L.generated_valence)
+    return L.lexicon_scores(inp.prepared().select(*KEYS, "CleanText"), inp.rules()).drop("CleanText", "lex_label")
 
 
 @query("major_sentiment")
@@ -287,6 +297,22 @@ def q_character_counts(spark, sf_dir):
     return S.character_counts(inp.scored(), inp.characters())
 
 
+@query("unknown_speakers")
+def q_unknown_speakers(spark, sf_dir):
+    """Turns by speaker against a dimension that lacks some of the codes: nobody's lines are lost."""
+    from tonality.resources import CHARACTERS
+    inp = Inputs(spark, sf_dir, "conversations")
+    dim = inp.characters(CHARACTERS[1:3])
+    scored = P.scored_table(inp.prepared(characters=dim), inp.scoring())
+    return S.character_counts(scored.withColumn("Episode", F.lit("all")), dim)
+
+
+@query("conversation_totals")
+def q_conversation_totals(spark, sf_dir):
+    """Labels by speaker over the second utterance table."""
+    return S.sentiment_totals(Inputs(spark, sf_dir, "conversations").scored(), by=("Character",))
+
+
 def _stats(spark, sf_dir, measures):
     inp = Inputs(spark, sf_dir)
     out = S.character_statistics(inp.scored(), inp.characters(), measures=measures)
@@ -309,7 +335,7 @@ def q_statistics_long(spark, sf_dir):
 
 @query("describe_scores")
 def q_describe_scores(spark, sf_dir):
-    out = S.describe_scores(Inputs(spark, sf_dir).scored(), SCORED_COLS)
+    out = S.describe_scores(Inputs(spark, sf_dir).scored())
     return _r(out, ["mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
@@ -320,7 +346,8 @@ def q_row_counts(spark, sf_dir):
 
 @query("duplicate_keys")
 def q_duplicate_keys(spark, sf_dir):
-    return S.duplicate_keys(Inputs(spark, sf_dir).utterances())
+    # a conversation's speakers take several turns
+    return S.duplicate_keys(Inputs(spark, sf_dir, "conversations").utterances(), ("Episode", "Character"))
 
 
 # -------------------------------------------------------------------- charts
@@ -339,18 +366,19 @@ def q_chart_median_by_label(spark, sf_dir):
     return _r(CH.chart_median_by_label(Inputs(spark, sf_dir).scored()), ["median"])
 
 
-def _stats_full(inp: Inputs):
-    return S.character_statistics(inp.scored(), inp.characters())
+def _model_stats(spark, sf_dir, measure):
+    inp = Inputs(spark, sf_dir)
+    return S.character_statistics(inp.scored(), inp.characters(), measures=(measure,), scorers=("model",))
 
 
 @query("chart_std")
 def q_chart_std(spark, sf_dir):
-    return CH.chart_std(_stats_full(Inputs(spark, sf_dir)))
+    return CH.chart_std(_model_stats(spark, sf_dir, "std"))
 
 
 @query("chart_median")
 def q_chart_median(spark, sf_dir):
-    return CH.chart_median(_stats_full(Inputs(spark, sf_dir)))
+    return CH.chart_median(_model_stats(spark, sf_dir, "median"))
 
 
 # ------------------------------------------------------- document and sinks
@@ -366,11 +394,15 @@ def document_for(inp: Inputs) -> DataFrame:
 
 @query("statistics_document")
 def q_statistics_document(spark, sf_dir):
-    return D.flatten_document(document_for(Inputs(spark, sf_dir)))
+    out = D.flatten_document(document_for(Inputs(spark, sf_dir)))
+    # the document holds full precision; rounded here for the comparison
+    number = F.col("value").try_cast("double")
+    measure = (F.col("section") == "character") & ~F.col("key").endswith("Count") & (F.col("value") != "nan")
+    return out.withColumn("value", F.when(measure, F.format_string("%.6f", F.round(number, 6))).otherwise(F.col("value")))
 
 
 def _full_rounded(inp: Inputs) -> DataFrame:
-    return _r(P.full_table(inp.prepared(), inp.scored()), SCORED_COLS)
+    return _r(P.full_table(P.with_scores(inp.prepared(), inp.scoring())), SCORED_COLS)
 
 
 @query("sink_csv_roundtrip")
@@ -378,48 +410,45 @@ def q_sink_csv_roundtrip(spark, sf_dir):
     from tonality.session import scratch_path
     from tonality.sources.sinks import write_csv
     from tonality.sources.utterances import CSV_READ_OPTIONS
-    inp = Inputs(spark, sf_dir)
-    full = _full_rounded(inp)
+    full = _full_rounded(Inputs(spark, sf_dir))
     path = scratch_path(spark, "full-csv")
     write_csv(full, path)
-    schema = full.drop("Episode").schema
-    back = spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv(path)
-    return back.withColumn("Episode", F.col("Episode").cast("string"))
+    # the partition column is in the schema, so that its value stays a string
+    schema = full.select(*[c for c in full.columns if c != "Episode"], "Episode").schema
+    return spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv(path)
 
 
 @query("sink_json_roundtrip")
 def q_sink_json_roundtrip(spark, sf_dir):
     from tonality.session import scratch_path
     from tonality.sources.sinks import write_json
-    inp = Inputs(spark, sf_dir)
-    full = _full_rounded(inp)
+    full = _full_rounded(Inputs(spark, sf_dir))
     path = scratch_path(spark, "full-json")
     write_json(full, path)
-    back = spark.read.schema(full.drop("Episode").schema).json(path)
-    return back.withColumn("Episode", F.col("Episode").cast("string"))
-
-
-def _written_utterances(spark, sf_dir, name):
-    from tonality.session import scratch_path
-    from tonality.sources.sinks import write_csv
-    u = Inputs(spark, sf_dir).utterances()
-    path = scratch_path(spark, name)
-    write_csv(u, path)
-    return path
+    return spark.read.schema(full.schema).json(path)
 
 
 @query("scan_csv")
 def q_scan_csv(spark, sf_dir):
-    """Utterance CSV files (one directory per episode) read back with the declared schema."""
+    """Utterance CSV files (one folder per episode) read back by their header, with a further column."""
+    from tonality.session import scratch_path
+    from tonality.sources.sinks import write_csv
     from tonality.sources.utterances import read_utterances
-    return read_utterances(spark, _written_utterances(spark, sf_dir, "utt-csv"))
+    u = Inputs(spark, sf_dir).utterances()
+    path = scratch_path(spark, "utt-csv")
+    write_csv(u.select("Text", F.length("Text").alias("n_chars"), "Character", "SentenceIndex", "Episode"), path)
+    return read_utterances(spark, path)
 
 
 @query("scan_episodes")
 def q_scan_episodes(spark, sf_dir):
-    """One scan over many episode files; the episode is taken from each file's path."""
+    """One scan over many episode files; the episode is taken from each file's name ``HPE<n>.csv``."""
+    from tonality.session import materialize, scratch_path
+    from tonality.sources.sinks import write_csv
     from tonality.sources.utterances import read_utterances
-    path = _written_utterances(spark, sf_dir, "utt-episodes")
-    df = read_utterances(spark, f"{path}/Episode=*/*.csv")
-    return df.withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"),
-                                                         r"Episode=\d+/", 0))
+    u = materialize(Inputs(spark, sf_dir).utterances())
+    path = scratch_path(spark, "utt-episodes")
+    names = [r["Episode"] for r in u.select("Episode").distinct().collect()]  # three by the binding
+    for name in names:
+        write_csv(u.where(F.col("Episode") == name).drop("Episode"), f"{path}/HPE{name}.csv", partition_by=None)
+    return read_utterances(spark, [f"{path}/HPE{name}.csv" for name in sorted(names)])

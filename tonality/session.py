@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows a table may have to be shipped to every executor.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest table that may be shipped to every executor.
+BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def get_session(master: str | None = None, app: str = "tonality",
@@ -40,91 +42,43 @@ def get_session(master: str | None = None, app: str = "tonality",
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset (local runs, tests) a fresh folder is created and
-    registered as the checkpoint directory.
+    Only in local mode with none set (tests) a fresh folder is created; elsewhere that is an error.
     """
-    jsc = spark.sparkContext._jsc
-    current = jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return jsc.sc().getCheckpointDir().get()
-    local = tempfile.mkdtemp(prefix="tonality-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    return jsc.sc().getCheckpointDir().get()
+    conf = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = tempfile.mkdtemp(prefix="tonality-ckpt-")
+    sc.setCheckpointDir(conf)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder (never a machine-local temp dir on a cluster)."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/tonality-out/{name}-{os.getpid()}-{next(_counter)}"
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tonality-out/{name}-{uuid.uuid4().hex}"
 
 
-def _count_gen():
-    i = 0
-    while True:
-        i += 1
-        yield i
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether ``df`` is proven to have few rows and few bytes (reads at most ``max_rows`` + 1 rows)."""
+    width = F.length(F.to_json(F.struct(*df.columns)))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
-_counter = _count_gen()
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for broadcast only when its size is proven to be small.
 
-
-def row_count_at_most(df: DataFrame, limit: int) -> int | None:
-    """Number of rows of ``df`` if it is at most ``limit``, else None (reads at most limit+1 rows)."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its row count is proven to be small.
-
-    Above the bound the table is returned unchanged, so the planner picks a
+    Beyond the bounds the table is returned unchanged, so the planner picks a
     shuffle join (with AQE skew-join handling) instead.
     """
-    if row_count_at_most(df, max_rows) is not None:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def local_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """A table whose row count is proven small, rebuilt as an in-memory relation.
-
-    Lets one small derived table (e.g. built from several tiny joins) feed many
-    broadcast joins without recomputing its plan for each.  Returns
-    ``(table, is_small)``; above the bound the table is returned unchanged.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
-
-
-def spread_input(df: DataFrame, keys: list[str] | tuple[str, ...],
-                 min_files_per_core: float = 1.0) -> DataFrame:
-    """Hash-partition a scan by ``keys`` when it has too few files to occupy the cluster.
-
-    Text work is CPU-bound per row: an input of a few large single-row-group
-    files would otherwise run in a few tasks.  The check uses only the file list
-    the driver already holds.  Partitioning by the sentence key also lets later
-    per-sentence aggregates reuse it (no second exchange).  Inputs with enough
-    files are returned unchanged: no shuffle of the raw text at scale.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - non-file sources
-        return df
-    if n_files >= cores * min_files_per_core:
-        return df
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, cores), *keys)

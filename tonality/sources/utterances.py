@@ -7,11 +7,11 @@ code), Text STRING`` plus any pass-through columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonality.schema import UTTERANCE, require_columns
-from tonality.session import spread_input
 
 # Options that read back exactly what ``sources.sinks.write_csv`` writes
 # (quoted fields with commas / line breaks, empty string kept apart from NULL).
@@ -26,31 +26,48 @@ CSV_READ_OPTIONS = {
     "mode": "FAILFAST",
 }
 
-DEFAULT_EPISODE_PATTERN = r"(?:Episode=|HPE|E)(\d+)"
+# The episode's number in the name of its file, or of its folder of part files.
+DEFAULT_EPISODE_PATTERN = r"(?:^|/)HPE(\d+)\.[^./]+(?:/part-[^/]*)?$"
+
+
+def episode_from_path(pattern: str = DEFAULT_EPISODE_PATTERN) -> Column:
+    """The episode in the path of a row's file; a path without one fails the job."""
+    path = F.col("_metadata.file_path")
+    found = F.regexp_extract(path, pattern, 1)
+    return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no episode in the path "), path)))
+
+
+def _csv_schema(spark: SparkSession, path: str | list[str], options: dict) -> T.StructType:
+    """The file's own columns in their order: utterance columns with their types, all others as strings."""
+    named = spark.read.options(**options).csv(path).columns
+    known = {f.name: f.dataType for f in UTTERANCE} | {"Episode": T.StringType()}
+    missing = [f.name for f in UTTERANCE if f.name not in named]
+    if missing:
+        raise ValueError(f"missing required columns {missing}; have {named}")
+    return T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in named])
 
 
 def read_utterances(spark: SparkSession, path: str | list[str], fmt: str = "csv",
-                    schema=UTTERANCE, episode_pattern: str | None = DEFAULT_EPISODE_PATTERN,
-                    **options) -> DataFrame:
+                    episode_pattern: str | None = DEFAULT_EPISODE_PATTERN, **options) -> DataFrame:
     """Read one or many utterance files in one scan.
 
-    ``Episode`` comes from a partition directory ``Episode=<n>`` when present,
-    else from the file name via ``episode_pattern`` (e.g. ``HPE3.csv`` -> ``3``).
+    CSV columns are found by the header, in any order; further columns pass through as strings.  All files of one scan
+    must have the same header (a file with another one fails the job).  ``Episode`` comes from a
+    column or partition folder ``Episode=<n>`` as the string it is there, else from the file name by
+    ``episode_pattern`` (``HPE3.csv`` -> ``3``).  Quoted fields may hold line breaks, so a CSV file is one task:
+    convert large files to Parquet once.
     """
-    reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**{**CSV_READ_OPTIONS, **options})
-        df = reader.csv(path)
+        options = {**CSV_READ_OPTIONS, "enforceSchema": "false", **options}
+        df = spark.read.schema(_csv_schema(spark, path, options)).options(**options).csv(path)
     else:
-        df = reader.options(**options).format(fmt).load(path)
+        df = spark.read.options(**options).format(fmt).load(path)
+    require_columns(df, "SentenceIndex", "Character", "Text")
     if "Episode" not in df.columns:
         if episode_pattern is None:
             raise ValueError("no Episode column and no episode_pattern")
-        df = df.withColumn(
-            "Episode", F.regexp_extract(F.col("_metadata.file_path"), episode_pattern, 1))
-    df = df.withColumn("Episode", F.col("Episode").cast("string"))
-    require_columns(df, "Episode", "SentenceIndex", "Character", "Text")
-    return df.select("Episode", *[c for c in df.columns if c != "Episode"])
+        df = df.withColumn("Episode", episode_from_path(episode_pattern))
+    return df.select(F.col("Episode").cast("string").alias("Episode"), *[c for c in df.columns if c != "Episode"])
 
 
 def bind_documents(documents: DataFrame) -> DataFrame:
@@ -58,7 +75,7 @@ def bind_documents(documents: DataFrame) -> DataFrame:
     return documents.select(
         (F.lit(1) + F.col("doc_id") % 3).cast("string").alias("Episode"),
         F.col("doc_id").alias("SentenceIndex"),
-        F.nullif(F.substring("source", 4, 1 << 20).cast("int") % 6, F.lit(0))
+        F.nullif(F.expr("substring(source, 4)").cast("int") % 6, F.lit(0))
          .cast("double").alias("Character"),
         F.col("text").alias("Text"),
     )
@@ -76,7 +93,8 @@ def bind_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def utterances_from_table(spark: SparkSession, sf_dir: str, table: str = "documents",
-                          spread: bool = True) -> DataFrame:
+                          partitions: int | None = None) -> DataFrame:
+    """A table as utterances; ``partitions`` deals a table of too few file splits out anew (the caller's choice)."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if table == "documents":
         out = bind_documents(df)
@@ -84,4 +102,4 @@ def utterances_from_table(spark: SparkSession, sf_dir: str, table: str = "docume
         out = bind_conversations(df)
     else:
         raise ValueError(f"no utterance binding for table {table!r}")
-    return spread_input(out, ["Episode", "SentenceIndex"]) if spread else out
+    return out.repartition(partitions) if partitions else out

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonality.resources import BOOSTERS, MINI_LEXICON, NEGATORS, default_stopword_list
-from tonality.schema import BOOSTER, LEXICON, WORDLIST
+from tonality.resources import BOOSTERS, MINI_LEXICON, NEGATORS
+from tonality.schema import BOOSTER, LEXICON
 
 
 def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
@@ -17,11 +17,6 @@ def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
             .distinct())
 
 
-def default_stopwords_df(spark: SparkSession, language: str = "english") -> DataFrame:
-    """Spark ML's built-in stopword list as a one-column table."""
-    return spark.createDataFrame([(w,) for w in default_stopword_list(language)], WORDLIST)
-
-
 def read_lexicon(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Lexicon file ``token<sep>valence[<sep>...]``; extra columns are ignored."""
     raw = spark.read.options(sep=sep, header="false", comment="#").csv(path)

@@ -2,36 +2,38 @@
 
 New episode files in a folder are picked up by a file stream; every
 micro-batch is a static DataFrame and runs the same batch plan (prepare ->
-score -> label), appended to a Parquet table partitioned by episode.  Scoring
-is per sentence, so a micro-batch needs no state from earlier batches; the
-checkpoint location makes the stream restartable after failures.
+score -> label).  Each batch writes its scored rows and its rejects to folders
+of its own number, which a replay overwrites.  Scoring is per sentence, so a
+micro-batch needs no state from earlier batches; the checkpoint location makes
+the stream restartable after failures.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tonality.operators.prepare import prepare_utterances
-from tonality.plans.pipeline import Scoring, scored_table
+from tonality.operators.model import model_rejects
+from tonality.plans.pipeline import SCORED, Scoring, with_scores
 from tonality.schema import UTTERANCE
-from tonality.sources.utterances import CSV_READ_OPTIONS, DEFAULT_EPISODE_PATTERN
+from tonality.session import materialize
+from tonality.sources.utterances import CSV_READ_OPTIONS, episode_from_path
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                          characters: DataFrame, stopwords, sc: Scoring,
                          max_files_per_trigger: int = 100, trigger_once: bool = False) -> StreamingQuery:
-    stream = (spark.readStream.schema(UTTERANCE).options(**CSV_READ_OPTIONS)
+    stream = (spark.readStream.schema(UTTERANCE).options(**CSV_READ_OPTIONS, enforceSchema="false")
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .csv(source_dir)
-              .withColumn("Episode", F.regexp_extract(F.col("_metadata.file_path"),
-                                                      DEFAULT_EPISODE_PATTERN, 1)))
+              .withColumn("Episode", episode_from_path()))
 
-    def score_batch(batch: DataFrame, epoch_id: int) -> None:
-        prepared = prepare_utterances(batch, characters, stopwords)
-        (scored_table(prepared, sc).withColumn("batch_id", F.lit(epoch_id))
-         .write.mode("append").partitionBy("Episode").parquet(out_dir))
+    def score_batch(batch: DataFrame, batch_id: int) -> None:
+        scores = materialize(with_scores(prepare_utterances(batch, characters, stopwords), sc))
+        ok, rejects = model_rejects(scores)
+        for name, rows in (("scored", ok.select(*SCORED)), ("rejects", rejects)):
+            rows.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if trigger_once else writer

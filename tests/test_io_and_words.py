@@ -1,10 +1,9 @@
-import json
-
+import pytest
 from pyspark.sql import functions as F
 
 from tonality.operators import stopwords as SW
 from tonality.operators import words as W
-from tonality.resources import STOPWORDS_B_PATH, default_stopword_list
+from tonality.resources import default_stopword_list
 from tonality.session import scratch_path
 from tonality.sources.sinks import write_csv
 from tonality.sources.utterances import read_utterances
@@ -12,22 +11,46 @@ from tonality.sources.wordlists import read_lexicon, read_wordlist
 
 
 def test_csv_round_trip_edge_rows(spark):
-    rows = [("1", 0, 1.0, 'Hi, well-known "doctor"'), ("1", 1, None, "No."),
+    rows = [("01", 0, 1.0, 'Hi, well-known "doctor"'), ("01", 1, None, "No."),
             ("2", 2, 5.0, "line\nbreak, comma"), ("2", 3, 2.0, ""), ("2", 4, 7.0, None),
             ("3", 5, 3.0, "  padded  "), ("3", 6, 1.7, "back\\slash")]
     df = spark.createDataFrame(rows, "Episode string, SentenceIndex long, Character double, Text string")
     path = scratch_path(spark, "test-csv")
     write_csv(df, path)
-    back = read_utterances(spark, path)
+    back = read_utterances(spark, path)  # "01" stays "01"
     assert sorted(map(tuple, back.select(*df.columns).collect()), key=lambda r: r[1]) == rows
-    files = read_utterances(spark, f"{path}/Episode=*/*.csv")   # episode from the file path
-    assert sorted(r.Episode for r in files.collect()) == sorted(r[0] for r in rows)
 
 
-def test_wordlist_distinct_and_stripped(spark):
-    words = read_wordlist(spark, STOPWORDS_B_PATH)
-    lines = [l.strip() for l in open(STOPWORDS_B_PATH, encoding="utf-8") if l.strip()]
-    assert words.count() == len(set(lines)) < len(lines)
+def test_columns_by_header_and_episode_by_file_name(spark, tmp_path):
+    folder = tmp_path / "E2024"
+    folder.mkdir()
+    for n in (1, 2):
+        (folder / f"HPE{n}.csv").write_text(f'Character,note,SentenceIndex,Text\n{n},x,7,"a, b"\n,y,8,c\n')
+    rows = read_utterances(spark, str(folder)).orderBy("Episode", "SentenceIndex").collect()
+    assert [(r.Episode, r.SentenceIndex, r.Character, r.Text, r.note) for r in rows] == [
+        ("1", 7, 1.0, "a, b", "x"), ("1", 8, None, "c", "y"), ("2", 7, 2.0, "a, b", "x"), ("2", 8, None, "c", "y")]
+
+
+def test_bad_headers_and_names_fail(spark, tmp_path):
+    (tmp_path / "HPE1.csv").write_text("Character,Text\n1,a\n")
+    with pytest.raises(ValueError, match="SentenceIndex"):
+        read_utterances(spark, str(tmp_path))
+    named = tmp_path / "other"
+    named.mkdir()
+    (named / "NODE12.csv").write_text("SentenceIndex,Character,Text\n1,1,a\n")
+    with pytest.raises(Exception, match="no episode"):
+        read_utterances(spark, str(named)).collect()
+    swapped = tmp_path / "swapped"
+    swapped.mkdir()
+    (swapped / "HPE1.csv").write_text("SentenceIndex,Character,Text\n1,1,a\n")
+    (swapped / "HPE2.csv").write_text("Character,SentenceIndex,Text\n1,1,a\n")
+    with pytest.raises(Exception):
+        read_utterances(spark, str(swapped)).collect()
+
+
+def test_wordlist_distinct_and_stripped(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("a\n b \n\na\nc\n")
+    assert sorted(r.word for r in read_wordlist(spark, str(tmp_path / "w.txt")).collect()) == ["a", "b", "c"]
 
 
 def test_default_stopwords_match_spark(spark):
@@ -42,14 +65,16 @@ def test_read_lexicon(spark, tmp_path):
 
 
 def test_large_stopword_list_path_equals_inline(spark, monkeypatch):
-    df = spark.createDataFrame([("1", 0, ["the", "cat", "the", "sat"]), ("1", 1, []), ("1", 2, None)],
-                               "Episode string, SentenceIndex long, Tokens array<string>")
-    stop = spark.createDataFrame([(w,) for w in default_stopword_list()], "word string")
-    inline = {r.SentenceIndex: r.Tokens for r in SW.remove_stopwords(df, stop, "Tokens").collect()}
-    monkeypatch.setattr(SW, "INLINE_MAX_WORDS", 10)
-    joined = {r.SentenceIndex: r.Tokens for r in SW.remove_stopwords(df, stop, "Tokens").collect()}
-    assert inline[0] == ["cat", "sat"] == joined[0]
-    assert inline[1] == [] == joined[1]
+    rows = [("1", 0, ["the", "cat", "the", "sat", "cat"]), ("1", 1, []), ("1", 2, None), ("1", 3, ["the", "of"]),
+            ("1", 4, ["a", "dog"]), ("1", 4, ["the", "bird"])]
+    df = spark.createDataFrame(rows, "Episode string, SentenceIndex long, Tokens array<string>")
+    stop = spark.createDataFrame([(w,) for w in [*default_stopword_list(), None]], "word string")
+    want = [(0, ["cat", "sat", "cat"]), (1, []), (2, None), (3, []), (4, ["bird"]), (4, ["dog"])]
+    for limit in (20_000, 10):
+        monkeypatch.setattr(SW, "INLINE_MAX_WORDS", limit)
+        for words in (stop, list(default_stopword_list())):
+            got = [(r.SentenceIndex, r.Tokens) for r in SW.remove_stopwords(df, words, "Tokens").collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_word_frequency_and_top(spark):

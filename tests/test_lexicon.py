@@ -1,17 +1,18 @@
 import math
 
-import pytest
-
 from tonality.operators import lexicon as L
 from tonality.sources.wordlists import booster_df, lexicon_from_rows, negator_df
 
 LEX = [("good", 1.8), ("bad", -2.5), ("least", 0.5)]
 
 
+def rules(spark, rule=None, contrast=("but",)):
+    return L.Rules(lexicon_from_rows(spark, LEX), booster_df(spark), negator_df(spark), rule, contrast)
+
+
 def score(spark, text, rule=None):
     df = spark.createDataFrame([("1", 0, text)], "Episode string, SentenceIndex long, CleanText string")
-    out = L.lexicon_scores(df, lexicon_from_rows(spark, LEX), booster_df(spark), negator_df(spark),
-                           rule=rule).first()
+    out = L.lexicon_scores(df, rules(spark, rule)).first()
     return out.lex_neg, out.lex_neu, out.lex_pos, out.lex_compound
 
 
@@ -51,6 +52,43 @@ def test_never_so(spark):
     assert score(spark, "never so good")[3] == comp((1.8 + 0.293) * 1.5)
 
 
+def test_never_at_distance_three_looks_at_both_words_between(spark):
+    assert score(spark, "never day so good")[3] == comp((1.8 + 0.293) * 1.25)
+    assert score(spark, "never this day good")[3] == comp(1.8 * 1.25)
+    assert score(spark, "never day day good")[3] == comp(1.8 * -0.74)
+
+
+def test_repeated_keys_stay_apart_and_ratios_stay_below_one(spark):
+    rows = [("1", 0, "good"), ("1", 0, "good bad good"), ("1", 0, "good")]
+    df = spark.createDataFrame(rows, "Episode string, SentenceIndex long, CleanText string")
+    out = L.lexicon_scores(df, rules(spark)).collect()
+    assert len(out) == 3 and all(0 <= x <= 1 for r in out for x in (r.lex_neg, r.lex_neu, r.lex_pos))
+    assert sorted(r.lex_pos for r in out)[1:] == [1.0, 1.0]
+
+
+def test_large_lexicon_path_equals_inline(spark, monkeypatch):
+    texts = ["good", "not good but very bad !!", "GOOD day least bad", "", None, "never so good", "good"]
+    df = spark.createDataFrame([("1", i % 3, t) for i, t in enumerate(texts)], "Episode string, SentenceIndex long, CleanText string")
+    r = rules(spark)
+    want = sorted(map(repr, L.lexicon_scores(df, r).collect()))
+    items = sorted(map(repr, L.lexicon_items(df, r).collect()))
+    small = L._small_rows
+    monkeypatch.setattr(L, "_small_rows", lambda df, value: None if value == "valence" else small(df, value))
+    assert sorted(map(repr, L.lexicon_scores(df, r).collect())) == want
+    assert sorted(map(repr, L.lexicon_items(df, r).collect())) == items
+
+
+def test_default_has_no_made_up_valences(spark):
+    assert score(spark, "quartz table") == (0.0, 1.0, 0.0, 0.0)
+
+
+def test_model_only_plans_do_not_score_the_lexicon(spark):
+    from conftest import SF001
+    from tonality.plans.queries import QUERIES
+    plan = QUERIES["chart_share"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lex_neg" not in plan and "free1" not in plan
+
+
 def test_but_contrast(spark):
     assert score(spark, "good but bad")[3] == comp(1.8 * 0.5 - 2.5 * 1.5)
 
@@ -86,8 +124,7 @@ def test_rule_lexicon(spark):
     assert score(spark, "xyz", rule=L.generated_valence)[3] == comp(1.0)
 
 
-@pytest.mark.parametrize("text", ["good", "not good day", "very bad but good !"])
-def test_empty_label_faithful(spark, text):
+def test_empty_label_faithful(spark):
     from tonality.functions.labels import major_sentiment
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "p double, u double, n double")
     assert df.select(major_sentiment("p", "u", "n").alias("l")).first().l == "Positive"

@@ -1,5 +1,5 @@
 import numpy as np
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tonality.operators import model as M
@@ -16,38 +16,42 @@ def test_native_equals_pandas(spark):
     df = frame(spark)
     native = {r.SentenceIndex: (r.logit_neg, r.logit_neu, r.logit_pos)
               for r in M.linear_scores(df, keep_logits=True).collect()}
-    pandas_out = M.score_with_pandas(df, M.linear_fixture_scorer, passthrough=["SentenceIndex"])
+    pandas_out = M.score_with_pandas(df, M.LINEAR_KEY, M.linear_fixture_scorer, passthrough=["SentenceIndex"])
     for r in pandas_out.collect():
-        assert np.allclose(native[r.SentenceIndex], (r.logit_neg, r.logit_neu, r.logit_pos))
-        assert r.model_error is None
+        if r.SentenceIndex == 3:
+            assert r.model_error == "null text" and r.logit_neg is None and native[3] == (None, None, None)
+        else:
+            assert np.allclose(native[r.SentenceIndex], (r.logit_neg, r.logit_neu, r.logit_pos)) and r.model_error is None
 
 
 def test_softmax_sums_to_one(spark):
-    out = M.linear_scores(frame(spark)).select((F.col("model_neg") + F.col("model_neu")
-                                                + F.col("model_pos")).alias("s")).collect()
-    assert all(abs(r.s - 1) < 2e-6 for r in out)
+    out = M.linear_scores(frame(spark)).where("CleanText IS NOT NULL").select(
+        (F.col("model_neg") + F.col("model_neu") + F.col("model_pos")).alias("s")).collect()
+    assert len(out) == 4 and all(abs(r.s - 1) < 1e-12 for r in out)
 
 
-def test_failing_rows_are_isolated(spark):
-    def factory():
-        base = M.linear_fixture_scorer()
-
-        def score(texts: pd.Series):
-            if any(isinstance(t, str) and len(t) > 50 for t in texts):
-                if len(texts) > 1:
-                    raise RuntimeError("batch has a long text")
-                raise RuntimeError("text too long")
-            return base(texts)
-        return score
+def test_each_key_has_its_own_model(spark):
+    def factory(k):
+        return lambda: lambda texts: np.full((len(texts), 3), float(k))
+
+    for k in (1, 2, 3, 1):
+        out = M.score_with_pandas(frame(spark).repartition(4), M.ScorerKey("closure", str(k)), factory(k), passthrough=["SentenceIndex"])
+        assert {r.logit_pos for r in out.where("model_error IS NULL").collect()} == {float(k)}
+
 
-    out = M.score_with_pandas(frame(spark), factory, passthrough=["SentenceIndex"]).collect()
-    errs = {r.SentenceIndex: r.model_error for r in out}
-    assert errs[4] is not None and "too long" in errs[4]
-    assert all(errs[i] is None for i in range(4))
+def test_failing_rows_are_isolated_and_split(spark):
+    out = M.score_with_pandas(frame(spark), M.ScorerKey("limited", "20"), M.limited_fixture_scorer(20), passthrough=["SentenceIndex"])
+    ok, rejects = M.model_rejects(out, keys=["SentenceIndex"])
+    assert {r.SentenceIndex: r.reason for r in rejects.collect()} == {
+        3: "null text", 4: "RuntimeError: text too long for the model"}
+    assert sorted(r.SentenceIndex for r in ok.collect()) == [0, 1, 2]
 
 
-def test_rejects(spark):
-    ok, rej = M.model_rejects(frame(spark), max_chars=20)
-    reasons = {r.SentenceIndex: r.reason for r in rej.collect()}
-    assert reasons == {3: "null text", 4: "text too long"}
-    assert ok.count() == 3
+def test_a_fault_of_the_scorer_fails_the_job(spark):
+    def factory():
+        def score(texts):
+            raise KeyError("bug")
+        return score
+
+    with pytest.raises(Exception, match="bug"):
+        M.score_with_pandas(frame(spark), M.ScorerKey("faulty", "1"), factory, passthrough=["SentenceIndex"]).collect()

@@ -35,3 +35,10 @@ def test_extract_words_ascii(spark):
 
 def test_null_text_stays_null(spark):
     assert one(spark, T.clean_text, None) is None
+
+
+def test_other_scripts_are_spelled_or_kept(spark):
+    assert one(spark, T.clean_text, "Привет мир!") == "privet mir!"
+    assert one(spark, T.clean_text, "Ελλάδα") == "ellada"
+    assert one(spark, T.clean_text, "안녕 하세요") == "안녕 하세요"
+    assert one(spark, T.extract_words, "안녕 하세요, ok") == ["안녕", "하세요", "ok"]

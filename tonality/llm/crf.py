@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonality.llm.common import worker_memo
+
 CHAIN = 64
 BUCKETS = 1 << 17
 SAMPLE_DOCS = 300
@@ -36,6 +38,7 @@ STEP = 0.5
 L2 = 1e-4
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.95
 MEMO_WORDS = 300_000
+MEMO_FEATURES = 200_000
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -47,12 +50,24 @@ def core(chunk: str) -> str:
     return _EDGES.sub("", chunk.lower())
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word's spelling."""
+class Buckets(dict):
+    """Hash bucket of a feature, remembered: words are many, their parts are few."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= MEMO_FEATURES:
+            self.clear()
+        self[feature] = bucket = zlib.crc32(feature.encode()) % BUCKETS
+        return bucket
+
+
+def features(word: str, buckets: Buckets) -> list[int]:
+    """Hashed features of a word's spelling; at least one for a word that is not empty."""
     n, marked = len(word), f"^{word}$"
-    own = [f"p{word[:i]}" for i in range(1, min(4, n) + 1)] + [f"s{word[-i:]}" for i in range(1, min(4, n) + 1)]
-    own += [marked[i:i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [zlib.crc32(f.encode()) % BUCKETS for f in own]
+    ends = range(1, min(4, n) + 1)
+    own = ["p" + word[:i] for i in ends] + ["s" + word[-i:] for i in ends]
+    own += [marked[i:i + 2] for i in range(n + 1)]
+    own += [marked[i:i + 3] for i in range(n)]
+    return list(map(buckets.__getitem__, own))
 
 
 def forward_backward(emission: np.ndarray, transition: np.ndarray, mask: np.ndarray
@@ -92,12 +107,15 @@ class Model:
     lexicon: dict[str, int] = field(repr=False)
     key: str = ""
 
-    def emission(self, word: str) -> np.ndarray:
-        if not word:
-            return np.zeros(len(self.langs), np.float32)
-        out = self.weights[features(word)].sum(0)
-        at = self.lexicon.get(word)
-        return out if at is None else out + self.lexicon_weights[at]
+    def emissions(self, words: list[str], buckets: Buckets) -> np.ndarray:
+        """Scores of words that are not empty."""
+        lists = [features(w, buckets) for w in words]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((f for own in lists for f in own), np.int64, int(sizes.sum()))
+        out = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes)
+        at = np.array([self.lexicon.get(w, -1) for w in words])
+        out[at >= 0] += self.lexicon_weights[at[at >= 0]]
+        return out
 
 
 class Labeller:
@@ -108,28 +126,28 @@ class Labeller:
         self._clear()
 
     def _clear(self) -> None:
-        k = len(self.model.langs)
-        self.row: dict[str, int] = {}
-        self.table = np.zeros((1024, k), np.float32)
-        self.has_letter = np.zeros(1024, bool)
-
-    def _learn(self, chunk: str) -> int:
-        row = len(self.row)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.has_letter = np.concatenate([self.has_letter, np.zeros_like(self.has_letter)])
-        word = core(chunk)
-        self.table[row] = self.model.emission(word)
-        self.has_letter[row] = bool(word)
-        self.row[chunk] = row
-        return row
+        self.buckets = Buckets()
+        self.row: dict[str, int] = {}        # of chunks
+        self.word_row: dict[str, int] = {"": 0}
+        self.table = np.zeros((1, len(self.model.langs)), np.float32)  # row 0: no letters
+
+    def _learn(self, chunks: set[str]) -> None:
+        words = {c: core(c) for c in chunks}
+        new = sorted({w for w in words.values() if w not in self.word_row})
+        if new:
+            self.word_row.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table = np.concatenate([self.table, self.model.emissions(new, self.buckets)])
+        self.row.update((c, self.word_row[w]) for c, w in words.items())
 
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distribution of every word of all texts, whether it has letters, and its text's number."""
         if len(self.row) > MEMO_WORDS:
             self._clear()
-        get, k = self.row.get, len(self.model.langs)
-        rows = [[r if (r := get(c)) is not None else self._learn(c) for c in chunks] for chunks in texts]
+        k = len(self.model.langs)
+        new = {c for chunks in texts for c in chunks if c not in self.row}
+        if new:
+            self._learn(new)
+        rows = [list(map(self.row.__getitem__, chunks)) for chunks in texts]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.fromiter((r for own in rows for r in own), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(rows)), sizes)
@@ -143,7 +161,7 @@ class Labeller:
         emission[chain, place % CHAIN] = self.table[flat]
         mask[chain, place % CHAIN] = True
         p, _ = forward_backward(emission, self.model.transition.astype(np.float32), mask)
-        return p[chain, place % CHAIN], self.has_letter[flat], owner
+        return p[chain, place % CHAIN], flat > 0, owner
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
@@ -159,15 +177,9 @@ class Labeller:
         return [self.model.langs[b] if c else UNKNOWN for b, c in zip(best, count, strict=True)], np.where(count, score, 0.0)
 
 
-_labeller: dict[str, Labeller] = {}
-
-
 def labeller(model: Model) -> Labeller:
-    """The worker's labeller of this model; it keeps one model at a time."""
-    if model.key not in _labeller:
-        _labeller.clear()
-        _labeller[model.key] = Labeller(model)
-    return _labeller[model.key]
+    """The worker's labeller of this model."""
+    return worker_memo(("crf", model.key), lambda: Labeller(model))
 
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
@@ -216,7 +228,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     word, gold = np.zeros(mask.shape, np.int64), np.zeros(mask.shape, np.int64)
     for i, (r, t) in enumerate(zip(rows, tags, strict=True)):
         mask[i, :len(r)], word[i, :len(r)], gold[i, :len(t)] = True, r, t
-    spelled = [features(w) if w else [] for w in vocabulary]
+    buckets = Buckets()
+    spelled = [features(w, buckets) if w else [] for w in vocabulary]
     f_word = np.repeat(np.arange(len(spelled)), [len(f) for f in spelled])
     f_id = np.array([x for f in spelled for x in f], np.int64)
     lex = np.array([lexicon.get(w, -1) for w in vocabulary], np.int64)
@@ -271,8 +284,8 @@ def identify(docs: DataFrame, model: Model) -> Column:
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
-            for low in range(0, len(texts), 512):
-                lang, score = labeller(model).documents(texts.iloc[low:low + 512].tolist())
+            for low in range(0, len(texts), 256):
+                lang, score = labeller(model).documents(texts.iloc[low:low + 256].tolist())
                 out.append(pd.DataFrame({"lang_pred": lang, "score": score}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
 

@@ -31,12 +31,16 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; documents without an id pass, as groups are named by ids."""
     from pyspark.sql import functions as F
 
-    from tonality.llm.minhash import near_duplicates
+    from tonality.llm.common import cut
+    from tonality.llm.minhash import BROADCAST_ROWS, near_duplicates
 
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = near_duplicates(named, SHINGLE, SIMILARITY).where("kept").select("doc_id")
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull()))
+    kept = cut(near_duplicates(named, SHINGLE, SIMILARITY).where("kept").select("doc_id"))
+    n, ids = kept.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    # texts are shuffled only for more ids than may be broadcast, or where rows are repeated
+    rows = named.join(F.broadcast(kept) if n <= BROADCAST_ROWS else kept, "doc_id", "left_semi")
+    rows = rows if n == ids else rows.dropDuplicates(["doc_id"])
+    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tonality.llm.common import worker_memo
+
 MAX_STATES = 300_000   # a worker's transducer starts anew beyond it
 MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
@@ -213,14 +215,9 @@ class Decoder:
         yield machine.flush()
 
 
-_workers: dict[tuple, tuple[Encoder, Decoder]] = {}
-
-
 def coder(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     """The worker's encoder and decoder of this rank file."""
-    if (path, pattern) not in _workers:
-        _workers[path, pattern] = (Encoder(path, pattern), Decoder(path))
-    return _workers[path, pattern]
+    return worker_memo(("bytes", path, pattern), lambda: (Encoder(path, pattern), Decoder(path)))
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+_memo: dict[Hashable, Any] = {}
+
+
+def worker_memo(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps under ``key`` (a tokenizer, a model with its memo), made when first asked for.
+
+    Workers serve one stage after another; a worker keeps one entry, so that a stage does not carry the last one's memory.
+    """
+    if key not in _memo:
+        _memo.clear()
+        _memo[key] = make()
+    return _memo[key]
+
+
+def drop_memo() -> None:
+    """Free what earlier stages left in this worker."""
+    _memo.clear()

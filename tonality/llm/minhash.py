@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.llm.common import components, cut
+from tonality.llm.common import components, cut, drop_memo
 
 COORDS = 64
 SIGMAS = 5.0              # how far below its mean the number of matches may fall
 BLOCK_CLASSES = 512       # classes of a group in one block
-BLOCK_CHARS = 8_000_000   # characters of a group in one block
+BLOCK_CHARS = 4_000_000   # characters of a group in one block
 BROADCAST_ROWS = 1_000_000
-WINDOW = 2_000_000        # bytes hashed at a time
+WINDOW = 500_000          # bytes hashed at a time
 
 _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,7 +159,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        drop_memo()
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for part in parts(texts):
                 values, begins = shingle_sets(texts[part], width)
@@ -277,6 +278,7 @@ def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, matches:
                 return []
             return links_within(group["node"].to_numpy(), group["text"].tolist(), which, width, percent, matches)
 
+        drop_memo()
         rest = None
         for frame in frames:
             if rest is not None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.llm.common import cut
+from tonality.llm.common import cut, worker_memo
 
 CAPACITY = 2048
 OPEN_BINS = 8192
@@ -101,14 +101,9 @@ class ChunkTokenizer:
         return b"".join(found)
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
 def tokenizer(path: str) -> ChunkTokenizer:
     """The worker's tokenizer of this file."""
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
+    return worker_memo(("words", path), lambda: ChunkTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

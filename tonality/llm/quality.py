@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonality.llm.common import drop_memo
 from tonality.llm.minhash import parts, word_hashes
 
 SAMPLE = 20_000
@@ -211,6 +212,7 @@ def score(text: Column, model: Trees) -> Column:
     """Score of a text column, 0 to 1."""
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drop_memo()
         for texts in batches:
             yield pd.Series(model.score(_statistics_of(texts)), dtype="float64")
 

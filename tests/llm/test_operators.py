@@ -197,6 +197,29 @@ def test_near_duplicates_against_all_pairs(spark, width, percent, monkeypatch):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in rows.items())
 
 
+def test_near_duplicates_that_no_block_joins_by_itself(spark, monkeypatch):
+    """Chains in which only neighbours are alike, and many copies of one text beside a few that hang on one of them."""
+    from tonality.llm import minhash
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base[6 * i:6 * i + 160]) for i in range(40)]
+    own = [f"v{i}" for i in range(150)]
+    for i in range(60):
+        words = list(own)
+        words[rng.randrange(150)] = f"x{i}"
+        texts.append(" ".join(words))
+    far = texts[-1].split()
+    for i in range(8):
+        far = [*far[5:], *(f"y{i}{j}" for j in range(5))]
+        texts.append(" ".join(far))
+    rng.shuffle(texts)
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 4)
+    rows = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, texts), 3, 85).collect()}
+    groups = linked(word_sets(texts, 3), 85)
+    assert len(set(groups)) < 5
+    assert [rows[i]["component_id"] for i in range(len(texts))] == groups
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     from tonality.llm.minhash import near_duplicates
     docs = frame(spark, ["a b c d", "a b c d"])

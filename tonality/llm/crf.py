@@ -5,8 +5,8 @@ stands; transitions between the languages of neighbouring words are learned too.
 ``CHAIN`` words gives each word's distribution, so that code-switched text gets its languages word by word; a
 document's language is the one with the largest mean over its words with letters, and that mean is its score.
 
-Learning uses a sample of about ``SAMPLE_DOCS`` documents of each language and at most ``SAMPLE_WORDS`` words of each (a
-bound for fitting only; whole texts are labelled).  Half of the sample makes the lexicons, the other half the training chains, in
+Learning uses a sample of about ``SAMPLE_DOCS`` documents of each language (repeated rows once) and at most ``SAMPLE_WORDS``
+words and ``SAMPLE_CHARS`` characters of each (bounds for fitting only; whole texts are labelled).  Half of the sample makes the lexicons, the other half the training chains, in
 which stretches of documents in different languages alternate.  All chains of a batch are worked through together.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; without any labelled rows everything
@@ -33,6 +33,7 @@ CHAIN = 64
 BUCKETS = 1 << 17
 SAMPLE_DOCS = 300
 SAMPLE_WORDS = 2000
+SAMPLE_CHARS = 128_000
 ROUNDS = 30
 STEP = 0.5
 L2 = 1e-4
@@ -274,7 +275,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     span = 1 << 30
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(span, span * per_language // n + 1))))
     rows = (known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share[F.col("lang")])
-            .select("lang", F.col("text")).limit(2 * per_language * len(counts) + 100).collect())
+            .select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+            .distinct().limit(2 * per_language * len(counts) + 100).collect())  # repeated rows count once
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -7,10 +7,12 @@
    with all pairs ordered from rare to frequent, such classes share one of their first ``COORDS - T + 1``: only these
    are listed, and the long lists are skipped.  Pairs that occur once need no list, so a class without enough
    repeated pairs drops out at once.
-3. Classes connected by lists form candidate groups.  A group is cut into blocks, and each pair of blocks is a task: it
-   counts collisions of the full signatures, keeps pairs with ``T`` or more, and confirms them on the
-   full shingle sets, most collisions first.  A pair already connected within the task is not needed; a task
-   returns the links that connect its rows, never all pairs.
+3. Classes connected by lists form candidate groups.  A group is cut into blocks.  A task counts collisions of the full
+   signatures of its rows, keeps pairs with ``T`` or more, and confirms them on the full shingle sets, most collisions
+   first.  A pair already connected within the task is not needed; a task returns the links that connect its rows, never
+   all pairs.  First each block is a task, with the group's ``HEADS`` among its rows: a large group of copies is joined here,
+   in proportion to its size.  Only the classes that stay apart from the group's largest part then meet all of the group's others,
+   block by block; pairs within the largest part could join nothing.
 4. Connected components of the links, joined back to all documents.
 
 No list, group or number of partners is capped; a group's size only sets the number of its blocks.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonality.llm.common import components, cut, drop_memo
@@ -37,6 +39,7 @@ COORDS = 64
 SIGMAS = 5.0              # how far below its mean the number of matches may fall
 BLOCK_CLASSES = 512       # classes of a group in one block
 BLOCK_CHARS = 4_000_000   # characters of a group in one block
+HEADS = 4                 # classes of a group that every block of it is compared with
 BROADCAST_ROWS = 1_000_000
 WINDOW = 500_000          # bytes hashed at a time
 
@@ -251,20 +254,60 @@ def links_within(ids: np.ndarray, texts: list[bytes], side: np.ndarray, width: i
 def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
     """``a, b``: confirmed links that connect the classes of each group."""
     n_rows = groups.count()
-    # the documents' side is not shuffled while the classes fit a broadcast of known size
-    side = F.broadcast(groups) if n_rows <= BROADCAST_ROWS else groups
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(side, "node")
-    sizes = rows.groupBy("component").agg(F.countDistinct("node").alias("n"), F.sum(F.octet_length("text")).alias("chars"))
-    sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("chars") / BLOCK_CHARS),
-                                                 F.lit(1)).cast("int").alias("blocks"))
-    own = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    side = F.broadcast(own) if n_rows <= BROADCAST_ROWS else own
-    rows = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(side, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = rows.select("component", "node", "text", "block", other.alias("other")).select(
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "text")
+    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+
+    def sized(side: DataFrame) -> DataFrame:
+        # the documents' side is not shuffled while the classes fit a broadcast of known size
+        return F.broadcast(side) if n_rows <= BROADCAST_ROWS else side
+
+    measured = cut(texts.join(sized(groups), "node").groupBy("node", "component")
+                   .agg(F.max(F.octet_length("text")).alias("chars")))
+    heads = F.array(*(F.min_by("node", F.xxhash64(F.lit(j), "node")) for j in range(HEADS)))
+    sizes = measured.groupBy("component").agg(_blocks(F.lit(True)).alias("blocks"), heads.alias("heads"))
+    own = cut(measured.join(sizes, "component").select(
+        "node", "component", "chars", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+        F.array_contains("heads", F.col("node")).alias("head")))
+
+    # each block by itself, with the group's heads in every block
+    place = F.when(F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    near = texts.join(sized(own.select("node", "component", "block", "blocks", "head")), "node").select(
+        "component", "node", "text", F.explode(place).alias("block"))
+    found = cut(_task_links(near.withColumns({"low": F.col("block"), "high": F.col("block")}), docs, width, percent, matches))
+    wide = own.where("blocks > 1").select("node", "component", "chars")
+    if wide.isEmpty():
+        return found
+
+    # what that has not joined to the largest part of its group meets all others of the group
+    parts_of = components(found.join(wide.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
+    state = wide.join(parts_of.select("node", F.col("component").alias("root")), "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    main = (state.groupBy("component", "root").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("component").agg(F.max(F.struct("n", "root")).alias("main")))
+    state = cut(state.join(main, "component").withColumn("rest", F.col("root") != F.col("main.root")))
+    counts = state.groupBy("component").agg(
+        F.count_if("rest").alias("n_rest"), _blocks(F.col("rest")).alias("r"), _blocks(~F.col("rest")).alias("m"))
+    left = cut(state.join(counts.where("n_rest > 0"), "component").select(
+        "node", "component", "r", "m", "rest", F.when(F.col("rest"), F.pmod(F.xxhash64(F.lit(HEADS), "node"), F.col("r")))
+        .otherwise(F.col("r") + F.pmod(F.xxhash64(F.lit(HEADS), "node"), F.col("m"))).cast("int").alias("block")))
+    if left.isEmpty():
+        return found
+    last = F.when(F.col("rest"), F.col("r") + F.col("m")).otherwise(F.col("r")) - 1
+    far = texts.join(sized(left), "node").select(
+        "component", "node", "text", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    far = far.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    return found.unionByName(_task_links(far, docs, width, percent, matches))
+
+
+def _blocks(which: Column) -> Column:
+    """Number of blocks for the rows of a group that ``which`` names, by their count and their characters."""
+    return F.greatest(F.ceil(F.count_if(which) / BLOCK_CLASSES), F.ceil(F.sum(F.when(which, F.col("chars"))) / BLOCK_CHARS),
+                      F.lit(1)).cast("int")
+
+
+def _task_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
+    """Links of the tasks ``component, low, high``, whose rows are ``block, node, text``."""
     keys = ["component", "low", "high"]
-    dealt = pairs.repartition(*keys).sortWithinPartitions(*keys, "node")
+    dealt = pairs.select(*keys, "block", "node", "text").repartition(*keys).sortWithinPartitions(*keys, "node")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

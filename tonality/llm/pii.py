@@ -149,7 +149,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     sized = _sized(terms)
     hits = cut(found.select("th", F.explode(_terms(F.col("text"))).alias("term")).join(sized, "term")
                .groupBy("th").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "action")))).alias("hits")))
-    found = found.join(_sized(hits), "th", "left")
+    # a row of hits holds a text's terms: their total bounds the broadcast
+    entries = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
+    found = found.join(F.broadcast(hits) if entries <= BROADCAST_ROWS else hits, "th", "left")
     has = F.col("hits").isNotNull()
     none = F.array().cast("array<string>")
     found = found.withColumn("__m", F.when(has, F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))).otherwise(none))

@@ -193,14 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
               .orderBy(F.xxhash64("label_id"), "label_id").limit(sample))
     # at most ``sample`` rows are broadcast
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("quality", "text")
+        F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "quality", "text")
+    kind = labels.schema["doc_id"].dataType.simpleString()
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield pd.DataFrame({"quality": frame["quality"], "x": list(_statistics_of(frame["text"]))})
+                yield frame[["label_id", "quality"]].assign(x=list(_statistics_of(frame["text"])))
 
-    rows = texts.mapInPandas(measure, "quality int, x array<double>").toPandas()
+    # repeated rows of an id count once, so that no more than ``sample`` rows reach the driver
+    rows = (texts.mapInPandas(measure, f"label_id {kind}, quality int, x array<double>")
+            .groupBy("label_id", "quality").agg(F.min("x").alias("x")).toPandas())
     if not len(rows):
         return grow(np.zeros((0, 1)), np.zeros(0))
     x, y = np.array(rows["x"].tolist()), rows["quality"].to_numpy(float)

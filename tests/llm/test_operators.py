@@ -448,6 +448,36 @@ def test_main_text_of_a_page():
     assert main_text(article).endswith("One, two.\nThree.")
 
 
+LONG = "<p>Paragraph {} of the text, with commas, and with words enough to be taken for prose, surely.</p>"
+STORY = "<h1>Title</h1>" + "".join(map(LONG.format, range(5)))
+SIDE = f'<div class="sidebar">{LONG.format("S")}</div>'
+
+
+@pytest.mark.parametrize("page", [
+    '<nav><a href="x">Home</a></nav><form id="aspnetForm"><input name="v"><div id="main">{story}</div><button>Go</button></form>',
+    '<form>{side}<article>{story}</article></form><footer>us</footer>',
+    '<div class="layout has-sidebar"><div class="content">{story}</div>{side}</div>',
+    '<div class="wrapper no-sidebar"><article>{story}</article></div>',
+    '<div class="banner-page"><div class="sidebar-layout"><div>{story}</div>{side}</div></div>',
+    '<div class="sidebar-layout"><div>{story}</div><div id="comments">{story}{story}{story}</div></div>',
+    '<article>{story}</article><div class="cookie-notice">{side}{story}</div><div id="comments">{story}{story}{story}</div>',
+    '<article>{story}<form><label>Mail</label><p>Sign up</p></form><div class="related"><a href="x">More</a></div>'
+    '<section class="comments">{story}</section></article>'])
+def test_names_and_forms_that_wrap_a_page(page):
+    from tonality.llm.html import main_text
+    want = main_text(f"<article>{STORY}</article>")
+    assert len(want.split("\n")) == 6
+    assert main_text("<body>" + page.format(story=STORY, side=SIDE)) == want
+
+
+def test_named_sections_of_an_article():
+    from tonality.llm.html import main_text
+    sections = (f'<section id="discussion"><h2>Discussion</h2>{LONG.format("D")}</section><form>{LONG.format("F") * 2}</form>'
+                '<div class="related-work"><h2>Work</h2><p>Short.</p></div><div class="social-history"><p>Smoker.</p></div>')
+    plain = re.sub("<(/?)(?:section|div|form)[^>]*>", "", STORY + sections)
+    assert main_text(f"<article>{STORY}{sections}</article>") == main_text(f"<article>{plain}</article>")
+
+
 def test_broken_pages(spark):
     from tonality.llm.html import extract, main_text
     assert [main_text(x) for x in (None, "", "<", "<p", "<!--", "<script>x", "</p></p>", "<a href='")][:2] == ["", ""]

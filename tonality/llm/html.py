@@ -3,8 +3,10 @@
 Each page is read into a tree.  Every paragraph gets points for its length and its commas and passes them to
 its ancestors, the nearest in full and farther ones in part; a container's points are discounted by the
 share of its text that lies in links.  The best container is kept (with the ``article`` or ``main`` that holds it,
-if there is one), and those of its siblings that score near it or are plain long paragraphs.  Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element, role, name or visibility.
+if there is one), and those of its siblings that score near it or are plain long paragraphs.  Menus, footers, asides, scripts,
+styles and what is hidden are left out by element, role or visibility.  Forms, headers, sidebars, notices, adverts and reader
+comments are only suspects, by element, role or name: a suspect that holds most of the page is its wrapper and stays, and
+so does one that is a section of the text by its share of the page's points, its prose and its few links.
 
 Defined results: null or empty html, or html without text, gives the empty text; broken nesting, missing end tags
 and stray markup are tolerated; html is read whole; repeated rows give a row each; an empty table gives none.
@@ -36,8 +38,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split())
-_LEFT_OUT = frozenset("nav footer aside form button menu dialog head fieldset input audio video canvas".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+_LEFT_OUT = frozenset("nav footer aside button menu dialog head input audio video canvas".split())
+_ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert menu menubar".split())
 _PARAGRAPHS = frozenset("p pre td th li dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption caption address".split())
 _CONTENT = frozenset("html body article main".split())
 # A start tag ends these open elements if they stand above the nearest of the elements that hold them.
@@ -46,18 +48,38 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 _SCOPE = frozenset("html body div article section main table td th li ul ol blockquote aside nav form header footer".split())
 
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification\w*|alert|popup|"
-    r"modal|overlay|newsletter|subscri\w+|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|comments?|"
-    r"commentlist|disqus\w*|respond|replies|reply|discussion|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|"
-    r"pager|login|signup|search\w*|skip|disclaimer|paywall)(?:$|[\s_-])", re.I)
-_HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+# Words of a class or id: of what is no part of a text; of what may also be a section's name; of reader comments; and
+# words that say nothing beside them.  "has-sidebar" and the like name a layout.
+_DROP = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|gdpr|popup|modal|newsletter|subscri\w+|sidebar\w*|nav|navbar|breadcrumbs?|"
+    r"footer|masthead|topbar|widgets?|toolbar|pagination|pager|login|signup|paywall", re.I)
+_MAYBE = re.compile(
+    r"banner|consent|notices?|notification\w*|alert|overlay|menu\w*|navigation|discussion|share|sharing|social|related|recommend\w*|"
+    r"search\w*|skip|disclaimer", re.I)
+_COMMENTS = re.compile(r"comments?|commentlist|disqus\w*|respond|replies|reply", re.I)
+_PLAIN = re.compile(
+    r"\d*|js|top|bottom|left|right|site|page|main|primary|secondary|global|box|bar|block|area|wrap|wrapper|container|inner|outer|content|"
+    r"section|list|items?|links?|posts?|articles?|stories|news|reading|more|icons?|buttons?|btn|form|text|message|panel|region|media|header", re.I)
+_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without|hide)[-_]\S*", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Kinds of suspects: a name beside other words, a section's name alone, a form or header or what no text is called, comments;
+# and what is left out in any case.
+_BESIDE, _ALONE, _NAMED, _READERS, _HARD = 1, 2, 3, 4, 5
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 ANCESTORS = 5          # that a paragraph passes points to
 SIBLING_SHARE = 0.2    # of the best score, for a sibling container
 SIBLING_CHARS = 80     # for a sibling paragraph
 SIBLING_LINKS = 0.25   # most link density of a sibling paragraph
+WRAPPER_REST = 0.5     # most points outside a wrapper, of its own
+WRAPPER_LINKS = 0.5    # most link density of a wrapper
+SECTION_SHARE = {_ALONE: 0.1, _NAMED: 0.34}  # least share of the page's points of a suspect that is a section of the text
+PROSE_CHARS = 80       # of a block of prose
+
+
+def _worth(text: str) -> float:
+    """Points of a block of text."""
+    return 1 + text.count(",") + len(text) / 100
 
 
 class Page:
@@ -65,6 +87,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.article = ["#"], [-1], [False], [False]
+        self.suspect, self.cover = [0], [0]  # kind of suspect; the innermost suspect that holds the node, or 0
         self._count: Counter[str] = Counter()  # open elements by tag
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self._open, self._text, self._linked, self._links = [0], [], 0, 0
@@ -78,6 +101,7 @@ class Page:
                 (self._end if m["end"] else self._start)(tag.lower(), m["attrs"])
         self._add(html[at:])
         self._break()
+        self._judge()
 
     def _add(self, raw: str) -> None:
         if not self.out[self._open[-1]]:
@@ -128,7 +152,10 @@ class Page:
         above = self._open[-1]
         self.tag.append(tag)
         self.parent.append(above)
-        self.out.append(self.out[above] or self._left_out(tag, attrs.rstrip(">/"), self.article[above]))
+        kind = _HARD if self.out[above] else self._kind(tag, attrs.rstrip(">/"), self.article[above])
+        self.out.append(kind == _HARD)
+        self.suspect.append(0 if kind == _HARD else kind)
+        self.cover.append(len(self.tag) - 1 if self.suspect[-1] else self.cover[above])
         self.article.append(self.article[above] or tag in ("article", "main"))
         self._open.append(len(self.tag) - 1)
         self._count[tag] += 1
@@ -141,23 +168,90 @@ class Page:
             self._close_to(d)
 
     @staticmethod
-    def _left_out(tag: str, attrs: str, inside: bool) -> bool:
-        """Whether the element is no part of the text; ``inside``: it stands in an article or main element."""
+    def _kind(tag: str, attrs: str, inside: bool) -> int:
+        """What the element is by itself (0: nothing against it); ``inside``: it stands in an article or main element."""
         if tag in _LEFT_OUT:
-            return True
-        if tag == "header" and not inside:
-            return True
+            return _HARD
+        kind = _NAMED if tag in ("form", "fieldset") or tag == "header" and not inside else 0
         if not attrs.strip() or tag in _CONTENT:
-            return False
+            return kind
         own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
         if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(own.get("style", "")):
-            return True
-        if own.get("role", "").lower() in _ROLES:
-            return True
+            return _HARD
+        role = own.get("role", "").lower()
+        if role in _ROLES:
+            return _HARD
         if tag in _INLINE:
+            return kind
+        if role in ("form", "search"):
+            kind = _NAMED
+        for name in _LAYOUT.sub("", f"{own.get('class', '')} {own.get('id', '')}").split():
+            parts = re.split("[-_]+", name)
+            if any(map(_COMMENTS.fullmatch, parts)):
+                return _READERS
+            if any(map(_DROP.fullmatch, parts)) or not inside and any(p.lower() == "header" for p in parts):
+                kind = _NAMED
+            elif any(map(_MAYBE.fullmatch, parts)):
+                plain = all(_MAYBE.fullmatch(p) or _PLAIN.fullmatch(p) for p in parts)
+                kind = max(kind, _ALONE if plain else _BESIDE)
+        return kind
+
+    def _judge(self) -> None:
+        """Leave out the suspects that are neither a wrapper of the page nor a section of its text, with their blocks."""
+        if not any(self.suspect):
+            return
+        n = len(self.tag)
+        own, points, chars, linked = [0.0] * n, [0.0] * n, [0] * n, [0] * n  # own: by innermost suspect, not of its parts
+        prose, headed = [False] * n, [False] * n  # prose under it, a heading under it
+        bare, text_in = [False] * n, [False] * n  # by innermost suspect: prose; prose in an article or main element
+        for node, text, links in self.blocks:
+            worth = _worth(text)
+            own[self.cover[node]] += worth
+            points[node] += worth
+            chars[node] += len(text)
+            linked[node] += links
+            long = len(text) >= PROSE_CHARS and links < SIBLING_LINKS * len(text)
+            prose[node] |= long
+            headed[node] |= self.tag[node] in _HEADINGS
+            bare[self.cover[node]] |= long
+            text_in[self.cover[node]] |= long and self.article[node]
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            chars[up] += chars[i]
+            linked[up] += linked[i]
+            prose[up] |= prose[i]
+            headed[up] |= headed[i]
+            if self.suspect[i] != _READERS and linked[i] < WRAPPER_LINKS * chars[i]:
+                points[up] += points[i]
+        stays = [False] * n
+        stays[0] = True
+        free, loose, loose_text = own[0], bare[0], text_in[0]  # of what is under no suspect that is out
+        suspects = [i for i in range(n) if self.suspect[i]]
+        for i in sorted(suspects, key=lambda i: (-points[i], i)):  # a wrapper before what it holds
+            other = loose if self.suspect[i] == _READERS else loose_text
+            if (prose[i] or not loose) and linked[i] < WRAPPER_LINKS * chars[i] and not other \
+                    and stays[self.cover[self.parent[i]]] and free < WRAPPER_REST * points[i]:
+                stays[i] = True
+                free, loose, loose_text = free + own[i], loose or bare[i], loose_text or text_in[i]
+        for i in suspects:
+            if not stays[i] and stays[self.cover[self.parent[i]]]:
+                stays[i] = self._is_section(i, points[i] / (free + points[i]) if points[i] else 0.0, prose[i], headed[i],
+                                            linked[i] < SIBLING_LINKS * chars[i])
+        self.out = [out or not stays[c] for out, c in zip(self.out, self.cover, strict=True)]
+        self.blocks = [b for b in self.blocks if not self.out[b[0]]]
+
+    def _is_section(self, i: int, share: float, prose: bool, headed: bool, text: bool) -> bool:
+        """Whether a suspect that is no wrapper is a section of the text; ``text``: little of it is in links."""
+        kind, inside = self.suspect[i], self.article[self.parent[i]]
+        if not text or kind == _READERS:
+            return False
+        if kind == _BESIDE:
+            return inside or prose
+        if not prose:
             return False
-        names = f"{own.get('class', '')} {own.get('id', '')}"
-        return bool(_NAMES.search(names) or not inside and _HEADER_NAMES.search(names))
+        if self.tag[i] in ("form", "fieldset"):
+            return share >= SECTION_SHARE[_ALONE if inside else _NAMED]
+        return (inside or self.tag[i] == "section") and (share >= SECTION_SHARE[kind] or kind == _ALONE and headed)
 
     def kept(self) -> set[int]:
         """The best container and those of its siblings that belong to it."""
@@ -166,7 +260,7 @@ class Page:
         for node, text, links in self.blocks:
             chars[node] += len(text)
             linked[node] += links
-            worth = 1 + text.count(",") + len(text) / 100
+            worth = _worth(text)
             to = self.parent[node] if self.tag[node] in _PARAGRAPHS and node else node
             for level in range(ANCESTORS):
                 if to < 0:

@@ -478,6 +478,45 @@ def test_named_sections_of_an_article():
     assert main_text(f"<article>{STORY}{sections}</article>") == main_text(f"<article>{plain}</article>")
 
 
+def test_sections_without_an_article():
+    from tonality.llm.html import main_text
+    long = "A long section, of many, many words, that goes on and on, and wins over its parent. " * 8
+    page = f"<body><div><h1>T</h1><div>{long}</div><h2>H</h2><div>Short one.</div></div>"
+    assert main_text(page).split("\n") == ["T", long.strip(), "H", "Short one."]
+
+
+def test_pages_without_article_against_their_parts():
+    """Random texts of headings, paragraphs, lists, quotes, code and sections in wrappers, with menus and adverts between."""
+    from tonality.llm.html import main_text
+    rng, number = random.Random(11), iter(range(10**9))
+    for _ in range(400):
+        want = []
+
+        def say(n, want=want):
+            want.append(f"{next(number)} " + " ".join(rng.choice(WORDS) + rng.choice(["", "", ","]) for _ in range(n)))
+            return want[-1]
+
+        def part(say=say):
+            kind = rng.randrange(8)
+            return [
+                lambda: f"<p>{say(40)}</p>", lambda: f"<p>{say(4)}</p>", lambda: f"<pre>{say(6)}</pre>",
+                lambda: f"<blockquote>{say(12)}</blockquote>", lambda: f"<div>{say(30)}</div>",
+                lambda: f"<ul><li>{say(3)}</li><li>{say(5)}</li></ul>",
+                lambda: f"<figure><figcaption>{say(5)}</figcaption></figure>", lambda: f"<p>{say(25)}</p>"][kind]()
+
+        def junk():
+            return rng.choice(["", "", "<nav><a href='/'>Home</a></nav>", "<div class='ad'>Buy, now, and, more</div>"])
+
+        page, wrap = f"<h1>{say(3)}</h1><p>{say(40)}</p>", rng.random() < 0.5
+        for _ in range(rng.randint(1, 5)):
+            head, body = f"<h2>{say(2)}</h2>", "".join(part() for _ in range(rng.randint(1, 4)))
+            if rng.random() < 0.4:
+                body = f"<div>{body}</div>"
+            page += junk() + (f"<div class='part'>{head}{body}</div>" if wrap else head + body)
+        page = rng.choice(["<body>{}", "<body><div id='a'><div>{}</div></div>", "<body><div id='a'>{}</div>"]).format(page)
+        assert main_text(f"{page}<footer>us</footer>").split("\n") == want, page
+
+
 def test_broken_pages(spark):
     from tonality.llm.html import extract, main_text
     assert [main_text(x) for x in (None, "", "<", "<p", "<!--", "<script>x", "</p></p>", "<a href='")][:2] == ["", ""]

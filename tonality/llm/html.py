@@ -3,8 +3,9 @@
 Each page is read into a tree.  Every paragraph gets points for its length and its commas and passes them to
 its ancestors, the nearest in full and farther ones in part; a container's points are discounted by the
 share of its text that lies in links.  The best container is kept (with the ``article`` or ``main`` that holds it,
-if there is one), and those of its siblings that score near it or are plain long paragraphs.  Menus, footers, asides, scripts,
-styles and what is hidden are left out by element, role or visibility.  Forms, headers, sidebars, notices, adverts and reader
+if there is one), and those of the article's siblings that score near it or are plain long paragraphs.  Where no such element
+holds it, its siblings and those of its ancestors with prose, headings, lists or the like, few of it in links, are the
+text too, and all that stands between them and is not mostly links.  Menus, footers, asides, scripts, styles and what is hidden are left out by element, role or visibility.  Forms, headers, sidebars, notices, adverts and reader
 comments are only suspects, by element, role or name: a suspect that holds most of the page is its wrapper and stays, and
 so does one that is a section of the text by its share of the page's points, its prose and its few links.
 
@@ -61,6 +62,8 @@ _PLAIN = re.compile(
     r"\d*|js|top|bottom|left|right|site|page|main|primary|secondary|global|box|bar|block|area|wrap|wrapper|container|inner|outer|content|"
     r"section|list|items?|links?|posts?|articles?|stories|news|reading|more|icons?|buttons?|btn|form|text|message|panel|region|media|header", re.I)
 _LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without|hide)[-_]\S*", re.I)
+_TEXTUAL = frozenset("pre ul ol dl blockquote table figure".split())
+_CELLS = frozenset("td th tr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Kinds of suspects: a name beside other words, a section's name alone, a form or header or what no text is called, comments;
 # and what is left out in any case.
@@ -70,7 +73,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ANCESTORS = 5          # that a paragraph passes points to
 SIBLING_SHARE = 0.2    # of the best score, for a sibling container
 SIBLING_CHARS = 80     # for a sibling paragraph
-SIBLING_LINKS = 0.25   # most link density of a sibling paragraph
+SIBLING_LINKS = 0.25   # most link density of a sibling
 WRAPPER_REST = 0.5     # most points outside a wrapper, of its own
 WRAPPER_LINKS = 0.5    # most link density of a wrapper
 SECTION_SHARE = {_ALONE: 0.1, _NAMED: 0.34}  # least share of the page's points of a suspect that is a section of the text
@@ -82,11 +85,16 @@ def _worth(text: str) -> float:
     return 1 + text.count(",") + len(text) / 100
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+
+
 class Page:
     """The tree of one page: parallel lists over nodes, and its text blocks in page order."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.article = ["#"], [-1], [False], [False]
+        self.attrs = [""]
         self.suspect, self.cover = [0], [0]  # kind of suspect; the innermost suspect that holds the node, or 0
         self._count: Counter[str] = Counter()  # open elements by tag
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
@@ -152,7 +160,8 @@ class Page:
         above = self._open[-1]
         self.tag.append(tag)
         self.parent.append(above)
-        kind = _HARD if self.out[above] else self._kind(tag, attrs.rstrip(">/"), self.article[above])
+        self.attrs.append(attrs.rstrip(">/"))
+        kind = _HARD if self.out[above] else self._kind(tag, self.attrs[-1], self.article[above])
         self.out.append(kind == _HARD)
         self.suspect.append(0 if kind == _HARD else kind)
         self.cover.append(len(self.tag) - 1 if self.suspect[-1] else self.cover[above])
@@ -175,7 +184,7 @@ class Page:
         kind = _NAMED if tag in ("form", "fieldset") or tag == "header" and not inside else 0
         if not attrs.strip() or tag in _CONTENT:
             return kind
-        own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+        own = _attributes(attrs)
         if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(own.get("style", "")):
             return _HARD
         role = own.get("role", "").lower()
@@ -253,8 +262,8 @@ class Page:
             return share >= SECTION_SHARE[_ALONE if inside else _NAMED]
         return (inside or self.tag[i] == "section") and (share >= SECTION_SHARE[kind] or kind == _ALONE and headed)
 
-    def kept(self) -> set[int]:
-        """The best container and those of its siblings that belong to it."""
+    def _kept(self) -> tuple[set[int], set[int]]:
+        """The nodes that hold the text, and the numbers of the blocks of it that stand in none of them."""
         n = len(self.tag)
         points, chars, linked = [0.0] * n, [0] * n, [0] * n
         for node, text, links in self.blocks:
@@ -279,6 +288,8 @@ class Page:
             if self.tag[up] == "article" or self.tag[up] == "main" and self.tag[top] != "article":
                 top = up
             up = self.parent[up]
+        if not self.article[top]:
+            return self._around(top, chars, density, score)
         keep = {top}
         for i in range(n):
             if i != top and self.parent[i] == self.parent[top] and not self.out[i]:
@@ -287,15 +298,80 @@ class Page:
                         keep.add(i)
                 elif self.tag[i] not in _INLINE and score[i] >= SIBLING_SHARE * score[best] and score[i] > 0:
                     keep.add(i)
-        return keep
+        return keep, set()
+
+    def _alike(self, i: int, j: int) -> bool:
+        """Whether two siblings are of one class, or have neither class nor id and are no cells of a layout."""
+        if self.tag[i] != self.tag[j]:
+            return False
+        (a, a_id), (b, b_id) = ([own.get("class", "").split(), "id" in own] for own in map(_attributes, (self.attrs[i], self.attrs[j])))
+        return a == b and bool(a or not a_id and not b_id and self.tag[i] not in _CELLS)
+
+    def _around(self, top: int, chars: list[int], density: list[float], score: list[float]) -> tuple[set[int], set[int]]:
+        """``top`` and what belongs to it among its siblings and its ancestors' siblings and own blocks."""
+        n = len(self.tag)
+        prose, first = [False] * n, [len(self.blocks)] * n
+        direct: dict[int, list[int]] = {}
+        for at, (node, text, links) in enumerate(self.blocks):
+            prose[node] |= len(text) >= PROSE_CHARS and links < SIBLING_LINKS * len(text)
+            first[node] = min(first[node], at)
+            direct.setdefault(node, []).append(at)
+        for i in range(n - 1, 0, -1):
+            prose[self.parent[i]] |= prose[i]
+            first[self.parent[i]] = min(first[self.parent[i]], first[i])
+        below: dict[int, list[int]] = {}
+        for i in range(1, n):
+            if chars[i]:
+                below.setdefault(self.parent[i], []).append(i)
+        keep, blocks, path = {top}, set(), top
+        while path > 0:
+            above = self.parent[path]
+            # in page order: node (-1: a block of the ancestor itself), number of its first block, its tag
+            items = [(first[i], i, self.tag[i]) for i in below[above]] + [(at, -1, "") for at in direct.get(above, ())]
+            items.sort()
+            links = [density[i] if i >= 0 else self.blocks[at][2] / len(self.blocks[at][1]) for at, i, _ in items]
+            few = [x < SIBLING_LINKS for x in links]
+            at_path = next(k for k, (_, i, _) in enumerate(items) if i == path)
+
+            def belongs(k: int, items=items, few=few, path=path) -> bool:
+                at, i, tag = items[k]
+                if i == path:
+                    return True
+                if not few[k]:
+                    return False
+                if i < 0:
+                    return len(self.blocks[at][1]) >= PROSE_CHARS
+                if tag in _HEADINGS:  # a heading after the text belongs to it by what follows
+                    return k < at_path or k + 1 < len(items) and few[k + 1]
+                return prose[i] or tag in _TEXTUAL or score[i] >= SIBLING_SHARE * score[top] > 0 or self._alike(i, path)
+
+            sure = [k for k in range(len(items)) if belongs(k)]
+            lo, hi = sure[0], sure[-1]
+            while lo > 0 and items[lo - 1][2] == "p" and few[lo - 1]:
+                lo -= 1
+            while hi + 1 < len(items) and (items[hi][2] in _HEADINGS or items[hi + 1][2] == "p") and few[hi + 1]:
+                hi += 1
+            stays = False  # the item after the present one
+            for k in range(hi, lo - 1, -1):
+                at, i, tag = items[k]
+                if i == path or tag in _HEADINGS and k < hi:
+                    stays |= i == path
+                else:
+                    stays = few[k] or tag == "p" and links[k] < 0.5 or tag in _HEADINGS
+                if stays and i >= 0 and i != path:
+                    keep.add(i)
+                elif stays and i < 0:
+                    blocks.add(at)
+            path = above
+        return keep, blocks
 
     def text(self) -> str:
         if not self.blocks:
             return ""
-        inside, keep = [False] * len(self.tag), self.kept()
+        inside, (keep, blocks) = [False] * len(self.tag), self._kept()
         for i in range(len(self.tag)):
             inside[i] = i in keep or i > 0 and inside[self.parent[i]]
-        return "\n".join(text for node, text, _ in self.blocks if inside[node])
+        return "\n".join(text for at, (node, text, _) in enumerate(self.blocks) if inside[node] or at in blocks)
 
 
 def main_text(html: str | None) -> str:

@@ -576,6 +576,53 @@ def test_fingerprints_against_brute_force(spark):
     assert rows[11]["near_next"] == 1.0 and rows[12]["near_next"] < 0.2
 
 
+def brute_character_signature(spark, text, width):
+    """The selected tuples over the k-mers at every code point, step by step; hashes come from Spark."""
+    kmers = [text[i:i + width] for i in range(max(1, len(text) - width + 1))] if text else []
+    if not kmers:
+        return []
+    low, seen, numbered = (1 << 37) - 1, {}, []
+    firsts = [r[0] for r in spark.createDataFrame([(x,) for x in kmers], "a string").select(F.xxhash64("a")).collect()]
+    for i, h in enumerate(firsts):
+        h = h >> 26 & low
+        seen[h] = seen.get(h, -1) + 1
+        numbered.append((h, seen[h], i))
+    again = [r[0] for r in spark.createDataFrame([(h, o) for h, o, _ in numbered], "h long, o int").select(F.xxhash64("h", "o")).collect()]
+    parts = {}
+    for g, (h, o, i) in zip(again, numbered, strict=True):
+        h = g & low if o else h
+        parts.setdefault(h >> 31, []).append((h, i))
+    out = []
+    for part in sorted(parts):
+        own = sorted(sorted(parts[part])[:2], key=lambda x: x[1])
+        out.append((part, own[0][0], own[1][0] if len(own) > 1 else None))
+    hashed = [r[0] for r in spark.createDataFrame(out, "p long, a long, b long").coalesce(1).select(F.xxhash64("a", "b")).collect()]
+    return [f"{(p << 32) | (h & 0xFFFFFFFF):010x}" for (p, _, _), h in zip(out, hashed, strict=True)]
+
+
+def test_character_fingerprints_against_brute_force(spark):
+    from tonality.llm.fingerprints import WIDTH, fingerprints
+    rng = random.Random(8)
+    texts = EDGE + [prose(rng, 120), "a" * 300, "go " * 40 + "stop\n " * 5, "🙂é漢" * 9, "短い" * 3]
+    rows = {r["doc_id"]: r for r in fingerprints(frame(spark, texts), width=WIDTH).collect()}
+    for i, t in enumerate(t or "" for t in texts):
+        if len(t) < 5_000:
+            assert rows[i]["fingerprint"] == "".join(brute_character_signature(spark, t, WIDTH)), i
+
+
+def test_fingerprints_follow_edits(spark):
+    """One more character in a text without blanks leaves most of it alike; white space counts."""
+    from tonality.llm.fingerprints import WIDTH, likeness, with_character_signature
+    rng = random.Random(9)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3_000))
+    pairs = [(text, text[:5] + "x" + text[5:]), (text, text[::-1]), ("one two three four", "one  two  three  four"), (text, text[1500:] + text[:1500])]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for c in "ab":
+        df = with_character_signature(df, c, f"s{c}", WIDTH)
+    got = {r[0]: r[1] for r in df.select("i", likeness(F.col("sa"), F.col("sb"))).collect()}
+    assert got[0] > 0.9 and got[1] < 0.1 and got[2] < 1 and 0.2 < got[3] < 0.8
+
+
 def test_fingerprints_of_few_rows(spark):
     from tonality.llm.fingerprints import fingerprints
     one = fingerprints(frame(spark, ["abcdef"])).collect()

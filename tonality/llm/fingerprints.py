@@ -1,8 +1,9 @@
 """Order MinHash fingerprints: sketches whose agreement follows edit distance, not only shared content.
 
-A text is cut into runs of at most 8 code points without white space (``\\S{1,8}``); a k-mer is ``k`` runs
-in a row (a shorter text is one k-mer).  Equal k-mers are numbered by occurrence.  The 64 hash functions
-are the 64 parts of one hash's range: in each part the ``ELL = 2`` numbered k-mers with the smallest hash
+The query's k-mers start at every code point of the text and are ``WIDTH`` code points long, white space included (a
+shorter text is one k-mer).  The form by runs, without ``width``, cuts a text into runs of at most 8 code points without
+white space (``\\S{1,8}``), ``k`` in a row to a k-mer: it does less work, but an edit in a text without blanks changes all
+runs behind it.  Equal k-mers are numbered by occurrence.  The 64 hash functions are the 64 parts of one hash's range: in each part the ``ELL = 2`` numbered k-mers with the smallest hash
 are selected, put back into text order and hashed as a tuple.  Two texts agree in a part if the same
 k-mers were selected in the same order.
 
@@ -26,7 +27,9 @@ K = 2           # runs in a k-mer
 PARTS_BITS = 6  # 64 parts
 POS_BITS = 26
 HASH_BITS = 37
+LOW = (1 << POS_BITS) - 1
 RUN = r"\S{1,8}"
+WIDTH = 8       # code points in a k-mer
 
 
 def _shift(a: Column, by: int) -> Column:
@@ -56,8 +59,8 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
 
     Each step is a column of its own, as a long expression used twice would be computed twice.
     """
-    w, h, s, n, p, t = (f"__{out}_{i}" for i in "whsnpt")
-    words, hashed, srt, numbered, kept, tuples = map(F.col, (w, h, s, n, p, t))
+    w, h, s, n, p = (f"__{out}_{i}" for i in "whsnp")
+    words, hashed, srt, numbered, kept = map(F.col, (w, h, s, n, p))
     df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0)))
     # k-mers with their positions, sorted: equal k-mers stand together in text order
     firsts = words
@@ -80,10 +83,51 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
         F.transform(srt, lambda x: _pack(F.xxhash64(_hash_of(x), F.lit(0)), _pos_of(x))),
     ).otherwise(F.zip_with(srt, occ, lambda x, o: _pack(F.xxhash64(_hash_of(x), o), _pos_of(x))))
     df = df.withColumn(p, F.sort_array(again)).drop(s, n)
-    # the two smallest of each part, then (part, position) order
+    # the two smallest of each part
     two = F.filter(F.zip_with(kept, _shift(kept, 2), lambda x, y: F.when(
         x.isNotNull() & ((y < 0) | (_part_of(x) != _part_of(y))), x)), lambda x: x.isNotNull())
-    by_place = F.array_sort(F.transform(two, lambda x: F.struct(
+    return _tuples(df.withColumn(p, two), p, out)
+
+
+def _two(a: Column) -> Column:
+    """The two smallest of each part of an ascending array."""
+    return F.concat(F.slice(a, 1, 2), F.filter(a, lambda x, i: _part_of(x) != _part_of(F.get(a, i - 2))))
+
+
+def with_character_signature(df: DataFrame, text: str, out: str, width: int = WIDTH) -> DataFrame:
+    """Add ``out`` as ``with_signature`` does, over the k-mers of ``width`` code points at every code point.
+
+    A k-mer's first occurrence has the k-mer's own hash and needs no second one; only the others are numbered.
+    """
+    s, f, r, b, o, p = (f"__{out}_{i}" for i in "sfrbop")
+    srt, firsts, again, starts, occ = map(F.col, (s, f, r, b, o))
+    none = F.array().cast("array<long>")
+    kmers = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}}|\A.+))."), F.lit(1))
+    hashes = F.lit(((1 << HASH_BITS) - 1) << POS_BITS)
+    df = df.withColumn(s, F.sort_array(F.transform(kmers, lambda x, i: F.xxhash64(x).bitwiseAND(hashes).bitwiseOR(
+        i.cast("long").bitwiseAND(F.lit(LOW))))))
+    df = df.withColumn(f, F.concat(F.slice(srt, 1, 1), F.filter(
+        srt, lambda x, i: x.bitwiseXOR(F.get(srt, i - 1)) > LOW)))
+    df = df.withColumn(r, F.when(F.size(firsts) < F.size(srt), F.array_except(srt, firsts)).otherwise(none)).drop(s)
+    df = df.withColumn(b, F.when(F.size(again) > 0, F.concat(F.array(F.lit(0)), F.filter(
+        F.sequence(F.lit(0), F.size(again) - 1), lambda i: F.get(again, i).bitwiseXOR(F.get(again, i - 1)) > LOW)))
+        .otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(again)))
+    df = df.withColumn(o, F.when(F.size(again) > 0, F.flatten(F.transform(
+        F.zip_with(starts, ends, lambda x, y: y - x), lambda c: F.sequence(F.lit(1), c))))
+        .otherwise(F.array().cast("array<int>"))).drop(b)
+    numbered = F.when(F.size(again) > 0, F.sort_array(F.zip_with(again, occ, lambda x, c: _pack(
+        F.xxhash64(_hash_of(x), c), _pos_of(x))))).otherwise(none)
+    df = df.withColumn(s, numbered).drop(r, o)
+    df = df.withColumn(r, F.sort_array(F.concat(_two(firsts), _two(srt)))).drop(s, f)
+    return _tuples(df.withColumn(p, _two(F.col(r))).drop(r), p, out)
+
+
+def _tuples(df: DataFrame, p: str, out: str) -> DataFrame:
+    """``out`` from column ``p``, the k-mers selected of each part, which is dropped."""
+    t = f"__{out}_t"
+    tuples = F.col(t)
+    by_place = F.array_sort(F.transform(p, lambda x: F.struct(
         _part_of(x).alias("part"), _pos_of(x).alias("pos"), _hash_of(x).alias("hash"))))
     df = df.withColumn(t, by_place).drop(p)
     after = F.concat(F.slice(tuples, 2, F.greatest(F.size(tuples) - 1, F.lit(0))),
@@ -157,8 +201,9 @@ def with_next(docs: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
     return rows.withColumn("next_text", F.lead("text").over(order))
 
 
-def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
-    """Fingerprints of every text and of its edited text (see the module), with their likenesses.
+def fingerprints(docs: DataFrame, k: int = K, width: int | None = None) -> DataFrame:
+    """Fingerprints of every text and of its edited text (see the module), with their likenesses; ``width``: over
+    the k-mers of so many code points at every code point, not over ``k`` runs.
 
     The edited text keeps the first ``n_chars - floor(n_chars / 2)`` code points and ends with the first
     ``floor(n_chars / 2)`` (or all) of the next document in descending id order.
@@ -169,8 +214,8 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
                       F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    rows = with_signature(rows, "text", "sig", k)
-    rows = with_signature(rows, "edited", "edited_sig", k)
+    for text, sig in (("text", "sig"), ("edited", "edited_sig")):
+        rows = with_character_signature(rows, text, sig, width) if width else with_signature(rows, text, sig, k)
     rows = rows.drop("text", "next_text", "edited")
     order = Window.partitionBy("__bucket").orderBy("__guest", F.col("doc_id").desc_nulls_last())
     rows = rows.withColumn("next_sig", F.lead("sig").over(order))

@@ -86,9 +86,9 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every text and of its edited text."""
-    from tonality.llm.fingerprints import fingerprints
+    from tonality.llm.fingerprints import WIDTH, fingerprints
 
-    return fingerprints(_docs(spark, sf_dir))
+    return fingerprints(_docs(spark, sf_dir), width=WIDTH)
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op8_language, op9_html, op10_order_minhash)}

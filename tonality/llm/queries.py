@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: ``opN_<name>(spark, sf_dir)`` over its whole table, and their SQL."""
+"""Registered queries of the operators: ``opN_<name>(spark, sf_dir)`` over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -91,7 +91,30 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_docs(spark, sf_dir), width=WIDTH)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op8_language, op9_html, op10_order_minhash)}
+def op11_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    from tonality.llm.negatives import mine
+
+    return mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's terms depart from the other sources of its language, and which terms do."""
+    from tonality.llm.divergence import audit
+
+    return audit(_docs(spark, sf_dir, "text", "lang", "source"))
+
+
+def op13_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by source weights takes from every document."""
+    from tonality.llm.mixing import mix
+
+    return mix(_docs(spark, sf_dir, "doc_id", "text", "source"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_pii, op3_minhash, op4_sharding, op5_byte_bpe, op6_quality, op7_pivot_index, op8_language, op9_html,
+    op10_order_minhash, op11_segment_negatives, op12_source_divergence, op13_sainte_lague_mix)}
 
 
 def _oracle() -> dict[str, str]:

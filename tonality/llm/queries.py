@@ -121,7 +121,8 @@ def _oracle() -> dict[str, str]:
     from tonality.llm import oracle, pii
 
     return {"op2_pii": oracle.pii(pii.RADIUS, pii.REMOVE, pii.GENERALISE, pii.SUPPORT),
-            "op3_minhash": oracle.MINHASH, "op7_pivot_index": oracle.PIVOTS}
+            "op3_minhash": oracle.MINHASH, "op7_pivot_index": oracle.PIVOTS,
+            "op11_segment_negatives": oracle.NEGATIVES, "op12_source_divergence": oracle.DIVERGENCE}
 
 
 ORACLE: dict[str, str] = _oracle()

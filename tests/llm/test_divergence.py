@@ -78,6 +78,20 @@ def test_nothing_and_terms_that_only_copies_hold(spark):
     assert audited(frame(spark, rows)) == slow(rows)
 
 
+def test_tasks_pass_on_what_they_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "ENTRIES", 20)
+    import pyarrow as pa
+    texts = [("en", [{"source": "a", "n": 2}, {"source": "b", "n": 1}], "Ab ab c\x00d é".encode()), ("en", [{"source": "a", "n": 1}], " ".join(
+        chr(97 + i) * 3 for i in range(25)).encode()), ("de", [{"source": "a", "n": 1}], b"")]
+    batch = pa.RecordBatch.from_pylist([{"lang": x, "by_source": y, "bytes": z} for x, y, z in texts] * 2)
+    got = Counter()
+    parts = list(divergence.count_terms(iter([batch])))
+    for part in parts:
+        for r in part.to_pylist():
+            got[r["lang"], r["source"], r["term"]] += r["count"] * 1000 + r["docs"]
+    assert len(parts) > 4 and got["en", "a", "ab"] == 8004 and got["en", "b", "é"] == 2002 and got["en", "a", "ccc"] == 2002 and len(got) == 33
+
+
 def test_large_counts_do_not_overflow(spark):
     one = spark.range(1).selectExpr("20000000000 AS c", "60000000000 AS n", "5 AS v")
     got = one.select(divergence._share(one.c, one.n, one.v).alias("p")).first()["p"]

@@ -1,7 +1,7 @@
 """Source divergence audit by duplicate-text collapse.
 
 Identical texts of a language are one row with the multiplicity of each source (``collapsed``); only that row is cut into
-terms.  Counts are its occurrences, and document frequencies its terms, times the multiplicities, so both equal those over
+terms, and each task adds up its texts' terms.  Counts are its occurrences, and document frequencies its terms, times the multiplicities, so both equal those over
 all documents.  Each language keeps the V terms that at least ``MIN_DOCS`` of its documents hold.
 
 With N the occurrences of kept terms in a group, a term that occurs ``count`` times there has ``p = 1 + floor(10^9 (count + 1) /
@@ -25,6 +25,10 @@ N + V = 10^9 for each language and source, as the sum of p is at most 10^9 + V).
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +38,11 @@ from tonality.session import sized_broadcast
 MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term's bytes stay, capital letters become small, all others blanks.
+BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
+ENTRIES = 500_000   # terms of sources that a task holds before it passes them on
+DOC_BITS = 50
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
@@ -51,16 +58,45 @@ def collapsed(docs: DataFrame) -> DataFrame:
     return texts.join(by_source, ["lang", "digest"]).drop("digest")
 
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, count, docs`` of the texts of a task, equal keys put together as long as ``ENTRIES`` suffice.
+
+    UTF-8 bytes other than letters of ASCII and parts of other characters become blanks, at which the text is split.
+    """
+    found: dict[tuple[str, str], dict[bytes, int]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in found.items():
+            both = list(terms.values())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
+                pa.array(list(terms), pa.binary()).cast(pa.string(), safe=False),
+                pa.array([v >> DOC_BITS for v in both], pa.int64()), pa.array([v & (1 << DOC_BITS) - 1 for v in both], pa.int64())],
+                ["lang", "source", "term", "count", "docs"])
+
+    for batch in batches:
+        langs, lists, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("lang", "by_source", "bytes"))
+        for i in range(len(batch)):
+            own, lang = Counter(texts[i].as_py().translate(BYTES).split()), langs[i].as_py()
+            for copies in lists[i].as_py():
+                n, terms = copies["n"], found.setdefault((lang, copies["source"]), {})
+                for term, k in own.items():
+                    # occurrences and documents of a term in one number
+                    terms[term] = terms.get(term, 0) + ((k * n) << DOC_BITS) + n
+            if sum(map(len, found.values())) > ENTRIES:
+                yield from rows()
+                found = {}
+    yield from rows()
+
+
 def kept_terms(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang, term, total, entries``: the terms in at least ``min_docs`` documents of a language, with their occurrences there and
     in each source, ``array<struct<source, count>>``."""
-    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    listed = texts.select("lang", "by_source", F.sort_array(terms).alias("terms"))
-    # equal terms stand together: the first of them stands for the document
-    marked = F.transform("terms", lambda t, i: F.struct(
-        t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("first")))
-    each = listed.select("lang", "by_source", F.inline(marked)).select("lang", "term", "first", F.inline("by_source"))
-    counts = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.col("first")).alias("docs"))
+    counted = texts.select("lang", "by_source", F.col("text").cast("binary").alias("bytes")).mapInArrow(
+        count_terms, "lang string, source string, term string, count long, docs long")
+    # counted in every task already: one shuffle by term serves both sums
+    counts = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(
+        F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     return counts.groupBy("lang", "term").agg(
         F.sum("docs").alias("docs"), F.sum("count").alias("total"),
         F.collect_list(F.struct("source", "count")).alias("entries")).where(F.col("docs") >= min_docs).drop("docs")

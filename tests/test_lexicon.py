@@ -128,3 +128,62 @@ def test_empty_label_faithful(spark):
     from tonality.functions.labels import major_sentiment
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "p double, u double, n double")
     assert df.select(major_sentiment("p", "u", "n").alias("l")).first().l == "Positive"
+
+
+def test_modifiers_beyond_the_inline_bound_are_joined(spark):
+    texts = ["good", "not good but very bad !!", "VERY good day least bad", "", None, "never so good", "kind of good", "so very not good",
+             "at least good", "n't good", "word7 good", "good"]
+    df = spark.createDataFrame([("1", i % 3, t) for i, t in enumerate(texts)], "Episode string, SentenceIndex long, CleanText string")
+    few = L.Rules(lexicon_from_rows(spark, LEX), booster_df(spark), negator_df(spark), None, ("but",))
+    more = spark.range(L.INLINE_MAX_WORDS + 1).selectExpr("concat('other', id) AS token", "0.5D AS delta")
+    many = L.Rules(few.lexicon, few.boosters.unionByName(more), few.negators.unionByName(more.select("token")), None, ("but",))
+    assert sorted(map(repr, L.lexicon_scores(df, many).collect())) == sorted(map(repr, L.lexicon_scores(df, few).collect()))
+    for steps in (("boost",), ("negate",), ("modify", "contrast")):
+        assert sorted(map(repr, L.lexicon_items(df, many, steps=steps).collect())) == sorted(map(repr, L.lexicon_items(df, few, steps=steps).collect()))
+
+
+def test_texts_with_and_without_modifiers_against_a_plain_version(spark):
+    """The rules in plain Python, on texts of random items."""
+    import random
+    rng = random.Random(8)
+    lex, boost, nots = dict(LEX), {"very": 0.293, "barely": -0.293}, {"not", "never"}
+    words = ["good", "bad", "least", "very", "barely", "not", "never", "so", "this", "day", "at", "n't", "kind", "of"]
+
+    def plain(items):
+        total = []
+        for i, t in enumerate(items):
+            if t not in lex:
+                continue
+            v = lex[t]
+            for d in (1, 2, 3):
+                if i < d or items[i - d] in lex:
+                    continue
+                p, between = items[i - d], items[i - d + 1:i]
+                if p in boost:
+                    v += (boost[p] if v >= 0 else -boost[p]) * (1, 0.95, 0.9)[d - 1]
+                if d > 1 and p == "never" and {"so", "this"} & set(between):
+                    v *= (1.5, 1.25)[d - 2]
+                elif p in nots or "n't" in p:
+                    v *= -0.74
+            total.append((i, round(v, 9)))
+        return total
+
+    texts = [" ".join(rng.choice(words if i % 2 else ["good", "bad", "day", "so"]) for _ in range(rng.randrange(12))) for i in range(200)]
+    df = spark.createDataFrame([("1", i, t) for i, t in enumerate(texts)], "Episode string, SentenceIndex long, CleanText string")
+    own = L.Rules(lexicon_from_rows(spark, LEX), booster_df(spark, list(boost.items())), negator_df(spark, sorted(nots)))
+    got = {}
+    for r in L.lexicon_items(df, own, steps=("modify",)).collect():
+        got.setdefault(r["SentenceIndex"], []).append((r["pos"], round(r["v"], 9)))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == plain(t.split()), t
+
+
+def test_lookup_is_a_hash_table(spark):
+    from tonality.functions.lookup import hashed_lookup
+    rows = {f"wörd{i}": i / 8 for i in range(3000)} | {'quote"\\': 1.5}
+    find = hashed_lookup(rows)
+    df = spark.createDataFrame([(w,) for w in [*rows, "none", "", None]], "w string")
+    got = {r["w"]: r["v"] for r in df.select("w", find(df["w"]).alias("v")).collect()}
+    assert got == {**rows, "none": None, "": None, None: None}
+    plan = df.select(find(df["w"]).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan  # folded once, not parsed for each row

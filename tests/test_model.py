@@ -55,3 +55,36 @@ def test_a_fault_of_the_scorer_fails_the_job(spark):
 
     with pytest.raises(Exception, match="bug"):
         M.score_with_pandas(frame(spark), M.ScorerKey("faulty", "1"), factory, passthrough=["SentenceIndex"]).collect()
+
+
+WEIGHTS = [("good", 0.5, -1.25, 2.0), ("day", None, 0.25, 0.0), ("day", -1.0, 0.125, 0.0), ("x", 1.0, 1.0, 1.0), (None, 9.0, 9.0, 9.0)]
+
+
+def weights(spark, rows=WEIGHTS):
+    return spark.createDataFrame(rows, "word string, neg double, neu double, pos double")
+
+
+def test_weights_of_a_table(spark):
+    out = {r.SentenceIndex: r for r in M.linear_scores(frame(spark), keep_logits=True, weights=weights(spark), bias=(0.0, 0.5, 0.0)).collect()}
+    assert (out[0].logit_neg, out[0].logit_neu, out[0].logit_pos, out[0].model_label) == (-0.25, 0.0, 1.0, "Positive")
+    assert (out[1].logit_neg, out[1].logit_neu, out[1].model_label) == (0.0, 0.5, "Neutral") and out[2].logit_neu == 0.5
+    assert out[3].logit_pos is None and out[3].model_label is None and out[4].logit_pos == 1.0
+    empty = M.linear_scores(frame(spark), keep_logits=True, weights=weights(spark, [])).collect()
+    assert len(empty) == 5 and {r.logit_pos for r in empty} == {0.0, None}
+
+
+def test_a_large_table_gives_the_results_of_a_small_one(spark, monkeypatch):
+    rows = [("1", i % 3, t) for i, t in enumerate([*TEXTS, *TEXTS, "good good x day unknown", "  "])]  # repeated keys stay apart
+    df = spark.createDataFrame(rows, "Episode string, SentenceIndex long, CleanText string")
+    small = sorted(map(repr, M.linear_scores(df, keep_logits=True, weights=weights(spark)).collect()))
+    monkeypatch.setattr(M, "INLINE_MAX_WORDS", 1)
+    joined = M.linear_scores(df, keep_logits=True, weights=weights(spark))
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, joined.collect())) == small and len(small) == 12
+
+
+def test_naive_bayes_weights(spark):
+    rows = [("a", "one two two"), ("b", "two three"), ("c", None), ("d", "four"), ("a", "")]
+    own = {r.word: r for r in M.naive_bayes_weights(spark.createDataFrame(rows, "k string, t string"), "k", ("a", "b", "c"), "t").collect()}
+    assert set(own) == {"one", "two", "three"}
+    assert np.allclose([own["two"].neg, own["two"].neu, own["two"].pos], np.log([3 / 6, 2 / 5, 1 / 3]))

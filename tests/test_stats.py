@@ -1,3 +1,4 @@
+from tonality.operators import charts as CH
 from tonality.operators import stats as S
 from tonality.sources.dimensions import characters_df
 
@@ -63,3 +64,47 @@ def test_describe_covers_all_numeric_columns(spark):
 def test_schema_report(spark):
     rep = S.schema_report(scored(spark)).collect()
     assert rep[0].column == "Episode" and rep[0].type == "string" and len(rep) == 11
+
+
+def test_deviation_of_large_values_and_of_any_partitioning(spark):
+    values = spark.createDataFrame([("1", 1e9), ("1", 1e9 + 1), ("1", 1e9 + 2), ("2", 5.0), (None, 1.0), (None, 4.0)], "Episode string, x double")
+    got = {r["Episode"]: r for r in S.describe_scores(values).collect()}
+    assert got["1"]["std"] == 1.0 and got["1"]["mean"] == 1e9 + 1 and got["1"]["q25"] == 1e9 + 0.5
+    assert got["2"]["std"] is None and got["2"]["q75"] == 5.0 and (got[None]["count"], got[None]["q50"]) == (2, 2.5)
+    rows = spark.range(3000).selectExpr("'1' AS Episode", "1e12 + pow(id % 97, 3) / 7 AS x")
+    one, many = (S.describe_scores(rows.repartition(n)).first() for n in (1, 13))
+    for name in ("count", "mean", "std", "min", "q25", "q50", "q75", "max"):
+        assert abs(one[name] - many[name]) <= 1e-9 * abs(one[name]), name
+
+
+def test_measures_other_than_medians_shuffle_states_only(spark):
+    """Without medians there is one aggregate, whose state has a constant size, and no sorting of scores."""
+    st = S.character_statistics(scored(spark), characters_df(spark), measures=("avg", "std", "count"))
+    plan = st._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan.lower() and "model_pos" in plan and "score#" not in plan
+
+
+def test_medians_of_many_rows_and_null_speakers(spark):
+    import random
+    import statistics
+    rng = random.Random(6)
+    labels = (("Positive", "pos"), ("Neutral", "neu"), ("Negative", "neg"))
+    rows = []
+    for i in range(600):
+        lex, model = [round(rng.random(), 2) for _ in range(3)], [rng.random() for _ in range(3)]
+        rows.append((rng.choice(["1", "2"]), i, rng.choice(["Mara Quill", None, "Secondary"]), *lex, *model, rng.choice(labels)[0], rng.choice(labels)[0]))
+    df = spark.createDataFrame(rows, COLS)
+    st = {(r["Episode"], r["Character"]): r for r in S.character_statistics(df, characters_df(spark)).collect()}
+    bars = {(r["Episode"], r["Character"], r["label"]): r["median"] for r in CH.chart_median_by_label(df).collect()}
+    for episode in ("1", "2"):
+        for who in ("Mara Quill", None, "Secondary"):
+            own = [r for r in rows if (r[0], r[2]) == (episode, who)]
+            for s, at, label in (("lex", 3, 9), ("model", 6, 10)):
+                for k, (lab, short) in enumerate((labels[2], labels[1], labels[0])):
+                    x = [r[at + k] for r in own if r[label] == lab]
+                    got = st[episode, who]
+                    assert got[f"{s}_count_{short}"] == len(x)
+                    assert abs(got[f"{s}_median_{short}"] - statistics.median(x)) < 1e-12
+                    assert abs(got[f"{s}_std_{short}"] - statistics.stdev(x)) < 1e-12
+                    if s == "model":
+                        assert abs(bars[episode, who, lab] - statistics.median(x)) < 1e-12

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.operators.stats import LABEL_SHORT, score_counts
+from tonality.operators.stats import LABEL_SHORT, score_medians
 
 
 def chart_share(scored: DataFrame, scorer: str = "model", by: Sequence[str] = ("Episode",)) -> DataFrame:
@@ -24,10 +24,8 @@ def chart_share(scored: DataFrame, scorer: str = "model", by: Sequence[str] = ("
 def chart_median_by_label(scored: DataFrame, scorer: str = "model",
                           by: Sequence[str] = ("Episode",)) -> DataFrame:
     """Three bar series: per character with rows of label X, the median X score."""
-    counts = score_counts(scored, [*by, "Character"], [scorer])
     label = F.create_map(*[F.lit(x) for lab, short in LABEL_SHORT for x in (short, lab)])
-    return counts.groupBy(*by, "Character", label[F.col("short")].alias("label")).agg(
-        F.percentile("score", F.lit(0.5), F.col("n")).alias("median")).where("median IS NOT NULL")
+    return score_medians(scored, [*by, "Character"], [scorer]).select(*by, "Character", label[F.col("short")].alias("label"), "median")
 
 
 def _grouped_bars(stats: DataFrame, measure: str, scorer: str, by: Sequence[str]) -> DataFrame:

@@ -3,10 +3,11 @@ capital-letter emphasis), computed inside each row.
 
 1. ``_sentence``: white-space split, punctuation stripped from the ends, tokens of length 1 dropped, and the
    sentence's facts (item count, first contrast word, "!" / "?" emphasis, mixed capitals).
-2. Valences are looked up item by item.  A lexicon of proven small size is a hashed IN-set with a map for the hits; a
-   larger one is joined on the exploded items of numbered rows.  Both give the same valences.
-3. ``_chain``: each lexicon item becomes a struct with its three predecessors, and the rule chain runs over the array, one
-   ``transform`` for each rule.
+2. ``_tags``: every item gets its lexicon valence, its booster's delta and whether it negates, as three arrays beside the items.
+   Tables of proven small size are hash tables inside an expression (``functions.lookup``); if one of them is larger, all three
+   are put into one table and joined once on the exploded items of numbered rows.  Both give the same tags.
+3. ``_chain``: the rules run over the lexicon items, one ``transform`` for each rule, and look at an item's neighbours by their
+   places.  A text without any modifier skips them.
 4. ``lexicon_scores`` folds the items' valences.  No shuffle, and rows with equal keys stay apart, so that every
    ratio is at most 1.
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonality.functions.labels import major_sentiment
+from tonality.functions.lookup import hashed_lookup
 from tonality.functions.text import ASCII_PUNCT_CLASS
 from tonality.resources import (BOOST_DISTANCE_DAMP, BUT_AFTER, BUT_BEFORE, CAPS_INCREMENT,
                                 COMPOUND_ALPHA, CONTRAST_WORDS, EXCLAIM_MAX, EXCLAIM_WEIGHT, NEGATION_MARK,
@@ -86,14 +88,6 @@ def punctuation_emphasis(text: Column) -> Column:
     return ep + qa
 
 
-def _lookup(rows: dict[str, float]) -> Rule:
-    """A small table as an expression: the map is searched only for words in the hashed set."""
-    if not rows:
-        return lambda t: F.lit(None).cast("double")
-    table = F.create_map(*[F.lit(x) for pair in rows.items() for x in pair])
-    return lambda t: F.when(t.isin(list(rows)), table[t])
-
-
 def _small_rows(df: DataFrame, value: str) -> dict[str, float] | None:
     """``{token: largest value}`` of a table proven small, else None."""
     own = df.groupBy(F.lower("token").alias("token")).agg(F.max(value).alias("v")).where("token IS NOT NULL AND v IS NOT NULL")
@@ -105,29 +99,55 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _with_hits(df: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
-    """Append ``_hits``, a map from an item's place to its lexicon valence, by a join on the items of numbered rows."""
+#: From the lower-case items of a text: arrays of their valences, deltas and whether they negate.
+Tags = Callable[[Column], tuple[Column, Column, Column]]
+
+
+def _marked(t: Column) -> Column:
+    return F.contains(t, F.lit(NEGATION_MARK))
+
+
+def _tagged(df: DataFrame, lexicon: DataFrame | None, boosters: DataFrame, negators: DataFrame, text_col: str) -> tuple[DataFrame, Tags]:
+    """Append ``_tags``, an array of ``struct<v, b, g>`` by an item's place, by one join on the items of numbered rows."""
+    def part(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        own = {"v": "double", "b": "double", "g": "boolean"}
+        return rows.select(F.lower("token").alias("_t"), *[
+            (value if k == name else F.lit(None)).cast(kind).alias(k) for k, kind in own.items()]).where(f"_t IS NOT NULL AND {name} IS NOT NULL")
+
+    known = part(boosters, F.col("delta"), "b").unionByName(part(negators, F.lit(True), "g"))
+    if lexicon is not None:
+        known = known.unionByName(part(lexicon, F.col("valence"), "v"))
+    words = known.groupBy("_t").agg(F.struct(F.max("v").alias("v"), F.max("b").alias("b"), F.max("g").alias("g")).alias("_k"))
     rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change again
-    lex = lexicon.groupBy(F.lower("token").alias("_t")).agg(F.max("valence").alias("_v")).where("_v IS NOT NULL")
     low = F.transform(sentiment_items(F.col(text_col)), lambda w: F.lower(w))
-    hits = (rows.select("_row", F.posexplode(low).alias("_p", "_t")).join(lex, "_t").groupBy("_row")
-            .agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_hits")))
-    return rows.join(hits, "_row", "left").drop("_row")
+    hits = (rows.select("_row", F.posexplode(low).alias("_p", "_t")).join(words, "_t").groupBy("_row")
+            .agg(F.sort_array(F.collect_list(F.struct("_p", "_k"))).alias("_h")))
+    # the places between two hits are filled with NULL
+    none = F.lit(None).cast("struct<v:double,b:double,g:boolean>")
+    gap = lambda h, i: h["_p"] - F.coalesce(F.get("_h", i - 1)["_p"], F.lit(-1)) - 1
+    dense = F.flatten(F.transform("_h", lambda h, i: F.concat(F.array_repeat(none, gap(h, i)), F.array(h["_k"]))))
+    out = rows.join(hits.select("_row", dense.alias("_tags")), "_row", "left").drop("_row")
+    tags = F.col("_tags")
+    return out, lambda low: (tags["v"], tags["b"], F.transform(low, lambda t, i: F.coalesce(F.get(tags["g"], i), F.lit(False)) | _marked(t)))
+
+
+def _tags(df: DataFrame, rules: Rules, text_col: str) -> tuple[DataFrame, Tags]:
+    """``df``, with a column for the tags where a table is not proven small, and the tags of a text's items."""
+    valences = _small_rows(rules.lexicon, "valence") if rules.lexicon is not None else {}
+    deltas = _small_rows(rules.boosters, "delta")
+    negators = _small_rows(rules.negators.withColumn("one", F.lit(1.0)), "one")
+    if valences is None or deltas is None or negators is None:
+        return _tagged(df, rules.lexicon, rules.boosters, rules.negators, text_col)
+    valence, delta, nots = hashed_lookup(valences), hashed_lookup(deltas), sorted(negators)
 
+    def negates(t: Column) -> Column:
+        return (t.isin(nots) | _marked(t)) if nots else _marked(t)
 
-def _valences(df: DataFrame, rules: Rules, text_col: str) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
-    """The lexicon valence of an item (word, place): from an inlined table if it is proven small, else by a join."""
-    if rules.lexicon is None:
-        return df, lambda t, i: F.lit(None).cast("double")
-    rows = _small_rows(rules.lexicon, "valence")
-    if rows is None:
-        return _with_hits(df, rules.lexicon, text_col), lambda t, i: F.when(F.col("_hits").isNotNull(), F.col("_hits")[i])
-    find = _lookup(rows)
-    return df, lambda t, i: find(t)
+    return df, lambda low: (F.transform(low, valence), F.transform(low, delta), F.transform(low, negates))
 
 
-def _sentence(text: Column, rules: Rules, valence: Callable[[Column, Column], Column]) -> Column:
-    """``struct<items, low, val, n, emph, but, capdiff>`` of a text."""
+def _sentence(text: Column, rules: Rules, tags: Tags) -> Column:
+    """``struct<items, low, val, boost, neg, n, emph, but, capdiff>`` of a text."""
     # the capital-letter rules need a mix of all-caps and other items; a text without upper-case letters (all
     # cleaned text) skips the test of each item
     has_upper = F.coalesce(text.rlike("[A-Z]"), F.lit(False))
@@ -136,7 +156,8 @@ def _sentence(text: Column, rules: Rules, valence: Callable[[Column, Column], Co
         places = [F.nullif(F.array_position(x["low"], w), F.lit(0)) for w in rules.contrast]
         first = F.least(*places) if len(places) > 1 else places[0] if places else F.lit(None).cast("long")
         mixed = F.exists(x["items"], _is_upper) & F.exists(x["items"], lambda w: ~_is_upper(w))
-        return F.struct(x["items"].alias("items"), x["low"].alias("low"), F.transform(x["low"], valence).alias("val"),
+        val, boost, neg = tags(x["low"])
+        return F.struct(x["items"].alias("items"), x["low"].alias("low"), val.alias("val"), boost.alias("boost"), neg.alias("neg"),
                         F.size(x["items"]).alias("n"), x["emph"].alias("emph"), F.coalesce(first, F.lit(0)).alias("but"),
                         F.when(x["upper"], mixed).otherwise(F.lit(False)).alias("capdiff"))
 
@@ -148,82 +169,81 @@ def _sentence(text: Column, rules: Rules, valence: Callable[[Column, Column], Co
 def _chain(rules: Rules, steps: Sequence[str]) -> Callable[[Column], Column]:
     """From a sentence to ``array<struct<e, v>>`` over its lexicon items: the item's facts and its valence after
     ``steps``: ``boost``, ``negate``, ``modify`` (both, by distance, then "least") and ``contrast``."""
-    boosters = _small_rows(rules.boosters, "delta")
-    negators = _small_rows(rules.negators.withColumn("one", F.lit(1.0)), "one")
-    if boosters is None or negators is None:
-        raise ValueError(f"more than {INLINE_MAX_WORDS} boosters or negators")
-    boost, nots = _lookup(boosters), sorted(negators)
-    is_modifier = [*boosters, *nots, "least", "never"]
-
-    def negates(t: Column) -> Column:
-        return (t.isin(nots) if nots else F.lit(False)) | F.contains(t, F.lit(NEGATION_MARK))
+    Rule3 = Callable[[Column, Column, Column], Column]  # of sentence, item and valence
 
     def items(x: Column) -> Column:
         def item(t: Column, i: Column) -> Column:
-            ruled = (F.when(~t.isin(is_modifier) & ~negates(t), rules.rule(t)) if rules.rule is not None
-                     else F.lit(None).cast("double"))
-            skip = t.isin(list(boosters)) if boosters else F.lit(False)
-            skip = skip | ((t == "kind") & F.get(x["low"], i + 1).eqNullSafe(F.lit("of")))
-            return F.struct(i.alias("pos"), t.alias("tl"), F.when(~skip, F.coalesce(F.get(x["val"], i), ruled)).alias("v0"))
-
-        def with_neighbours(y: Column) -> Column:
-            i, facts = y["pos"], []
-            for d in (1, 2, 3):
-                p = F.get(x["low"], i - d)
-                facts += [p.alias(f"p{d}"),
-                          # a predecessor that is itself a lexicon word does not modify
-                          (p.isNotNull() & F.get(x["val"], i - d).isNull()).alias(f"free{d}"),
-                          boost(p).alias(f"b{d}"), F.coalesce(negates(p), F.lit(False)).alias(f"g{d}"),
-                          F.coalesce(x["capdiff"] & _is_upper(F.get(x["items"], i - d)), F.lit(False)).alias(f"up{d}")]
-            t = F.get(x["items"], i)
-            up = x["capdiff"] & _is_upper(t)
-            caps = F.when(up & (y["v0"] > 0), y["v0"] + CAPS_INCREMENT).when(up, y["v0"] - CAPS_INCREMENT).otherwise(y["v0"])
-            return F.struct(i.alias("pos"), t.alias("t"), y["tl"].alias("tl"), y["v0"].alias("v0"), caps.alias("v_caps"),
-                            x["capdiff"].alias("cap_diff"), contrast_factor(i, x["but"]).alias("factor"), *facts)
-
-        return F.transform(F.filter(F.transform(x["low"], item), lambda y: y["v0"].isNotNull()), with_neighbours)
-
-    def boosted(d: int) -> Callable[[Column, Column], Column]:
-        def rule(e: Column, v: Column) -> Column:
-            b = e[f"b{d}"]
+            known, delta = F.get(x["val"], i), F.get(x["boost"], i)
+            ruled = F.lit(None).cast("double")
+            if rules.rule is not None:
+                ruled = F.when(~t.isin("least", "never") & ~F.get(x["neg"], i), rules.rule(t))
+            skip = delta.isNotNull() | ((t == "kind") & F.get(x["low"], i + 1).eqNullSafe(F.lit("of")))
+            return F.struct(i.alias("pos"), t.alias("tl"), F.when(~skip, F.coalesce(known, ruled)).alias("v0"))
+
+        def with_facts(y: Column) -> Column:
+            t, v0 = F.get(x["items"], y["pos"]), y["v0"]
+            caps = F.when(x["capdiff"] & _is_upper(t), F.when(v0 > 0, v0 + CAPS_INCREMENT).otherwise(v0 - CAPS_INCREMENT)).otherwise(v0)
+            return F.struct(F.struct(
+                y["pos"].alias("pos"), t.alias("t"), y["tl"].alias("tl"), v0.alias("v0"), caps.alias("v_caps"),
+                x["capdiff"].alias("cap_diff"), contrast_factor(y["pos"], x["but"]).alias("factor")).alias("e"), caps.alias("v"))
+
+        return F.transform(F.filter(F.transform(x["low"], item), lambda y: y["v0"].isNotNull()), with_facts)
+
+    def free(x: Column, i: Column) -> Column:
+        """A predecessor that is itself a lexicon word does not modify."""
+        return (i >= 0) & F.get(x["val"], i).isNull()
+
+    def boosted(d: int) -> Rule3:
+        def rule(x: Column, e: Column, v: Column) -> Column:
+            i = e["pos"] - d
+            b = F.get(x["boost"], i)
             s = F.when(v < 0, -b).otherwise(b)
-            s = F.when(e[f"up{d}"] & (v > 0), s + CAPS_INCREMENT).when(e[f"up{d}"], s - CAPS_INCREMENT).otherwise(s)
-            return F.when(e[f"free{d}"] & b.isNotNull(), v + s * F.lit(BOOST_DISTANCE_DAMP[d - 1])).otherwise(v)
+            up = x["capdiff"] & F.coalesce(_is_upper(F.get(x["items"], i)), F.lit(False))
+            s = F.when(up, F.when(v > 0, s + CAPS_INCREMENT).otherwise(s - CAPS_INCREMENT)).otherwise(s)
+            return F.when(b.isNotNull() & free(x, i), v + s * F.lit(BOOST_DISTANCE_DAMP[d - 1])).otherwise(v)
         return rule
 
-    def negated(d: int) -> Callable[[Column, Column], Column]:
-        def rule(e: Column, v: Column) -> Column:
-            turned = F.when(e[f"free{d}"] & e[f"g{d}"], v * NEGATION_SCALAR).otherwise(v)
+    def negated(d: int) -> Rule3:
+        def rule(x: Column, e: Column, v: Column) -> Column:
+            i = e["pos"] - d
+            turned = F.when(F.coalesce(F.get(x["neg"], i), F.lit(False)) & free(x, i), v * NEGATION_SCALAR).otherwise(v)
             if d == 1:
                 return turned
             # "never" with "so" or "this" between it and the item
             so = F.lit(False)
             for k in range(1, d):
-                so = so | F.coalesce(e[f"p{k}"].isin("so", "this"), F.lit(False))
-            return F.when(e[f"free{d}"] & (e[f"p{d}"] == "never") & so, v * NEVER_SO_SCALAR[d - 2]).otherwise(turned)
+                so = so | F.coalesce(F.get(x["low"], e["pos"] - k).isin("so", "this"), F.lit(False))
+            return F.when(F.coalesce(F.get(x["low"], i) == "never", F.lit(False)) & free(x, i) & so, v * NEVER_SO_SCALAR[d - 2]).otherwise(turned)
         return rule
 
-    def least(e: Column, v: Column) -> Column:
-        return F.when(e["free1"] & (e["p1"] == "least") & ~F.coalesce(e["p2"].isin("at", "very"), F.lit(False)),
-                      v * NEGATION_SCALAR).otherwise(v)
+    def least(x: Column, e: Column, v: Column) -> Column:
+        i = e["pos"] - 1
+        return F.when(F.coalesce(F.get(x["low"], i) == "least", F.lit(False)) & free(x, i)
+                      & ~F.coalesce(F.get(x["low"], i - 1).isin("at", "very"), F.lit(False)), v * NEGATION_SCALAR).otherwise(v)
 
-    chain: list[Callable[[Column, Column], Column]] = []
+    modifiers: list[Rule3] = []
     for step in steps:
-        chain += {"boost": [boosted(d) for d in (1, 2, 3)], "negate": [negated(d) for d in (1, 2, 3)],
-                  "modify": [f(d) for d in (1, 2, 3) for f in (boosted, negated)] + [least],
-                  "contrast": [lambda e, v: v * e["factor"]]}[step]
+        modifiers += {"boost": [boosted(d) for d in (1, 2, 3)], "negate": [negated(d) for d in (1, 2, 3)],
+                      "modify": [f(d) for d in (1, 2, 3) for f in (boosted, negated)] + [least], "contrast": []}[step]
 
     def run(x: Column) -> Column:
-        out = F.transform(items(x), lambda e: F.struct(e.alias("e"), e["v_caps"].alias("v")))
-        for rule in chain:
-            out = F.transform(out, _step(rule))
-        return out
+        any_modifier = (F.exists(x["boost"], lambda b: b.isNotNull()) | F.exists(x["neg"], lambda g: g)
+                        | F.exists(x["low"], lambda t: t.isin("least", "never")))
+
+        def modified(out: Column) -> Column:
+            whole = out
+            for rule in modifiers:
+                out = F.transform(out, _step(x, rule))
+            return F.when(F.coalesce(any_modifier, F.lit(False)), out).otherwise(whole) if modifiers else out
+
+        out = let(items(x), modified)
+        return F.transform(out, _step(x, lambda x, e, v: v * e["factor"])) if "contrast" in steps else out
 
     return run
 
 
-def _step(rule: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
-    return lambda y: F.struct(y["e"].alias("e"), rule(y["e"], y["v"]).alias("v"))
+def _step(x: Column, rule: Callable[[Column, Column, Column], Column]) -> Callable[[Column], Column]:
+    return lambda y: F.struct(y["e"].alias("e"), rule(x, y["e"], y["v"]).alias("v"))
 
 
 def contrast_factor(pos: Column, but: Column) -> Column:
@@ -235,9 +255,9 @@ def contrast_factor(pos: Column, but: Column) -> Column:
 def lexicon_items(df: DataFrame, rules: Rules, text_col: str = "CleanText", keys: Sequence[str] = ("Episode", "SentenceIndex"),
                   steps: Sequence[str] = ("modify", "contrast")) -> DataFrame:
     """One row for each lexicon item: ``keys, pos, t, tl, cap_diff, factor, v0, v_caps, v``."""
-    df, valence = _valences(df, rules, text_col)
+    df, tags = _tags(df, rules, text_col)
     run = _chain(rules, steps)
-    out = df.select(*keys, F.explode(let(_sentence(F.col(text_col), rules, valence), run)).alias("x"))
+    out = df.select(*keys, F.explode(let(_sentence(F.col(text_col), rules, tags), run)).alias("x"))
     return out.select(*keys, *[F.col(f"x.e.{c}").alias(c) for c in ("pos", "t", "tl", "cap_diff", "factor", "v0", "v_caps")],
                       F.col("x.v").alias("v"))
 
@@ -248,7 +268,7 @@ def lexicon_scores(df: DataFrame, rules: Rules, text_col: str = "CleanText", neu
     The score is one expression that reads the text once, so that a filter on a score or label repeats it once at most.
     """
     columns = df.columns
-    df, valence = _valences(df, rules, text_col)
+    df, tags = _tags(df, rules, text_col)
     run = _chain(rules, ("modify", "contrast"))
     start = F.struct(*[F.lit(0.0).alias(x) for x in ("s", "ps", "ns")], *[F.lit(0).alias(x) for x in ("np", "nn")])
 
@@ -286,5 +306,5 @@ def lexicon_scores(df: DataFrame, rules: Rules, text_col: str = "CleanText", neu
         return F.struct(*[a[c].alias(c) for c in SCORE_COLS],
                         major_sentiment(a["lex_pos"], a["lex_neu"], a["lex_neg"]).alias("lex_label"))
 
-    out = df.withColumn("_lex", let(let(_sentence(F.col(text_col), rules, valence), score), labelled))
+    out = df.withColumn("_lex", let(let(_sentence(F.col(text_col), rules, tags), score), labelled))
     return out.select(*columns, *[F.col(f"_lex.{c}").alias(c) for c in (*SCORE_COLS, "lex_label")])

@@ -2,10 +2,10 @@
 
 Two interchangeable scorers:
 
-* ``linear_scores`` — a native linear bag-of-words scorer written as a higher-order ``aggregate`` over each row's
-  words (JVM-side, no shuffle).  The default weights are the fixture rule ``((ascii(w) * (k + 3) + length(w)) % 11 - 5)
-  / 10`` for class k = 0 (neg), 1 (neu), 2 (pos), averaged over the row's words.  It is a stand-in for real model
-  weights, not a trained model.
+* ``linear_scores`` — a native linear bag-of-words scorer: per class the mean weight of a row's words.  The weights come from
+  the caller's table ``(word, neg, neu, pos)``, of any size, e.g. one learned by ``naive_bayes_weights``.  Without a table they are
+  the fixture rule ``((ascii(w) * (k + 3) + length(w)) % 11 - 5) / 10`` for class k = 0 (neg), 1 (neu), 2 (pos): a
+  stand-in for real model weights, not a trained model.
 * ``score_with_pandas`` — the batch-inference harness: ``mapInPandas`` with a scorer that each Python worker keeps under
   an explicit key and feeds with Arrow batches.  Rows the scorer cannot handle are reported instead of failing the job.
 """
@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonality.functions.labels import major_sentiment, softmax3
+from tonality.functions.lookup import hashed_lookup
 from tonality.functions.text import WORD_PATTERN, extract_words
-from tonality.operators.lexicon import let
+from tonality.operators.lexicon import INLINE_MAX_WORDS, let
+from tonality.session import is_small, materialize
 
 CLASSES = ("neg", "neu", "pos")
 LOGIT_COLS = tuple(f"logit_{c}" for c in CLASSES)
@@ -54,13 +56,57 @@ def linear_model(text: Column | str) -> Column:
         return F.struct(*[F.when(acc["n"] > 0, acc[x] / (F.lit(LINEAR_SCALE) * acc["n"])).otherwise(F.lit(0.0)).alias(c)
                           for c, x in zip(LOGIT_COLS, names)])
 
-    def scored(m: Column) -> Column:
-        logits = [m[c] for c in LOGIT_COLS]
-        return F.struct(*[x.alias(c) for c, x in zip(LOGIT_COLS, logits)],
-                        *[p.alias(c) for c, p in zip(SCORE_COLS, softmax3(*logits))],
-                        major_sentiment(*logits[::-1]).alias("model_label"))
+    return let(F.aggregate(extract_words(text), start, step, finish), _scored)
 
-    return let(F.aggregate(extract_words(text), start, step, finish), scored)
+
+def _scored(m: Column) -> Column:
+    """Logits, probabilities and label from a struct of logits."""
+    logits = [m[c] for c in LOGIT_COLS]
+    return F.struct(*[x.alias(c) for c, x in zip(LOGIT_COLS, logits)],
+                    *[p.alias(c) for c, p in zip(SCORE_COLS, softmax3(*logits))],
+                    major_sentiment(*logits[::-1]).alias("model_label"))
+
+
+def _mean(sums: Sequence[Column], n: Column, bias: Sequence[float]) -> Column:
+    return F.struct(*[(F.lit(float(b)) + F.when(n > 0, s / n).otherwise(F.lit(0.0))).alias(c)
+                      for c, s, b in zip(LOGIT_COLS, sums, bias)])
+
+
+def _weighted(df: DataFrame, weights: DataFrame, bias: Sequence[float], text_col: str) -> DataFrame:
+    """Append ``_model`` from a table of weights.
+
+    A table of proven small size is a hash table inside one fold over the words (no shuffle).  A larger one is joined once
+    on the counted words of numbered rows; the weighted sums of a row are added up in the tasks first.
+    """
+    own = weights.where("word IS NOT NULL").groupBy("word").agg(*[F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(c) for c in CLASSES])
+    words = extract_words(F.col(text_col))
+    if is_small(own, INLINE_MAX_WORDS):
+        find = hashed_lookup({r["word"]: [r[c] for c in CLASSES] for r in own.orderBy("word").collect()}, "array<double>")
+        start = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(c) for c in CLASSES])
+
+        def step(acc: Column, w: Column) -> Column:
+            return F.struct((acc["n"] + 1).alias("n"), *[(acc[c] + F.coalesce(F.get(w, k), F.lit(0.0))).alias(c) for k, c in enumerate(CLASSES)])
+
+        # an empty table knows no word
+        known = F.transform(words, lambda w: find(w).cast("array<double>"))
+        return df.withColumn("_model", let(F.aggregate(known, start, step, lambda a: _mean([a[c] for c in CLASSES], a["n"], bias)), _scored))
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change again
+    counted = rows.select("_row", F.explode(words).alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("_n"))
+    sums = counted.join(own, "word").groupBy("_row").agg(*[F.sum(F.col("_n") * F.col(c)).alias(f"_{c}") for c in CLASSES])
+    joined = rows.join(sums, "_row", "left")
+    mean = _mean([F.coalesce(f"_{c}", F.lit(0.0)) for c in CLASSES], F.size(words), bias)
+    model = F.when(F.col(text_col).isNotNull(), let(mean, _scored))
+    return joined.withColumn("_model", model).drop("_row", *[f"_{c}" for c in CLASSES])
+
+
+def naive_bayes_weights(df: DataFrame, label_col: str, labels: Sequence[str], text_col: str = "CleanText") -> DataFrame:
+    """``word, neg, neu, pos``: for each word the logarithm of its share of the words of each class, with one occurrence added
+    for every word.  ``labels`` are the values of ``label_col`` for the three classes; rows with others are left out."""
+    own = df.where(F.col(label_col).isin(list(labels))).select(F.col(label_col).alias("_label"), F.explode(extract_words(F.col(text_col))).alias("word"))
+    counts = own.groupBy("word").agg(*[F.count_if(F.col("_label") == x).alias(c) for x, c in zip(labels, CLASSES)])
+    counts = materialize(counts)
+    totals = counts.agg(F.count(F.lit(1)).alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]).first()
+    return counts.select("word", *[F.log((F.col(c) + 1.0) / F.lit(float(totals[c] + totals["v"]))).alias(c) for c in CLASSES])
 
 
 def with_softmax(df: DataFrame, logits: Sequence[str] = LOGIT_COLS, out: Sequence[str] = SCORE_COLS,
@@ -70,13 +116,16 @@ def with_softmax(df: DataFrame, logits: Sequence[str] = LOGIT_COLS, out: Sequenc
     return df.withColumn(label, major_sentiment(*[logits[i] for i in (2, 1, 0)])) if label else df
 
 
-def linear_scores(df: DataFrame, text_col: str = "CleanText", keep_logits: bool = False) -> DataFrame:
+def linear_scores(df: DataFrame, text_col: str = "CleanText", keep_logits: bool = False, weights: DataFrame | None = None,
+                  bias: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """Append ``model_neg, model_neu, model_pos`` and ``model_label`` from the native linear scorer.
 
-    A row without a text has no score and no label.
+    ``weights(word, neg, neu, pos)``: a class's logit is its bias plus the mean weight of the row's words; words that the
+    table lacks, and NULL weights, weigh 0; of a repeated word the largest weights hold.  Without ``weights`` the fixture rule
+    scores.  A row without a text has no score and no label, one without words the bias.
     """
     kept = [*(LOGIT_COLS if keep_logits else ()), *SCORE_COLS, "model_label"]
-    out = df.withColumn("_model", linear_model(text_col))
+    out = df.withColumn("_model", linear_model(text_col)) if weights is None else _weighted(df, weights, bias, text_col)
     return out.select(*df.columns, *[F.col(f"_model.{c}").alias(c) for c in kept])
 
 

@@ -1,4 +1,9 @@
-"""Statistics over the scored utterance table (one pass per output, grouped by episode)."""
+"""Statistics over the scored utterance table, grouped by episode.
+
+Counts, means and deviations are partial aggregates of constant size in every task: a group's state is its count, mean and
+sum of squared distances from the mean, merged pairwise, so large values lose no digits.  Only medians and quartiles need
+the values themselves; they go by ranges of (group, value) (``operators.ranges``), and no task holds a group.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonality.session import sized_broadcast
+from tonality.operators.ranges import quantiles
+from tonality.session import materialize, sized_broadcast
 
 
 def null_count(df: DataFrame, col: str = "Character", by: Sequence[str] = ("Episode",)) -> DataFrame:
@@ -102,32 +108,31 @@ def measure_columns(scorers=SCORERS, measures=MEASURES) -> list[str]:
     return [f"{s}_{m}_{short}" for s in scorers for m in measures for _, short in LABEL_SHORT]
 
 
-def score_counts(scored: DataFrame, by: Sequence[str], scorers: Sequence[str] = SCORERS) -> DataFrame:
-    """``by, scorer, short, score, n``: how often each scorer gave each score for the label it chose.
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the further columns of ``right`` by ``keys``, of which any may be NULL."""
+    own = right.withColumnsRenamed({c: f"_{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same = same & left[c].eqNullSafe(own[f"_{c}"])
+    return left.join(own, same, "left").drop(*[f"_{c}" for c in keys])
 
-    The first stage of exact medians: equal scores are counted by all tasks before any group comes together.
-    """
+
+def chosen_scores(scored: DataFrame, by: Sequence[str], scorers: Sequence[str] = SCORERS) -> DataFrame:
+    """``by, scorer, short, score``: of each row the score that each scorer gave for the label it chose."""
     pairs = F.array(*[F.struct(F.lit(s).alias("scorer"), F.when(F.col(f"{s}_label") == lab, F.lit(short)).alias("short"),
                                F.when(F.col(f"{s}_label") == lab, F.col(f"{s}_{short}")).alias("score"))
                       for s in scorers for lab, short in LABEL_SHORT])
-    return (scored.select(*by, F.inline(pairs)).where("short IS NOT NULL")
-            .groupBy(*by, "scorer", "short", "score").agg(F.count(F.lit(1)).alias("n")))
-
-
-def _measure(s: str, m: str, short: str) -> Column:
-    """A measure over ``score_counts``, each score weighted by its count."""
-    own = (F.col("scorer") == s) & (F.col("short") == short) & F.col("score").isNotNull()
-    x, n = F.when(own, F.col("score")), F.when(own, F.col("n"))
-    total = F.sum(n)
-    if m == "count":
-        return F.coalesce(total, F.lit(0))
-    if m == "avg":
-        return F.sum(x * n) / total
-    if m == "median":
-        return F.percentile(x, F.lit(0.5), F.coalesce(n, F.lit(0)))
-    # sample deviation around 1/2, the middle of the scores' range, against cancellation
-    d = x - F.lit(0.5)
-    return F.when(total > 1, F.sqrt(F.greatest(F.lit(0.0), (F.sum(d * d * n) - F.sum(d * n) * F.sum(d * n) / total) / (total - 1))))
+    return scored.select(*by, F.inline(pairs)).where("short IS NOT NULL")
+
+
+def score_medians(scored: DataFrame, by: Sequence[str], scorers: Sequence[str] = SCORERS) -> DataFrame:
+    """``by, scorer, short, median`` of ``chosen_scores``, exact."""
+    own = quantiles(chosen_scores(scored, by, scorers), [*by, "scorer", "short"], "score", [0.5])
+    return own.select(*by, "scorer", "short", F.col("q")[0].alias("median"))
+
+
+#: Aggregates whose state has the same size for any number of rows.
+CONSTANT_SIZE = {"avg": F.avg, "std": F.stddev_samp, "count": F.count}
 
 
 def character_statistics(scored: DataFrame, characters: DataFrame, by: Sequence[str] = ("Episode",),
@@ -135,19 +140,26 @@ def character_statistics(scored: DataFrame, characters: DataFrame, by: Sequence[
     """Per (group, character): for each scorer and label X, count / mean / median / sample std of the X score over
     rows labelled X, plus all rows of the character.
 
-    Two stages: equal scores are counted first (partial aggregates in every task), then each group's measures are
-    computed from the distinct scores and their counts.  Characters without lines appear with count 0 and NULL measures.
+    Without medians this is one aggregate.  With them, what the statistics read of a row is written once and read by
+    the aggregate and by the medians.  Characters without lines appear with count 0 and NULL measures.
     """
-    cols = {f"{s}_{m}_{short}": _measure(s, m, short) for s in scorers for m in measures for _, short in LABEL_SHORT}
-    rows = scored.groupBy(*by, "Character").agg(F.count(F.lit(1)).alias("total_count"))
-    stats = score_counts(scored, [*by, "Character"], scorers).groupBy(*by, "Character").agg(
-        *[c.alias(name) for name, c in cols.items()])
-    same = F.lit(True)
-    own = stats.withColumnsRenamed({c: f"_{c}" for c in (*by, "Character")})
-    for c in (*by, "Character"):
-        same = same & rows[c].eqNullSafe(own[f"_{c}"])
-    joined = rows.join(own, same, "left").select(*by, "Character", *cols, "total_count")
-    return fill_characters(joined, characters, by, zero_cols=[c for c in cols if "_count_" in c] + ["total_count"])
+    group = [*by, "Character"]
+    medians = "median" in measures
+    if medians:
+        scored = materialize(scored.select(*group, *[c for s in scorers for c in (
+            f"{s}_label", *[f"{s}_{short}" for _, short in LABEL_SHORT])]))
+    own = {(s, short): F.when(F.col(f"{s}_label") == lab, F.col(f"{s}_{short}")) for s in scorers for lab, short in LABEL_SHORT}
+    stats = scored.groupBy(*group).agg(
+        *[CONSTANT_SIZE[m](own[s, short]).alias(f"{s}_{m}_{short}") for s in scorers for m in measures if m in CONSTANT_SIZE
+          for _, short in LABEL_SHORT], F.count(F.lit(1)).alias("total_count"))
+    if medians:
+        wide = score_medians(scored, group, scorers).groupBy(*group).agg(
+            *[F.max(F.when((F.col("scorer") == s) & (F.col("short") == short), F.col("median"))).alias(f"{s}_median_{short}")
+              for s in scorers for _, short in LABEL_SHORT])
+        stats = join_groups(stats, wide, group)
+    cols = measure_columns(scorers, measures)
+    return fill_characters(stats.select(*group, *cols, "total_count"), characters, by,
+                           zero_cols=[c for c in cols if "_count_" in c] + ["total_count"])
 
 
 def statistics_long(stats: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:
@@ -161,20 +173,18 @@ def statistics_long(stats: DataFrame, by: Sequence[str] = ("Episode",)) -> DataF
 def describe_scores(scored: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ("Episode",)) -> DataFrame:
     """count / mean / std / min / exact quartiles / max of each numeric column (all by default), long form.
 
-    Two stages as in ``character_statistics``.
+    The columns are written once; counts, means, deviations and ends are one aggregate over them, quartiles go by ranges.
     """
     if cols is None:
         cols = [f.name for f in scored.schema if isinstance(f.dataType, T.NumericType) and f.name not in by]
-    values = scored.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "column", "x")
-    counts = values.groupBy(*by, "column", "x").agg(F.count(F.lit(1)).alias("n"))
-    x, n = F.col("x"), F.when(F.col("x").isNotNull(), F.col("n"))
-    wide = counts.groupBy(*by, "column").agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("count"), F.sum(x * n).alias("_s"), F.sum(x * x * n).alias("_ss"), F.min(x).alias("min"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.coalesce(n, F.lit(0))).alias("_q"), F.max(x).alias("max"))
-    var = F.greatest(F.lit(0.0), (F.col("_ss") - F.col("_s") * F.col("_s") / F.col("count")) / (F.col("count") - 1))
-    return wide.select(*by, "column", "count", (F.col("_s") / F.nullif(F.col("count"), F.lit(0))).alias("mean"),
-                       F.when(F.col("count") > 1, F.sqrt(var)).alias("std"), "min", F.col("_q")[0].alias("q25"),
-                       F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    values = materialize(scored.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]))
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = values.groupBy(*by).agg(*[fn(c).alias(f"{c}:{name}") for c in cols for name, fn in parts.items()])
+    long = wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[
+        F.col(f"`{c}:{name}`").alias(name) for name in parts]) for c in cols])))
+    quarters = quantiles(values.unpivot(list(by), list(cols), "column", "x"), [*by, "column"], "x", [0.25, 0.5, 0.75])
+    return join_groups(long, quarters, [*by, "column"]).select(
+        *by, "column", "count", "mean", "std", "min", *[F.col("q")[i].alias(q) for i, q in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def row_counts(df: DataFrame, by: Sequence[str] = ("Episode",)) -> DataFrame:

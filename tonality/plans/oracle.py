@@ -405,6 +405,34 @@ q("softmax_scores", f"""WITH {PREP},{MODEL}
 SELECT Episode, SentenceIndex, round(model_neg, 6) AS model_neg, round(model_neu, 6) AS model_neu,
        round(model_pos, 6) AS model_pos FROM model""")
 
+_NB = f"""
+nbw AS MATERIALIZED (SELECT Episode, unnest({sql_words('CleanText')}) AS word FROM {{docs}}),
+nbc AS (SELECT word, count(*) FILTER (WHERE Episode = '1') AS c0, count(*) FILTER (WHERE Episode = '2') AS c1,
+               count(*) FILTER (WHERE Episode = '3') AS c2 FROM nbw GROUP BY word),
+nbt AS (SELECT count(*) AS v, sum(c0) AS n0, sum(c1) AS n1, sum(c2) AS n2 FROM nbc),
+nb AS MATERIALIZED (SELECT word, ln((c0 + 1.0::DOUBLE) / (n0 + v)) AS w0, ln((c1 + 1.0::DOUBLE) / (n1 + v)) AS w1,
+                           ln((c2 + 1.0::DOUBLE) / (n2 + v)) AS w2 FROM nbc, nbt),
+nbr AS (SELECT row_number() OVER () AS r, Episode, SentenceIndex, Character, {sql_words('CleanText')} AS ws FROM prep WHERE CleanText IS NOT NULL),
+nbx AS (SELECT r, unnest(ws) AS word FROM nbr),
+nbs AS (SELECT r, sum(w0) AS s0, sum(w1) AS s1, sum(w2) AS s2 FROM nbx JOIN nb ON nb.word = nbx.word GROUP BY r),
+nbl AS (SELECT Episode, SentenceIndex, Character, {', '.join(f"CASE WHEN len(ws) > 0 THEN coalesce(s{k}, 0.0) / len(ws) ELSE 0.0::DOUBLE END AS {c}"
+        for k, c in enumerate(("logit_neg", "logit_neu", "logit_pos")))} FROM nbr LEFT JOIN nbs ON nbs.r = nbr.r),
+nbm AS (SELECT *, CASE WHEN logit_pos >= logit_neu AND logit_pos >= logit_neg THEN 'Positive'
+                       WHEN logit_neu >= logit_neg THEN 'Neutral' ELSE 'Negative' END AS model_label FROM nbl)"""
+
+q("weighted_logits", f"""WITH {PREP},{_NB.replace('{docs}', 'prep')}
+SELECT Episode, SentenceIndex, round(logit_neg, 6) AS logit_neg, round(logit_neu, 6) AS logit_neu,
+       round(logit_pos, 6) AS logit_pos, model_label FROM nbm""")
+
+_DOCS_PREP = PREP.replace("utt AS", "dutt AS").replace("FROM utt", "FROM dutt").replace("coded", "dcoded").replace(
+    "named", "dnamed").replace("toks", "dtoks").replace("prep AS", "dprep AS")
+
+q("weighted_scores", f"""WITH {_DOCS_PREP},{prep_of(CONV, CHAR_DIM)},{_NB.replace('{docs}', 'dprep')}
+SELECT Character, count(*) FILTER (WHERE model_label = 'Negative') AS model_total_neg,
+       count(*) FILTER (WHERE model_label = 'Neutral') AS model_total_neu,
+       count(*) FILTER (WHERE model_label = 'Positive') AS model_total_pos, count(*) AS total_count
+FROM nbm GROUP BY Character""")
+
 q("model_rejects", f"""WITH {PREP}
 SELECT Episode, SentenceIndex,
        CASE WHEN CleanText IS NULL THEN 'null text' ELSE 'RuntimeError: text too long for the model' END AS reason

@@ -32,6 +32,7 @@ class Scoring:
     rules: Rules
     model_key: ScorerKey = LINEAR_KEY
     model_factory: Callable | None = None      # None = native linear scorer
+    model_weights: DataFrame | None = None     # its weights (word, neg, neu, pos); None = the fixture rule
     neutral_when_empty: bool = False
     duplicates: str = "keep"
     order_col: str | None = None
@@ -58,7 +59,7 @@ def with_model(prepared: DataFrame, sc: Scoring) -> DataFrame:
     if sc.model_factory is None:
         # the raw text is NULL where the cleaned one is, and its test reaches the scan
         text = "Text" if "Text" in prepared.columns else "CleanText"
-        return linear_scores(prepared).withColumn("model_error", F.when(F.col(text).isNull(), "null text"))
+        return linear_scores(prepared, weights=sc.model_weights).withColumn("model_error", F.when(F.col(text).isNull(), "null text"))
     out = score_with_pandas(prepared, sc.model_key, sc.model_factory, "CleanText", passthrough=prepared.columns)
     return with_softmax(out).drop(*LOGIT_COLS)
 

@@ -178,6 +178,24 @@ def q_softmax_scores(spark, sf_dir):
     return _r(M.linear_scores(p.select(*KEYS, "CleanText")).select(*KEYS, *M.SCORE_COLS), M.SCORE_COLS)
 
 
+@query("weighted_logits")
+def q_weighted_logits(spark, sf_dir):
+    """The native linear scorer with a table of weights, learned from the documents with their episodes as classes."""
+    p = Inputs(spark, sf_dir).prepared().select(*KEYS, "CleanText")
+    weights = M.naive_bayes_weights(p, "Episode", ("1", "2", "3"))
+    out = M.linear_scores(p, keep_logits=True, weights=weights).select(*KEYS, *M.LOGIT_COLS, "model_label")
+    return _r(out, M.LOGIT_COLS)
+
+
+@query("weighted_scores")
+def q_weighted_scores(spark, sf_dir):
+    """Labels by speaker of ``conversations`` under the weights learned from the documents, with the larger table's plan."""
+    docs = Inputs(spark, sf_dir).prepared().select(*KEYS, "CleanText")
+    inp = Inputs(spark, sf_dir, "conversations")
+    scored = P.scored_table(inp.prepared(), inp.scoring(model_weights=M.naive_bayes_weights(docs, "Episode", ("1", "2", "3"))))
+    return S.sentiment_totals(scored, by=("Character",)).select("Character", *[f"model_total_{x}" for x in M.CLASSES], "total_count")
+
+
 #: Words that the scorer of ``model_rejects`` takes at most.
 CONTEXT_WORDS = 300
 

@@ -40,5 +40,37 @@ def test_null_text_stays_null(spark):
 def test_other_scripts_are_spelled_or_kept(spark):
     assert one(spark, T.clean_text, "Привет мир!") == "privet mir!"
     assert one(spark, T.clean_text, "Ελλάδα") == "ellada"
-    assert one(spark, T.clean_text, "안녕 하세요") == "안녕 하세요"
+    assert one(spark, T.clean_text, "안녕 하세요") == "annyeong haseyo"
+    assert one(spark, T.clean_text, "漢字 עברית") == "漢字 עברית"
     assert one(spark, T.extract_words, "안녕 하세요, ok") == ["안녕", "하세요", "ok"]
+
+
+def column(spark, texts, fn):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r["o"] for r in df.select("i", fn("t").alias("o")).orderBy("i").collect()]
+
+
+def test_broken_unicode_is_repaired(spark):
+    whole = ["café", "don’t “stop” – now…", "Là où ça été", "Größe Öl Äpfel", "naïve 😀 漢字", "Ελλάδα", "Привет мир", "žluťoučký kůň", "100 € £5 ½", "ÉCOLE À PARIS", "CIÓN DIPLÔME ESPAÑA",
+             "plain", "", None]
+    cp1252 = [t and t.encode().decode("cp1252", "replace") for t in whole]
+    broken = [t and "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in t.encode()) for t in whole]
+    latin = [t and t.encode().decode("latin-1") for t in whole]
+    assert broken != whole and cp1252 != whole
+    assert column(spark, broken, T.repair_unicode) == whole
+    assert column(spark, latin, T.repair_unicode) == whole
+
+
+def test_clean_text_is_not_repaired(spark):
+    clean = ["« café »", "«café»\u00a0!", "CAFÉ» « À »", "É», Ñ» Ç” É’", "über – straße…", "Ã", "IRMÃ» É°", "x² + é³", "año’ ñ“ ö»\u00a0", "日本語 한글", "1°–2°", "Çà et là »"]
+    assert column(spark, clean, T.repair_unicode) == clean
+    assert column(spark, ["CafÃ©  -A", "ＡB"], T.clean_text)[0] == "cafe a"
+
+
+def test_kana_and_hangul_are_spelled(spark):
+    texts = ["ひらがな カタカナ", "ッしゃー", "한글 서울 닭", "ㄱㅏ ｶﾅ", "漢か字", "ᄒ", "ゝヽ゛ゟヿ"]
+    assert column(spark, texts, T.fold_ascii) == ["hiragana katakana", "tusiya", "hangeul seoul dalg", "ga kana", "漢ka字", "h", "yorikoto"]
+    every = "".join(chr(c) for lo, hi in ((0x1100, 0x11FF), (0x3041, 0x318E), (0x31F0, 0x31FF), (0xA960, 0xA97C), (0xAC00, 0xD7FB), (0xFF66, 0xFFDC)) for c in range(lo, hi + 1))
+    import unicodedata
+    left = column(spark, [every], T.fold_ascii)[0]
+    assert not [c for c in left if any(x in unicodedata.name(c, "") for x in ("HANGUL", "HIRAGANA", "KATAKANA"))]

@@ -1,7 +1,7 @@
 """Text cleaning and tokenising as Column -> Column functions (JVM-side, no UDF).
 
-The cleaning order is: delete ASCII '-', lower-case, remove emoji, fold to
-ASCII, normalise white space.  Tokenising splits contractions ("don't" ->
+The cleaning order is: delete ASCII '-', repair broken Unicode, lower-case, remove
+emoji, fold to ASCII, normalise white space.  Tokenising splits contractions ("don't" ->
 "do", "n't") and keeps punctuation marks as tokens.
 """
 
@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonality.functions.lookup import hashed_lookup
+
 ColumnOrName = Column | str
 
 # FIXED VALUES — emoji / pictograph code point ranges removed by strip_emoji.
@@ -39,7 +41,19 @@ _FOLD_RANGES = ((0x00C0, 0x024F), (0x1E00, 0x1EFF))
 
 # Letters of these scripts are spelled by a rule from their Unicode names (see ``spelled``).
 _SPELLED_RANGES = ((0x0370, 0x03FF), (0x0400, 0x052F))
-SPELLED_CLASS = r"[\x{370}-\x{52F}]"
+
+# Letters of these scripts are spelled by their Unicode names, a syllable at a time (see ``spelled_syllables``).
+_KANA_RANGES = ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F))
+_JAMO_RANGES = ((0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2), (0x3131, 0x318E), (0xFFA1, 0xFFDC))
+SYLLABLE_CLASS = r"[\x{1100}-\x{11FF}\x{3041}-\x{318E}\x{31F0}-\x{31FF}\x{A960}-\x{A97C}\x{AC00}-\x{D7FB}\x{FF66}-\x{FFDC}]"
+
+#: Letters of these scripts may take several letters of ASCII.
+SCRIPT_CLASS = rf"[\x{{370}}-\x{{52F}}{SYLLABLE_CLASS[1:-1]}]"
+
+# FIXED VALUES - romanised Hangul letters by their place in a syllable: initial, medial, final.
+HANGUL_INITIAL = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
+HANGUL_MEDIAL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(" ")
+HANGUL_FINAL = " g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h".split(" ")
 
 ASCII_PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
 LETTERS = r"\p{L}\p{M}\p{N}_"
@@ -72,6 +86,81 @@ def spelled(ch: str) -> str | None:
     return out.upper() if m[2] == "CAPITAL" else out
 
 
+def spelled_syllables() -> dict[str, str]:
+    """ASCII spelling of kana and of single Hangul letters: the last word of a kana's Unicode name (``HIRAGANA LETTER SMALL TU``
+    -> tu), nothing for marks; a Hangul letter as in a syllable."""
+    out = {}
+    for lo, hi in _KANA_RANGES:
+        for cp in range(lo, hi + 1):
+            name = unicodedata.name(chr(cp), "")
+            m = re.fullmatch(r"(?:HALFWIDTH )?(?:HIRAGANA|KATAKANA) (?:LETTER |DIGRAPH )(?:SMALL )?([A-Z]+)", name)
+            if m:
+                out[chr(cp)] = m[1].lower()
+            elif "HIRAGANA" in name or "KATAKANA" in name:
+                out[chr(cp)] = ""
+    for lo, hi in _JAMO_RANGES:
+        for cp in range(lo, hi + 1):
+            base = unicodedata.normalize("NFKD", chr(cp))
+            at = ord(base[0]) if len(base) == 1 else 0
+            if 0x1100 <= at <= 0x1112:
+                out[chr(cp)] = HANGUL_INITIAL[at - 0x1100]
+            elif 0x1161 <= at <= 0x1175:
+                out[chr(cp)] = HANGUL_MEDIAL[at - 0x1161]
+            elif 0x11A8 <= at <= 0x11C2:
+                out[chr(cp)] = HANGUL_FINAL[at - 0x11A7]
+    return out
+
+
+def _fold_syllables(c: Column) -> Column:
+    """Kana and Hangul letters spelled, old and rare ones left out; a Hangul syllable's letters follow from its number."""
+    known = hashed_lookup(spelled_syllables(), "string")
+    initial, medial, final = (F.lit(x) for x in (HANGUL_INITIAL, HANGUL_MEDIAL, HANGUL_FINAL))
+
+    def one(ch: Column) -> Column:
+        n = F.ascii(ch) - 0xAC00
+        syllable = F.concat(F.get(initial, F.floor(n / 588).cast("int")), F.get(medial, F.floor(n % 588 / 28).cast("int")),
+                            F.get(final, n % 28))
+        return F.when(ch.rlike(r"^[\x{AC00}-\x{D7A3}]"), syllable).otherwise(F.coalesce(known(ch), F.lit("")))
+
+    return F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(f"^{SYLLABLE_CLASS}"), one(ch)).otherwise(ch)), "")
+
+
+# Bytes 0x80 to 0x9F as the signs that Windows-1252 shows for them, and as the control signs that Latin-1 has there.
+_SIGNS = {ch: chr(b) for b in range(0x80, 0xA0) if (ch := bytes([b]).decode("cp1252", "ignore"))}
+_AFTER = "\x80-\xBF" + "".join(_SIGNS)
+_CLOSING = "\xA0«»‘’“”–—…‹›•°´·"
+_INNER = "(?:(?![" + _CLOSING + "])[" + _AFTER + "])"
+#: UTF-8 that was read as Windows-1252 or Latin-1: a first byte of a character and its further bytes, as letters.  Letters of clean
+#: text with closing marks behind them do not match: a mark that ends a word does not follow capitals or other first letters.
+BROKEN_PATTERN = (
+    "[ð-ô][" + _AFTER + "]{3}"
+    "|[à-ï](?=[" + _AFTER + "]{0,1}" + _INNER + ")[" + _AFTER + "]{2}"
+    "|[ÂÃ]" + _INNER + "|(?<![A-ZÀ-Þ]{2})[ÂÃ][" + _CLOSING + "]|[ÂÃ](?:[‘“–—]|[" + _CLOSING + "](?=[A-Za-z]))"
+    "|[Ä-ß]" + _INNER + "(?:[Â-ß][" + _AFTER + "])*"
+    "|(?:[Ä-ß][" + _AFTER + "]){2,}")
+
+#: What a text must hold for the repair, or for the letters of other scripts, to change it.
+RARE_PATTERN = "[Â-ô][" + _AFTER + "]|" + SCRIPT_CLASS
+
+
+def repair_unicode(c: ColumnOrName) -> Column:
+    """UTF-8 that was decoded as Windows-1252 or Latin-1 (``cafÃ©``, ``donâ€™t``) decoded again; other text stays.
+
+    Only the broken places are re-decoded.  A place that is not valid UTF-8 stays as it is.
+    """
+    text = _col(c)
+    signs = "".join(_SIGNS)
+
+    def mended(broken: Column) -> Column:
+        raw = F.encode(F.translate(broken, signs, "".join(_SIGNS.values())), "ISO-8859-1")
+        return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(broken)
+
+    places = F.regexp_extract_all(text, F.lit(BROKEN_PATTERN), F.lit(0))
+    whole = F.array_join(F.flatten(F.zip_with(
+        F.split(text, BROKEN_PATTERN, -1), places, lambda between, broken: F.array(between, F.coalesce(mended(broken), F.lit(""))))), "")
+    return F.when(text.rlike(BROKEN_PATTERN), whole).otherwise(text)
+
+
 @lru_cache(maxsize=None)
 def fold_tables() -> tuple[str, str, list[tuple[str, str]], list[tuple[str, str]]]:
     """(from, to) strings for ``translate``, the multi-character replacements, and those of spelled letters."""
@@ -122,19 +211,21 @@ def strip_emoji(c: ColumnOrName) -> Column:
 
 
 def fold_ascii(c: ColumnOrName) -> Column:
-    """Closest-ASCII folding: accents dropped, ligatures expanded, Greek and Cyrillic spelled, other signs removed.
+    """Closest-ASCII folding: accents dropped, ligatures expanded, Greek, Cyrillic, kana and Hangul spelled, other signs
+    removed.
 
     Letters of scripts without a spelling rule are kept: removing them would empty the text.
     """
+    return F.when(_col(c).rlike(SCRIPT_CLASS), _fold(_col(c), True)).otherwise(_fold(_col(c), False))
+
+
+def _fold(c: Column, scripts: bool) -> Column:
+    """``fold_ascii``, with letters that take several of ASCII in ``scripts`` other than Latin."""
     src, dst, multi, letters = fold_tables()
-    out = F.translate(_col(c), src, dst)
-    for ch, rep in multi:
+    out = F.translate(c, src, dst)
+    for ch, rep in [*multi, *(letters if scripts else [])]:
         out = F.replace(out, F.lit(ch), F.lit(rep))
-    more = out
-    for ch, rep in letters:
-        more = F.replace(more, F.lit(ch), F.lit(rep))
-    out = F.when(_col(c).rlike(SPELLED_CLASS), more).otherwise(out)
-    return F.regexp_replace(out, UNFOLDED_PATTERN, "")
+    return F.regexp_replace(_fold_syllables(out) if scripts else out, UNFOLDED_PATTERN, "")
 
 
 def normalize_space(c: ColumnOrName) -> Column:
@@ -146,8 +237,18 @@ def normalize_space(c: ColumnOrName) -> Column:
 
 
 def clean_text(c: ColumnOrName) -> Column:
-    """strip_dashes -> lower -> strip_emoji -> fold_ascii -> normalize_space."""
-    return normalize_space(fold_ascii(strip_emoji(lower_text(strip_dashes(c)))))
+    """strip_dashes -> repair_unicode -> lower -> strip_emoji -> fold_ascii -> normalize_space.
+
+    Text of ASCII only, which has as many bytes as characters, has nothing to repair, remove or fold.
+    """
+    text = _col(c)
+    lowered = lower_text(strip_dashes(text))
+    whole = strip_emoji(lower_text(repair_unicode(strip_dashes(text))))
+    # most texts need neither repair nor other scripts' letters: one look at the raw text tells
+    return normalize_space(
+        F.when(F.octet_length(text) == F.char_length(text), lowered)
+        .when(~text.rlike(RARE_PATTERN), _fold(strip_emoji(lowered), False))
+        .otherwise(_fold(whole, True)))
 
 
 def tokenize(c: ColumnOrName) -> Column:

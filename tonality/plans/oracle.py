@@ -147,6 +147,14 @@ q("strip_dashes", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_strip_dashes(
 q("lower_text", f"WITH {UTT} SELECT Episode, SentenceIndex, lower(Text) AS Text FROM utt")
 q("strip_emoji", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_emoji("replace(Text, '.', '. ' || chr(128512) || chr(10084) || chr(65039))")} AS Text FROM utt")
 q("fold_ascii", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_fold('lower(Text)')} AS Text FROM utt")
+# damaged text is whole again
+q("repair_unicode", f"WITH {UTT} SELECT Episode, SentenceIndex, Text FROM utt")
+# vowels stand as control signs until the rest is folded
+_SYLLABLES = "translate(Text, 'aeiou', chr(1) || chr(2) || chr(3) || chr(4) || chr(5))"
+_SYLLABLES = sql_fold(f"lower({_SYLLABLES})")
+for _code, _spelled in ((1, "ka"), (2, "han"), (3, "tu"), (4, "geul"), (5, "dalg")):
+    _SYLLABLES = f"replace({_SYLLABLES}, chr({_code}), '{_spelled}')"
+q("fold_scripts", f"WITH {UTT} SELECT Episode, SentenceIndex, {_SYLLABLES} AS Text FROM utt")
 _BLANKS = ("(' ' || chr(9) || replace(replace(Text, ' ', '  '), chr(10), ' ' || chr(13) || chr(10) || chr(10) || ' ') "
            "|| chr(13) || chr(10))")
 q("normalize_space", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_space(_BLANKS)} AS Text FROM utt")
@@ -585,6 +593,10 @@ q("describe_scores", f"""WITH {SCORED}
 q("row_counts", f"""WITH {SCORED}
 SELECT Episode, count(*) AS n_rows, 13 AS n_columns FROM scored GROUP BY Episode""")
 
+q("last_turns", f"""WITH {CONV}
+SELECT Episode, SentenceIndex, Character, Text FROM utt
+QUALIFY row_number() OVER (PARTITION BY Episode, Character ORDER BY SentenceIndex DESC) = 1""")
+
 q("duplicate_keys", f"""WITH {CONV}
 SELECT Episode, Character, count(*) AS n FROM utt GROUP BY Episode, Character HAVING count(*) > 1""")
 

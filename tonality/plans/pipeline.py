@@ -45,8 +45,9 @@ def one_per_key(df: DataFrame, sc: Scoring, keys: Sequence[str] = KEYS) -> DataF
     if sc.duplicates == "last":
         if sc.order_col is None:
             raise ValueError("duplicates='last' needs order_col")
-        last = Window.partitionBy(*keys).orderBy(F.col(sc.order_col).desc())
-        return df.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+        # among equal places the row with the largest hash; every task keeps one row of a key before the shuffle
+        last = F.max_by(F.struct(*df.columns), F.struct(F.col(sc.order_col), F.xxhash64(*df.columns)))
+        return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(last.alias("_last")).select("_last.*")
     if sc.duplicates == "error":
         n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
         fail = F.raise_error(F.concat(F.lit("repeated key: "), F.concat_ws(", ", *keys)))

@@ -68,10 +68,24 @@ def _with_blanks(c):
     return F.concat(F.lit(" \t"), F.replace(F.replace(c, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \r\n\n ")), F.lit("\r\n"))
 
 
+def _damaged(c):
+    """UTF-8 read as Latin-1, as Windows-1252 would show it in documents with an even number."""
+    broken = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    as_1252 = F.translate(broken, "".join(T._SIGNS.values()), "".join(T._SIGNS))
+    return F.when(F.col("SentenceIndex") % 2 == 0, as_1252).otherwise(broken)
+
+
+def _in_syllables(c):
+    """The tables hold neither kana nor Hangul: the small vowels are written in them."""
+    return F.translate(c, "aeiou", "か한ッ글닭")
+
+
 QUERIES["strip_dashes"] = _text_step(T.strip_dashes)
 QUERIES["lower_text"] = _text_step(T.lower_text)
 QUERIES["strip_emoji"] = _text_step(T.strip_emoji, _with_emoji)
 QUERIES["fold_ascii"] = _text_step(lambda c: T.fold_ascii(T.lower_text(c)))
+QUERIES["repair_unicode"] = _text_step(T.repair_unicode, lambda c: _damaged(c))
+QUERIES["fold_scripts"] = _text_step(lambda c: T.fold_ascii(T.lower_text(c)), lambda c: _in_syllables(c))
 QUERIES["normalize_space"] = _text_step(T.normalize_space, _with_blanks)
 QUERIES["clean_text"] = _text_step(T.clean_text)
 
@@ -362,6 +376,14 @@ def q_row_counts(spark, sf_dir):
     return S.row_counts(Inputs(spark, sf_dir).scored())
 
 
+@query("last_turns")
+def q_last_turns(spark, sf_dir):
+    """Of each conversation's speakers, who take several turns, the last one."""
+    inp = Inputs(spark, sf_dir, "conversations")
+    policy = inp.scoring(duplicates="last", order_col="SentenceIndex")
+    return P.one_per_key(inp.utterances(), policy, ("Episode", "Character"))
+
+
 @query("duplicate_keys")
 def q_duplicate_keys(spark, sf_dir):
     # a conversation's speakers take several turns

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonality.schema import UTTERANCE, require_columns
+from tonality.sources.csv_records import read_csv
 
 # Options that read back exactly what ``sources.sinks.write_csv`` writes
 # (quoted fields with commas / line breaks, empty string kept apart from NULL).
@@ -32,19 +33,21 @@ DEFAULT_EPISODE_PATTERN = r"(?:^|/)HPE(\d+)\.[^./]+(?:/part-[^/]*)?$"
 
 def episode_from_path(pattern: str = DEFAULT_EPISODE_PATTERN) -> Column:
     """The episode in the path of a row's file; a path without one fails the job."""
-    path = F.col("_metadata.file_path")
+    path = F.col("_file")
     found = F.regexp_extract(path, pattern, 1)
     return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no episode in the path "), path)))
 
 
-def _csv_schema(spark: SparkSession, path: str | list[str], options: dict) -> T.StructType:
-    """The file's own columns in their order: utterance columns with their types, all others as strings."""
-    named = spark.read.options(**options).csv(path).columns
+def _csv_schema(spark: SparkSession, path: str | list[str], options: dict) -> tuple[T.StructType, list[str]]:
+    """The file's own columns in their order, utterance columns with their types and all others as strings, and the names of the
+    partition folders."""
+    folders = [c for c in spark.read.text(path).columns if c != "value"]
+    named = [c for c in spark.read.options(**options).csv(path).columns if c not in folders]
     known = {f.name: f.dataType for f in UTTERANCE} | {"Episode": T.StringType()}
     missing = [f.name for f in UTTERANCE if f.name not in named]
     if missing:
         raise ValueError(f"missing required columns {missing}; have {named}")
-    return T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in named])
+    return T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in named]), folders
 
 
 def read_utterances(spark: SparkSession, path: str | list[str], fmt: str = "csv",
@@ -54,20 +57,21 @@ def read_utterances(spark: SparkSession, path: str | list[str], fmt: str = "csv"
     CSV columns are found by the header, in any order; further columns pass through as strings.  All files of one scan
     must have the same header (a file with another one fails the job).  ``Episode`` comes from a
     column or partition folder ``Episode=<n>`` as the string it is there, else from the file name by
-    ``episode_pattern`` (``HPE3.csv`` -> ``3``).  Quoted fields may hold line breaks, so a CSV file is one task:
-    convert large files to Parquet once.
+    ``episode_pattern`` (``HPE3.csv`` -> ``3``).  Quoted fields may hold line breaks; a file is still read by as many tasks as it
+    has splits (``csv_records``).
     """
     if fmt == "csv":
         options = {**CSV_READ_OPTIONS, "enforceSchema": "false", **options}
-        df = spark.read.schema(_csv_schema(spark, path, options)).options(**options).csv(path)
+        schema, folders = _csv_schema(spark, path, options)
+        df = read_csv(spark, path, schema, folders, **options)
     else:
-        df = spark.read.options(**options).format(fmt).load(path)
+        df = spark.read.options(**options).format(fmt).load(path).withColumn("_file", F.col("_metadata.file_path"))
     require_columns(df, "SentenceIndex", "Character", "Text")
     if "Episode" not in df.columns:
         if episode_pattern is None:
             raise ValueError("no Episode column and no episode_pattern")
         df = df.withColumn("Episode", episode_from_path(episode_pattern))
-    return df.select(F.col("Episode").cast("string").alias("Episode"), *[c for c in df.columns if c != "Episode"])
+    return df.select(F.col("Episode").cast("string").alias("Episode"), *[c for c in df.columns if c not in ("Episode", "_file")])
 
 
 def bind_documents(documents: DataFrame) -> DataFrame:

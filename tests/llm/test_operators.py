@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,14 +32,24 @@ def prose(rng, n):
 PATH = P.path("word_bpe_49k.json")
 
 
+def library_ids(text):
+    """The ids of the tokenizer as it is loaded, apart from the operator."""
+    import tokenizers
+    if not hasattr(library_ids, "own"):
+        library_ids.own = tokenizers.Tokenizer.from_file(PATH)
+    return library_ids.own.encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_give_the_tokenizers_ids():
     from tonality.llm.packing import ChunkTokenizer
     own, rng = ChunkTokenizer(PATH, entries=50), random.Random(3)
     alphabet = "aab  e\n\t  r'stéßÀΣσİ漢🙂  　.!?$12\x1c\x85 <|endoftext|>"
-    for _ in range(800):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
-        ids = own.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    texts += ["see <|endoftext|> here", "<|startoftext|>", "a<|endoftext|>b <|ENDOFTEXT|> <|endoftext", "x <| y", "é<|startoftext|><|endoftext|>漢"]
+    for text in texts:
+        ids = library_ids(text)
         assert own(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
+    assert library_ids("see <|endoftext|> here") == [862, 49407, 763]
 
 
 def check_packed(rows, capacity):
@@ -85,6 +96,46 @@ def test_packing_is_dense_and_gives_sequences(spark):
         assert ids[r["sequence_id"]][r["offset"]:r["offset"] + len(r["ids"])] == r["ids"]
 
 
+def test_pieces_against_a_packing_in_plain_python(spark):
+    """Every group's bins, by a version that looks through all open bins, on texts that make a small bound bite."""
+    from tonality.llm import packing
+    rng = random.Random(15)
+    rows = [(i if i % 9 else None, prose(rng, rng.choice([1, 5, 30, 120]))) for i in range(250)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+    pieces = packing.pieces(docs, PATH, capacity=256)
+    got = packing.pack(pieces, 256, open_bins=6, group_pieces=90)
+    placed = got.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(-(-pieces.count() // 90)))).collect()
+    assert sum(r["length"] for r in placed) == sum(len(library_ids(t)) + 1 for _, t in rows + rows[:20])
+    closed = 0
+    for g in {r["grp"] for r in placed}:
+        own = sorted((r for r in placed if r["grp"] == g), key=lambda r: (-r["length"], r["doc_id"] is not None, r["doc_id"] or 0, r["piece"]))
+        left, want = {}, []
+        for n in (r["length"] for r in own):
+            roomy = [b for b in left if left[b] >= n]
+            if not roomy:
+                if len(left) >= 6:
+                    closed += 1
+                    del left[min(left, key=lambda b: left[b])]
+                b = max([x for x, _, _ in want], default=-1) + 1
+                left[b] = 256
+            else:
+                b = min(roomy, key=lambda b: left[b])
+            want.append((b, 256 - left[b], n))
+            left[b] -= n
+            if not left[b]:
+                del left[b]
+        # bins of equal room may be taken in any order: what is compared is how full they get
+        full = lambda rows: sorted(Counter(rows).items())
+        sums, theirs = Counter(), Counter()
+        for r in own:
+            sums[r["sequence_id"]] += r["length"]
+        for b, _, n in want:
+            theirs[b] += n
+        assert full(sums.values()) == full(theirs.values())
+    assert closed > 20
+    check_packed(placed, 256)
+
+
 def test_best_fit_closes_the_fullest():
     from tonality.llm.packing import BestFit
     fit = BestFit(capacity=10, open_bins=2)

@@ -49,7 +49,8 @@ class ChunkTokenizer:
 
     The tokenizer drops white space before it merges and never joins across it, so a text's ids are those of its
     white-space separated chunks one after another; chunks and their words repeat, texts do not.  Chunks with
-    letters beyond U+024F (where normalisation may join characters) go through the library as they are.
+    letters beyond U+024F (where normalisation may join characters) go through the library as they are, and so do whole
+    texts with an added token of the vocabulary.
     """
 
     def __init__(self, path: str, entries: int = MEMO_ENTRIES):
@@ -58,7 +59,10 @@ class ChunkTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that quote an added token, which the library finds before it splits, go through it whole
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added_start = os.path.commonprefix(added) if added else None
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search
         self.merge = self.tokenizer.model.tokenize
         self.split = regex.compile(_SPLIT).findall
         self.entries = entries
@@ -90,7 +94,7 @@ class ChunkTokenizer:
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or self.added_start is not None and self.added_start in text and self.added(text):
             return self._whole(text)
         chunks = (text.lower() if text.isascii() else text).split()
         found = list(map(self.chunks.get, chunks))

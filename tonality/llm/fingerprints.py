@@ -1,15 +1,14 @@
 """Order MinHash fingerprints: sketches whose agreement follows edit distance, not only shared content.
 
-The query's k-mers start at every code point of the text and are ``WIDTH`` code points long, white space included (a
-shorter text is one k-mer).  The form by runs, without ``width``, cuts a text into runs of at most 8 code points without
-white space (``\\S{1,8}``), ``k`` in a row to a k-mer: it does less work, but an edit in a text without blanks changes all
-runs behind it.  Equal k-mers are numbered by occurrence.  The 64 hash functions are the 64 parts of one hash's range: in each part the ``ELL = 2`` numbered k-mers with the smallest hash
-are selected, put back into text order and hashed as a tuple.  Two texts agree in a part if the same
-k-mers were selected in the same order.
+K-mers start at every code point of the text and are ``WIDTH`` code points long, white space included (a shorter text is one
+k-mer).  Equal k-mers are numbered by occurrence.  The 64 hash functions are the 64 parts of one hash's range: in each part the
+two numbered k-mers with the smallest hash are selected, put back into text order and hashed as a tuple.  Two texts agree
+in a part if the same k-mers were selected in the same order.
 
-All steps are array expressions on one row: hashes and positions are packed into longs, so that sorting
-and selection are sorts of long arrays.  ``likeness`` is the share of agreeing parts among parts that are
-filled in either text; two empty texts have likeness 1.
+All steps are array expressions on one row.  A text becomes UTF-32, in which a k-mer is a slice at a known place; hashes and
+positions are packed into longs, so that sorting and selection are sorts of long arrays.  The k-mers of the edited text that
+lie in what it keeps are a slice of the text's own; only those from the seam on are hashed.  ``likeness`` is the share of agreeing
+parts among parts that are filled in either text; two empty texts have likeness 1.
 
 Packing keeps 37 bits of a hash and 26 bits of a position (positions beyond 2^26 wrap, which may only
 change the order inside a tuple).  Every text is read whole.
@@ -20,26 +19,22 @@ in the order of their texts; null ids come last; a single document is its own su
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 2           # runs in a k-mer
 PARTS_BITS = 6  # 64 parts
 POS_BITS = 26
 HASH_BITS = 37
 LOW = (1 << POS_BITS) - 1
-RUN = r"\S{1,8}"
+HIGH = ((1 << HASH_BITS) - 1) << POS_BITS
 WIDTH = 8       # code points in a k-mer
 
 
-def _shift(a: Column, by: int) -> Column:
-    """The array moved right by ``by`` places, for comparison with an element's predecessor."""
-    return F.concat(F.array_repeat(F.lit(-1).cast("long"), by), a)
-
-
 def _pack(h: Column, pos: Column) -> Column:
     low = h.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    return F.shiftleft(low, POS_BITS).bitwiseOR(pos.cast("long").bitwiseAND(F.lit((1 << POS_BITS) - 1)))
+    return F.shiftleft(low, POS_BITS).bitwiseOR(pos.cast("long").bitwiseAND(F.lit(LOW)))
 
 
 def _hash_of(x: Column) -> Column:
@@ -54,75 +49,64 @@ def _part_of(x: Column) -> Column:
     return F.shiftright(x, POS_BITS + HASH_BITS - PARTS_BITS)
 
 
-def with_signature(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
-    """Add ``out``: array<long> of one hash per filled part, ``part << 32 | 32 bits``, ascending.
-
-    Each step is a column of its own, as a long expression used twice would be computed twice.
-    """
-    w, h, s, n, p = (f"__{out}_{i}" for i in "whsnp")
-    words, hashed, srt, numbered, kept = map(F.col, (w, h, s, n, p))
-    df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0)))
-    # k-mers with their positions, sorted: equal k-mers stand together in text order
-    firsts = words
-    for i in range(1, k):
-        rest = F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0)))
-        firsts = F.zip_with(firsts, rest, lambda a, b: F.xxhash64(a, b))
-    if k == 1:
-        firsts = F.transform(words, lambda a: F.xxhash64(a))
-    n_kmers = F.when(F.size(words) == 0, 0).otherwise(F.greatest(F.size(words) - (k - 1), F.lit(1)))
-    df = df.withColumn(h, F.slice(firsts, 1, n_kmers)).drop(w)
-    df = df.withColumn(s, F.sort_array(F.transform(hashed, lambda x, i: _pack(x, i)))).drop(h)
-    # occurrence numbers: lengths of the stretches of equal hashes, counted out
-    runs = F.zip_with(srt, _shift(srt, 1), lambda x, y: F.when(x.isNotNull() & (_hash_of(x) != _hash_of(y)), True))
-    df = df.withColumn(n, F.filter(F.transform(runs, lambda b, i: F.when(b, i)), lambda i: i.isNotNull()))
-    lengths = F.zip_with(numbered, F.concat(F.slice(numbered, 2, F.greatest(F.size(numbered) - 1, F.lit(0))),
-                                            F.array(F.size(srt))), lambda a, b: b - a)
-    occ = F.flatten(F.transform(lengths, lambda c: F.sequence(F.lit(0), c - 1)))
-    again = F.when(
-        F.size(numbered) == F.size(srt),
-        F.transform(srt, lambda x: _pack(F.xxhash64(_hash_of(x), F.lit(0)), _pos_of(x))),
-    ).otherwise(F.zip_with(srt, occ, lambda x, o: _pack(F.xxhash64(_hash_of(x), o), _pos_of(x))))
-    df = df.withColumn(p, F.sort_array(again)).drop(s, n)
-    # the two smallest of each part
-    two = F.filter(F.zip_with(kept, _shift(kept, 2), lambda x, y: F.when(
-        x.isNotNull() & ((y < 0) | (_part_of(x) != _part_of(y))), x)), lambda x: x.isNotNull())
-    return _tuples(df.withColumn(p, two), p, out)
+def _held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` taken from its row once: a column's bytes or array would be fetched for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _two(a: Column) -> Column:
     """The two smallest of each part of an ascending array."""
-    return F.concat(F.slice(a, 1, 2), F.filter(a, lambda x, i: _part_of(x) != _part_of(F.get(a, i - 2))))
+    part = F.lit(-1 << (POS_BITS + HASH_BITS - PARTS_BITS))
+    return _held(a, lambda a: F.concat(F.slice(a, 1, 2), F.filter(
+        a, lambda x, i: x.bitwiseXOR(F.get(a, i - 2)).bitwiseAND(part) != 0)))
+
 
+def kmers(text: Column, n_chars: Column, first: Column, width: int = WIDTH) -> Column:
+    """The k-mers from place ``first`` (from 0) on, each as its hash and place in one long."""
+    last = F.when(n_chars == 0, -1).otherwise(F.greatest(n_chars - width, F.lit(0))).cast("int")
+    start = first.cast("int")
+    at = F.slice(F.sequence(start, F.greatest(start, last)), F.lit(1), F.greatest(last - start + 1, F.lit(0)))
 
-def with_character_signature(df: DataFrame, text: str, out: str, width: int = WIDTH) -> DataFrame:
-    """Add ``out`` as ``with_signature`` does, over the k-mers of ``width`` code points at every code point.
+    def of(utf32: Column) -> Column:
+        # four bytes for each code point: a slice's start is known
+        return F.transform(at, lambda i: F.xxhash64(F.substring(utf32, i * 4 + 1, F.lit(4 * width))).bitwiseAND(F.lit(HIGH)).bitwiseOR(
+            i.cast("long").bitwiseAND(F.lit(LOW))))
 
-    A k-mer's first occurrence has the k-mer's own hash and needs no second one; only the others are numbered.
+    return _held(F.encode(text, "UTF-32"), of)
+
+
+def with_signature(df: DataFrame, packed: str, out: str) -> DataFrame:
+    """Add ``out``: array<long> of one hash per filled part, ``part << 32 | 32 bits``, ascending, from the k-mers in ``packed``.
+
+    A k-mer's first occurrence has the k-mer's own hash and needs no second one; only the others are numbered.  Each step is a
+    column of its own, as a long expression used twice would be computed twice.  No array may hold a NULL by its type: Spark sorts
+    such arrays as numbers, others as objects.
     """
     s, f, r, b, o, p = (f"__{out}_{i}" for i in "sfrbop")
     srt, firsts, again, starts, occ = map(F.col, (s, f, r, b, o))
-    none = F.array().cast("array<long>")
-    kmers = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}}|\A.+))."), F.lit(1))
-    hashes = F.lit(((1 << HASH_BITS) - 1) << POS_BITS)
-    df = df.withColumn(s, F.sort_array(F.transform(kmers, lambda x, i: F.xxhash64(x).bitwiseAND(hashes).bitwiseOR(
-        i.cast("long").bitwiseAND(F.lit(LOW))))))
-    df = df.withColumn(f, F.concat(F.slice(srt, 1, 1), F.filter(
-        srt, lambda x, i: x.bitwiseXOR(F.get(srt, i - 1)) > LOW)))
-    df = df.withColumn(r, F.when(F.size(firsts) < F.size(srt), F.array_except(srt, firsts)).otherwise(none)).drop(s)
-    df = df.withColumn(b, F.when(F.size(again) > 0, F.concat(F.array(F.lit(0)), F.filter(
-        F.sequence(F.lit(0), F.size(again) - 1), lambda i: F.get(again, i).bitwiseXOR(F.get(again, i - 1)) > LOW)))
-        .otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(s, F.sort_array(packed))
+    df = df.withColumn(f, _held(srt, lambda a: F.concat(F.slice(a, 1, 1), F.filter(
+        a, lambda x, i: x.bitwiseXOR(F.get(a, i - 1)) > LOW))))
+    df = df.withColumn(r, F.when(F.size(firsts) < F.size(srt), F.array_except(srt, firsts)).otherwise(F.slice(srt, 1, 0))).drop(s)
+    # where the stretches of equal k-mers begin
+    df = df.withColumn(b, F.when(F.size(again) > 0, _held(again, lambda a: F.concat(F.array(F.lit(0)), F.filter(
+        F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i).bitwiseXOR(F.get(a, i - 1)) > LOW)))))
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(again)))
-    df = df.withColumn(o, F.when(F.size(again) > 0, F.flatten(F.transform(
-        F.zip_with(starts, ends, lambda x, y: y - x), lambda c: F.sequence(F.lit(1), c))))
-        .otherwise(F.array().cast("array<int>"))).drop(b)
-    numbered = F.when(F.size(again) > 0, F.sort_array(F.zip_with(again, occ, lambda x, c: _pack(
-        F.xxhash64(_hash_of(x), c), _pos_of(x))))).otherwise(none)
-    df = df.withColumn(s, numbered).drop(r, o)
+    df = df.withColumn(o, F.flatten(F.transform(
+        F.zip_with(starts, ends, lambda x, y: y - x), lambda c: F.sequence(F.lit(1), c)))).drop(b)
+    numbered = F.zip_with(again, occ, lambda x, c: F.coalesce(_pack(F.xxhash64(_hash_of(x), c), _pos_of(x)), F.lit(0).cast("long")))
+    df = df.withColumn(s, F.when(F.size(again) > 0, F.sort_array(numbered)).otherwise(again)).drop(r, o)
     df = df.withColumn(r, F.sort_array(F.concat(_two(firsts), _two(srt)))).drop(s, f)
     return _tuples(df.withColumn(p, _two(F.col(r))).drop(r), p, out)
 
 
+def with_text_signature(df: DataFrame, text: str, out: str, width: int = WIDTH) -> DataFrame:
+    """Add ``out``, the signature of a column of text."""
+    packed = f"__{out}_k"
+    own = kmers(F.col(text), F.char_length(text), F.lit(0), width)
+    return with_signature(df.withColumn(packed, own), packed, out).drop(packed)
+
+
 def _tuples(df: DataFrame, p: str, out: str) -> DataFrame:
     """``out`` from column ``p``, the k-mers selected of each part, which is dropped."""
     t = f"__{out}_t"
@@ -201,22 +185,26 @@ def with_next(docs: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
     return rows.withColumn("next_text", F.lead("text").over(order))
 
 
-def fingerprints(docs: DataFrame, k: int = K, width: int | None = None) -> DataFrame:
-    """Fingerprints of every text and of its edited text (see the module), with their likenesses; ``width``: over
-    the k-mers of so many code points at every code point, not over ``k`` runs.
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Fingerprints of every text and of its edited text (see the module), with their likenesses, over the k-mers of ``width`` code
+    points.
 
     The edited text keeps the first ``n_chars - floor(n_chars / 2)`` code points and ends with the first
     ``floor(n_chars / 2)`` (or all) of the next document in descending id order.
     """
-    rows = with_next(docs)
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
-                      F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    for text, sig in (("text", "sig"), ("edited", "edited_sig")):
-        rows = with_character_signature(rows, text, sig, width) if width else with_signature(rows, text, sig, k)
-    rows = rows.drop("text", "next_text", "edited")
+    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    n, half = F.col("n_chars"), F.floor(F.col("n_chars") / 2).cast("int")
+    head = (n - half).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), head), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
+    rows = rows.withColumn("edited", edited).drop("next_text").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = rows.withColumn("k", kmers(F.col("text"), n, F.lit(0), width)).drop("text")
+    # the k-mers that end in the kept part are the text's own
+    kept = F.greatest(head - (width - 1), F.lit(0))
+    rows = rows.withColumn("m", F.char_length("edited"))
+    own = F.when(F.col("m") >= width, kept).otherwise(F.lit(0))
+    rows = rows.withColumn("e", F.concat(F.slice("k", F.lit(1), own), kmers(F.col("edited"), F.col("m"), own, width))).drop("edited", "m")
+    rows = with_signature(rows, "k", "sig").drop("k")
+    rows = with_signature(rows, "e", "edited_sig").drop("e")
     order = Window.partitionBy("__bucket").orderBy("__guest", F.col("doc_id").desc_nulls_last())
     rows = rows.withColumn("next_sig", F.lead("sig").over(order))
     return rows.where("__guest = 0").select(

@@ -278,6 +278,12 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     nulls = docs.withColumn("doc_id", F.when(F.col("doc_id") == 0, F.col("doc_id")))
     assert sorted((r["doc_id"] is None, r["component_id"], r["kept"]) for r in near_duplicates(nulls).collect()) == [
         (False, 0, True), (True, 0, False)]
+    # one id with two texts: two documents
+    one = frame(spark, ["a b c d", "e f g h", "a b c d"]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 1).otherwise(5).cast("long"))
+    assert sorted((r["doc_id"], r["component_id"], r["kept"], r["first"]) for r in near_duplicates(one).collect()) == [
+        (1, 1, True, True), (1, 1, True, True), (5, 1, False, False)]
+    nobody = frame(spark, ["a b c d", "a b c d", ""]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [(r["component_id"], r["kept"]) for r in near_duplicates(nobody).collect()] == [(None, False)] * 3
 
 
 def test_shingles_do_not_depend_on_windows(monkeypatch):

@@ -16,8 +16,9 @@
 No list, group or number of partners is capped; a group's size only sets the number of its blocks.
 
 Defined results: text without words (or null, or empty) has no shingles and is linked with nothing; fewer words than the
-shingle size are one shingle; equal rows share a component; a null id takes its set's component and is not
-kept; an empty table gives no rows; other columns are ignored.
+shingle size are one shingle; equal rows share a component; a null id takes its set's component and is not ``kept``, and a
+component without any id has a null one; other texts under one id are documents of their own; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonality.llm.common import components, cut, drop_memo
+from tonality.session import is_small
 
 COORDS = 64
 SIGMAS = 5.0              # how far below its mean the number of matches may fall
@@ -154,8 +156,17 @@ def parts(texts: list, most: int = WINDOW) -> Iterator[slice]:
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
+def set_sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Two sums over the hashes of each set, 0 for an empty one."""
+    sums, full = np.zeros((2, len(begins) - 1), np.int64), np.flatnonzero(np.diff(begins))
+    if len(full):
+        for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            sums[k, full] = np.add.reduceat(_mix(values ^ np.uint64(salt)), begins[:-1][full]).view(np.int64)
+    return sums
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, sig`` of each document; the two sums identify its set."""
+    """``doc_id, th, n_shingles, set_a, set_b, sig`` of each document: a hash of its text, and two sums that identify its set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,21 +177,19 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 values, begins = shingle_sets(texts[part], width)
                 n = np.diff(begins)
                 full = np.flatnonzero(n)
-                sums, sig = np.zeros((2, len(n)), np.int64), [None] * len(n)
+                sums, sig = set_sums(values, begins), [None] * len(n)
                 if len(full):
                     at = begins[:-1][full]
-                    for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-                        sums[k, full] = np.add.reduceat(_mix(values ^ np.uint64(salt)), at).view(np.int64)
                     for i, row in zip(full.tolist(), minima(values, np.append(at, len(values))).view(np.int32), strict=True):
                         sig[i] = row
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.start, part.stop - part.start), pa.array(n, pa.int64()),
+                    [*[batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "th")], pa.array(n, pa.int64()),
                      pa.array(sums[0]), pa.array(sums[1]), pa.array(sig, pa.list_(pa.int32()))],
-                    schema=pa.schema([("doc_id", _ARROW[kind]), ("n_shingles", pa.int64()), ("set_a", pa.int64()),
+                    schema=pa.schema([("doc_id", _ARROW[kind]), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()),
                                       ("set_b", pa.int64()), ("sig", pa.list_(pa.int32()))]))
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        work, f"doc_id {kind}, n_shingles long, set_a long, set_b long, sig array<int>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text")).mapInArrow(
+        work, f"doc_id {kind}, th long, n_shingles long, set_a long, set_b long, sig array<int>")
 
 
 def candidate_groups(classes: DataFrame, matches: int) -> DataFrame:
@@ -249,24 +258,30 @@ def links_within(ids: np.ndarray, texts: list[bytes], side: np.ndarray, width: i
 
 
 def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
-    """``a, b``: confirmed links that connect the classes of each group."""
-    n_rows = groups.count()
+    """``a, b``: confirmed links that connect the classes of each group; ``groups`` has ``node, component`` and the document that
+    stands for the class, by its id, which may be NULL, and the hash ``th`` of its text.
+
+    Ids may be repeated with other texts: the hash tells which row is meant.
+    """
+    small = is_small(groups, BROADCAST_ROWS)
     # the documents' side is not shuffled while the classes fit a broadcast of known size
-    side = F.broadcast(groups) if n_rows <= BROADCAST_ROWS else groups
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(side, "node")
+    side = F.broadcast(groups) if small else groups
+    whole = docs.select(F.col("doc_id").alias("_id"), "text").withColumn("_th", F.xxhash64("text"))
+
+    def standing(side: DataFrame) -> DataFrame:
+        return whole.join(side, (whole["_th"] == side["th"]) & whole["_id"].eqNullSafe(side["doc_id"]))
+
+    rows = standing(side)
     sizes = rows.groupBy("component").agg(F.countDistinct("node").alias("n"), F.sum(F.octet_length("text")).alias("chars"))
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("chars") / BLOCK_CHARS),
                                                  F.lit(1)).cast("int").alias("blocks"))
     own = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    side = F.broadcast(own) if n_rows <= BROADCAST_ROWS else own
-    rows = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(side, "node")
+    rows = standing(F.broadcast(own) if small else own).withColumn("text", F.col("text").cast("binary"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = rows.select("component", "node", "text", "block", other.alias("other")).select(
         "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "text")
     keys = ["component", "low", "high"]
     dealt = pairs.repartition(*keys).sortWithinPartitions(*keys, "node")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(group: pd.DataFrame) -> list[tuple]:
             group = group.drop_duplicates("node")
@@ -294,22 +309,37 @@ def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, matches:
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.mapInPandas(work, f"a {kind}, b {kind}")
+    return dealt.mapInPandas(work, "a long, b long")
+
+
+def first_of(*more: str) -> Column:
+    """The row with the smallest id, rows without one last, then by the hash of its text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th", *more))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: texts with a Jaccard similarity of ``percent`` or more are linked."""
+    """``doc_id, n_shingles, component_id, kept``: texts with a Jaccard similarity of ``percent`` or more are linked.
+
+    Further columns: ``th``, a hash of the text, and ``first``, whether the row is the one of its component that stays where one of
+    each is kept (rows equal in id and text are equal in it; a document without words always is).
+    """
     matches = least_matches(percent)
     rows = cut(signatures(docs, width))
     keys = ["n_shingles", "set_a", "set_b"]
-    classes = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*keys)
-                  .agg(F.min("doc_id").alias("class"), F.first("sig").alias("sig")))
-    groups = cut(candidate_groups(classes.select("class", "sig"), matches))
+    # equal sets are one class under a number of its own, as ids may be missing or repeated
+    classes = cut(rows.where("n_shingles > 0").groupBy(*keys).agg(first_of().alias("own"), F.first("sig").alias("sig"))
+                  .withColumn("class", F.monotonically_increasing_id()))
+    found = cut(candidate_groups(classes.select("class", "sig"), matches))
+    groups = cut(found.join(classes.select(F.col("class").alias("node"), "own.doc_id", "own.th"), "node"))
     edges = cut(links(docs, groups, width, percent, matches))
-    found = components(edges).select(F.col("node").alias("class"), "component")
-    named = classes.drop("sig").join(found, "class", "left").select(
-        *keys, F.coalesce("component", "class").alias("component_id"))
-    joined = rows.drop("sig").join(named, keys, "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    joined = components(edges).select(F.col("node").alias("class"), "component")
+    named = cut(classes.drop("sig").join(joined, "class", "left").select(
+        *keys, F.coalesce("component", "class").alias("component"), "own.*"))
+    least = named.groupBy("component").agg(first_of().alias("least"))
+    known = named.drop("doc_id", "th", "nameless").join(least, "component")
+    out = rows.drop("sig").join(known.drop("component"), keys, "left")
+    empty, stays = F.col("n_shingles") == 0, F.col("least")
+    component = F.when(empty, F.col("doc_id")).otherwise(stays["doc_id"])
+    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "th",
+                      (empty | (F.col("doc_id").eqNullSafe(stays["doc_id"]) & (F.col("th") == stays["th"]))).alias("first"))

@@ -30,7 +30,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on three-word shingles from a similarity of 0.85."""
     from tonality.llm.minhash import near_duplicates
 
-    return near_duplicates(_docs(spark, sf_dir), width=3, percent=85)
+    return near_duplicates(_docs(spark, sf_dir), width=3, percent=85).drop("th", "first")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

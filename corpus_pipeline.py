@@ -28,19 +28,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; documents without an id pass, as groups are named by ids."""
+    """One document of each group of near-duplicates, and all documents without words, which are nobody's duplicates.
+
+    A document is known by its id, which may be missing or repeated, and its text.
+    """
     from pyspark.sql import functions as F
 
     from tonality.llm.common import cut
     from tonality.llm.minhash import BROADCAST_ROWS, near_duplicates
-
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = cut(near_duplicates(named, SHINGLE, SIMILARITY).where("kept").select("doc_id"))
-    n, ids = kept.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    # texts are shuffled only for more ids than may be broadcast, or where rows are repeated
-    rows = named.join(F.broadcast(kept) if n <= BROADCAST_ROWS else kept, "doc_id", "left_semi")
-    rows = rows if n == ids else rows.dropDuplicates(["doc_id"])
-    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    from tonality.session import is_small
+
+    marked = near_duplicates(docs, SHINGLE, SIMILARITY).where("first AND n_shingles > 0")
+    kept = cut(marked.select(F.col("doc_id").alias("_id"), F.col("th").alias("_kept")))
+    n, documents = kept.agg(F.count(F.lit(1)), F.count_distinct(F.struct("_id", "_kept"))).first()
+    hashed = docs.withColumn("_th", F.xxhash64("text"))
+    # texts are shuffled only for more documents than may be broadcast, or where rows are repeated
+    side = F.broadcast(kept) if is_small(kept, BROADCAST_ROWS) else kept
+    rows = hashed.join(side, (hashed["_th"] == side["_kept"]) & hashed["doc_id"].eqNullSafe(side["_id"]), "left_semi")
+    rows = rows if n == documents else rows.dropDuplicates(["doc_id", "_th"])
+    without = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rows.where(~without).select(*docs.columns).unionByName(docs.where(without))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

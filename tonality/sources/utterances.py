@@ -31,9 +31,9 @@ CSV_READ_OPTIONS = {
 DEFAULT_EPISODE_PATTERN = r"(?:^|/)HPE(\d+)\.[^./]+(?:/part-[^/]*)?$"
 
 
-def episode_from_path(pattern: str = DEFAULT_EPISODE_PATTERN) -> Column:
-    """The episode in the path of a row's file; a path without one fails the job."""
-    path = F.col("_file")
+def episode_from_path(pattern: str = DEFAULT_EPISODE_PATTERN, path: Column | None = None) -> Column:
+    """The episode in the path of a row's file (by default that of its scan); a path without one fails the job."""
+    path = F.col("_metadata.file_path") if path is None else path
     found = F.regexp_extract(path, pattern, 1)
     return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no episode in the path "), path)))
 
@@ -70,7 +70,7 @@ def read_utterances(spark: SparkSession, path: str | list[str], fmt: str = "csv"
     if "Episode" not in df.columns:
         if episode_pattern is None:
             raise ValueError("no Episode column and no episode_pattern")
-        df = df.withColumn("Episode", episode_from_path(episode_pattern))
+        df = df.withColumn("Episode", episode_from_path(episode_pattern, F.col("_file")))
     return df.select(F.col("Episode").cast("string").alias("Episode"), *[c for c in df.columns if c not in ("Episode", "_file")])
 
 

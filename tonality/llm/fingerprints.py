@@ -56,21 +56,23 @@ def _held(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _two(a: Column) -> Column:
     """The two smallest of each part of an ascending array."""
-    part = F.lit(-1 << (POS_BITS + HASH_BITS - PARTS_BITS))
-    return _held(a, lambda a: F.concat(F.slice(a, 1, 2), F.filter(
-        a, lambda x, i: x.bitwiseXOR(F.get(a, i - 2)).bitwiseAND(part) != 0)))
+    below = F.lit((1 << (POS_BITS + HASH_BITS - PARTS_BITS)) - 1)  # longs of one part differ in lower bits only
+    return _held(a, lambda a: F.concat(F.slice(a, 1, 2), F.filter(a, lambda x, i: x.bitwiseXOR(F.get(a, i - 2)) > below)))
 
 
 def kmers(text: Column, n_chars: Column, first: Column, width: int = WIDTH) -> Column:
     """The k-mers from place ``first`` (from 0) on, each as its hash and place in one long."""
     last = F.when(n_chars == 0, -1).otherwise(F.greatest(n_chars - width, F.lit(0))).cast("int")
     start = first.cast("int")
-    at = F.slice(F.sequence(start, F.greatest(start, last)), F.lit(1), F.greatest(last - start + 1, F.lit(0)))
+    # four bytes for each code point: where the k-mers start in the bytes, from 1
+    at = F.slice(F.sequence(start * 4 + 1, F.greatest(start, last) * 4 + 1, F.lit(4)), F.lit(1), F.greatest(last - start + 1, F.lit(0)))
 
     def of(utf32: Column) -> Column:
-        # four bytes for each code point: a slice's start is known
-        return F.transform(at, lambda i: F.xxhash64(F.substring(utf32, i * 4 + 1, F.lit(4 * width))).bitwiseAND(F.lit(HIGH)).bitwiseOR(
-            i.cast("long").bitwiseAND(F.lit(LOW))))
+        def packed(place: Callable[[Column], Column]) -> Column:
+            return F.transform(at, lambda j: F.xxhash64(F.substring(utf32, j, F.lit(4 * width))).bitwiseAND(F.lit(HIGH))
+                               .bitwiseOR(place(F.shiftright(j, 2).cast("long"))))
+
+        return F.when(n_chars <= LOW, packed(lambda i: i)).otherwise(packed(lambda i: i.bitwiseAND(F.lit(LOW))))
 
     return _held(F.encode(text, "UTF-32"), of)
 

@@ -464,6 +464,21 @@ def test_language_of_edge_cases_and_words(spark):
     assert crf.classify(edge.where("false")).count() == 0
 
 
+def test_language_fits_on_whole_texts(spark, monkeypatch):
+    """Words after the first few thousand teach too, a language whose texts are all long is learned, and refits agree."""
+    from tonality.llm import crf
+    filler = "12345 " * 2500
+    rows = [(i, (filler if i % 2 else "") + " ".join(["sol mar luz", "bok hus tre"][i % 2].split() * 4), ["aa", "bb"][i % 2])
+            for i in range(1, 121)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    monkeypatch.setattr(crf, "SAMPLE_CHARS", 10_000)
+    model = crf.fit(docs)
+    assert model.langs == ["aa", "bb"] and model.key == crf.fit(docs.repartition(3)).key
+    asked = spark.createDataFrame([(1, "hus bok tre"), (2, "luz sol"), (3, filler + "hus tre")], "doc_id long, text string")
+    got = {r["doc_id"]: r["r"]["lang_pred"] for r in asked.select("doc_id", crf.identify(asked, model).alias("r")).collect()}
+    assert got == {1: "bb", 2: "aa", 3: "bb"}
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 

@@ -5,9 +5,10 @@ stands; transitions between the languages of neighbouring words are learned too.
 ``CHAIN`` words gives each word's distribution, so that code-switched text gets its languages word by word; a
 document's language is the one with the largest mean over its words with letters, and that mean is its score.
 
-Learning uses a sample of about ``SAMPLE_DOCS`` documents of each language (repeated rows once) and at most ``SAMPLE_WORDS``
-words and ``SAMPLE_CHARS`` characters of each (bounds for fitting only; whole texts are labelled).  Half of the sample makes the lexicons, the other half the training chains, in
-which stretches of documents in different languages alternate.  All chains of a batch are worked through together.
+Learning uses a sample of about ``SAMPLE_DOCS`` documents of each language (repeated rows once), each with its whole text.  The
+sample is taken among texts of at most ``SAMPLE_CHARS`` characters, among all texts of a language that has none so short (bounds for
+fitting only; every text is labelled whole).  Half of the sample makes the lexicons, the other half the training chains, in which
+stretches of documents in different languages alternate.  All chains of a batch are worked through together.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; without any labelled rows everything
 is ``und``; repeated rows are labelled each; an empty table gives no rows.
@@ -32,7 +33,6 @@ from tonality.llm.common import worker_memo
 CHAIN = 64
 BUCKETS = 1 << 17
 SAMPLE_DOCS = 300
-SAMPLE_WORDS = 2000
 SAMPLE_CHARS = 128_000
 ROUNDS = 30
 STEP = 0.5
@@ -190,7 +190,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     if not k:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), np.zeros((0, 0)), {}, "none")
     order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode()), texts[i], langs[i]))
-    docs = [([core(c) for c in texts[i].split()[:SAMPLE_WORDS]], names.index(langs[i])) for i in order]
+    docs = [([core(c) for c in texts[i].split()], names.index(langs[i])) for i in order]
     seen: dict[str, Counter] = {}
     for words, lang in docs[::2]:
         for w in words:
@@ -269,14 +269,20 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of documents outside the held-out fold."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
+    short = F.char_length("text") <= SAMPLE_CHARS
+    # one row per language
+    counts = {r["lang"]: (r["n"], r["n_short"]) for r in known.groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if(short).alias("n_short")).collect()}
     if not counts:
         return train([], [])
     span = 1 << 30
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(span, span * per_language // n + 1))))
-    rows = (known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share[F.col("lang")])
-            .select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-            .distinct().limit(2 * per_language * len(counts) + 100).collect())  # repeated rows count once
+    share = F.create_map(*(F.lit(x) for lang, (n, n_short) in counts.items()
+                           for x in (lang, min(span, span * per_language // (n_short or n) + 1))))
+    only_long = [lang for lang, (_, n_short) in counts.items() if not n_short]
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))
+    rows = (known.where(short | F.col("lang").isin(only_long)).select("doc_id", "lang", "text", place.alias("place"))
+            .where(F.col("place") < share[F.col("lang")]).distinct()  # repeated rows count once
+            .orderBy("place", "doc_id", "lang", "text").limit(2 * per_language * len(counts) + 100).collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

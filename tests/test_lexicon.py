@@ -187,3 +187,76 @@ def test_lookup_is_a_hash_table(spark):
     assert got == {**rows, "none": None, "": None, None: None}
     plan = df.select(find(df["w"]).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan  # folded once, not parsed for each row
+
+
+IDIOMS = [("good day", 3.0), ("kind of day", -1.5), ("so so", -2.0), ("day at day", 2.0)]
+
+
+def idiom_texts(n, seed):
+    import random
+    rng = random.Random(seed)
+    words = ["good", "bad", "day", "at", "so", "kind", "of", "very", "not", "sort"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(10))) for _ in range(n)]
+
+
+def with_idioms(spark, idioms=None):
+    from tonality.sources.wordlists import idiom_df
+    boosters = booster_df(spark, [("very", 0.293), ("sort of", -0.293)])
+    return L.Rules(lexicon_from_rows(spark, LEX), boosters, negator_df(spark, ["not"]), None, ("but",), idioms or idiom_df(spark, IDIOMS))
+
+
+def test_idioms_against_a_plain_version(spark):
+    lex, idioms = dict(LEX), dict(IDIOMS)
+
+    def plain(items):
+        out = []
+        for i, t in enumerate(items):
+            if t not in lex or (t == "kind" and items[i + 1:i + 2] == ["of"]):
+                continue
+            v = lex[t]
+            for d in (1, 2, 3):
+                if i < d or items[i - d] in lex:
+                    continue
+                if items[i - d] == "very":
+                    v += (0.293 if v >= 0 else -0.293) * (1, 0.95, 0.9)[d - 1]
+                if items[i - d] == "not":
+                    v *= -0.74
+                if d == 3:
+                    for a, b in ((i - 1, i), (i - 2, i), (i - 2, i - 1), (i - 3, i - 1), (i - 3, i - 2)):
+                        if " ".join(items[a:b + 1]) in idioms:
+                            v = idioms[" ".join(items[a:b + 1])]
+                            break
+                    for n in (2, 3):
+                        v = idioms.get(" ".join(items[i:i + n]), v)
+                    if "sort of" in (" ".join(items[i - 3:i - 1]), " ".join(items[i - 2:i])):
+                        v -= 0.293
+            out.append((i, round(v, 9)))
+        return out
+
+    texts = idiom_texts(400, 3)
+    df = spark.createDataFrame([("1", i, t) for i, t in enumerate(texts)], "Episode string, SentenceIndex long, CleanText string")
+    got = {}
+    for r in L.lexicon_items(df, with_idioms(spark), steps=("modify",)).collect():
+        got.setdefault(r["SentenceIndex"], []).append((r["pos"], round(r["v"], 9)))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == plain(t.split()), t
+    without = L.Rules(lexicon_from_rows(spark, LEX), booster_df(spark, [("very", 0.293)]), negator_df(spark, ["not"]))
+    assert L.lexicon_scores(df, with_idioms(spark)).exceptAll(L.lexicon_scores(df, without)).count() > 0
+
+
+def test_idioms_beyond_the_inline_bound_are_joined(spark):
+    from tonality.sources.wordlists import idiom_df
+    texts = [*idiom_texts(60, 4), "", None, "day day day good", "DAY so so GOOD day"]
+    df = spark.createDataFrame([("1", i % 3, t) for i, t in enumerate(texts)], "Episode string, SentenceIndex long, CleanText string")
+    more = spark.range(L.INLINE_MAX_WORDS + 1).selectExpr("concat('other ', id) AS phrase", "0.5D AS valence")
+    few, many = with_idioms(spark), with_idioms(spark, idiom_df(spark, IDIOMS).unionByName(more))
+    for fn in (L.lexicon_scores, L.lexicon_items):
+        assert sorted(map(repr, fn(df, many).collect())) == sorted(map(repr, fn(df, few).collect()))
+
+
+def test_idiom_table_with_nulls_repeats_and_no_rows(spark):
+    from tonality.sources.wordlists import idiom_df
+    rows = [("Good  DAY ", 3.0), ("good day", 1.0), (None, 2.0), ("so so", None), ("a phrase of many words", 4.0)]
+    df = spark.createDataFrame([("1", 0, "day at day good day")], "Episode string, SentenceIndex long, CleanText string")
+    assert L.lexicon_scores(df, with_idioms(spark, idiom_df(spark, rows))).first().lex_compound == comp(3.0)
+    assert L.lexicon_scores(df, with_idioms(spark, idiom_df(spark, []))).first().lex_compound == comp(1.8)

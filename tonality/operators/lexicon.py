@@ -6,6 +6,7 @@ capital-letter emphasis), computed inside each row.
 2. ``_tags``: every item gets its lexicon valence, its booster's delta and whether it negates, as three arrays beside the items.
    Tables of proven small size are hash tables inside an expression (``functions.lookup``); if one of them is larger, all three
    are put into one table and joined once on the exploded items of numbered rows.  Both give the same tags.
+   With a table of idioms, ``_phrases`` tags every place with the valence of the two or three items that start there.
 3. ``_chain``: the rules run over the lexicon items, one ``transform`` for each rule, and look at an item's neighbours by their
    places.  A text without any modifier skips them.
 4. ``lexicon_scores`` folds the items' valences.  No shuffle, and rows with equal keys stay apart, so that every
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tonality.functions.labels import major_sentiment
 from tonality.functions.lookup import hashed_lookup
 from tonality.functions.text import ASCII_PUNCT_CLASS
-from tonality.resources import (BOOST_DISTANCE_DAMP, BUT_AFTER, BUT_BEFORE, CAPS_INCREMENT,
+from tonality.resources import (BOOST_DISTANCE_DAMP, BOOST_INCREMENT, BUT_AFTER, BUT_BEFORE, CAPS_INCREMENT,
                                 COMPOUND_ALPHA, CONTRAST_WORDS, EXCLAIM_MAX, EXCLAIM_WEIGHT, NEGATION_MARK,
                                 NEGATION_SCALAR, NEVER_SO_SCALAR, QUESTION_CAP, QUESTION_WEIGHT)
 from tonality.session import is_small, materialize
@@ -41,14 +42,18 @@ Rule = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Rules:
-    """What the scorer knows: ``lexicon(token, valence)``, ``boosters(token, delta)``, ``negators(token)``, contrast words
-    and an optional rule for words that the lexicon lacks."""
+    """What the scorer knows: ``lexicon(token, valence)``, ``boosters(token, delta)``, ``negators(token)``, contrast words,
+    an optional rule for words that the lexicon lacks, and optional ``idioms(phrase, valence)``.
+
+    Idioms are phrases of two or three items.  With idioms given, boosters of two words dampen the item after them.
+    """
 
     lexicon: DataFrame | None
     boosters: DataFrame
     negators: DataFrame
     rule: Rule | None = None
     contrast: tuple[str, ...] = CONTRAST_WORDS
+    idioms: DataFrame | None = None
 
 
 def generated_valence(token: Column) -> Column:
@@ -120,17 +125,59 @@ def _tagged(df: DataFrame, lexicon: DataFrame | None, boosters: DataFrame, negat
     words = known.groupBy("_t").agg(F.struct(F.max("v").alias("v"), F.max("b").alias("b"), F.max("g").alias("g")).alias("_k"))
     rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change again
     low = F.transform(sentiment_items(F.col(text_col)), lambda w: F.lower(w))
-    hits = (rows.select("_row", F.posexplode(low).alias("_p", "_t")).join(words, "_t").groupBy("_row")
-            .agg(F.sort_array(F.collect_list(F.struct("_p", "_k"))).alias("_h")))
-    # the places between two hits are filled with NULL
-    none = F.lit(None).cast("struct<v:double,b:double,g:boolean>")
-    gap = lambda h, i: h["_p"] - F.coalesce(F.get("_h", i - 1)["_p"], F.lit(-1)) - 1
-    dense = F.flatten(F.transform("_h", lambda h, i: F.concat(F.array_repeat(none, gap(h, i)), F.array(h["_k"]))))
-    out = rows.join(hits.select("_row", dense.alias("_tags")), "_row", "left").drop("_row")
+    out = _placed(rows, rows.select("_row", F.posexplode(low).alias("_p", "_t")).join(words, "_t"),
+                  "struct<v:double,b:double,g:boolean>", "_tags")
     tags = F.col("_tags")
     return out, lambda low: (tags["v"], tags["b"], F.transform(low, lambda t, i: F.coalesce(F.get(tags["g"], i), F.lit(False)) | _marked(t)))
 
 
+def _placed(rows: DataFrame, hits: DataFrame, kind: str, name: str) -> DataFrame:
+    """Numbered ``rows`` with an array ``name`` of the ``hits`` (``_row, _p, _k``) by their places, NULL between them."""
+    listed = hits.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_p", "_k"))).alias("_h"))
+    none = F.lit(None).cast(kind)
+    gap = lambda h, i: h["_p"] - F.coalesce(F.get("_h", i - 1)["_p"], F.lit(-1)) - 1
+    dense = F.flatten(F.transform("_h", lambda h, i: F.concat(F.array_repeat(none, gap(h, i)), F.array(h["_k"]))))
+    return rows.join(listed.select("_row", dense.alias(name)), "_row", "left").drop("_row")
+
+
+def _gram(low: Column, i: Column, t: Column, n: int) -> Column:
+    """The ``n`` items from place ``i`` on, NULL where the text ends before."""
+    return F.concat(t, *[x for k in range(1, n) for x in (F.lit(" "), F.get(low, i + k))])
+
+
+def _phrases(df: DataFrame, rules: Rules, text_col: str) -> tuple[DataFrame, Tags | None]:
+    """``df``, with a column for the phrases where a table is not proven small, and for the items of a text the valences of
+    the two and of the three items that start at each place, and whether two of them are a booster."""
+    if rules.idioms is None:
+        return df, None
+    plain = F.array_join(F.split(F.trim(F.col("phrase")), SPLIT_BLANKS), " ")
+    idioms = rules.idioms.select(plain.alias("token"), "valence")
+    damps = rules.boosters.select(F.col("token").alias("phrase"), "delta").select(plain.alias("token"), "delta").where("token LIKE '% %'")
+    known, steps = _small_rows(idioms, "valence"), _small_rows(damps, "delta")
+    if known is not None and steps is not None:
+        valence, delta = hashed_lookup(known), hashed_lookup(steps)
+        return df, lambda low: (F.transform(low, lambda t, i: valence(_gram(low, i, t, 2))),
+                                F.transform(low, lambda t, i: valence(_gram(low, i, t, 3))),
+                                F.transform(low, lambda t, i: delta(_gram(low, i, t, 2)).isNotNull()))
+    none = F.lit(None)
+    table = (idioms.select(F.lower("token").alias("_t"), F.col("valence").cast("double").alias("v"), none.cast("boolean").alias("d"))
+             .unionByName(damps.where("delta IS NOT NULL").select(F.lower("token").alias("_t"), none.cast("double").alias("v"), F.lit(True).alias("d")))
+             .where("_t IS NOT NULL").groupBy("_t").agg(F.max("v").alias("v"), F.max("d").alias("d")))
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change again
+    low = F.transform(sentiment_items(F.col(text_col)), lambda w: F.lower(w))
+
+    def grams(x: Column, n: int) -> Column:
+        return F.transform(x, lambda t, i: F.struct(i.alias("_p"), F.lit(n).alias("n"), _gram(x, i, t, n).alias("_t")))
+
+    two, three = F.col("n") == 2, F.col("n") == 3
+    hits = (rows.select("_row", F.explode(let(low, lambda x: F.concat(grams(x, 2), grams(x, 3)))).alias("g")).select("_row", "g.*").join(table, "_t").groupBy("_row", "_p")
+            .agg(F.struct(F.max(F.when(two, F.col("v"))).alias("p2"), F.max(F.when(three, F.col("v"))).alias("p3"),
+                          F.max(F.when(two, F.col("d"))).alias("d2")).alias("_k")))
+    out = _placed(rows, hits, "struct<p2:double,p3:double,d2:boolean>", "_phrases")
+    at = F.col("_phrases")
+    return out, lambda low: (at["p2"], at["p3"], F.transform(low, lambda t, i: F.coalesce(F.get(at["d2"], i), F.lit(False))))
+
+
 def _tags(df: DataFrame, rules: Rules, text_col: str) -> tuple[DataFrame, Tags]:
     """``df``, with a column for the tags where a table is not proven small, and the tags of a text's items."""
     valences = _small_rows(rules.lexicon, "valence") if rules.lexicon is not None else {}
@@ -146,8 +193,8 @@ def _tags(df: DataFrame, rules: Rules, text_col: str) -> tuple[DataFrame, Tags]:
     return df, lambda low: (F.transform(low, valence), F.transform(low, delta), F.transform(low, negates))
 
 
-def _sentence(text: Column, rules: Rules, tags: Tags) -> Column:
-    """``struct<items, low, val, boost, neg, n, emph, but, capdiff>`` of a text."""
+def _sentence(text: Column, rules: Rules, tags: Tags, phrases: Tags | None) -> Column:
+    """``struct<items, low, val, boost, neg, n, emph, but, capdiff>`` of a text, and ``p2, p3, d2`` with idioms."""
     # the capital-letter rules need a mix of all-caps and other items; a text without upper-case letters (all
     # cleaned text) skips the test of each item
     has_upper = F.coalesce(text.rlike("[A-Z]"), F.lit(False))
@@ -157,7 +204,8 @@ def _sentence(text: Column, rules: Rules, tags: Tags) -> Column:
         first = F.least(*places) if len(places) > 1 else places[0] if places else F.lit(None).cast("long")
         mixed = F.exists(x["items"], _is_upper) & F.exists(x["items"], lambda w: ~_is_upper(w))
         val, boost, neg = tags(x["low"])
-        return F.struct(x["items"].alias("items"), x["low"].alias("low"), val.alias("val"), boost.alias("boost"), neg.alias("neg"),
+        named = [c.alias(k) for k, c in zip(("p2", "p3", "d2"), phrases(x["low"]))] if phrases else []
+        return F.struct(*named, x["items"].alias("items"), x["low"].alias("low"), val.alias("val"), boost.alias("boost"), neg.alias("neg"),
                         F.size(x["items"]).alias("n"), x["emph"].alias("emph"), F.coalesce(first, F.lit(0)).alias("but"),
                         F.when(x["upper"], mixed).otherwise(F.lit(False)).alias("capdiff"))
 
@@ -221,14 +269,26 @@ def _chain(rules: Rules, steps: Sequence[str]) -> Callable[[Column], Column]:
         return F.when(F.coalesce(F.get(x["low"], i) == "least", F.lit(False)) & free(x, i)
                       & ~F.coalesce(F.get(x["low"], i - 1).isin("at", "very"), F.lit(False)), v * NEGATION_SCALAR).otherwise(v)
 
+    def idiom(x: Column, e: Column, v: Column) -> Column:
+        """A phrase that holds the item or ends before it gives its valence, one that starts with the item before all others;
+        a booster of two words before the item dampens.  As published, only if a third predecessor could modify."""
+        at = lambda name, k: F.get(x[name], e["pos"] + k)
+        said = F.coalesce(at("p3", 0), at("p2", 0), at("p2", -1), at("p3", -2), at("p2", -2), at("p3", -3), at("p2", -3), v)
+        damped = F.coalesce(at("d2", -3), F.lit(False)) | F.coalesce(at("d2", -2), F.lit(False))
+        return F.when(free(x, e["pos"] - 3), F.when(damped, said - BOOST_INCREMENT).otherwise(said)).otherwise(v)
+
+    idioms = [idiom] if rules.idioms is not None else []
     modifiers: list[Rule3] = []
     for step in steps:
         modifiers += {"boost": [boosted(d) for d in (1, 2, 3)], "negate": [negated(d) for d in (1, 2, 3)],
-                      "modify": [f(d) for d in (1, 2, 3) for f in (boosted, negated)] + [least], "contrast": []}[step]
+                      "modify": [f(d) for d in (1, 2, 3) for f in (boosted, negated)] + idioms + [least], "contrast": []}[step]
 
     def run(x: Column) -> Column:
         any_modifier = (F.exists(x["boost"], lambda b: b.isNotNull()) | F.exists(x["neg"], lambda g: g)
                         | F.exists(x["low"], lambda t: t.isin("least", "never")))
+        if idioms:
+            any_modifier = (F.coalesce(any_modifier, F.lit(False)) | F.exists(x["d2"], lambda d: d)
+                            | F.coalesce(F.exists(x["p2"], lambda p: p.isNotNull()) | F.exists(x["p3"], lambda p: p.isNotNull()), F.lit(False)))
 
         def modified(out: Column) -> Column:
             whole = out
@@ -256,8 +316,9 @@ def lexicon_items(df: DataFrame, rules: Rules, text_col: str = "CleanText", keys
                   steps: Sequence[str] = ("modify", "contrast")) -> DataFrame:
     """One row for each lexicon item: ``keys, pos, t, tl, cap_diff, factor, v0, v_caps, v``."""
     df, tags = _tags(df, rules, text_col)
+    df, phrases = _phrases(df, rules, text_col)
     run = _chain(rules, steps)
-    out = df.select(*keys, F.explode(let(_sentence(F.col(text_col), rules, tags), run)).alias("x"))
+    out = df.select(*keys, F.explode(let(_sentence(F.col(text_col), rules, tags, phrases), run)).alias("x"))
     return out.select(*keys, *[F.col(f"x.e.{c}").alias(c) for c in ("pos", "t", "tl", "cap_diff", "factor", "v0", "v_caps")],
                       F.col("x.v").alias("v"))
 
@@ -269,6 +330,7 @@ def lexicon_scores(df: DataFrame, rules: Rules, text_col: str = "CleanText", neu
     """
     columns = df.columns
     df, tags = _tags(df, rules, text_col)
+    df, phrases = _phrases(df, rules, text_col)
     run = _chain(rules, ("modify", "contrast"))
     start = F.struct(*[F.lit(0.0).alias(x) for x in ("s", "ps", "ns")], *[F.lit(0).alias(x) for x in ("np", "nn")])
 
@@ -306,5 +368,5 @@ def lexicon_scores(df: DataFrame, rules: Rules, text_col: str = "CleanText", neu
         return F.struct(*[a[c].alias(c) for c in SCORE_COLS],
                         major_sentiment(a["lex_pos"], a["lex_neu"], a["lex_neg"]).alias("lex_label"))
 
-    out = df.withColumn("_lex", let(let(_sentence(F.col(text_col), rules, tags), score), labelled))
+    out = df.withColumn("_lex", let(let(_sentence(F.col(text_col), rules, tags, phrases), score), labelled))
     return out.select(*columns, *[F.col(f"_lex.{c}").alias(c) for c in (*SCORE_COLS, "lex_label")])

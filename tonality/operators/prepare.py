@@ -7,9 +7,9 @@ space; what the scorers and word statistics read) and optionally ``Tokens``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonality.functions.text import clean_text, tokenize
@@ -19,9 +19,10 @@ from tonality.operators.stopwords import remove_stopwords
 
 def prepare_utterances(utt: DataFrame, characters: DataFrame,
                        stopwords: DataFrame | Iterable[str], keep_tokens: bool = False,
-                       strict: bool = False) -> DataFrame:
+                       strict: bool = False, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """``tokens`` cuts cleaned text: ``tokenize``, or ``functions.treebank.treebank_tokens`` for the Treebank convention."""
     decoded = decode_character(utt, characters, strict=strict)
-    tokens = decoded.withColumn("Tokens", tokenize(clean_text("Text")))
-    kept = remove_stopwords(tokens, stopwords, "Tokens")
+    cut = decoded.withColumn("Tokens", tokens(clean_text("Text")))
+    kept = remove_stopwords(cut, stopwords, "Tokens")
     out = kept.withColumn("CleanText", F.array_join("Tokens", " "))
     return out if keep_tokens else out.drop("Tokens")

@@ -14,12 +14,15 @@ from tonality.plans.pipeline import Scoring, scored_table
 from tonality.resources import BOOST_INCREMENT, BOOSTERS, CONTRAST_WORDS, NEGATORS, default_stopword_list
 from tonality.sources.dimensions import characters_df, episodes_df
 from tonality.sources.utterances import utterances_from_table
-from tonality.sources.wordlists import booster_df, lexicon_from_rows, negator_df
+from tonality.sources.wordlists import booster_df, idiom_df, lexicon_from_rows, negator_df
 
 # The prose of the tables is invented; its commonest small words stand in for modifiers, so that every rule fires.
 BOUND_BOOSTERS = [*BOOSTERS, ("of", BOOST_INCREMENT), ("with", -BOOST_INCREMENT), ("de", BOOST_INCREMENT)]
 BOUND_NEGATORS = [*NEGATORS, "for", "by", "que"]
 BOUND_CONTRAST = (*CONTRAST_WORDS, "from", "und")
+# Common phrases of the tables, as idioms and as boosters of two words.
+BOUND_IDIOMS = [("of the", 3.0), ("the and", -2.0), ("the the the", 1.5), ("de la", 2.5), ("and the of", -1.5), ("the to", -3.0)]
+BOUND_PHRASES = [("is the", -BOOST_INCREMENT), ("and and", BOOST_INCREMENT)]
 # Stopword list B: words in at least one of so many turns of ``conversations``.
 COMMON_SHARE = 20
 # Setting with which a caller deals out tables of too few file splits (bench.py).
@@ -58,6 +61,10 @@ class Inputs:
         return Rules(lexicon_from_rows(self.spark), booster_df(self.spark, BOUND_BOOSTERS),
                      negator_df(self.spark, BOUND_NEGATORS), generated_valence, BOUND_CONTRAST)
 
+    def rules_with_idioms(self) -> Rules:
+        return Rules(lexicon_from_rows(self.spark), booster_df(self.spark, [*BOUND_BOOSTERS, *BOUND_PHRASES]),
+                     negator_df(self.spark, BOUND_NEGATORS), generated_valence, BOUND_CONTRAST, idiom_df(self.spark, BOUND_IDIOMS))
+
     def scoring(self, **kw) -> Scoring:
         return Scoring(self.rules(), **kw)
 

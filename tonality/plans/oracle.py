@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from tonality.functions.text import (ASCII_PUNCT_CLASS, EMOJI_PATTERN, TOKEN_PATTERN, UNFOLDED_PATTERN,
                                      WORD_PATTERN, fold_tables)
-from tonality.plans.context import BOUND_BOOSTERS, BOUND_CONTRAST, BOUND_NEGATORS, COMMON_SHARE
+from tonality.plans.context import (BOUND_BOOSTERS, BOUND_CONTRAST, BOUND_IDIOMS, BOUND_NEGATORS,
+                                    BOUND_PHRASES, COMMON_SHARE)
 from tonality.resources import CHARACTERS, EPISODES, default_stopword_list
 
 ORACLE: dict[str, str] = {}
@@ -70,6 +71,22 @@ def sql_tokens(x: str) -> str:
     return f"regexp_extract_all({split}, {lit(TOKEN_PATTERN)})"
 
 
+def sql_treebank(x: str) -> str:
+    """Blanks around the tokens, one replacement after the other; a dot that stays is chr(1) meanwhile."""
+    steps = [
+        (r"(^|[\s(\[{<])(?:\"|'')", r"\1``"), (r'"', "''"),
+        (r"(^|[^a-z0-9_.])(mr|mrs|ms|dr|st|vs|prof|jr|sr|etc|e\.g|i\.e)\.([^.]|$)", "\\1\\2\x01\\3"),
+        (r"(\.{2,})", r" \1 "), (r"([^.\s])\.([\])}>']*)(\s|$)", r"\1 . \2\3"),
+        (r"([;@#$%&?!*\[\](){}<>]|``|'')", r" \1 "),
+        (r"([:,])([^0-9]|$)", r" \1 \2"), (r"([:,])([^0-9]|$)", r" \1 \2"),
+        (r"(n't|'(?:s|m|d|ll|re|ve))([^\w']|$)", r" \1\2"), (r"([^'\s])'([^'\w]|$)", r"\1 ' \2"),
+        (r"(^|[^\w'])(can|gim|gon|got|lem|wan|'t)(not|me|na|ta|is|was)([^\w']|$)", r"\1\2 \3\4"), ("\x01", "."),
+    ]
+    for pattern, put in steps:
+        x = f"regexp_replace({x}, {lit(pattern)}, {lit(put)}, 'g')"
+    return f"list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')"
+
+
 def sql_words(x: str) -> str:
     return f"regexp_extract_all({x}, {lit(WORD_PATTERN)})"
 
@@ -163,6 +180,14 @@ q("clean_text", f"WITH {UTT} SELECT Episode, SentenceIndex, {sql_clean('Text')}
 q("tokenize", f"""WITH {UTT}, t AS (SELECT Episode, SentenceIndex, {sql_tokens(sql_clean('Text'))} AS tk FROM utt)
 SELECT Episode, SentenceIndex, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS tokens FROM t""")
 
+QUOTED = """. "It's 1,000 o'clock," they cannot say (don't ask Mr. X) at 10:30... the dogs' 'twas: so" we'll wanna go. """
+_QUOTED = f"replace(Text, '. ', {lit(QUOTED)})"
+q("tokenize_treebank", f"""WITH {UTT}, t AS (SELECT Episode, SentenceIndex, {sql_treebank(sql_clean(_QUOTED))} AS tk FROM utt)
+SELECT Episode, SentenceIndex, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS tokens FROM t""")
+
+q("treebank_words", f"""WITH {UTT}, t AS (SELECT Episode, SentenceIndex, {sql_drop_stop(sql_treebank(sql_clean('Text')))} AS tk FROM utt)
+SELECT Episode, SentenceIndex, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS CleanText FROM t""")
+
 q("remove_stopwords", f"""WITH {PREP}
 SELECT Episode, SentenceIndex, CAST(len(Tokens) AS INTEGER) AS n_tokens, CleanText FROM prep""")
 
@@ -227,8 +252,21 @@ def sql_linear_logit(words: str, mult: int) -> str:
             f" / (10.0::DOUBLE * len({words})) ELSE 0.0::DOUBLE END")
 
 
-def lex_ctes(src: str = "prep", text: str = "CleanText") -> str:
+def sql_idiom(x: str) -> str:
+    """A lexicon item's value ``x`` after the phrases around it; ``n1``, ``n2`` are the items behind."""
+    found = "CASE {} " + " ".join(f"WHEN {lit(p)} THEN {v!r}::DOUBLE" for p, v in BOUND_IDIOMS) + " END"
+    places = (("tl", "n1", "n2"), ("tl", "n1"), ("p1", "tl"), ("p2", "p1", "tl"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"))
+    said = ", ".join(found.format("(" + " || ' ' || ".join(ws) + ")") for ws in places)
+    damps = in_list([p for p, _ in BOUND_PHRASES])
+    damp = f"CASE WHEN coalesce((p3 || ' ' || p2) IN {damps}, false) OR coalesce((p2 || ' ' || p1) IN {damps}, false) THEN 0.293::DOUBLE ELSE 0.0::DOUBLE END"
+    known = in_list([w for w, _ in MINI_LEXICON])
+    return f"CASE WHEN in_lex AND p3 IS NOT NULL AND p3 NOT IN {known} THEN coalesce({said}, {x}) - {damp} ELSE {x} END"
+
+
+def lex_ctes(src: str = "prep", text: str = "CleanText", idioms: bool = False) -> str:
     """CTEs ending in ``chain`` (per item) and ``sent`` (per sentence) over ``src``."""
+    behind = "lead(tl, 2) OVER (PARTITION BY Episode, SentenceIndex ORDER BY pos) AS n2"
+    last = f"(SELECT * REPLACE ({sql_idiom('a6')} AS a6) FROM (SELECT *, {behind} FROM c6))" if idioms else "c6"
     d1, d2, d3 = BOOST_DISTANCE_DAMP
     ns = repr(NEGATION_SCALAR)
 
@@ -327,7 +365,7 @@ c7 AS (
   SELECT *, CASE WHEN NOT in_lex THEN v_caps
                  WHEN {gate(1)} AND p1 = 'least' AND NOT coalesce(p2 IN ('at', 'very'), false) THEN a6 * {ns}
                  ELSE a6 END AS v_mod
-  FROM c6),
+  FROM {last}),
 chain AS MATERIALIZED (
   SELECT *, CASE WHEN but_pos > 0 AND pos < but_pos - 1 THEN 0.5::DOUBLE
                  WHEN but_pos > 0 AND pos > but_pos - 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS factor,
@@ -461,6 +499,12 @@ q("lex_contrast", f"""WITH {PLAIN},{lex_ctes('plain', 'PlainText')}
 SELECT Episode, SentenceIndex, pos, tl, factor, round(v + 1e-9, 6) AS v
 FROM chain WHERE in_lex""")
 
+q("lex_idiom", f"""WITH {PLAIN},{lex_ctes('plain', 'PlainText', idioms=True)}
+SELECT Episode, SentenceIndex, pos, tl, round(v_mod + 1e-9, 6) AS v_idiom FROM chain WHERE in_lex""")
+
+q("idiom_scores", f"""WITH {PLAIN},{lex_ctes('plain', 'PlainText', idioms=True)}
+SELECT Episode, SentenceIndex, lex_compound, {sql_label('lex_pos', 'lex_neu', 'lex_neg')} AS lex_label FROM lexs""")
+
 q("lex_punct", f"""WITH {PREP},{lex_ctes()}
 SELECT Episode, SentenceIndex, round(emph, 6) AS emphasis FROM sent""")
 

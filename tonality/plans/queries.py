@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions import text as T
+from tonality.functions.treebank import treebank_tokens
 from tonality.operators import characters as C
 from tonality.operators import words as W
+from tonality.operators.prepare import prepare_utterances
 from tonality.plans.context import Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +100,30 @@ def q_tokenize(spark, sf_dir):
                     F.array_join(toks, " ").alias("tokens"))
 
 
+def _with_quotes(c):
+    """The tables hold hardly any quotes, clitics and numbers: each sentence end gets some."""
+    return F.replace(c, F.lit(". "), F.lit(QUOTED))
+
+
+#: What stands at the sentence ends of ``tokenize_treebank``.
+QUOTED = """. "It's 1,000 o'clock," they cannot say (don't ask Mr. X) at 10:30... the dogs' 'twas: so" we'll wanna go. """
+
+
+@query("tokenize_treebank")
+def q_tokenize_treebank(spark, sf_dir):
+    toks = treebank_tokens(T.clean_text(_with_quotes(F.col("Text"))))
+    return Inputs(spark, sf_dir).utterances().select(
+        "Episode", "SentenceIndex", F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
+
+
+@query("treebank_words")
+def q_treebank_words(spark, sf_dir):
+    """Preparation with the Treebank's tokens: what is left without list A."""
+    inp = Inputs(spark, sf_dir)
+    p = prepare_utterances(inp.utterances(), inp.characters(), inp.stopwords_a(), keep_tokens=True, tokens=treebank_tokens)
+    return p.select("Episode", "SentenceIndex", F.size("Tokens").alias("n_tokens"), "CleanText")
+
+
 @query("remove_stopwords")
 def q_remove_stopwords(spark, sf_dir):
     p = Inputs(spark, sf_dir).prepared(keep_tokens=True)
@@ -253,6 +279,20 @@ def q_lex_contrast(spark, sf_dir):
     return _r(out.withColumn("v", F.col("v") + TIE), ["v"])
 
 
+@query("lex_idiom")
+def q_lex_idiom(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    out = L.lexicon_items(inp.plain(), inp.rules_with_idioms(), "PlainText", KEYS, ("modify",))
+    return _r(out.select(*KEYS, "pos", "tl", (F.col("v") + TIE).alias("v_idiom")), ["v_idiom"])
+
+
+@query("idiom_scores")
+def q_idiom_scores(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    out = L.lexicon_scores(inp.plain().select(*KEYS, "PlainText"), inp.rules_with_idioms(), "PlainText")
+    return out.select(*KEYS, "lex_compound", "lex_label")
+
+
 @query("lex_punct")
 def q_lex_punct(spark, sf_dir):
     p = Inputs(spark, sf_dir).prepared()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonality.resources import BOOSTERS, MINI_LEXICON, NEGATORS
+from tonality.resources import BOOSTERS, IDIOMS, MINI_LEXICON, NEGATORS
 from tonality.schema import BOOSTER, LEXICON
 
 
@@ -33,6 +33,11 @@ def booster_df(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(list(rows if rows is not None else BOOSTERS), BOOSTER)
 
 
+def idiom_df(spark: SparkSession, rows=None) -> DataFrame:
+    """Phrases of two or three words and their valences: ``phrase, valence``."""
+    return spark.createDataFrame(list(rows if rows is not None else IDIOMS), "phrase string, valence double")
+
+
 def negator_df(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame([(w,) for w in (rows if rows is not None else NEGATORS)],
                                  "token string")

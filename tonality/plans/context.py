@@ -12,6 +12,7 @@ from tonality.operators.lexicon import Rules, generated_valence
 from tonality.operators.prepare import prepare_utterances
 from tonality.plans.pipeline import Scoring, scored_table
 from tonality.resources import BOOST_INCREMENT, BOOSTERS, CONTRAST_WORDS, NEGATORS, default_stopword_list
+from tonality.session import materialize
 from tonality.sources.dimensions import characters_df, episodes_df
 from tonality.sources.utterances import utterances_from_table
 from tonality.sources.wordlists import booster_df, idiom_df, lexicon_from_rows, negator_df
@@ -54,8 +55,9 @@ class Inputs:
         words = turns.select(F.explode(F.array_distinct(extract_words(clean_text("Text")))).alias("word"))
         counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         total = turns.agg(F.count(F.lit(1)).alias("turns"))
-        return (counts.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")  # one row
-                .where(F.col("n") * COMMON_SHARE >= F.col("turns")).select("word"))
+        # computed once: the check of its size and the anti-join both read it
+        return materialize(counts.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")  # one row
+                           .where(F.col("n") * COMMON_SHARE >= F.col("turns")).select("word"))
 
     def rules(self) -> Rules:
         return Rules(lexicon_from_rows(self.spark), booster_df(self.spark, BOUND_BOOSTERS),

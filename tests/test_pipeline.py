@@ -18,7 +18,8 @@ ORACLE_KEYS = ["decode_character", "clean_text", "remove_stopwords", "word_frequ
                "lexicon_scores", "softmax_scores", "scored_table", "character_statistics",
                "modal_sentiment", "statistics_document", "chart_share", "lex_contrast", "unknown_speakers",
                "model_rejects", "duplicate_keys", "weighted_logits", "weighted_scores", "repair_unicode", "fold_scripts", "last_turns",
-               "describe_scores", "chart_median_by_label", "lex_boost", "lex_negate", "scan_csv", "scan_episodes"]
+               "describe_scores", "chart_median_by_label", "lex_boost", "lex_negate", "scan_csv", "scan_episodes",
+               "tokenize_treebank", "treebank_words", "lex_idiom", "idiom_scores"]
 OWN = {k: q for k, q in E.queries().items() if not (k == "pipeline" or k.startswith("op"))}
 
 

@@ -74,3 +74,23 @@ def test_kana_and_hangul_are_spelled(spark):
     import unicodedata
     left = column(spark, [every], T.fold_ascii)[0]
     assert not [c for c in left if any(x in unicodedata.name(c, "") for x in ("HANGUL", "HIRAGANA", "KATAKANA"))]
+
+
+def test_signs_are_folded_by_one_table(spark):
+    """Every sign that takes several letters of ASCII has its place in the table, beside kana and Hangul; others stay."""
+    first, signs = T.sign_table()
+    _, _, multi, letters = T.fold_tables()
+    for ch, spelling in [*multi, *letters, *T.spelled_syllables().items(), ("한", "han"), ("漢", "漢")]:
+        assert signs[ord(ch) - first] == spelling
+    text = "".join(ch for ch, _ in [*multi, *letters]) + "かッ글닭漢字aé\U00020000Ω"
+    row = spark.createDataFrame([(text,)], "t string").select(T.fold_ascii("t"), T.fold_ascii(F.concat(F.lit("x"), "t"))).first()
+    rest = "".join(s for _, s in [*multi, *letters])
+    assert row[0] == f"{rest}katsugeuldalg漢字ae\U00020000O" or row[0].startswith(rest) and row[1] == "x" + row[0]
+
+
+def test_loose_space_is_seen(spark):
+    """Texts of blanks and line breaks in every order, the guarded form against the whole one."""
+    import itertools
+    texts = ["".join(p) for n in range(5) for p in itertools.product("a \n\r\t\u2028", repeat=n)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~T.normalize_space("t").eqNullSafe(T._tight_space(F.col("t")))).count() == 0

@@ -62,3 +62,63 @@ def test_preparation_takes_the_tokens(spark):
     out = prepare_utterances(utt, characters_df(spark), ["she"], keep_tokens=True, tokens=treebank_tokens)
     row = out.select("CleanText", F.size("Tokens").alias("n")).first()
     assert (row.CleanText, row.n) == ("can not say `` no '' ...", 7)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_cut_once_for_their_number_and_their_text(spark):
+    from tonality.functions import text as T
+    from tonality.functions.treebank import treebank_pattern
+    from tonality.plans.queries import _token_rows
+    u = spark.createDataFrame([("1", 1, "It's so. Go!")], "Episode string, SentenceIndex bigint, Text string")
+    for cut, pattern in ((T.tokenize, T.TOKEN_PATTERN), (treebank_tokens, treebank_pattern())):
+        rows = _token_rows(u, cut(T.clean_text("Text")))
+        assert _plan(rows).count(pattern) == 1
+        assert tuple(rows.first()) == ("1", 1, 6, "it 's so . go !")
+
+
+def test_words_skip_the_rules_for_marks_and_keep_them(spark):
+    """Tokens of texts of marks, clitics, abbreviations and blanks in every order against the plain form of the pattern."""
+    import itertools
+    import re
+    from tonality.functions import treebank as B
+    letters = r"\w"
+    end = rf"(?![{letters}'])"
+    kept = "|".join(re.escape(a) for a in ("mr", "e.g"))
+
+    def last(m, text):  # Python's lookbehind needs one width
+        return not re.search(rf"(?:^|[^{letters}.])(?:{kept})$", text[:m.start()])
+
+    dot = r"\.(?=[\])}>']*(?:\s|$))"
+    apart = [r"\.{2,}", "-{2,}", "``", "''", "[:,](?![0-9])", rf"n't{end}|'(?:s|m|d|ll|re|ve){end}", dot, rf"'(?![{letters}])"]
+    halves = "|".join(rf"(?<![{letters}'])" + f"{a}(?={b}{end})" for a, b in B.TWO_TOKENS)
+
+    def at(text, i):
+        for p in [*apart, r"[;@#$%&?!*\[\](){}<>]"]:
+            m = re.compile(p).match(text, i)
+            if m and (p != dot or last(m, text)):
+                return m.end()
+        m = re.compile(halves).match(text, i)
+        if m:
+            return m.end()
+        j = i
+        while j < len(text) and not text[j].isspace() and text[j] not in ";@#$%&?!*[](){}<>":
+            if text[j] in ".:,'`n-" and any((m := re.compile(p).match(text, j)) and (p != dot or last(m, text)) for p in apart):
+                break
+            j += 1
+        return j
+
+    def plain(text):
+        text, out, i = re.sub(r"(^|[\s(\[{<])(?:\"|'')", r"\1``", text).replace('"', "''"), [], 0
+        while i < len(text):
+            j = at(text, i)
+            if j > i:
+                out.append(text[i:j])
+            i = max(j, i + 1)
+        return out
+
+    parts = ["mr", "n't", "cannot", ".", "'", '"', " ", "e.g", "'s", "1,0", "--", "né"]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=3)]
+    assert tokens(spark, texts, abbreviations=("mr", "e.g")) == [plain(t) for t in texts]

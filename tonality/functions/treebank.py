@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonality.functions.text import ASCII_LETTERS
+
 # FIXED VALUES - words of the convention that are two tokens: (first, second).
 TWO_TOKENS: list[tuple[str, str]] = [
     ("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na"), ("'t", "is"), ("'t", "was"),
@@ -32,23 +34,27 @@ ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "st", "vs", "prof", "jr", "sr", "etc",
 _LETTERS = r"\p{L}\p{M}\p{N}_"
 _MARKS = r";@#$%&?!*\[\](){}<>"
 _WORD_END = rf"(?![{_LETTERS}'])"
-_CLITIC = rf"(?:n't|'(?:s|m|d|ll|re|ve)){_WORD_END}"
-_OPENING_QUOTE = r"""(^|[\s(\[{<])(?:"|'')"""
+_OPENING_QUOTE = r"""(?=["'])(?<=^|[\s(\[{<])(?:"|'')"""
 
 
 def treebank_pattern(abbreviations: Sequence[str] = ABBREVIATIONS) -> str:
     """The regular expression of one token, for lower-case text whose double quotes are told apart."""
     # longest first does not matter: each must begin where a word begins
     kept = "|".join(re.escape(a) for a in abbreviations)
-    last_dot = (rf"(?<!(?:^|[^{_LETTERS}.])(?:{kept}))" if kept else "") + r"\.(?=[\])}>']*(?:\s|$))"
-    apart = rf"\.{{2,}}|-{{2,}}|``|''|[:,](?![0-9])|{_CLITIC}|{last_dot}|'(?![{_LETTERS}])"
+    # cheap tests first: most places hold the inside of a plain word, and none of what follows begins there
+    last_dot = r"\.(?=[\])}>']*(?:\s|$))" + (rf"(?<!(?:^|[^{_LETTERS}.])(?:{kept})\.)" if kept else "")
+    marks = rf"\.{{2,}}|{last_dot}|[:,](?![0-9])|''|'(?:s|m|d|ll|re|ve){_WORD_END}|'(?![{_LETTERS}])|-{{2,}}|``"
+    clitic = rf"n't{_WORD_END}"
+    apart = rf"(?=[.:,'`-])(?:{marks})|{clitic}"
+    begins = "".join(sorted({first[0] for first, _ in TWO_TOKENS}))
     halves = "|".join(rf"{first}(?={second}{_WORD_END})" for first, second in TWO_TOKENS)
     # possessive: a word is passed in a loop, not by recursion
-    word = rf"(?:[^\s{_MARKS}.:,'`n-]++|(?!{apart})[.:,'`n-])++"
-    return rf"{apart}|[{_MARKS}]|(?<![{_LETTERS}'])(?:{halves})|{word}"
+    plain = ASCII_LETTERS.replace("n", "")
+    word = rf"(?:[{plain}]+|[^\s{_MARKS}.:,'`n-]+|n(?!'t{_WORD_END})|(?!{marks})[.:,'`-])++"
+    return rf"(?=\S)(?:{apart}|[{_MARKS}]|(?=[{begins}])(?<![{_LETTERS}'])(?:{halves})|{word})"
 
 
 def treebank_tokens(c: Column | str, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
     """``array<string>`` of the tokens of lower-case text."""
-    text = F.regexp_replace(F.col(c) if isinstance(c, str) else c, _OPENING_QUOTE, "$1``")
+    text = F.regexp_replace(F.col(c) if isinstance(c, str) else c, _OPENING_QUOTE, "``")
     return F.regexp_extract_all(F.replace(text, F.lit('"'), F.lit("''")), F.lit(treebank_pattern(abbreviations)), F.lit(0))

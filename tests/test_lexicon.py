@@ -260,3 +260,34 @@ def test_idiom_table_with_nulls_repeats_and_no_rows(spark):
     df = spark.createDataFrame([("1", 0, "day at day good day")], "Episode string, SentenceIndex long, CleanText string")
     assert L.lexicon_scores(df, with_idioms(spark, idiom_df(spark, rows))).first().lex_compound == comp(3.0)
     assert L.lexicon_scores(df, with_idioms(spark, idiom_df(spark, []))).first().lex_compound == comp(1.8)
+
+
+def test_plain_texts_skip_tags_and_score_alike(spark, monkeypatch):
+    """With and without the look for plain texts: equal items and scores; a plain text's tags are empty."""
+    import itertools
+    from pyspark.sql import functions as F
+    parts = ["tree", "very", "not", "good", "but", "kind", "of", "least", "never", "don't", "Tree!", "TREE"]
+    df = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(itertools.product(parts, repeat=3))] + [(-1, None)], "k int, t string")
+    rules = L.Rules(L_lexicon(spark), L_boosters(spark), L_negators(spark), L.generated_valence)
+
+    def results():
+        return (L.lexicon_scores(df, rules, "t").orderBy("k").collect(), L.lexicon_items(df, rules, "t", ["k"]).orderBy("k", "pos").collect())
+
+    quick = results()
+    frame, tags, words = L._tags(df, rules, "t")
+    seen = frame.select("k", L._sentence(F.col("t"), rules, tags, words, None).alias("s")).select("s.plain", F.size("s.boost").alias("n"))
+    assert {(r.plain, r.n == 0) for r in seen.where("n = 0 OR plain").collect()} <= {(True, True), (False, True)} and seen.where("plain").count()
+    monkeypatch.setattr(L, "PLAIN_MAX_WORDS", 0)
+    assert L._tags(df, rules, "t")[2] == [] and results() == quick
+
+
+def L_lexicon(spark):
+    return spark.createDataFrame([("good", 1.9), ("kind", 2.4)], "token string, valence double")
+
+
+def L_boosters(spark):
+    return spark.createDataFrame([("very", 0.293)], "token string, delta double")
+
+
+def L_negators(spark):
+    return spark.createDataFrame([("not",), ("never",)], "token string")

@@ -88,3 +88,14 @@ def test_naive_bayes_weights(spark):
     own = {r.word: r for r in M.naive_bayes_weights(spark.createDataFrame(rows, "k string, t string"), "k", ("a", "b", "c"), "t").collect()}
     assert set(own) == {"one", "two", "three"}
     assert np.allclose([own["two"].neg, own["two"].neu, own["two"].pos], np.log([3 / 6, 2 / 5, 1 / 3]))
+
+
+def test_packed_sums_end_where_the_long_is_full(spark):
+    """Texts on both sides of the bound have the sums of their words."""
+    texts = ["zoo " * n + "ape" for n in (0, 3, M.PACKED_WORDS - 1, M.PACKED_WORDS)] + ["", None]
+    rows = M.linear_scores(spark.createDataFrame([(t,) for t in texts], "CleanText string"), keep_logits=True).collect()
+    for t, r in zip(texts, rows):
+        words = (t or "").split()
+        for k, c in zip(M.LINEAR_MULTIPLIERS, M.LOGIT_COLS):
+            total = sum((ord(w[0]) * k + len(w)) % 11 - 5 for w in words)
+            assert r[c] == (None if t is None else total / (10.0 * len(words)) if words else 0.0)

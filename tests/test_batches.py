@@ -95,3 +95,12 @@ def test_cheap_looks_of_the_cleaner_change_nothing(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     whole = T.normalize_space(T._fold(T.strip_emoji(T.lower_text(T.repair_unicode(T.strip_dashes("t")))), True))
     assert df.where(~T.clean_text("t").eqNullSafe(whole)).select("t").collect() == []
+
+
+def test_word_counts_are_those_of_the_words(spark):
+    df = frame(spark)
+    ways = [df.select("k", F.inline(M.word_counts(F.col("t")))), df.select("k", F.explode(T.extract_words("t")).alias("word")).withColumn("n", F.lit(1))]
+    own, plain = (sorted(map(tuple, x.groupBy("k", "word").agg(F.sum("n")).collect())) for x in ways)
+    assert own == plain
+    rows = ways[0].join(df, "k").where(F.octet_length("t") == F.char_length("t"))
+    assert rows.groupBy("k", "word").count().where("count > 1").count() == 0

@@ -355,6 +355,41 @@ def test_transducer_agrees_with_the_library():
         assert "".join(back.stream(ids, block=3)) == text
 
 
+def test_tokens_stay_apart_where_merging_gives_just_the_two():
+    from tonality.llm.bpe import Transducer, read_ranks
+    ranks = read_ranks(RANKS)
+    machine, rng, found = Transducer(ranks), random.Random(6), set()
+    by_first = {}
+    for t in ranks:
+        by_first.setdefault(t[:1], []).append(t)
+    for _ in range(3000):
+        last = rng.choice(list(by_first[rng.choice([b"a", b"t", b" ", b"e", "漢".encode()[:1]])]))
+        new = rng.choice(by_first[rng.choice([b"a", b"t", b"h", b"e", b"s"])])
+        parts = [bytes([b]) for b in last + new]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
+            if parts[best] + parts[best + 1] not in ranks:
+                break
+            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        found.add(parts == [last, new])
+        assert machine._stay_apart(ranks[last], ranks[new]) == (parts == [last, new]), (last, new)
+    assert found == {True, False}
+
+
+def test_a_table_with_a_token_that_its_bytes_never_merge_into():
+    from tonality.llm.bpe import Transducer
+    machine = Transducer({b"a": 0, b"b": 1, b"c": 2, b"bc": 3, b"abc": 4, b"ab": 5, b"cab": 6})
+    assert [machine(p) for p in (b"abc", b"abab", b"cabc", b"bcab")] == [[4], [5, 5], [2, 4], [3, 5]]
+    assert not machine._stay_apart(0, 3)
+
+
+def test_a_word_is_remembered_once():
+    from tonality.llm.bpe import Encoder
+    own = Encoder(RANKS, P.PATTERN)
+    own("zwolf quandrel, zwolf")
+    assert set(own.memo) == {"", "zwolf", " quandrel,", " quandrel", ",", " zwolf"}
+
+
 def test_incomplete_characters_wait_and_bad_bytes_are_replaced():
     from tonality.llm.bpe import Utf8Stream
     machine = Utf8Stream()

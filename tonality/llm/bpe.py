@@ -2,9 +2,9 @@
 
 Encoding.  Every prefix of a byte string has one last token in its BPE encoding, and a token may follow another
 if and only if encoding the two together gives just these two.  The transducer reads bytes from left to right and keeps
-the positions from which a token may still be running: for each, the place in the trie of tokens, the
-token before it and the tokens not yet emitted.  What all of them share is emitted, so the lookahead is at most
-the longest token.  States and transitions are made when first met and then looked up.
+the positions from which a token may still be running: for each, the place in the trie of tokens and the
+token before it.  For each byte it gives the last token of the prefix that ends there; read backwards from the end, by the
+tokens' lengths, these are the encoding.  States and transitions are made when first met and then looked up.
 
 Decoding.  Token bytes go through an incremental UTF-8 machine that holds back an unfinished character.
 
@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from tonality.llm.common import worker_memo
 
 MAX_STATES = 300_000   # a worker's transducer starts anew beyond it
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 MEMO_CHARS = 48
+RUNS = -1              # no byte
+NEVER = 1 << 60        # the rank of what is no token
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +44,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
+        self.length = {r: len(t) for t, r in ranks.items()}
         self.child: dict[int, int] = {}  # trie: node << 8 | byte -> node
         self.ends: list[int] = [-1]      # token that ends at a node
         self.inner: list[bool] = [False]
@@ -56,59 +59,92 @@ class Transducer:
                     self.inner.append(False)
                 node = self.child[key]
             self.ends[node] = r
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # last << 32 | new
+        self.steps: dict[int, tuple[list[int], list[bytes], list[bytes]] | None] = {}
         self._restart()
 
     def _restart(self) -> None:
-        start = ((0, -1, ()),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def _merged(self, data: bytes) -> list[bytes]:
-        """Merging by ranks, for strings of one or two tokens."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best:best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        # a state: byte -> (the last token up to there, the next state), and under RUNS its runs, the longest first: for each the
+        # place in the trie and the token before it
+        self.start: dict = {RUNS: (0, -1)}
+        self.states = {(0, -1): self.start}
+
+    def _steps(self, token: int) -> tuple[list[int], list[bytes], list[bytes]] | None:
+        """Merging of a token's bytes by ranks: the rank of each step, and the first and the last part before it and at the end.
+
+        None if the bytes do not merge into the token.
+        """
+        if token not in self.steps:
+            data, ranks, get = self.token[token], [], self.ranks.get
+            parts = [data[i:i + 1] for i in range(len(data))]
+            firsts, lasts = parts[:1], parts[-1:]
+            while len(parts) > 1:
+                found = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+                rank = min(found)
+                if rank == NEVER:
+                    break
+                best = found.index(rank)
+                parts[best:best + 2] = [parts[best] + parts[best + 1]]
+                ranks.append(rank)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            self.steps[token] = (ranks + [NEVER], firsts, lasts) if len(parts) == 1 else None
+        return self.steps[token]
+
+    def _stay_apart(self, last: int, new: int) -> bool:
+        """Whether merging the two tokens' bytes together gives just these two.
+
+        Both sides go through their own steps, the lower rank first; the two parts at the boundary must never come before them (of
+        equal ranks the leftmost goes first).
+        """
+        own, other = self._steps(last), self._steps(new)
+        if own is None or other is None:
+            return False
+        get = self.ranks.get
+        left, _, ends = own
+        right, starts, _ = other
+        i = j = 0
+        while True:
+            a, b = left[i], right[j]
+            between = get(ends[i] + starts[j], NEVER)
+            if between < a and between <= b and between != NEVER:
+                return False
+            if a <= b:
+                if a == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _may_follow(self, last: int, new: int) -> bool:
-        key = (last, new)
-        if key not in self.follows:
+        if last < 0:
+            return self._steps(new) is not None
+        key = last << 32 | new
+        may = self.follows.get(key)
+        if may is None:
             if len(self.follows) > 2_000_000:
                 self.follows.clear()
-            own = ([] if last < 0 else [self.token[last]]) + [self.token[new]]
-            self.follows[key] = self._merged(b"".join(own)) == own
-        return self.follows[key]
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        alive, here = [], None
-        for node, last, pending in self.states[state]:
-            at = self.child.get(node << 8 | byte)
-            if at is None:
-                continue
-            new = self.ends[at]
-            if here is None and new >= 0 and self._may_follow(last, new):
-                here = (0, new, pending + (new,))
-            if self.inner[at]:
-                alive.append((at, last, pending))
-        if here is None:
+            may = self.follows[key] = self._stay_apart(last, new)
+        return may
+
+    def _move(self, state: dict, byte: int) -> tuple[int, dict]:
+        child, inner = self.child, self.inner
+        runs, new, old = [], -1, state[RUNS]
+        for k in range(0, len(old), 2):
+            at = child.get(old[k] << 8 | byte)
+            if at is not None:
+                last = old[k + 1]
+                if new < 0 <= self.ends[at] and self._may_follow(last, self.ends[at]):
+                    new = self.ends[at]
+                if inner[at]:
+                    runs += (at, last)
+        if new < 0:
             raise ValueError(f"no token for byte {byte}")
-        alive.append(here)
-        same = 0
-        shortest = min(len(p) for _, _, p in alive)
-        while same < shortest and len({p[same] for _, _, p in alive}) == 1:
-            same += 1
-        out = here[2][:same]
-        to = tuple((n, t, p[same:]) for n, t, p in alive)
-        if to not in self.number:
-            self.number[to] = len(self.states)
-            self.states.append(to)
-        move = (self.number[to], out)
-        self.moves[state << 8 | byte] = move
+        to = (*runs, 0, new)
+        following = self.states.get(to)
+        if following is None:
+            following = self.states[to] = {RUNS: to}
+        move = state[byte] = (new, following)
         return move
 
     def __call__(self, piece: bytes) -> list[int]:
@@ -117,13 +153,16 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._restart()
-        state, out, moves = 0, [], self.moves
+        state, last = self.start, []
         for b in piece:
-            move = moves.get(state << 8 | b) or self._move(state, b)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        return out + list(self.states[state][-1][2])
+            token, state = state.get(b) or self._move(state, b)
+            last.append(token)
+        out, at = [], len(last)
+        while at:  # the last token, the one before it, and so on
+            out.append(last[at - 1])
+            at -= self.length[out[-1]]
+        out.reverse()
+        return out
 
 
 class Encoder:
@@ -141,39 +180,40 @@ class Encoder:
 
         self.find = regex.compile(pattern).findall
         self.transduce = Transducer(read_ranks(path))
-        self.memo: dict[str, bytes] = {}    # of chunks
-        self.pieces: dict[str, bytes] = {}  # of the pattern's matches
+        self.memo: dict[str, bytes] = {"": b""}  # of chunks and of the pattern's matches (a match by itself is one match)
+
+    def _keep(self, part: str, ids: bytes) -> bytes:
+        if len(part) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.memo.clear()
+                self.memo[""] = b""
+            self.memo[part] = ids
+        return ids
 
     def _piece(self, piece: str) -> bytes:
         found = self.transduce(piece.encode())
-        ids = struct.pack(f"<{len(found)}I", *found)
-        if len(piece) <= MEMO_CHARS:
-            if len(self.pieces) >= MEMO_ENTRIES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return self._keep(piece, struct.pack(f"<{len(found)}I", *found))
 
     def _ids(self, text: str) -> bytes:
-        get = self.pieces.get
+        get = self.memo.get
         return b"".join([get(p) or self._piece(p) for p in self.find(text)])
 
+    def _chunk(self, chunk: str) -> bytes:
+        ids = self.memo.get(chunk)
+        if ids is None:
+            found = self.find(chunk)
+            ids = self._piece(chunk) if found == [chunk] else self._keep(chunk, self._ids(chunk))
+        return ids
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._RUNS.search(text):
+        if self._RUNS.search(text) or "\0" in text:
             return self._ids(text)
-        first, *rest = text.split(" ")
-        chunks = [first] * bool(first) + [" " + c for c in rest]
-        memo = self.memo
-        out = list(map(memo.get, chunks))
+        chunks = text.replace(" ", "\0 ").split("\0")
+        out = list(map(self.memo.get, chunks))
         if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = ids = memo.get(chunks[i]) or self._ids(chunks[i])
-                    if len(chunks[i]) <= MEMO_CHARS:
-                        if len(memo) >= MEMO_ENTRIES:
-                            memo.clear()
-                        memo[chunks[i]] = ids
+            out = [self._chunk(c) if ids is None else ids for c, ids in zip(chunks, out)]
         return b"".join(out)
 
 

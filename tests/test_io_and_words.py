@@ -93,3 +93,24 @@ def test_top_words_plan_limits_before_shuffle(spark):
     df = spark.createDataFrame([("1", "a b")], "Episode string, CleanText string")
     plan = W.top_words(W.word_frequency(df, None), 10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_large_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tonality.sources.utterances import TASK_ROWS, utterances_from_table
+    docs = spark.range(2 * TASK_ROWS + 100).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 9 > 0, "id")).alias("text"),
+        F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 7).alias("source"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = utterances_from_table(spark, str(tmp_path))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) * 2 < sum(sizes)
+    assert out.count() == docs.count() and out.agg(F.sum("SentenceIndex"), F.count("Text")).first() == docs.agg(F.sum("doc_id"), F.count("text")).first()
+
+
+def test_small_and_empty_tables_are_not_dealt_out(spark):
+    from tonality.sources.utterances import dealt_out
+    for n in (0, 1000):
+        df = spark.range(n).coalesce(1)
+        assert dealt_out(df) is df
